@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quernstone.llm import mixing, warc
+from quernstone.llm import lm, mixing, ngrams, packing, quality, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_ngrams": ngrams.op2_ngrams,
         "op4_warc": warc.op4_warc,
+        "op5_quality": quality.op5_quality,
+        "op6_lm": lm.op6_lm,
         "op7_mixing": mixing.op7_mixing,
+        "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngrams": ngrams.OP2_SQL,
         "op4_warc": warc.OP4_SQL,
         "op7_mixing": mixing.OP7_SQL,
     }
