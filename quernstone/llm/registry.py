@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quernstone.llm import lm, mixing, ngrams, packing, quality, warc
+from quernstone.llm import lm, mixing, ngrams, packing, quality, suffixes, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_ngrams": ngrams.op2_ngrams,
+        "op3_suffixes": suffixes.op3_suffixes,
         "op4_warc": warc.op4_warc,
         "op5_quality": quality.op5_quality,
         "op6_lm": lm.op6_lm,
