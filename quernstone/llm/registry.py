@@ -4,23 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quernstone.llm import lm, mixing, ngrams, packing, quality, suffixes, warc
+from quernstone.llm import lm, mixing, ngrams, packing, quality, search, shards, suffixes, vectors, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_vectors": vectors.op1_vectors,
         "op2_ngrams": ngrams.op2_ngrams,
         "op3_suffixes": suffixes.op3_suffixes,
         "op4_warc": warc.op4_warc,
         "op5_quality": quality.op5_quality,
         "op6_lm": lm.op6_lm,
         "op7_mixing": mixing.op7_mixing,
+        "op8_search": search.op8_search,
+        "op9_shards": shards.op9_shards,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_vectors": vectors.OP1_SQL,
         "op2_ngrams": ngrams.OP2_SQL,
         "op4_warc": warc.OP4_SQL,
         "op7_mixing": mixing.OP7_SQL,
