@@ -22,9 +22,15 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from quernstone.plans import retrieval_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
