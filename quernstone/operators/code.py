@@ -13,12 +13,15 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quernstone.functions import fixed
 from quernstone.operators import chunking
 
-CHUNK = "array<struct<text:string,type:string,name:string,defines:array<string>,calls:array<string>>>"
-SYMBOLS = "struct<defines:array<string>,imports:array<string>>"
+# given as types: a string would need a session when executors import this module
+_STRINGS = ArrayType(StringType())
+SYMBOLS = StructType([StructField("defines", _STRINGS), StructField("imports", _STRINGS)])
+CHUNK = ArrayType(StructType([StructField(n, StringType()) for n in ("text", "type", "name")] + [StructField(n, _STRINGS) for n in ("defines", "calls")]))
 
 
 def _chunk(text: str, kind: str, name: str, defines=(), calls=()) -> dict:
@@ -233,7 +236,7 @@ def code_symbols(text: pd.Series, ext: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_PARSERS[e][1](t) if e in _PARSERS and t else {"defines": [], "imports": []} for t, e in zip(text, ext, strict=True)], columns=["defines", "imports"])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_STRINGS)
 def code_calls(text: pd.Series, ext: pd.Series) -> pd.Series:
     """Names called anywhere in a source, sorted and without repeats."""
 

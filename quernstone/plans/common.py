@@ -36,6 +36,11 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(table(spark, sf_dir, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a time that has a zone (the session's, UTC)."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, query, context, response): a turn, the one before it, and the one after it."""
     from pyspark.sql import Window

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _DROP = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "svg", "iframe", "template", "head"}
 _BLOCK = {"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "blockquote", "br", "hr", "figure"}
@@ -83,7 +84,7 @@ def html_to_markdown(html: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(reader.out))).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def page_markdown(url: pd.Series, html: pd.Series) -> pd.Series:
     """Markdown of a page; a .md address is passed through."""
     return pd.Series([h if u and u.lower().endswith(".md") else html_to_markdown(h) for u, h in zip(url, html, strict=True)])

@@ -7,6 +7,7 @@ import tomllib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from quernstone.functions import fixed
 from quernstone.functions import text as T
@@ -81,7 +82,7 @@ def read_skills(spark: SparkSession, root: str) -> DataFrame:
     return files.select(name.alias("id"), *[c.alias(n) for n, c in meta.items()], F.col("value").alias("body"))
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(MapType(StringType(), StringType()))
 def cargo_dependencies(text: pd.Series) -> pd.Series:
     """Name and version of dependencies, those for development and for targets included;
     of a name the first counts, and one without a version is left out."""
