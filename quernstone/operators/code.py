@@ -110,7 +110,7 @@ def _brace_calls(text: str) -> list[str]:
     return sorted(found - _NO_CALL)
 
 
-_RUST_ITEM = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|extern)\s+)*(fn|struct|enum|trait|impl)\b([^{;]*)", re.M)
+_RUST_ITEM = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|extern)\s+)*(fn|struct|enum|trait|impl|mod)\b([^{;]*)", re.M)
 
 
 def _rust_items(clean: str, start: int = 0, end: int | None = None):
@@ -141,6 +141,8 @@ def rust_chunks(source: str) -> list[dict]:
         text, calls = source[begin:stop], _brace_calls(clean[begin:stop])
         if kind == "fn":
             out.append(_chunk(text, "function", _word(head), [_word(head)], calls))
+        elif kind == "mod":
+            continue
         elif kind != "impl":
             out.append(_chunk(text, "type", _word(head), [_word(head)], calls))
         else:
@@ -157,18 +159,16 @@ def rust_symbols(source: str) -> dict:
     defines: set[str] = set()
 
     def walk(start: int, end: int, path: str) -> None:
-        item = re.compile(r"\bmod\s+(\w+)\s*\{|" + _RUST_ITEM.pattern, re.M)
-        at = start
-        while m := item.search(clean, at, end):
-            stop = min(_close(clean, m.start() if m[1] else m.end()), end)
-            if m[1]:
-                walk(clean.find("{", m.start()) + 1, stop - 1, f"{path}{m[1]}::")
-            elif m[2] == "impl":
-                of = _impl_type(m[3].strip())
-                defines.update(f"{path}{of}::{_word(n)}" for k, n, _, _ in _rust_items(clean, clean.find("{", m.start()) + 1, stop - 1) if k == "fn")
+        for kind, head, begin, stop in _rust_items(clean, start, end):
+            body = clean.find("{", begin, stop) + 1
+            if kind == "mod":
+                if body:
+                    walk(body, stop - 1, f"{path}{_word(head)}::")
+            elif kind == "impl":
+                of = _impl_type(head)
+                defines.update(f"{path}{of}::{_word(n)}" for k, n, _, _ in _rust_items(clean, body, stop - 1) if k == "fn")
             else:
-                defines.add(path + _word(m[3].strip()))
-            at = max(stop, m.end())
+                defines.add(path + _word(head))
 
     walk(0, len(clean), "")
     imports: set[str] = set()

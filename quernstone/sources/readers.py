@@ -76,7 +76,7 @@ def read_design_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_skills(spark: SparkSession, root: str) -> DataFrame:
     """(id, name, description, domain, category, tags, body) of skill texts."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md*").text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md*").text(root, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.mdc?$", 1)
     meta = T.front_matter(F.col("value"))
     return files.select(name.alias("id"), *[c.alias(n) for n, c in meta.items()], F.col("value").alias("body"))
