@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Scratch, crc_of_id
+from quernstone.llm.common import Scratch, crc_of_id, smallest_hashes
 
 #: White space never occurs in a word, so this can't be one.
 END = b"\n"
@@ -195,13 +195,29 @@ class Trained:
         return Classes(self.own, self.model.shape.own, self.model.shape.endings)
 
 
+def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """Words with their counts, most frequent first, as many as ``most`` allows: the bound
+    comes from a table of how many words have about which count, some hundred rows."""
+    step = F.floor(F.log2("n") * 8)
+    table = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    total, bound = 0, None
+    for r in table:
+        total += r["words"]
+        if total > most:
+            break
+        bound = r["step"]
+    if bound is None:
+        return {}
+    rows = counts.where(step >= bound).collect()
+    return {bytes(r["word"]): r["n"] for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))}
+
+
 def train(scratch: Scratch, docs: DataFrame, shape: Shape = Shape()) -> tuple[DataFrame, Trained]:
     """(word, n) of the training documents and what is fitted on them."""
     spark = docs.sparkSession
     counts = scratch.save(count_words(docs), "counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(shape.sent).collect()
-    sent = {bytes(r["word"]): r["n"] for r in top}
+    sent = frequent(counts, shape.sent)
     own = {END: 0}
     for word in sent:
         if len(own) < shape.own and word != END:
@@ -236,7 +252,7 @@ def train(scratch: Scratch, docs: DataFrame, shape: Shape = Shape()) -> tuple[Da
 
         return rows
 
-    first = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(shape.start_docs).select("text").repartition(1)
+    first = smallest_hashes(docs.select("doc_id", "text"), shape.start_docs, "doc_id").select("text").repartition(1)
     _load(model, first.mapInPandas(run(shape.start_epochs), WEIGHTS).collect())
     every = docs.select("text").mapInPandas(run(1), WEIGHTS)
     weighed = every.select("part", "row", "tokens", F.posexplode("weights").alias("k", "x"))

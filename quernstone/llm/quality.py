@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import WORD, Scratch, crc_of_id
+from quernstone.llm.common import WORD, Scratch, crc_of_id, smallest_hashes
 
 
 @dataclass(frozen=True)
@@ -175,8 +175,8 @@ def train(stats: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Ensemble:
     that aren't held out."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y")).where("_y IS NOT NULL")
     rows = stats.where(crc_of_id("doc_id") % 5 != 0).join(known, F.col("doc_id") == F.col("_id"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "_y", *NAMES).limit(fit.sample).select("_y", *NAMES).collect()
-    data = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), len(NAMES) + 1)
+    rows = smallest_hashes(rows, fit.sample, "doc_id").select("_y", *NAMES).collect()
+    data = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(len(rows), len(NAMES) + 1)
     return fit_rules(data[:, 1:], data[:, 0], fit)
 
 

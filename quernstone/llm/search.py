@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Scratch
+from quernstone.llm.common import Scratch, smallest_hashes
 from quernstone.llm.vectors import usable
 
 
@@ -157,7 +157,7 @@ def nearest(vectors: DataFrame, search: Search = Search(), every: int = 20) -> D
         rest = np.sqrt(np.maximum(most**2 - (x**2).sum(axis=1), 0))
         return x @ turn[:-1] + rest[:, None] * turn[-1]
 
-    chosen = entries.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(search.sample).collect()
+    chosen = smallest_hashes(entries.select("vector"), search.sample, "vector").collect()
     cells = 1 << max(0, min(search.most_cells, -(-n // search.cell_rows)) - 1).bit_length()
     nodes = split_sample(projected(np.array([r["vector"] for r in chosen], dtype="f8").reshape(-1, dim)), cells)
 
