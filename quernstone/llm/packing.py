@@ -26,6 +26,8 @@ CAPACITY = 2048
 #: pieces in a partition, about
 PART = 60_000
 ROUNDS = 6
+#: a settled partition keeps sequences with at most this share of space left
+SPARE = 1 / 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -101,7 +103,7 @@ def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 30) -> int:
     return best
 
 
-PLACED = "_pid long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, _left long, _gap long, _last boolean"
+PLACED = "_pid long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, _left long, _gap long"
 
 
 def _round(waiting: DataFrame, capacity: int) -> DataFrame:
@@ -113,7 +115,7 @@ def _round(waiting: DataFrame, capacity: int) -> DataFrame:
         names = pd.Series(group["_pid"].to_numpy()).groupby(bins).min().to_numpy()
         gap = len(left) - lower_bound(lengths, capacity)
         out = group.drop(columns=["_part"])
-        return out.assign(sequence_id=names[bins], offset=offsets, _left=left[bins], _gap=gap, _last=bins == left.argmax())
+        return out.assign(sequence_id=names[bins], offset=offsets, _left=left[bins], _gap=gap)
 
     return waiting.groupBy("_part").applyInPandas(place, PLACED)
 
@@ -128,11 +130,11 @@ def pack(scratch: Scratch, pieces: DataFrame, capacity: int = CAPACITY, part: in
     for k in range(rounds):
         if not number:
             break
-        parts = -(-number // part)
+        parts = -(-number // (part << k))
         dealt = waiting.withColumn("_part", F.pmod(F.xxhash64("_pid", F.lit(k)), F.lit(parts)).cast("int"))
         placed = scratch.save(_round(dealt, capacity), f"round-{k}")
         final = k == rounds - 1 or parts == 1
-        again = F.lit(False) if final else (F.col("_left") > 0) & ((F.col("_gap") > 0) | F.col("_last"))
+        again = F.lit(False) if final else (F.col("_left") > 0) & ((F.col("_gap") > 0) | (F.col("_left") > SPARE * capacity))
         done.append(placed.where(~again).select(*columns, "sequence_id", "offset"))
         waiting = placed.where(again).select("_pid", *columns)
         number = 0 if final else waiting.count()
