@@ -227,7 +227,8 @@ def suffixes_of(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
         bucket = np.searchsorted(bounds, grams, side="right")
         for (doc, place, first, last, context), b in zip(rows, bucket.tolist(), strict=True):
             key = (place - first, context)
-            out.append((b, doc, place, first, last, None if key in seen else context))
+            # what needs no comparison is dealt by document, not by its gram
+            out.append((doc % (len(bounds) + 1), doc, place, first, last, None) if key in seen else (b, doc, place, first, last, context))
             seen.add(key)
         return pd.DataFrame(out, columns=["bucket", "doc", "place", "first", "last", "context"])
 
