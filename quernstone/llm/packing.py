@@ -28,6 +28,8 @@ PART = 60_000
 ROUNDS = 6
 #: a settled partition keeps sequences with at most this share of space left
 SPARE = 1 / 256
+#: a partition over its volume by more than this share exchanges all its pieces
+LOOSE = 1 / 512
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -103,7 +105,7 @@ def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 30) -> int:
     return best
 
 
-PLACED = "_pid long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, _left long, _gap long"
+PLACED = "_pid long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, _left long, _gap long, _loose boolean"
 
 
 def _round(waiting: DataFrame, capacity: int) -> DataFrame:
@@ -114,8 +116,9 @@ def _round(waiting: DataFrame, capacity: int) -> DataFrame:
         # a sequence is named by its smallest piece number: unique over all partitions
         names = pd.Series(group["_pid"].to_numpy()).groupby(bins).min().to_numpy()
         gap = len(left) - lower_bound(lengths, capacity)
+        loose = len(left) - -(-int(lengths.sum()) // capacity) > LOOSE * len(left)
         out = group.drop(columns=["_part"])
-        return out.assign(sequence_id=names[bins], offset=offsets, _left=left[bins], _gap=gap)
+        return out.assign(sequence_id=names[bins], offset=offsets, _left=left[bins], _gap=gap, _loose=loose)
 
     return waiting.groupBy("_part").applyInPandas(place, PLACED)
 
@@ -134,7 +137,7 @@ def pack(scratch: Scratch, pieces: DataFrame, capacity: int = CAPACITY, part: in
         dealt = waiting.withColumn("_part", F.pmod(F.xxhash64("_pid", F.lit(k)), F.lit(parts)).cast("int"))
         placed = scratch.save(_round(dealt, capacity), f"round-{k}")
         final = k == rounds - 1 or parts == 1
-        again = F.lit(False) if final else (F.col("_left") > 0) & ((F.col("_gap") > 0) | (F.col("_left") > SPARE * capacity))
+        again = F.lit(False) if final else (F.col("_left") > 0) & ((F.col("_gap") > 0) | (F.col("_left") > SPARE * capacity)) | F.col("_loose")
         done.append(placed.where(~again).select(*columns, "sequence_id", "offset"))
         waiting = placed.where(again).select("_pid", *columns)
         number = 0 if final else waiting.count()
