@@ -224,7 +224,8 @@ def similar_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
         got = [shingles(t, known, join.words) for t in group["text"]]
         return pd.DataFrame(links_in(group["doc_id"].to_numpy(), got, join), columns=["a", "b"]).astype("int64")
 
-    texts = docs.select("doc_id", "text").join(tiles, F.col("doc_id") == F.col("id")).select("component", "i", "j", "doc_id", "text")
+    # by merging at every size: the tiles grow with the input, as does what is moved
+    texts = docs.select("doc_id", "text").join(tiles.hint("merge"), F.col("doc_id") == F.col("id")).select("component", "i", "j", "doc_id", "text")
     links = scratch.save(texts.groupBy("component", "i", "j").applyInPandas(compare, "a long, b long"), "links")
     groups = connected(scratch, links, "groups").withColumnRenamed("component", "_low")
     head = first.join(groups, F.col("first") == F.col("id"), "left").select(F.col("print").alias("_print"), F.coalesce("_low", "first").alias("_head"))
