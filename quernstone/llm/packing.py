@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import Scratch
-from quernstone.llm.tokens import Encoder
+from quernstone.llm.tokens import encoder
 
 CAPACITY = 2048
 #: pieces in a partition, about
@@ -45,11 +45,11 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id",
     """(doc_id, piece, start, length, ids_crc32) of every document."""
 
     def rows(batches):
-        encoder = Encoder()
+        encode = encoder().document
         for batch in batches:
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encoder.document(text)
+                ids = encode(text)
                 doc = None if pd.isna(doc) else int(doc)
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     out.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))

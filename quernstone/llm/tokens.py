@@ -1,14 +1,13 @@
 """Token ids by the public byte-level BPE vocabulary.
 
-A text is cut at single spaces that follow and precede other characters; such a cut is
-always a boundary of the tokenizer's own pre-tokens, so each part's ids can be kept in a
-bounded table. Texts where a space meets other white space go to the tokenizer whole.
+The vocabulary comes in two forms that give the same ids: ranks, which are quicker, and a
+tokenizer file, which also reads special tokens out of a text. Texts that hold the string
+of a special token go to the second.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 
 import numpy as np
 import public_tokenizers
@@ -16,48 +15,36 @@ import tiktoken
 from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k.json"
-#: the same vocabulary as ranks: gives the same ids and is quicker on short strings
 RANKS = "byte_bpe_50k.tiktoken"
 END = 0
-#: a space that is followed by white space or ends the text, or begins it
-_UNSAFE = re.compile(r" (?:\s|\Z)|\A ")
-
-
-class _Known(dict):
-    """Ids of text parts as little-endian unsigned 32-bit numbers."""
-
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, part: str) -> bytes:
-        ids = np.asarray(self.encode(part), dtype="<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[part] = ids
-        return ids
 
 
 class Encoder:
-    """Encodes whole texts; at most ``most_parts`` parts are remembered."""
+    """Encodes whole texts as little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str | None = None, ranks: str | None = None, most_parts: int = 400_000):
+    def __init__(self, path: str | None = None, ranks: str | None = None):
         self.whole = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         with open(ranks or public_tokenizers.path(RANKS), "rb") as lines:
             merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        parts = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        self.known = _Known(parts.encode_ordinary, most_parts)
+        self.plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def raw(self, text: str) -> bytes:
         """Ids as bytes, four a token."""
-        if not text:
-            return b""
-        if _UNSAFE.search(text) or any(s in text for s in self.specials):
+        if any(s in text for s in self.specials):
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        return self.known[first] + b"".join(map(self.known.__getitem__, [" " + p for p in rest]))
+        return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
     def document(self, text: str | None) -> bytes:
         """A document's ids: those of its text, then the end id."""
         return self.raw(text or "") + END.to_bytes(4, "little")
+
+
+_OWN: list[Encoder] = []
+
+
+def encoder() -> Encoder:
+    """The encoder of this process: workers that run several tasks load it once."""
+    if not _OWN:
+        _OWN.append(Encoder())
+    return _OWN[0]
