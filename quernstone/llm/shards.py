@@ -1,17 +1,20 @@
 """Training-order materialisation of token ids.
 
 Documents become token sequences of a fixed length, each numbered in reading order. A
-keyed Feistel permutation with cycle-walking maps the numbers 0..N-1 onto global slots;
-slots are range-partitioned into shards of equally many records of a fixed stride, so
-that the record of any slot is found by arithmetic and reading resumes at any slot.
-
-Numbers need no shuffle: a first pass counts the sequences of every partition of the
-scan, a second one adds the partition's base. The second pass checks its count and the
-ids it saw against the first. In the shuffle, a task's records of one shard travel as one
-compressed block. Shards are written by Spark's text sink, the trailer of a record being
-the sink's line separator, so they reach any file system that Spark reaches.
-
-A record: slot and document id (signed 64 bit), piece and length (unsigned 32 bit), ids
+keyed Feistel permutation with cycle-walking maps the numbers 0..M-1 onto places; places
+are range-partitioned into shards of records of a fixed stride, in order of their place.
+A sequence's slot is the number of sequences before it in that order, so the record of any
+slot is found by arithmetic from the shards' lengths, and reading resumes at any slot.
+
+Numbers need no shuffle and no tokens: a token has at least one byte, so the lengths of
+the texts bound the sequences of each partition of the scan, and the bounds give every
+partition a range of numbers. M is the sum of the bounds; places that stay empty take no
+room. The second pass checks that it saw what the first one did. In the shuffle, a task's
+records of one shard travel as one compressed block. Shards are written by Spark's text
+sink, the trailer of a record being the sink's line separator, so they reach any file
+system that Spark reaches.
+
+A record: place and document id (signed 64 bit), piece and length (unsigned 32 bit), ids
 (unsigned 16 bit, padded with the end id), trailer (4 bytes), all little-endian.
 
 Defined cases: a null or empty text is the end id alone; a null id is written as -2^63;
@@ -22,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import Scratch
-from quernstone.llm.tokens import Encoder
+from quernstone.llm.tokens import encoder
 
 TRAILER = b"QNS\n"
 NO_ID = -(2**63)
@@ -42,14 +44,14 @@ NO_ID = -(2**63)
 @dataclass(frozen=True)
 class Layout:
     tokens: int = 256
-    #: records of a shard (about 18 MB at 256 tokens)
-    records: int = 32_768
+    #: places of a shard; two in five or so are taken (about 14 MB at 256 tokens)
+    places: int = 65_536
     key: int = 0x5EED
     rounds: int = 6
 
     @property
     def dtype(self) -> np.dtype:
-        return np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("piece", "<u4"), ("length", "<u4"), ("ids", "<u2", (self.tokens,)), ("trailer", "S4")])
+        return np.dtype([("place", "<i8"), ("doc_id", "<i8"), ("piece", "<u4"), ("length", "<u4"), ("ids", "<u2", (self.tokens,)), ("trailer", "S4")])
 
 
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -73,46 +75,38 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _counted(docs: DataFrame, layout: Layout) -> list:
-    """(partition, sequences, sum of ids) of each partition of the scan."""
+def _bounds(docs: DataFrame, layout: Layout) -> list:
+    """(partition, rows, bound of sequences) of each partition of the scan."""
+    most = F.floor((F.coalesce(F.octet_length("text"), F.lit(0)) + layout.tokens) / layout.tokens)
+    return sorted(docs.select(F.spark_partition_id().alias("partition"), most.alias("most")).groupBy("partition").agg(F.count("*").alias("rows"), F.sum("most").alias("most")).collect())
 
-    def rows(batches):
-        encoder, number, seen = Encoder(), 0, 0
-        for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                number += -(-len(encoder.document(text)) // (4 * layout.tokens))
-                seen = zlib.crc32(str(doc).encode(), seen)
-        yield pd.DataFrame({"partition": [TaskContext.get().partitionId()], "n": [number], "seen": [seen]})
 
-    return sorted(docs.mapInPandas(rows, "partition int, n long, seen long").collect())
-
-
-def _blocks(docs: DataFrame, counted: list, layout: Layout, held_bytes: int = 32 << 20) -> DataFrame:
+def _blocks(docs: DataFrame, bounds: list, layout: Layout, held_bytes: int = 32 << 20) -> DataFrame:
     """(shard, block): compressed records of a task for one shard."""
-    total = sum(r["n"] for r in counted)
+    total = sum(r["most"] for r in bounds)
     base, at = {}, 0
-    for r in counted:
-        base[r["partition"]] = (at, r["n"], r["seen"])
-        at += r["n"]
+    for r in bounds:
+        base[r["partition"]] = (at, r["rows"], r["most"])
+        at += r["most"]
     kind = layout.dtype
 
     def rows(batches):
-        encoder, packer = Encoder(), zstandard.ZstdCompressor(level=3)
-        start, expected, seen_then = base[TaskContext.get().partitionId()]
-        number, seen, held, waiting = 0, 0, [], 0
+        encode, packer = encoder().document, zstandard.ZstdCompressor(level=3)
+        start, *expected = base.get(TaskContext.get().partitionId(), (0, 0, 0))
+        number, seen, held, waiting = 0, [0, 0], [], 0
 
         def send(records: np.ndarray) -> pd.DataFrame:
             first = start + number - len(records)
-            records["slot"] = feistel(np.arange(first, first + len(records)), total, layout.key, layout.rounds)
+            records["place"] = feistel(np.arange(first, first + len(records)), total, layout.key, layout.rounds)
             records["trailer"] = TRAILER
-            records = records[np.argsort(records["slot"])]
-            shard = records["slot"] // layout.records
+            records = records[np.argsort(records["place"])]
+            shard = records["place"] // layout.places
             cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
             return pd.DataFrame({"shard": shard[cuts].astype(np.int32), "block": [packer.compress(p.tobytes()) for p in np.split(records, cuts[1:])]})
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.frombuffer(encoder.document(text), "<u4")
+                ids = np.frombuffer(encode(text), "<u4")
                 n = -(-len(ids) // layout.tokens)
                 made = np.zeros(n, kind)
                 padded = np.zeros(n * layout.tokens, "<u2")
@@ -125,26 +119,26 @@ def _blocks(docs: DataFrame, counted: list, layout: Layout, held_bytes: int = 32
                 held.append(made)
                 number += n
                 waiting += made.nbytes
-                seen = zlib.crc32(str(doc).encode(), seen)
+                seen[0] += 1
+                seen[1] += (len((text or "").encode()) + layout.tokens) // layout.tokens
                 if waiting >= held_bytes:
                     yield send(np.concatenate(held))
                     held, waiting = [], 0
         if held:
             yield send(np.concatenate(held))
-        if (number, seen) != (expected, seen_then):
-            raise RuntimeError("the scan gave other rows than when it was counted")
+        if seen != expected:
+            raise RuntimeError("the scan gave other rows than when it was measured")
 
     return docs.mapInPandas(rows, "shard int, block binary")
 
 
-def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> int:
+def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> bool:
     """Writes all sequences of ``docs`` (doc_id, text), a table that is scanned in the
-    same partitions each time, and returns their number."""
+    same partitions each time. False if there are none."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = _counted(docs, layout)
-    total = sum(r["n"] for r in counted)
-    if not total:
-        return 0
+    bounds = _bounds(docs, layout)
+    if not bounds:
+        return False
 
     def rows(batches):
         unpacker, kind = zstandard.ZstdDecompressor(), layout.dtype
@@ -153,16 +147,16 @@ def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> int:
             return
         records = np.concatenate(parts)
         del parts
-        records = records[np.argsort(records["slot"])]
+        records = records[np.argsort(records["place"])]
         width = kind.itemsize - len(TRAILER)
         for at in range(0, len(records), 4096):
             some = records[at : at + 4096].tobytes()
             yield pd.DataFrame({"record": [some[k : k + width] for k in range(0, len(some), kind.itemsize)]})
 
-    shards = -(-total // layout.records)
-    placed = _blocks(docs, counted, layout).repartitionById(shards, F.col("shard")).mapInPandas(rows, "record binary")
+    shards = -(-sum(r["most"] for r in bounds) // layout.places)
+    placed = _blocks(docs, bounds, layout).repartitionById(shards, F.col("shard")).mapInPandas(rows, "record binary")
     placed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", TRAILER.decode()).text(path)
-    return total
+    return True
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -170,27 +164,40 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("shard", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
 
 
+def shard_starts(spark: SparkSession, path: str, layout: Layout = Layout()) -> dict[int, tuple[int, int]]:
+    """First slot and records of each shard, from the lengths of the files."""
+    starts, at = {}, 0
+    for shard, length in sorted(map(tuple, _files(spark, path).select("shard", "length").collect())):
+        starts[shard] = (at, length // layout.dtype.itemsize)
+        at += length // layout.dtype.itemsize
+    return starts
+
+
 SEQUENCE = "slot long, shard int, doc_id long, piece long, length long, ids binary"
 
 
 def read_shards(spark: SparkSession, path: str, layout: Layout = Layout(), start: int = 0) -> DataFrame:
     """Sequences from slot ``start`` on, ids as unsigned 16-bit numbers. Shards before it
     aren't opened; within a shard the place of a slot is its distance times the stride."""
+    starts = shard_starts(spark, path, layout)
+    first_shard = max((s for s, (at, _) in starts.items() if at <= start), default=0)
 
     def rows(batches):
         for batch in batches:
             for shard, content in zip(batch["shard"], batch["content"], strict=True):
-                first = max(0, start - shard * layout.records)
-                records = np.frombuffer(content, layout.dtype, offset=first * layout.dtype.itemsize)
-                if (records["trailer"] != TRAILER).any() or (records["slot"] != np.arange(len(records)) + shard * layout.records + first).any():
+                slot, n = starts[shard]
+                skip = min(max(0, start - slot), n)
+                records = np.frombuffer(content, layout.dtype, offset=skip * layout.dtype.itemsize)
+                if (records["trailer"] != TRAILER).any() or (np.diff(records["place"]) <= 0).any() or (records["place"] // layout.places != shard).any():
                     raise ValueError(f"shard {shard} is damaged")
                 for at in range(0, len(records), 8192):
                     r = records[at : at + 8192]
                     doc = pd.Series(r["doc_id"].astype("i8")).astype("Int64")
                     ids = [x[:n].tobytes() for x, n in zip(r["ids"], r["length"].tolist(), strict=True)]
-                    yield pd.DataFrame({"slot": r["slot"].astype("i8"), "shard": shard, "doc_id": doc.mask(doc == NO_ID), "piece": r["piece"].astype("i8"), "length": r["length"].astype("i8"), "ids": ids})
+                    slots = np.arange(len(r)) + slot + skip + at
+                    yield pd.DataFrame({"slot": slots, "shard": shard, "doc_id": doc.mask(doc == NO_ID), "piece": r["piece"].astype("i8"), "length": r["length"].astype("i8"), "ids": ids})
 
-    files = _files(spark, path).where(F.col("shard") >= start // layout.records).select("shard", "content")
+    files = _files(spark, path).where(F.col("shard") >= first_shard).select("shard", "content")
     return files.mapInPandas(rows, SEQUENCE)
 
 
