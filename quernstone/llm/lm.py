@@ -37,12 +37,12 @@ class Shape:
     endings: int = 512
     dim: int = 32
     noise: int = 32
-    batch: int = 8192
+    batch: int = 2048
     rate: float = 0.1
     #: words whose counts are sent to every executor; the rest are joined
     sent: int = 150_000
     #: documents of the starting run
-    start_docs: int = 800
+    start_docs: int = 1500
     start_epochs: int = 3
     seed: int = 11
 
@@ -160,7 +160,7 @@ def _batches(model: Model, classes: Classes, end: int, texts, rng: np.random.Gen
         words = words_of(text)
         held.append(np.fromiter(map(classes.__getitem__, words), np.int32, len(words)))
         number += len(words)
-        if number >= 8 * model.shape.batch:
+        if number >= 32 * model.shape.batch:
             step()
             held, number = [], 0
     if held:
