@@ -210,7 +210,7 @@ TEXTS = ["", " ", "  ", "a", " a b", "a  b", "a \n b", "end ", "tab\tand nbsp x
 
 
 def test_encoder(tokenizer, rows):
-    encoder = Encoder(most_parts=50)
+    encoder = Encoder()
     for text in TEXTS + [r[1] or "" for r in rows]:
         expected = tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.raw(text), "<u4").tolist() == expected
@@ -325,9 +325,11 @@ def test_feistel_is_a_permutation(n):
 
 
 def test_shards(spark, docs, rows, none, tokenizer, tmp_path):
-    layout = shards.Layout(tokens=32, records=50)
-    n = shards.write_shards(docs, str(tmp_path / "s"), layout)
+    layout = shards.Layout(tokens=32, places=50)
+    docs.write.parquet(str(tmp_path / "docs"))
+    assert shards.write_shards(spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "s"), layout)
     found = shards.read_shards(spark, str(tmp_path / "s"), layout).collect()
+    n = len(found)
     assert sorted(r["slot"] for r in found) == list(range(n))
     expected = Counter()
     for i, text, *_ in rows:
@@ -337,4 +339,4 @@ def test_shards(spark, docs, rows, none, tokenizer, tmp_path):
     assert Counter((r["doc_id"], r["piece"], bytes(r["ids"])) for r in found) == expected
     later = shards.read_shards(spark, str(tmp_path / "s"), layout, start=n - 60)
     assert sorted(r["slot"] for r in later.collect()) == list(range(n - 60, n))
-    assert shards.write_shards(none, str(tmp_path / "none"), layout) == 0
+    assert shards.write_shards(none, str(tmp_path / "none"), layout) is False
