@@ -64,7 +64,10 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     idf = F.when(idf <= 0, F.lit(fixed.BM25_LEAST_IDF)).otherwise(idf)
     k1, b = fixed.BM25_K1, fixed.BM25_B
     gain = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    joined = posted.join(small(asked.join(df, "term")), "term")
+    # no larger than the queries' own terms, so those are measured, not the postings again
+    weighed = asked.join(df, "term")
+    few = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    joined = posted.join(F.broadcast(weighed) if few else weighed, "term")
     return joined.groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain * F.col("times")), 9).alias("bm25"))
 
 
