@@ -9,6 +9,10 @@ documents trains on all its tokens and the weights are averaged by tokens. As th
 splits into a part of (u, w) and one of (v, w), one matrix product gives the exact
 normaliser of every context, so scoring is table look-up.
 
+Below the shared classes stands a second level, whose words grow with the root of the
+vocabulary: each has a vector as context and one as target, and its probability within
+the class is an exact softmax over the class's words of this level and the rest of it.
+
 Defined cases: a null text is empty and has the end token alone; an empty training set
 leaves all counts 0; repeated rows are scored each, and counted each.
 """
@@ -35,6 +39,8 @@ END = b"\n"
 class Shape:
     own: int = 1024
     endings: int = 512
+    #: words of the second level, as a multiple of the vocabulary's square root
+    per_root: float = 4.0
     dim: int = 32
     noise: int = 32
     batch: int = 2048
@@ -72,7 +78,7 @@ def count_words(docs: DataFrame, most: int = 300_000) -> DataFrame:
 
 
 class Classes(dict):
-    """Class of each word; others than the given ones go by their ending."""
+    """Fine class of each word; others than the given ones go by their ending."""
 
     def __init__(self, own: dict[bytes, int], first: int, endings: int):
         super().__init__(own)
@@ -105,10 +111,41 @@ def _gather(into: np.ndarray, seen: np.ndarray, at: np.ndarray, grad: np.ndarray
     into[rows] += total * (scale[:, None] if total.ndim > 1 else scale)
 
 
+class Inner:
+    """Places of the second level. Fine classes are the ``m`` classes, then its words, of
+    which ``of`` has the classes. Each shared class has a run of slots: the rest of the
+    class, then its words of this level, most frequent first."""
+
+    def __init__(self, m: int, first: int, of: np.ndarray):
+        self.coarse = np.concatenate([np.arange(m), of]).astype(np.int32)
+        order = np.argsort(np.concatenate([np.arange(first, m), of]), kind="stable")
+        self.slot = np.full(m + len(of), -1, np.int32)
+        self.slot[first + order] = np.arange(len(order))
+        self.bounds = np.append(self.slot[first:m], len(order)) if m > first else np.zeros(1, np.int32)
+        self.rest = np.zeros(m + len(of), bool)
+        self.rest[first:m] = True
+        self.first = first
+
+    def runs(self, w: np.ndarray):
+        """(first slot, end, places in ``w``) of each shared class with more than its rest."""
+        at = np.flatnonzero(self.slot[w] >= 0)
+        # numbers of 16 bits are sorted much faster
+        k = (self.coarse[w[at]] - self.first).astype(np.min_scalar_type(len(self.bounds)))
+        order = np.argsort(k, kind="stable")
+        at, k = at[order], k[order]
+        cuts = np.flatnonzero(np.diff(k)) + 1
+        for start, stop in zip(np.append(0, cuts), np.append(cuts, len(k)), strict=True):
+            if start < stop:
+                one, end = self.bounds[k[start]], self.bounds[k[start] + 1]
+                if end - one > 1:
+                    yield one, end, at[start:stop]
+
+
 class Model:
-    """R1, R2, Q and b, with what Adagrad has seen."""
+    """R1, R2, Q and b, then R, Q and b of the second level if there is one, with what
+    Adagrad has seen."""
 
-    def __init__(self, shares: np.ndarray, shape: Shape):
+    def __init__(self, shares: np.ndarray, shape: Shape, inner: Inner | None = None, weights: np.ndarray | None = None):
         m, rng = len(shares), np.random.default_rng(shape.seed)
         self.shape, self.shares = shape, shares
         self.parts = [rng.normal(0, 0.1, (m, shape.dim)).astype("f4") for _ in range(3)]
@@ -116,10 +153,54 @@ class Model:
         self.seen = [np.full(m, 1e-2, "f4") for _ in range(4)]
         self.cumulated = np.cumsum(shares)
         self.trained = 0
+        self.inner = inner
+        if inner:
+            sizes = np.diff(inner.bounds)
+            logs = np.log(weights) - np.log(np.repeat(np.add.reduceat(weights, inner.bounds[:-1]), sizes))
+            self.parts += [np.zeros((len(inner.slot), shape.dim), "f4"), rng.normal(0, 0.1, (len(weights), shape.dim)).astype("f4"), logs.astype("f4")]
+            self.seen += [np.full(n, 1e-2, "f4") for n in (len(inner.slot), len(weights), len(weights))]
+
+    def _within(self, v: np.ndarray, w: np.ndarray):
+        """(first slot, end, places, contexts, target's place in the run and its log share, all shares)"""
+        r, q, b = self.parts[4:]
+        for one, end, at in self.inner.runs(w):
+            h = r[v[at]]
+            x = h @ q[one:end].T + b[one:end]
+            x -= x.max(axis=1, keepdims=True)
+            true = self.inner.slot[w[at]] - one
+            log = x[np.arange(len(at)), true]
+            np.exp(x, out=x)
+            total = x.sum(axis=1, keepdims=True)
+            x /= total
+            yield one, end, at, h, true, log - np.log(total[:, 0]), x
+
+    def learn_within(self, v: np.ndarray, w: np.ndarray) -> None:
+        """One exact step on the second level; ``v`` and ``w`` are fine classes."""
+        r, q, b = self.parts[4:]
+        rate, places, backs = self.shape.rate, [], []
+        for one, end, at, h, true, _, shares in self._within(v, w):
+            grad = np.negative(shares, out=shares)
+            grad[np.arange(len(at)), true] += 1
+            places.append(at)
+            backs.append(grad @ q[one:end])
+            total, bias = grad.T @ h, grad.sum(axis=0)
+            self.seen[5][one:end] += (total * total).mean(axis=1)
+            self.seen[6][one:end] += bias * bias
+            q[one:end] += total * (rate / np.sqrt(self.seen[5][one:end] + 1e-8))[:, None]
+            b[one:end] += bias * (rate / np.sqrt(self.seen[6][one:end] + 1e-8))
+        if places:
+            _gather(r, self.seen[4], v[np.concatenate(places)], np.concatenate(backs), rate)
+
+    def within(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 of each target's probability within its class, the rest taken as one."""
+        out = np.zeros(len(w))
+        for _, _, at, _, _, log, _ in self._within(v, w):
+            out[at] = log / math.log(10)
+        return out
 
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> None:
         """One noise-contrastive step; the batch shares its noise."""
-        r1, r2, q, b = self.parts
+        r1, r2, q, b = self.parts[:4]
         k = self.shape.noise
         noise = np.minimum(np.searchsorted(self.cumulated, rng.random(k) * self.cumulated[-1]), len(b) - 1)
         prior = np.log(k * self.shares).astype("f4")
@@ -139,7 +220,7 @@ class Model:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 parts: of (u, w), of (v, w) with the bias, and the normaliser of (u, v)."""
-        r1, r2, q, b = (p.astype("f8") for p in self.parts)
+        r1, r2, q, b = (p.astype("f8") for p in self.parts[:4])
         a, c = r1 @ q.T, r2 @ q.T + b
         top_a, top_c = a.max(axis=1, keepdims=True), c.max(axis=1, keepdims=True)
         z = np.log(np.exp(a - top_a) @ np.exp(c - top_c).T) + top_a + top_c.T
@@ -151,10 +232,13 @@ def _batches(model: Model, classes: Classes, end: int, texts, rng: np.random.Gen
     held, number = [], 0
 
     def step() -> None:
-        u, v, w = _contexts(np.concatenate(held), end)
+        fine = np.concatenate(held)
+        u, v, w = _contexts(model.inner.coarse[fine], end)
         size = model.shape.batch
         for at in range(0, len(w), size):
             model.learn(u[at : at + size], v[at : at + size], w[at : at + size], rng)
+        _, v, w = _contexts(fine, end)
+        model.learn_within(v, w)
 
     for text in texts:
         words = words_of(text)
@@ -167,22 +251,34 @@ def _batches(model: Model, classes: Classes, end: int, texts, rng: np.random.Gen
         step()
 
 
-WEIGHTS = "part int, row int, weights array<double>, tokens long"
+WEIGHTS = "part int, row int, weights binary, tokens long"
+#: rows of weights that are averaged together
+BLOCK = 128
 
 
 def _weights(model: Model) -> pd.DataFrame:
     out = []
     for k, (part, seen) in enumerate(zip(model.parts, model.seen, strict=True)):
-        values = np.concatenate([part.reshape(len(seen), -1), seen[:, None]], axis=1).astype("f8")
-        out.append(pd.DataFrame({"part": k, "row": np.arange(len(seen)), "weights": list(values), "tokens": model.trained}))
-    return pd.concat(out)
+        values = np.concatenate([part.reshape(len(seen), -1), seen[:, None]], axis=1).astype("<f4")
+        out += [(k, at, values[at : at + BLOCK].tobytes(), model.trained) for at in range(0, len(seen), BLOCK)]
+    return pd.DataFrame(out, columns=["part", "row", "weights", "tokens"])
+
+
+def _mean(rows: pd.DataFrame) -> pd.DataFrame:
+    """The mean of a block of weights, by tokens."""
+    total, tokens = 0.0, int(rows["tokens"].sum())
+    for weights, n in zip(rows["weights"], rows["tokens"], strict=True):
+        total = total + np.frombuffer(weights, "<f4").astype("f8") * (n / tokens)
+    return rows.iloc[:1].assign(weights=[total.astype("<f4").tobytes()], tokens=tokens)
 
 
 def _load(model: Model, rows) -> None:
     for r in rows:
-        values = np.array(r["weights"], dtype="f4")
-        model.parts[r["part"]][r["row"]] = values[:-1] if r["part"] < 3 else values[0]
-        model.seen[r["part"]][r["row"]] = values[-1]
+        part, seen, at = model.parts[r["part"]], model.seen[r["part"]], r["row"]
+        n = min(BLOCK, len(seen) - at)
+        values = np.frombuffer(r["weights"], "<f4").reshape(n, -1)
+        part[at : at + n] = values[:, :-1].reshape(part[at : at + n].shape)
+        seen[at : at + n] = values[:, -1]
 
 
 class Trained:
@@ -192,7 +288,7 @@ class Trained:
         self.n, self.v, self.sent, self.own, self.sums, self.model = n, v, sent, own, sums, model
 
     def classes(self) -> Classes:
-        return Classes(self.own, self.model.shape.own, self.model.shape.endings)
+        return Classes(self.own, self.model.inner.first, self.model.shape.endings)
 
 
 def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -222,17 +318,27 @@ def train(scratch: Scratch, docs: DataFrame, shape: Shape = Shape()) -> tuple[Da
     for word in sent:
         if len(own) < shape.own and word != END:
             own[word] = len(own)
+    first, m = len(own), len(own) + shape.endings
+    inner = [word for word in sent if word not in own][: math.ceil(shape.per_root * math.sqrt(v))]
+    classes = Classes({}, first, shape.endings)
+    places = Inner(m, first, np.array([classes[word] for word in inner], np.int32))
     # of each shared class: words seen, and their tokens; one place more is for new words
     ending = F.pmod(F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")), F.lit(shape.endings))
-    names = spark.createDataFrame([(bytearray(w),) for w in own], "word binary")
+    names = spark.createDataFrame([(bytearray(w),) for w in (*own, *inner)], "word binary")
     shared = counts.join(F.broadcast(names), "word", "left_anti").groupBy(ending.alias("ending")).agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).collect()
-    tokens, sums = np.zeros(shape.own + shape.endings), np.ones(shape.own + shape.endings)
+    tokens, sums = np.zeros(m), np.ones(m)
     for word, k in own.items():
         tokens[k] = sent.get(word, 0)
     for r in shared:
-        tokens[shape.own + r["ending"]] = r["tokens"]
-        sums[shape.own + r["ending"]] = r["tokens"] + r["words"] + 1
-    model = Model((tokens + 0.5) / (tokens + 0.5).sum(), shape)
+        tokens[first + r["ending"]] = r["tokens"]
+        sums[first + r["ending"]] = r["tokens"] + r["words"] + 1
+    weights = np.zeros(shape.endings + len(inner))
+    weights[places.slot[first:m]] = sums[first:]
+    for k, word in enumerate(inner):
+        tokens[places.coarse[m + k]] += sent[word]
+        weights[places.slot[m + k]] = sent[word] + 1
+    own |= {word: m + k for k, word in enumerate(inner)}
+    model = Model((tokens + 0.5) / (tokens + 0.5).sum(), shape, places, weights)
     fitted = Trained(n, v, sent, own, sums, model)
     if not n:
         return counts, fitted
@@ -243,7 +349,7 @@ def train(scratch: Scratch, docs: DataFrame, shape: Shape = Shape()) -> tuple[Da
         def rows(batches):
             model, own = shared_model.value
             model.parts, model.seen, model.trained = [p.copy() for p in model.parts], [s.copy() for s in model.seen], 0
-            classes, rng = Classes(own, shape.own, shape.endings), np.random.default_rng(shape.seed)
+            classes, rng = Classes(own, first, shape.endings), np.random.default_rng(shape.seed)
             for batch in batches:
                 for _ in range(epochs):
                     _batches(model, classes, 0, batch["text"], rng)
@@ -252,13 +358,10 @@ def train(scratch: Scratch, docs: DataFrame, shape: Shape = Shape()) -> tuple[Da
 
         return rows
 
-    first = smallest_hashes(docs.select("doc_id", "text"), shape.start_docs, "doc_id").select("text").repartition(1)
-    _load(model, first.mapInPandas(run(shape.start_epochs), WEIGHTS).collect())
+    start = smallest_hashes(docs.select("doc_id", "text"), shape.start_docs, "doc_id").select("text").repartition(1)
+    _load(model, start.mapInPandas(run(shape.start_epochs), WEIGHTS).collect())
     every = docs.select("text").mapInPandas(run(1), WEIGHTS)
-    weighed = every.select("part", "row", "tokens", F.posexplode("weights").alias("k", "x"))
-    mean = weighed.groupBy("part", "row", "k").agg((F.sum(F.col("x") * F.col("tokens")) / F.sum("tokens")).alias("x"))
-    mean = mean.groupBy("part", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("weights"))
-    _load(model, mean.collect())
+    _load(model, every.groupBy("part", "row").applyInPandas(_mean, WEIGHTS).collect())
     return counts, fitted
 
 
@@ -281,29 +384,45 @@ def score_documents(docs: DataFrame, held_out, shape: Shape = Shape()) -> DataFr
         log_sums = np.log10(fitted.sums)
         whole = len(known) == fitted.v  # no word is left to join
         # per word sent: log10(count + 1); words not sent are told apart by -1
+        inner = fitted.model.inner
         logs = {w: math.log10(n + 1) for w, n in known.items()}
         for batch in batches:
-            out, rare = [], []
+            out, rare, held_back, number = [], [], [], 0
+
+            def step() -> None:
+                """Adds the second level's part to the documents held back."""
+                v, w = (np.concatenate(x) for x in zip(*held_back, strict=True))
+                parts = np.add.reduceat(fitted.model.within(v, w), np.cumsum([0, *(len(x) for _, x in held_back[:-1])]))
+                for k, part in enumerate(parts, len(out) - len(held_back)):
+                    out[k][6] += float(part)
+
             for rid, doc, held, text in zip(batch["rid"], batch["doc_id"], batch["held_out"], batch["text"], strict=True):
                 words = words_of(text)
-                ids = np.fromiter(map(classes.__getitem__, words), np.int32, len(words))
+                fine = np.fromiter(map(classes.__getitem__, words), np.int32, len(words))
                 own = np.array([logs.get(w, -1.0) for w in words])
                 new = own < 0
-                u, v, w = _contexts(ids, 0)
-                shared = w >= fitted.model.shape.own
+                u, v, w = _contexts(inner.coarse[fine], 0)
+                shared = inner.rest[fine]
                 score = float((a[u, w].astype("f8") + c[v, w] - z[u, v]).sum()) - float(log_sums[w[shared]].sum()) + float(own[shared & ~new].sum())
                 doc = None if pd.isna(doc) else int(doc)
-                out.append((rid, doc, held, len(words), int((~new).sum()), float(own[~new].sum()) - len(words) * base, score, None, None))
+                out.append([rid, doc, held, len(words), int((~new).sum()), float(own[~new].sum()) - len(words) * base, score, None, None])
+                held_back.append(_contexts(fine, 0)[1:])
+                number += len(words)
+                if number >= 262_144:
+                    step()
+                    held_back, number = [], 0
                 if not whole and new.any():
                     for word, tf in Counter(words[k] for k in np.flatnonzero(new)).items():
                         rare.append((rid, None, None, None, None, None, None, word, tf))
+            if held_back:
+                step()
             frame = pd.DataFrame(out + rare, columns=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "word", "tf"])
             yield frame.astype({"doc_id": "Int64", "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64", "tf": "Int64"})
 
     made = docs.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(rows, SCORED)
     made = scratch.save(made, "scored")
     main = made.where("word IS NULL").drop("word", "tf")
-    # for words not sent, the same term is missing in both scores; every class they have is shared
+    # for words not sent, the same term is missing in both scores; they belong to the rest of a shared class
     rare = made.where("word IS NOT NULL").select("rid", "word", "tf").join(counts, "word")
     rare = rare.groupBy("rid").agg(F.sum("tf").alias("_tf"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("_log"))
     both = main.join(rare, "rid", "left")
