@@ -15,7 +15,7 @@ QUERY_WORDS = 4
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, source, chunk_idx, text) of documents by character windows."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), "text")
-    out = chunking.chunked(docs, chunking.char_windows(F.col("text")))
+    out = chunking.chunked(docs, chunking.char_windows(F.col("text")), most=None)
     return out.select("chunk_id", "source", "chunk_idx", F.col("chunk").alias("text"))
 
 
