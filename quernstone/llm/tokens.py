@@ -2,7 +2,8 @@
 
 The vocabulary comes in two forms that give the same ids: ranks, which are quicker, and a
 tokenizer file, which also reads special tokens out of a text. Texts that hold the string
-of a special token go to the second.
+of a special token go to the second, as do those whose runs of white space are longer than
+the first one's pattern matcher can take (about half a million characters).
 """
 
 from __future__ import annotations
@@ -31,9 +32,12 @@ class Encoder:
 
     def raw(self, text: str) -> bytes:
         """Ids as bytes, four a token."""
-        if any(s in text for s in self.specials):
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if not any(s in text for s in self.specials):
+            try:
+                return self.plain.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # the matcher's stack is full
+                pass
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def document(self, text: str | None) -> bytes:
         """A document's ids: those of its text, then the end id."""

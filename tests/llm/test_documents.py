@@ -340,3 +340,8 @@ def test_shards(spark, docs, rows, none, tokenizer, tmp_path):
     later = shards.read_shards(spark, str(tmp_path / "s"), layout, start=n - 60)
     assert sorted(r["slot"] for r in later.collect()) == list(range(n - 60, n))
     assert shards.write_shards(none, str(tmp_path / "none"), layout) is False
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\r\n" * 700_000 + "b", "\n" * 1_100_000, "x" * 2_000_000, "é " * 100_000])
+def test_encoder_on_very_long_runs(tokenizer, text):
+    assert np.frombuffer(Encoder().raw(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
