@@ -1,17 +1,26 @@
 """WARC archives as seekable Zstandard bundles.
 
-Records are grouped into independent frames; a bundle is a run of frames followed by a
-seek table (a skippable frame whose footer ends the file), and an index maps record
-identifiers to (bundle, frame, offset in the frame). Bundles are written by Spark's own
-text sink, one row a file, so they reach any file system that Spark reaches: a row is
-the bundle without its last five bytes, which are the same in all bundles and serve as
-the sink's line separator.
-
-Defined cases: null html is an empty payload; a null url leaves the target out; line
-breaks and control characters in a url are percent-encoded; a null page_id is written
-without an identifier and reads back as null; repeated page_ids with one payload are all
-responses if they have the smallest id; an empty table makes an archive without bundles;
-a payload longer than a frame or a bundle gets one of its own.
+Records are grouped into independent frames. A bundle is a run of frames, then a skippable
+frame with the bundle's record index, then the seek table (a skippable frame whose footer
+ends the file). The record index maps each record identifier to its frame and the offset
+in the frame; it is written while the records are bundled, and all reading goes through
+it. A table of all bundles' indexes is stored beside them (``_index``), so that a record
+is found without opening other bundles and read by the bytes of its frame alone.
+
+Bundles are written by Spark's own text sink, one row a file, so they reach any file
+system that Spark reaches: a row is the bundle without its last five bytes, which are the
+same in all bundles and serve as the sink's line separator.
+
+Of pages with one payload of ``least_revisit`` bytes or more, those with the smallest id
+are responses and the others revisit it. A null id stands after all others and is written
+without a page id, under an identifier drawn from url and payload; pages without an id
+whose payload no page with an id holds are all responses. One row is one record, also
+where an id is repeated, with one payload or with several.
+
+Other defined cases: null html is an empty payload; a null url leaves the target out; line
+breaks and control characters in a url are percent-encoded; an empty table makes an
+archive without bundles; a payload longer than a frame or a bundle gets one of its own;
+further columns are left out.
 """
 
 from __future__ import annotations
@@ -21,10 +30,10 @@ import re
 import struct
 import urllib.parse
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,15 +56,17 @@ class Layout:
     least_revisit: int = 100
 
 
-def record_urn(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}>"
+def record_urn(page_id: int | None, url: str | None = None, digest: str = "") -> str:
+    name = f"page:{page_id}" if page_id is not None else f"page:{url}:{digest}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>"
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     http += b"Content-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_urn(page_id)}", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_urn(page_id, url, digest)}", f"WARC-Date: {DATE}"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if url is not None:
@@ -67,22 +78,19 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, digest:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def decode_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes, bytes]]:
-    """(offset, headers, HTTP head, payload) of each record in a frame."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if lines[0] != "WARC/1.1":
-            raise ValueError(f"no record at offset {at}")
-        headers = dict(line.split(": ", 1) for line in lines[1:])
-        start = end + 4
-        stop = start + int(headers["Content-Length"])
-        cut = data.index(b"\r\n\r\n", start, stop) + 4
-        yield at, headers, data[start:cut], data[cut:stop]
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at offset {at} isn't closed")
-        at = stop + 4
+def decode_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, bytes, int]:
+    """(headers, HTTP head, payload, end) of the record at an offset in a frame."""
+    end = data.index(b"\r\n\r\n", at)
+    lines = data[at:end].decode().split("\r\n")
+    if lines[0] != "WARC/1.1":
+        raise ValueError(f"no record at offset {at}")
+    headers = dict(line.split(": ", 1) for line in lines[1:])
+    start = end + 4
+    stop = start + int(headers["Content-Length"])
+    cut = data.index(b"\r\n\r\n", start, stop) + 4
+    if data[stop : stop + 4] != b"\r\n\r\n":
+        raise ValueError(f"record at offset {at} isn't closed")
+    return headers, data[start:cut], data[cut:stop], stop + 4
 
 
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
@@ -91,7 +99,8 @@ def seek_table(sizes: list[tuple[int, int]]) -> bytes:
 
 
 def frames_of(bundle: bytes) -> list[tuple[int, int, int]]:
-    """(start, compressed, decompressed) of each frame, from the footer's seek table."""
+    """(start, compressed, decompressed) of each frame, from the footer's seek table. The
+    last one is the record index, which decompresses to nothing."""
     if bundle[-5:] != ENDING:
         raise ValueError("no seek table")
     (n,) = struct.unpack("<I", bundle[-9:-5])
@@ -103,22 +112,35 @@ def frames_of(bundle: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
+#: Of an index entry: the identifier's 16 bytes, whether there is a page id, the page id, frame, offset.
+ENTRY = struct.Struct("<16s?qII")
+
+
+def entries_of(bundle: bytes, frames: list[tuple[int, int, int]]) -> list[tuple[str, int | None, int, int]]:
+    """(identifier, page_id, frame, offset) of each record, from the bundle's index."""
+    start, packed, _ = frames[-1]
+    body = zstandard.ZstdDecompressor().decompress(bundle[start + 8 : start + packed])
+    return [(f"<urn:uuid:{uuid.UUID(bytes=urn)}>", page if has else None, frame, at) for urn, has, page, frame, at in ENTRY.iter_unpack(body)]
+
+
 class Bundler:
     def __init__(self, layout: Layout):
         self.layout = layout
         self.packer = zstandard.ZstdCompressor(level=layout.level)
         self.frames: list[bytes] = []
         self.sizes: list[tuple[int, int]] = []
+        self.entries: list[bytes] = []
         self.open: list[bytes] = []
         self.waiting = self.packed = 0
 
-    def add(self, record: bytes) -> bytes | None:
+    def add(self, page_id: int | None, urn: str, record: bytes) -> bytes | None:
         """A full bundle, whenever one is complete."""
         out = None
         if self.waiting and self.waiting + len(record) > self.layout.frame_bytes:
             self._frame()
             if self.packed >= self.layout.bundle_bytes:
                 out = self.close()
+        self.entries.append(ENTRY.pack(uuid.UUID(urn[10:-1]).bytes, page_id is not None, page_id or 0, len(self.frames), self.waiting))
         self.open.append(record)
         self.waiting += len(record)
         return out
@@ -136,114 +158,153 @@ class Bundler:
             self._frame()
         if not self.frames:
             return None
-        out = b"".join(self.frames) + seek_table(self.sizes)
-        self.frames, self.sizes, self.packed = [], [], 0
+        index = self.packer.compress(b"".join(self.entries))
+        index = struct.pack("<II", SKIPPABLE, len(index)) + index
+        out = b"".join(self.frames) + index + seek_table([*self.sizes, (len(index), 0)])
+        self.frames, self.sizes, self.entries, self.packed = [], [], [], 0
         return out
 
 
 def revisits(pages: DataFrame, layout: Layout) -> DataFrame:
-    """(page_id, refers_to, digest) of the pages whose payload an earlier page holds."""
+    """(page_id, digest, refers_to), once each, of the pages whose payload a page with a
+    smaller id holds."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    light = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes")).where(F.col("bytes") >= layout.least_revisit)
-    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return light.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "refers_to", "digest").distinct()
+    light = pages.where(F.octet_length(payload) >= layout.least_revisit).select("page_id", F.sha2(payload, 256).alias("digest"))
+    light = light.groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.sum("n").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    return light.drop("n").join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
 
 
 def write_archive(pages: DataFrame, path: str, layout: Layout = Layout()) -> None:
-    """Writes pages (page_id, url, html) as bundles below ``path``."""
+    """Writes pages (page_id, url, html) as bundles and their index below ``path``."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "revisits")
     later = scratch.save(revisits(pages, layout), "later").withColumnRenamed("page_id", "_page").withColumnRenamed("digest", "_digest")
-    rows = pages.select("page_id", "url", "html").join(later, F.col("page_id").eqNullSafe(F.col("_page")), "left")
-    rows = rows.select("page_id", "url", "html", "refers_to", "_digest")
+    rows = pages.select("page_id", "url", "html", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("digest"))
+    # a page and payload stand in ``later`` once at most, so every row stays one row
+    rows = rows.join(later, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
 
     def bundles(batches):
         made = Bundler(layout)
         for batch in batches:
-            for page, url, html, refers, of in zip(*(batch[c] for c in ("page_id", "url", "html", "refers_to", "_digest")), strict=True):
+            for page, url, html, digest, refers in zip(*(batch[c] for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                 payload = b"" if html is None else html.encode()
-                digest = hashlib.sha256(payload).hexdigest()
-                again = isinstance(of, str) and of == digest and not pd.isna(refers)
-                record = encode_record(None if pd.isna(page) else int(page), url, payload, digest, int(refers) if again else None, again)
-                if full := made.add(record):
+                page = None if pd.isna(page) else int(page)
+                record = encode_record(page, url, payload, digest, None if pd.isna(refers) else int(refers))
+                if full := made.add(page, record_urn(page, url, digest), record):
                     yield pd.DataFrame({"bundle": [full[: -len(ENDING)]]})
         if rest := made.close():
             yield pd.DataFrame({"bundle": [rest[: -len(ENDING)]]})
 
-    made = rows.mapInPandas(bundles, "bundle binary")
+    # page ids as text: a column of whole numbers with nulls would reach pandas as floats
+    made = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")}).mapInPandas(bundles, "bundle binary")
     made.select(F.col("bundle").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", ENDING.decode("latin-1")).text(path)
     scratch.drop("later")
+    _index_of(spark, path).write.parquet(f"{path}/_index")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
 
 
-RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+INDEX = "record_id string, page_id long, bundle string, frame int, start long, packed long, plain long, offset long"
 
 
-def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """All records; the digest of every payload read is computed anew and compared."""
+def _index_of(spark: SparkSession, path: str) -> DataFrame:
+    """The record indexes of all bundles; no record is decompressed."""
 
     def rows(batches):
-        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            for bundle in batch["content"]:
-                for start, packed, plain in frames_of(bundle):
-                    out = []
-                    data = unpacker.decompress(bundle[start : start + packed], max_output_size=plain)
-                    for _, h, http, payload in decode_records(data):
-                        again = h["WARC-Type"] == "revisit"
-                        stated = h["WARC-Payload-Digest"].removeprefix("sha256:")
-                        if not again and hashlib.sha256(payload).hexdigest() != stated:
-                            raise ValueError(f"payload of {h['WARC-Record-ID']} doesn't match its digest")
-                        size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                        page, refers = h.get("X-Page-Id"), h.get("X-Refers-To-Page-Id")
-                        out.append((page and int(page), h.get("WARC-Target-URI"), payload if payloads and not again else None, size, stated, h["WARC-Type"], refers and int(refers)))
-                    frame = pd.DataFrame(out, columns=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                    yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+            for name, bundle in zip(batch["path"], batch["content"], strict=True):
+                frames = frames_of(bundle)
+                out = [(urn, page, name, k, *frames[k], at) for urn, page, k, at in entries_of(bundle, frames)]
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in INDEX.split(", ")]).astype({"page_id": "Int64"})
+
+    return _files(spark, path).mapInPandas(rows, INDEX)
 
-    return _files(spark, path).mapInPandas(rows, RECORD)
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, page_id, bundle, frame, start, packed, plain, offset): where each record
+    starts, and the bytes of its frame in the bundle."""
+    return spark.read.schema(INDEX).parquet(f"{path}/_index")
+
+
+RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
-def build_index(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, page_id, bundle, frame, offset): where each record starts."""
+
+def _parsed(data: bytes, at: int, payloads: bool) -> tuple:
+    headers, http, payload, _ = decode_record(data, at)
+    again = headers["WARC-Type"] == "revisit"
+    stated = headers["WARC-Payload-Digest"].removeprefix("sha256:")
+    if not again and hashlib.sha256(payload).hexdigest() != stated:
+        raise ValueError(f"payload of {headers['WARC-Record-ID']} doesn't match its digest")
+    size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+    page, refers = headers.get("X-Page-Id"), headers.get("X-Refers-To-Page-Id")
+    return page and int(page), headers.get("WARC-Target-URI"), payload if payloads and not again else None, size, stated, headers["WARC-Type"], refers and int(refers)
+
+
+def _table(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+
+def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """All records, each found by its bundle's index; the digest of every payload read is
+    computed anew and compared."""
 
     def rows(batches):
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            for name, bundle in zip(batch["path"], batch["content"], strict=True):
-                for k, (start, packed, plain) in enumerate(frames_of(bundle)):
-                    data = unpacker.decompress(bundle[start : start + packed], max_output_size=plain)
-                    out = [(h["WARC-Record-ID"], h.get("X-Page-Id"), name, k, at) for at, h, _, _ in decode_records(data)]
-                    frame = pd.DataFrame(out, columns=["record_id", "page_id", "bundle", "frame", "offset"])
-                    yield frame.assign(page_id=pd.to_numeric(frame["page_id"]).astype("Int64"))
+            for bundle in batch["content"]:
+                frames = frames_of(bundle)
+                held, out, data = -1, [], b""
+                for _, _, k, at in entries_of(bundle, frames):
+                    if k != held:
+                        if out:
+                            yield _table(out)
+                        start, packed, plain = frames[k]
+                        held, out, data = k, [], unpacker.decompress(bundle[start : start + packed], max_output_size=plain)
+                    out.append(_parsed(data, at, payloads))
+                if out:
+                    yield _table(out)
 
-    return _files(spark, path).mapInPandas(rows, "record_id string, page_id long, bundle string, frame int, offset long")
+    return _files(spark, path).mapInPandas(rows, RECORD)
 
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """(record_id, record_type, payload) of index rows ``wanted``; only the frames that
-    hold them are decompressed."""
-    places = wanted.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset")).alias("places"))
-    files = _files(spark, path).withColumnRenamed("path", "bundle").join(places, "bundle")
-
-    def rows(batches):
+    """The records of index rows ``wanted``, in the columns of ``read_archive``.
+
+    Of a bundle only the frames that hold wanted records are read, by byte range, where
+    the executors can open the file themselves; else Spark reads the bundles that hold
+    wanted records, and only these frames are decompressed."""
+    frames = wanted.groupBy("bundle", "frame", "start", "packed", "plain").agg(F.collect_list("offset").alias("offsets"))
+    try:
+        pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        ranged = True
+    except (ValueError, OSError):
+        ranged = False
+
+    def by_range(batches):
+        unpacker = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for name, some in batch.groupby("bundle"):
+                files, place = pyarrow.fs.FileSystem.from_uri("file://" + name.removeprefix("file:").removeprefix("//") if name.startswith("file:") else name)
+                with files.open_input_file(place) as file:
+                    for r in some.itertuples():
+                        data = unpacker.decompress(file.read_at(r.packed, r.start), max_output_size=r.plain)
+                        yield _table([_parsed(data, at, True) for at in r.offsets])
+
+    def by_bundle(batches):
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            for bundle, spots in zip(batch["content"], batch["places"], strict=True):
-                table, out, by_frame = frames_of(bundle), [], {}
-                for s in spots:
-                    by_frame.setdefault(s["frame"], []).append(s["offset"])
-                for k, offsets in sorted(by_frame.items()):
-                    start, packed, plain = table[k]
-                    data = unpacker.decompress(bundle[start : start + packed], max_output_size=plain)
-                    for offset in offsets:
-                        _, h, _, payload = next(decode_records(data[offset:]))
-                        out.append((h["WARC-Record-ID"], h["WARC-Type"], payload if h["WARC-Type"] == "response" else None))
-                yield pd.DataFrame(out, columns=["record_id", "record_type", "payload"])
+            for bundle, places in zip(batch["content"], batch["places"], strict=True):
+                for r in places:
+                    data = unpacker.decompress(bundle[r["start"] : r["start"] + r["packed"]], max_output_size=r["plain"])
+                    yield _table([_parsed(data, at, True) for at in r["offsets"]])
 
-    return files.mapInPandas(rows, "record_id string, record_type string, payload binary")
+    if ranged:
+        return frames.mapInPandas(by_range, RECORD)
+    places = frames.groupBy(F.col("bundle").alias("path")).agg(F.collect_list(F.struct("start", "packed", "plain", "offsets")).alias("places"))
+    return _files(spark, path).join(places, "path").mapInPandas(by_bundle, RECORD)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +321,7 @@ WITH p AS (
   SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
 )
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+       CASE WHEN payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM m
 """

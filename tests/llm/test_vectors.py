@@ -90,7 +90,9 @@ def test_chi_square():
 
 PAGES = [(k, f"https://e/{k}\r\nX: y", f"<p>{'text ' * (k % 9)}{k % 11}</p>" * (1 + k % 3)) for k in range(120)] + [
     (200, None, None), (201, "u", ""), (202, "u", "x" * 99), (203, "u", "x" * 99), (204, "u", "x" * 100), (205, "u", "x" * 100), (206, "u", "é\r\n\r\nWARC/1.1\r\n" * 50000),
-    (None, "u", "x" * 100), (7, "again", "other"),
+    (None, "u", "x" * 100), (7, "again", "other"), (None, "u", "n" * 200), (None, "v", "n" * 200), (None, None, None),
+    # ids that occur with two payloads, each of which others hold too
+    (301, "u", "A" * 150), (302, "u", "B" * 150), (309, "u", "A" * 150), (309, "u", "B" * 150), (301, "u", "A" * 150), (309, "w", "A" * 150),
 ]
 
 
@@ -99,7 +101,17 @@ def pages(spark):
     return spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
 
 
-def test_archive_round_trip(spark, pages, tmp_path):
+class Blind:
+    """No file system that executors could open themselves."""
+
+    class fs:
+        class FileSystem:
+            @staticmethod
+            def from_uri(uri):
+                raise ValueError(uri)
+
+
+def test_archive_round_trip(spark, pages, tmp_path, monkeypatch):
     layout = warc.Layout(frame_bytes=2000, bundle_bytes=3000)
     path = str(tmp_path / "a")
     warc.write_archive(pages, path, layout)
@@ -110,18 +122,35 @@ def test_archive_round_trip(spark, pages, tmp_path):
     expected = []
     for i, _, html in PAGES:
         data = (html or "").encode()
-        again = len(data) >= 100 and first[html] != i
+        again = len(data) >= 100 and html in first and first[html] != i
         expected.append((str(i), len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first[html] if again else None, None if again else data))
     found = warc.read_archive(spark, path).collect()
     key = lambda r: tuple(map(str, r))
     got = [(str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in found]
     assert sorted(got, key=key) == sorted(expected, key=key)
-    index = warc.build_index(spark, path)
-    wanted = index.where("page_id IN (3, 50, 206)")
-    by_page = {r["record_id"]: r["page_id"] for r in wanted.collect()}
-    payloads = {i: (h or "").encode() for i, _, h in PAGES}
-    for r in warc.fetch(spark, path, wanted).where("record_type = 'response'").collect():
-        assert bytes(r["payload"]) == payloads[by_page[r["record_id"]]]
+    # the index leads to every record, by byte range and by whole bundles
+    index = warc.read_index(spark, path)
+    assert index.count() == len(PAGES)
+    wanted = index.where("page_id IN (3, 50, 206, 309) OR page_id IS NULL")
+    asked = [e for e in expected if e[0] in ("3", "50", "206", "309", "None")]
+    for ranged in (True, False):
+        if not ranged:
+            monkeypatch.setattr(warc, "pyarrow", Blind)
+        got = [(str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in warc.fetch(spark, path, wanted).collect()]
+        assert sorted(got, key=key) == sorted(asked, key=key)
+
+
+def whole_records(data, frames):
+    """Records found by parsing all frames from their beginning."""
+    import zstandard
+
+    n = 0
+    for start, packed, plain in frames[:-1]:
+        text, at = zstandard.ZstdDecompressor().decompress(data[start : start + packed], max_output_size=plain), 0
+        while at < len(text):
+            *_, at = warc.decode_record(text, at)
+            n += 1
+    return n
 
 
 def test_bundles_are_seekable(spark, pages, tmp_path):
@@ -134,6 +163,7 @@ def test_bundles_are_seekable(spark, pages, tmp_path):
         if not data:
             continue
         frames = warc.frames_of(data)
+        assert len(warc.entries_of(data, frames)) == whole_records(data, frames)
         whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
         assert len(whole) == sum(f[2] for f in frames) and whole.startswith(b"WARC/1.1\r\n")
 
