@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -13,22 +15,72 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); where the session
-    names none, as in tests on one machine, a new temporary folder is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, else the context's
+    checkpoint folder. Where neither is set, a session on one machine gets a temporary
+    folder of its own; on a cluster that would not be shared, so the call is refused."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        master = context.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quernstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir(found)
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, with underscores added until no column has the name in any case."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def free_names(columns: list[str], *bases: str) -> list[str]:
+    out: list[str] = []
+    for base in bases:
+        out.append(free_name([*columns, *out], base))
+    return out
+
+
+_LIVE: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, root in _LIVE:
+        with contextlib.suppress(Exception):  # the session may have ended
+            _delete(spark, root)
+
+
+@contextlib.contextmanager
+def intermediates():
+    """Removes what operators stored inside the block. Their results are lazy, so they
+    have to be written or read before it ends."""
+    start = len(_LIVE)
+    yield
+    for spark, root in _LIVE[start:]:
+        _delete(spark, root)
+    del _LIVE[start:]
+
+
 class Scratch:
     """Intermediate tables in the shared folder. A saved table cuts the lineage, so a
-    lost executor costs only the tasks of the current step."""
+    lost executor costs only the tasks of the current step. What is left of them goes
+    with ``intermediates`` or when the driver ends."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        _LIVE.append((spark, self.root))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -38,15 +90,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, self.path(name))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, rows: int = 0, most: int = 1) -> int:
+    """The session's shuffle partitions, or as many as hold ``rows`` at ``most`` each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
 
 
 def crc_of_id(column: str) -> Column:
@@ -84,31 +134,33 @@ def numbered(scratch: Scratch, df: DataFrame, order: list[Column], name: str) ->
 
 def connected(scratch: Scratch, edges: DataFrame, name: str = "links", most_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable over the undirected ``edges`` (a, b).
+    Ids may be of any type that has an order. Ids without an edge to another id don't
+    appear.
 
     Alternating large-star and small-star steps; each round is written to the shared
-    folder. Ids without an edge to another id don't appear.
+    folder. The table of moves (every id that stands above another, with the least of
+    these) is written before it is joined, so that adaptive execution can send it to all
+    tasks while it is small and part the rows of a hot id where it isn't.
     """
     current = scratch.save(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
         f"{name}-0",
     )
-    mark = None
     for step in range(1, most_rounds + 1):
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(parent, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(parent.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        moves = scratch.save(current.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), f"{name}-moves")
+        if current.count() == moves.count() and current.join(moves, F.col("v") == F.col("x"), "left_semi").isEmpty():
+            break  # every id hangs on a least one
+        # large star: what stands above v goes to the least neighbour of v
+        large = current.join(moves, F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v"))
+        # small star: u and all that stands below it go to the least of it
+        large = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.select(F.inline(F.filter(pairs, lambda p: p["u"] != p["v"]))).distinct()
         current = scratch.save(small, f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
-        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return current.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
+    scratch.drop(f"{name}-moves")
+    return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
