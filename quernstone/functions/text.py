@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,6 +26,26 @@ def tokens(c) -> Column:
     return F.filter(F.split(F.lower(_col(c)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _accented() -> tuple[str, str]:
+    """Lower-case letters that are an ASCII letter with marks, and these letters."""
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and parts[0] in string.ascii_lowercase and all(map(unicodedata.combining, parts[1:])):
+            pairs.append((chr(code), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _accented()
+#: Combining marks; they have no counterpart, so they go.
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def terms(c) -> Column:
+    """Tokens as keyword search sees them: without accents."""
+    return F.filter(F.split(F.translate(F.lower(_col(c)), _ACCENTED + _MARKS, _PLAIN), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
 def words(c) -> Column:
     return F.filter(F.split(_col(c), r"\s+"), lambda t: t != "")
 

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from quernstone.functions import fixed
 from quernstone.functions import text as T
 from quernstone.functions import vector as V
+from quernstone.storage import Scratch
+
+#: Kinds of source; without one of its own, a source's number stands for its kind.
+SOURCE_KINDS = ("official", "stackoverflow", "repository", "codebase", "blog", "unknown")
 
 #: Query tables up to so many rows are sent to all executors; larger ones are shuffled.
 BROADCAST_QUERIES = 50_000
@@ -32,53 +36,84 @@ def reciprocal(rank: str = "rank") -> Column:
     return F.lit(1.0) / (F.col(rank) + fixed.RRF_CONSTANT)
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, dl): tokens of each chunk."""
-    return chunks.select("chunk_id", F.size(T.tokens("text")).cast("long").alias("dl"))
+#: Stands in the postings of every chunk once, for its length.
+EVERY = ""
 
 
-def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, term, tf, dl). With ``terms``, of those alone: chunks give up other
-    terms before anything is counted or moved."""
-    # the length is taken before the explode, else every term's row would tokenise anew
-    listed = chunks.select("chunk_id", T.tokens("text").alias("_terms")).withColumn("dl", F.size("_terms").cast("long"))
-    exploded = listed.select("chunk_id", "dl", F.explode("_terms").alias("term"))
-    if terms is not None:
-        exploded = exploded.join(small(terms.select("term").distinct()), "term", "left_semi")
-    return exploded.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+def query_phrases(queries: DataFrame) -> DataFrame:
+    """(query_id, term, n_terms, times): each word of a query is a phrase of the terms in
+    it; one that a query repeats counts as often."""
+    word = queries.select("query_id", F.explode(T.words("text")).alias("word")).select("query_id", T.terms("word").alias("_terms"))
+    named = word.where(F.size("_terms") > 0).select("query_id", F.array_join("_terms", " ").alias("term"), F.size("_terms").alias("n_terms"))
+    return named.groupBy("query_id", "term", "n_terms").agg(F.count("*").alias("times"))
+
 
+def _phrase_at(n: int):
+    return lambda i: F.array_join(F.slice("_terms", i, F.lit(n)), " ")
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, times): a term that a query repeats counts as often."""
-    return queries.select("query_id", F.explode(T.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, term, tf, dl) of all terms, or of the ``asked`` phrases (term, n_terms)
+    alone and of ``EVERY``: chunks give up the others before anything is moved."""
+    listed = chunks.select("chunk_id", T.terms("text").alias("_terms")).withColumn("dl", F.size("_terms").cast("long"))
+    found = F.col("_terms")
+    if asked is not None:
+        # how many terms phrases have: a handful of numbers
+        for (n,) in asked.where("n_terms > 1").select("n_terms").distinct().collect():
+            starts = F.when(F.col("dl") >= n, F.sequence(F.lit(1), (F.col("dl") - n + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+            found = F.concat(found, F.transform(starts, _phrase_at(n)))
+        found = F.concat(F.array(F.lit(EVERY)), found)
+    exploded = listed.select("chunk_id", "dl", F.explode(found).alias("term"))
+    if asked is not None:
+        wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit(EVERY))).distinct()
+        exploded = exploded.join(small(wanted), "term", "left_semi")
+    return exploded.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, bm25) for chunks that share a term with the query."""
-    asked = query_terms(queries)
-    posted = postings(chunks, asked)
-    stats = lengths(chunks).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+    """(query_id, chunk_id, bm25) for chunks that hold a phrase of the query. The postings
+    of the asked phrases are written once; statistics and scores are read from them."""
+    asked = query_phrases(queries)
+    scratch = Scratch(chunks.sparkSession, "postings")
+    posted = scratch.save(postings(chunks, asked), "posted")
+    every = posted.where(F.col("term") == EVERY).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    n, avgdl = every.select("n").scalar(), every.select("avgdl").scalar()
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(fixed.BM25_LEAST_IDF)).otherwise(idf)
+    weighed = asked.join(df, "term").select("query_id", "term", (F.when(idf <= 0, F.lit(fixed.BM25_LEAST_IDF)).otherwise(idf) * F.col("times")).alias("weight"))
     k1, b = fixed.BM25_K1, fixed.BM25_B
-    gain = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    # no larger than the queries' own terms, so those are measured, not the postings again
-    weighed = asked.join(df, "term")
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    # no larger than the queries' own phrases, so those are measured
     few = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    joined = posted.join(F.broadcast(weighed) if few else weighed, "term")
-    return joined.groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain * F.col("times")), 9).alias("bm25"))
+    # a chunk's postings lie together, so its scores need no further exchange
+    joined = posted.where(F.col("term") != EVERY).repartition("chunk_id").select("chunk_id", "term", gain.alias("gain"))
+    joined = joined.join(F.broadcast(weighed) if few else weighed, "term")
+    return joined.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("gain") * F.col("weight")), 9).alias("bm25"))
+
 
+def of_sources(found: DataFrame, id_col: str, sources: DataFrame | None) -> DataFrame:
+    """Rows whose id's source is among the query's ``sources`` (query_id, source), or
+    among those of all queries (source)."""
+    if sources is None:
+        return found
+    wanted = sources.withColumn("_source", F.col("source").cast("string")).drop("source").distinct()
+    return found.withColumn("_source", T.chunk_source(id_col)).join(wanted, wanted.columns, "left_semi").drop("_source")
 
-def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, chunk_id, bm25, score), score being that of the rank alone."""
-    best = ranked(bm25(chunks, queries), F.col("bm25").desc(), "chunk_id", k)
+
+def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, bm25, score), score being that of the rank alone; with
+    ``sources`` only chunks of the query's sources, weighed as among all chunks."""
+    return keyword_best(bm25(chunks, queries), k, sources)
+
+
+def keyword_best(scored: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
+    best = ranked(of_sources(scored, "chunk_id", sources), F.col("bm25").desc(), "chunk_id", k)
     return best.select("query_id", "rank", "chunk_id", "bm25", reciprocal().alias("score"))
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "l2", skip_self: bool = False) -> DataFrame:
-    """(query_id, rank, id, measure, score): exact, by distance or by inner product.
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "l2", skip_self: bool = False, sources: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, id, measure, score): exact, by distance or by inner product. With
+    ``sources`` the nearest 3k are taken and those of the query's sources stay.
 
     A stated set of queries against all rows: the queries are sent to the rows, and each
     task keeps its own best k before the shuffle."""
@@ -89,7 +124,10 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "
         on = on & (F.col("id") != F.col("query_id"))
     scored = vectors.join(q, on).select("query_id", "id", F.round(value, 9).alias(measure))
     order = F.col(measure).asc() if measure == "l2" else F.col(measure).desc()
-    return ranked(scored, order, "id", k).select("query_id", "rank", "id", measure, reciprocal().alias("score"))
+    best = ranked(scored, order, "id", k if sources is None else 3 * k)
+    if sources is not None:
+        best = ranked(of_sources(best.drop("rank"), "id", sources), order, "id", k)
+    return best.select("query_id", "rank", "id", measure, reciprocal().alias("score"))
 
 
 def fused(legs: list[DataFrame], k: int, id_col: str = "id") -> DataFrame:
@@ -112,6 +150,9 @@ def expanded(found: DataFrame, chunks: DataFrame, symbols: DataFrame, first_rows
     seen = found.select("query_id", "rank", "chunk_id")
     head = seen.where(F.col("rank") <= first_rows).join(chunks.select("chunk_id", "defines"), "chunk_id")
     names = head.select("query_id", "rank", F.posexplode(F.slice("defines", 1, per_row)).alias("at", "symbol"))
+    # of a symbol only as many chunks can count as are found, taken before, or wanted
+    longest = seen.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0)))
+    symbols = ranked(symbols.distinct(), F.col("chunk_id"), "chunk_id", 2**31 - 1, by="symbol").where(F.col("rank") <= longest.scalar() + 2 * most).drop("rank")
     hits = names.join(symbols.withColumnRenamed("chunk_id", "other"), "symbol")
     new = hits.join(seen.select("query_id", F.col("chunk_id").alias("other")), ["query_id", "other"], "left_anti")
     first = new.groupBy("query_id", "other").agg(F.min(F.struct("rank", "at", "other")).alias("key"))
@@ -119,6 +160,71 @@ def expanded(found: DataFrame, chunks: DataFrame, symbols: DataFrame, first_rows
     return first.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).select("query_id", F.col("other").alias("chunk_id"), "place")
 
 
+def hybrid(scored: DataFrame, vectors: DataFrame, asked: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, score): keyword scores and vectors fused, each leg of 2k.
+    A query without a vector has the keyword leg alone."""
+    words = keyword_best(scored, 2 * k, sources).withColumnRenamed("chunk_id", "id")
+    near = vector_topk(vectors, asked, 2 * k, sources=sources)
+    return fused([words, near], k).withColumnRenamed("id", "chunk_id")
+
+
+def with_expansion(found: DataFrame, chunks: DataFrame, symbols: DataFrame, first_rows: int, per_row: int, most: int) -> DataFrame:
+    """(query_id, rank, chunk_id): what was found, then the definitions it leads to."""
+    more = expanded(found, chunks, symbols, first_rows, per_row, most)
+    last = found.groupBy("query_id").agg(F.max("rank").alias("_last"))
+    more = more.join(last, "query_id").select("query_id", (F.col("place") + F.col("_last")).alias("rank"), "chunk_id")
+    return found.select("query_id", "rank", "chunk_id").unionByName(more)
+
+
+def graph_walk(scored: DataFrame, vectors: DataFrame, asked: DataFrame, chunks: DataFrame, symbols: DataFrame, k: int, most: int) -> DataFrame:
+    """Hybrid search, then the definitions that all its rows lead to."""
+    found = hybrid(scored, vectors, asked, k)
+    return with_expansion(found, chunks, symbols, k, 3, most)
+
+
+def hierarchical(scored: DataFrame, vectors: DataFrame, summaries: DataFrame, queries: DataFrame, asked: DataFrame, chunks: DataFrame, symbols: DataFrame, k: int, most: int) -> DataFrame:
+    """(query_id, rank, chunk_id): hybrid search in the five sources whose summaries are
+    nearest, then the definitions that its first ten rows lead to. Queries without a
+    vector or a hit walk the graph from a search over all sources instead."""
+    scratch = Scratch(queries.sparkSession, "hierarchical")
+    top = vector_topk(summaries, asked, 5).select("query_id", F.col("id").alias("source"))
+    found = scratch.save(hybrid(scored, vectors, asked, k, top), "found")
+    inside = with_expansion(found, chunks, symbols, 10, 3, most)
+    others = scratch.save(queries.select("query_id").join(found, "query_id", "left_anti"), "others")
+    if others.isEmpty():
+        return inside
+    walked = graph_walk(scored.join(others, "query_id", "left_semi"), vectors, asked.join(others, "query_id", "left_semi"), chunks, symbols, k, most)
+    return inside.unionByName(walked)
+
+
+def master_search(scored: DataFrame, vectors: DataFrame, queries: DataFrame, asked: DataFrame, chunks: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, chunk_id) within the given sources: hybrid search for min(3k, 30),
+    reranked to 15, diversified to k. A query without a hit gets the first k chunks."""
+    scratch = Scratch(queries.sparkSession, "master")
+    found = scratch.save(hybrid(scored, vectors, asked, min(3 * k, 30), sources.select("source")), "found")
+    picked = diversified(rescored(found, chunks, queries, min(fixed.RERANK_CANDIDATES, 15)), k)
+    missed = queries.select("query_id").join(found, "query_id", "left_anti")
+    head = chunks.join(sources, "source", "left_semi").orderBy("source", "chunk_idx").limit(k)
+    head = head.agg(F.array_sort(F.collect_list(F.struct("source", "chunk_idx", "chunk_id"))).alias("rows"))
+    first = missed.select("query_id", F.posexplode(head.scalar()).alias("at", "row"))
+    return picked.unionByName(first.select("query_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("row.chunk_id").alias("chunk_id")))
+
+
+def rescored(found: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Found chunks reranked by their terms in common with the query."""
+    rows = found.select("query_id", "rank", "chunk_id").join(chunks.select("chunk_id", "source", "text"), "chunk_id")
+    rows = rows.join(queries.withColumnRenamed("text", "_query"), "query_id").withColumn("_model", lexical_score(F.col("_query"), F.col("text")))
+    kinds = F.array(*map(F.lit, SOURCE_KINDS))
+    rows = rows.withColumn("source_type", F.element_at(kinds, F.pmod(F.col("source"), F.lit(len(SOURCE_KINDS))).cast("int") + 1))
+    return reranked(rows, F.col("_model"), k).select("query_id", "rank", "chunk_id", "rerank_score")
+
+
+def auto_approved(nearest: Column, length: Column) -> Column:
+    """Whether a pattern is taken unseen: near an approved one, or, where there is none to
+    compare with, of ordinary length; never one of over 8000 characters."""
+    return (length <= 8000) & F.when(nearest.isNull(), length.between(100, 4000)).otherwise(nearest < 1.0)
+
+
 def reranked(found: DataFrame, score: Column, k: int, kind: str = "source_type") -> DataFrame:
     """Orders a query's candidates by model score and source bonus. A query with at most
     one candidate, or with one the model didn't score, keeps its order without a bonus."""
