@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words as the contracts define them: runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+from quernstone.storage import Scratch, intermediates, shared_dir
 
+__all__ = ["Scratch", "intermediates", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else the context's
-    checkpoint folder. Where neither is set, a session on one machine gets a temporary
-    folder of its own; on a cluster that would not be shared, so the call is refused."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        master = context.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="quernstone-")
-        context.setCheckpointDir(found)
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
+#: Words as the contracts define them: runs of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def free_name(columns: list[str], base: str) -> str:
@@ -45,55 +30,6 @@ def free_names(columns: list[str], *bases: str) -> list[str]:
     return out
 
 
-_LIVE: list[tuple[SparkSession, str]] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, root in _LIVE:
-        with contextlib.suppress(Exception):  # the session may have ended
-            _delete(spark, root)
-
-
-@contextlib.contextmanager
-def intermediates():
-    """Removes what operators stored inside the block. Their results are lazy, so they
-    have to be written or read before it ends."""
-    start = len(_LIVE)
-    yield
-    for spark, root in _LIVE[start:]:
-        _delete(spark, root)
-    del _LIVE[start:]
-
-
-class Scratch:
-    """Intermediate tables in the shared folder. A saved table cuts the lineage, so a
-    lost executor costs only the tasks of the current step. What is left of them goes
-    with ``intermediates`` or when the driver ends."""
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-        _LIVE.append((spark, self.root))
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            _delete(self.spark, self.path(name))
-
-
 def partitions(spark: SparkSession, rows: int = 0, most: int = 1) -> int:
     """The session's shuffle partitions, or as many as hold ``rows`` at ``most`` each."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
@@ -103,14 +39,22 @@ def crc_of_id(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def hash_share(*keys: str) -> Column:
+    """A whole number below 2^31 drawn from the keys."""
+    return F.pmod(F.xxhash64(*keys), F.lit(2**31))
+
+
+def share_below(n: int, most: int) -> int | None:
+    """The bound of ``hash_share`` below which a little fewer than ``most`` of ``n`` rows
+    lie; None if there are no more than ``most``."""
+    return None if n <= most else int((most - 6 * most**0.5) / n * 2**31)
+
+
 def smallest_hashes(df: DataFrame, most: int, *keys: str) -> DataFrame:
     """All rows, or where there are more than ``most``, those whose key hashes lie below a
     bound that leaves a little fewer. Unlike an ordered limit, no task sends ``most`` rows."""
-    n = df.count()
-    if n <= most:
-        return df
-    share = int((most - 6 * most**0.5) / n * 2**31)
-    return df.where(F.pmod(F.xxhash64(*keys), F.lit(2**31)) < share)
+    share = share_below(df.count(), most)
+    return df if share is None else df.where(hash_share(*keys) < share)
 
 
 def numbered(scratch: Scratch, df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -132,6 +76,72 @@ def numbered(scratch: Scratch, df: DataFrame, order: list[Column], name: str) ->
     )
 
 
+#: keys held by a task before those that it has several times are combined
+HELD_KEYS = 4_000_000
+
+
+def meeting(rows: DataFrame, keys_of) -> DataFrame:
+    """Edges (a, b) that connect all nodes with a key in common. ``keys_of`` takes a batch
+    of ``rows`` and gives arrays (key, node), nodes not negative.
+
+    Of the nodes with one key in a task only the first travels under the key; the others
+    are tied to it at once and dealt by themselves, so a key of very many rows is no
+    larger in the shuffle than the number of tasks.
+    """
+
+    def combined(held: list) -> pd.DataFrame:
+        key, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        low = node[head][head.cumsum() - 1]
+        first = pd.DataFrame({"key": key[head], "node": node[head], "low": -1})
+        more = ~head & (node != low)
+        spread = (node[more] ^ key[more]) * np.int64(0x1E3779B97F4A7C15)
+        return pd.concat([first, pd.DataFrame({"key": spread, "node": node[more], "low": low[more]})])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for key, node in keys_of(batch):
+                held.append((key, node))
+                size += len(key)
+                if size >= HELD_KEYS:
+                    yield combined(held)
+                    held, size = [], 0
+        if size:
+            yield combined(held)
+
+    least = F.min(F.when(F.col("low") < 0, F.col("node"))).over(Window.partitionBy("key"))
+    tied = rows.mapInPandas(run, "key long, node long, low long").withColumn("least", least)
+    return tied.select(F.col("node").alias("a"), F.when(F.col("low") < 0, F.col("least")).otherwise(F.col("low")).alias("b")).where("a <> b")
+
+
+def dealt_blocks(scratch: Scratch, blocks: DataFrame, keyed, most: int) -> DataFrame:
+    """(id, kind, gid, i, j, cut): the blocks in which a node is compared, from ``blocks``
+    (id, component).
+
+    Kind 0 is a connected set. A set of more than ``most`` nodes is compared by single
+    keys (kind 1) if that compares fewer pairs, else in cuts of which each two meet;
+    ``keyed`` gives (id, key) of a table of such nodes. Large keys are cut likewise.
+    """
+    sizes = scratch.save(blocks.groupBy("component").agg(F.count("*").alias("m")), "sizes")
+    large = sizes.where(F.col("m") > most)
+    whole = blocks.join(sizes, "component").select("id", F.lit(0).alias("kind"), F.col("component").alias("gid"), F.col("m").alias("of"))
+    if not large.isEmpty():
+        members = scratch.save(blocks.join(large, "component"), "members")
+        rows = scratch.save(keyed(members.select("id")), "keyed")
+        full = scratch.save(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "full")
+        rows = rows.join(full, "key").join(members, "id")
+        by_key = rows.groupBy("component", "m").agg(F.sum("n").alias("pairs")).where(F.col("pairs") < F.col("m").cast("double") * F.col("m"))
+        by_key = scratch.save(by_key.select(F.col("component").alias("_set")), "by-key")
+        whole = whole.join(by_key, F.col("gid") == F.col("_set"), "left_anti")
+        whole = whole.unionByName(rows.join(by_key, F.col("component") == F.col("_set")).select("id", F.lit(1).alias("kind"), F.col("key").alias("gid"), F.col("n").alias("of")))
+    cut = whole.withColumn("cuts", F.ceil(F.col("of") / most).cast("int")).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return tiles.select("id", "kind", "gid", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut")
+
+
 def connected(scratch: Scratch, edges: DataFrame, name: str = "links", most_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable over the undirected ``edges`` (a, b).
     Ids may be of any type that has an order. Ids without an edge to another id don't
