@@ -1,9 +1,11 @@
 """Operators on vectors and pages, against brute force."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernstone.llm import search, vectors, warc
 
@@ -18,6 +20,7 @@ def vector_rows(n=300, dim=16, seed=0):
     rows = [(k, [float(v) for v in x[k]], int(k // 2 % 3)) for k in range(n)]
     nan, inf = float("nan"), float("inf")
     rows += [(n, None, 1), (n + 1, [0.0] * dim, 1), (n + 2, [nan] * dim, 1), (n + 3, [inf] + [1.0] * (dim - 1), 1), (n + 4, [1.0, 2.0], 1), (n + 5, rows[0][1], None)]
+    rows += [(None, rows[4][1], rows[4][2]), (None, rows[4][1], rows[4][2])]
     rows += [(n + 6, [None] + [1.0] * (dim - 1), 1), (n + 7, [], 1), rows[99]]
     return rows
 
@@ -33,35 +36,57 @@ def good(row):
 
 def test_near_groups(spark, table):
     rows = vector_rows()
-    usable = [(k, np.array(r[1], "f8")) for k, r in enumerate(rows) if good(r) and r[2] is not None]
+    usable = [(k, np.array(r[1], "f8")) for k, r in enumerate(rows) if good(r) and None not in (r[0], r[2])]
     links = {k: set() for k in range(len(rows))}
     for a, x in usable:
         for b, y in usable:
             if a != b and rows[a][2] == rows[b][2] and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93:
                 links[a].add(b)
     low = {k: rows[k][0] for k in links}
+    key = lambda r: tuple(map(str, r))
     for _ in range(len(rows)):
-        low = {k: min([low[k], *(low[j] for j in links[k])]) for k in links}
-    expected = sorted((rows[k][0], len(links[k]), low[k], rows[k][0] == low[k]) for k in links)
-    for near in (vectors.Near(), vectors.Near(block=7)):
-        assert sorted(map(tuple, vectors.near_groups(table, near).collect())) == expected
+        low = {k: min([low[k], *(low[j] for j in links[k])]) if links[k] else low[k] for k in links}
+    expected = sorted(((rows[k][0], len(links[k]), low[k], rows[k][0] == low[k]) for k in links), key=key)
+    wide = table.withColumns({c: F.lit(1) for c in ("node", "key", "n", "low", "id", "kind", "_label", "_links")})
+    for source, near in ((wide, vectors.Near()), (table, vectors.Near(block=7))):
+        assert sorted(map(tuple, vectors.near_groups(source, near).collect()), key=key) == expected
     assert vectors.near_groups(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cosine", [0.0, 0.7])
+def test_large_sets_are_dealt_by_bucket_or_cut(spark, cosine):
+    """Vectors that share a direction chain into one set; its blocks stay small and each
+    link counts once."""
+    rng = np.random.default_rng(1)
+    n, dim, near = 1500, 32, vectors.Near(block=100)
+    x = rng.normal(size=(n, dim)) / math.sqrt(dim)
+    x = math.sqrt(1 - cosine) * x + math.sqrt(cosine) * np.eye(dim)[0]
+    x[1::10] = x[::10] + rng.normal(size=(n // 10, dim)) * 0.15 / math.sqrt(dim)
+    x[2:400:10] = x[3] + rng.normal(size=(40, dim)) * 0.2 / math.sqrt(dim)
+    rows = [(k, [float(v) for v in row], 0) for k, row in enumerate(x.astype("f4"))]
+    got = {r["vec_id"]: r for r in vectors.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), near).collect()}
+    unit = vectors._unit(x.astype("f4").astype("f8"))
+    near_by = unit @ unit.T >= 0.93
+    assert [got[k]["n_links"] for k in range(n)] == (near_by.sum(axis=1) - 1).tolist()
+    low = vectors._lowest(n, *np.nonzero(near_by))
+    assert [got[k]["component_id"] for k in range(n)] == low.tolist()
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     unit = rng.normal(size=(400, 64))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    codes = vectors.Codes(unit, vectors.Near())
+    near = vectors.Near()
+    codes, factor = vectors.codes_of(unit, near)
+    assert codes.shape == (400, 16)
+    estimate, spread = vectors.upper_bounds(unit, codes, factor, near)
     true = unit @ unit.T
-    upper = codes.upper(slice(0, 400))
-    error = upper - codes.spread - true
     off = ~np.eye(400, dtype=bool)
-    assert abs(error[off].mean()) < 2e-3 and (upper >= true - 1e-6).mean() > 0.9999
+    assert abs((estimate - true)[off].mean()) < 2e-3 and (estimate + spread >= true - 1e-6).mean() > 0.9999
 
 
 def test_search(spark, table):
-    rows = list({r[0]: r for r in vector_rows()}.values())
+    rows = list({r[0]: r for r in vector_rows() if r[0] is not None}.values())
     usable = [(r[0], np.array(r[1], "f8")) for r in rows if good(r) and len(r[1]) == 16]
     for settings in (search.Search(), search.Search(cell_rows=40, cut_rows=20, leaf=8, sure=0.9999)):
         got = {}
