@@ -1,16 +1,22 @@
 """N-gram Jaccard join by signature trees.
 
 A document is its set of distinct word shingles. Equal sets are one class. Min-hash bands
-deal the classes into blocks: 32 bands of 4 rows miss a pair at Jaccard 0.8 with a
-probability of (1 - 0.8^4)^32 = 5e-8. In a block a tree is built whose nodes hold the OR
-of their members' bitmaps, the range of set sizes and the largest slack (shingles that
-share a bit); two traversals run against each other and drop node pairs whose largest
-possible overlap is too small. The exact test on whole sets follows for what is left,
-except for two documents already known to be in one group.
+decide which classes meet in a block: 32 bands of 4 rows miss a pair at Jaccard 0.8 with a
+probability of (1 - 0.8^4)^32 = 5e-8. Classes that share bands, directly or through
+others, are one block; families of documents with a template in common chain into sets
+that outgrow a task, and such a set is dealt out anew, by single band keys if that
+compares fewer pairs than all pairs of the set, else in cuts that all meet.
+
+In a block a tree is built whose nodes hold the OR of their members' bitmaps, the range of
+set sizes, the largest slack (shingles that share a bit) and the cuts below them; two
+traversals run against each other and drop node pairs whose largest possible overlap is
+too small or that lie in one cut of two that meet. The exact test on whole sets follows
+for what is left, except for two documents already known to be in one group.
 
 Defined cases: no words or no text is an empty set, linked with nothing; fewer words than
-a shingle has are one shingle, the whole sequence; a null id is linked with nothing;
-rows that repeat an id are one document to the groups and one row each in the result.
+a shingle has are one shingle, the whole sequence; a null id is linked with nothing; rows
+that repeat an id are documents of their own, so two texts with one id are two members of
+groups; further columns are left out, or carried along by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -21,10 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Scratch, connected
+from quernstone.llm.common import Scratch, connected, dealt_blocks, free_names, meeting
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -88,7 +94,7 @@ def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, join: Join) -> n
 
 
 def sets_of(docs: DataFrame, join: Join) -> DataFrame:
-    """(doc_id, n_shingles, print, bands) of every document; an empty set has no print."""
+    """(doc_id, sum, n_shingles, print, bands) of every document; an empty set has no print."""
     rng = np.random.default_rng(join.seed)
     a = (rng.integers(0, 2**31, join.bands * join.rows, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
     b = rng.integers(0, 2**32, join.bands * join.rows, dtype=np.uint32)
@@ -97,16 +103,18 @@ def sets_of(docs: DataFrame, join: Join) -> DataFrame:
         known = _Words()
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, text, digest in zip(batch["doc_id"], batch["text"], batch["sum"], strict=True):
                 s = shingles(text, known, join.words)
-                doc = None if pd.isna(doc) else int(doc)
                 if len(s):
-                    out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(s, a, b, join).view(np.int64)))
+                    out.append((doc, digest, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(s, a, b, join).view(np.int64)))
                 else:
-                    out.append((doc, 0, None, None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "print", "bands"]).astype({"doc_id": "Int64"})
+                    out.append((doc, digest, 0, None, None))
+            yield pd.DataFrame(out, columns=["doc_id", "sum", "n_shingles", "print", "bands"])
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, print binary, bands array<long>")
+    # ids as text: a column of whole numbers with nulls would reach pandas as floats
+    rows_of = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("sum"))
+    made = rows_of.mapInPandas(rows, "doc_id string, sum string, n_shingles long, print binary, bands array<long>")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class _Groups:
@@ -128,8 +136,10 @@ class _Groups:
 class Tree:
     """Levels of nodes over documents in the given order, leaves first."""
 
-    def __init__(self, sets: list[np.ndarray], fanout: int, bits: int):
+    def __init__(self, sets: list[np.ndarray], fanout: int, bits: int, cuts: np.ndarray | None = None):
         n = len(sets)
+        #: per level the lowest and highest cut below each node, where cuts don't meet themselves
+        self.cuts = None if cuts is None else [(cuts, cuts)]
         self.fanout = fanout
         marks = np.zeros((n, bits // 8), np.uint8)
         for k, s in enumerate(sets):
@@ -144,6 +154,9 @@ class Tree:
             maps, least, most, slack = self.levels[-1]
             starts = np.arange(0, len(maps), fanout)
             self.levels.append((np.bitwise_or.reduceat(maps, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts), np.maximum.reduceat(slack, starts)))
+            if self.cuts:
+                low, high = self.cuts[-1]
+                self.cuts.append((np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)))
 
     def possible(self, level: int, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
         """Whether any document under i can reach the similarity with any under j."""
@@ -162,6 +175,9 @@ class Tree:
                 waiting += [(level, i[chunk:], j[chunk:])]
                 i, j = i[:chunk], j[:chunk]
             keep = self.possible(level, i, j, least)
+            if self.cuts:
+                low, high = self.cuts[level]
+                keep &= (low[i] != high[j]) | (low[j] != high[i])
             i, j = i[keep], j[keep]
             if not level:
                 yield i, j
@@ -176,15 +192,16 @@ class Tree:
                 waiting.append((level - 1, ci[fine], cj[fine]))
 
 
-def links_in(ids: np.ndarray, sets: list[np.ndarray], join: Join) -> list[tuple[int, int]]:
-    """Links that connect the same documents as all links do among these."""
+def links_in(sets: list[np.ndarray], join: Join, cuts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (places of two sets) that connect the same sets as all links do among these;
+    with ``cuts``, only links between two cuts count."""
     if len(sets) < 2:
         return []
-    order = sorted(range(len(sets)), key=lambda k: (int(sets[k][0]), len(sets[k])))
-    ids, sets = ids[order], [sets[k] for k in order]
+    order = np.array(sorted(range(len(sets)), key=lambda k: (0 if cuts is None else int(cuts[k]), int(sets[k][0]), len(sets[k]))))
+    sets = [sets[k] for k in order]
     bits = 1 << int(np.clip(np.ceil(np.log2(4 * np.median([len(s) for s in sets]) + 1)), 9, 15))
     groups, found = _Groups(len(sets)), []
-    for i, j in Tree(sets, join.fanout, bits).pairs(join.least):
+    for i, j in Tree(sets, join.fanout, bits, None if cuts is None else np.asarray(cuts)[order]).pairs(join.least):
         open_ = groups.label[i] != groups.label[j]
         for x, y in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
             if groups.label[x] == groups.label[y]:
@@ -194,56 +211,88 @@ def links_in(ids: np.ndarray, sets: list[np.ndarray], join: Join) -> list[tuple[
             both = int((large[at] == small).sum())
             if 100 * both >= join.least * (len(small) + len(large) - both):
                 groups.merge(x, y)
-                found.append((int(ids[x]), int(ids[y])))
+                found.append((int(order[x]), int(order[y])))
     return found
 
 
-def similar_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngrams")
+def grouped(docs: DataFrame, scratch: Scratch, join: Join) -> DataFrame:
+    """(doc_id, n_shingles, sum, class, component, low) of every row of ``docs``: the md5
+    of its text, its class of equal sets, its group of classes and the smallest id in the
+    group. Where there is no class (empty set, null id), the last three are null."""
+    docs = docs.select("doc_id", "text")
     sets = scratch.save(sets_of(docs, join), "sets")
     full = sets.where("print IS NOT NULL AND doc_id IS NOT NULL")
-    first = scratch.save(full.groupBy("print").agg(F.min("doc_id").alias("first")), "first")
-    # blocks: classes that share a band key, directly or through others
-    bands = full.join(first, (full["print"] == first["print"]) & (full["doc_id"] == first["first"])).select("doc_id", F.explode("bands").alias("key"))
-    bands = scratch.save(bands.distinct(), "bands")
-    shared = bands.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = bands.join(shared, "key").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    blocks = scratch.save(connected(scratch, near, "near"), "blocks")
+    first = full.groupBy("print").agg(F.min(F.struct("doc_id", "sum")).alias("first"))
+    # numbered as they are written, so that a class keeps its number
+    first = scratch.save(first.select("print", "first.*").withColumn("node", F.monotonically_increasing_id()), "first")
+    named = first.select("node", F.col("print").alias("_print"), F.col("doc_id").alias("_id"), F.col("sum").alias("_sum"))
+    # one row of each class stands for it
+    one = (F.col("print") == F.col("_print")) & (F.col("doc_id") == F.col("_id")) & (F.col("sum") == F.col("_sum"))
+    bands = scratch.save(full.join(named, one).select("node", "bands"), "bands")
+
+    def keys_of(batch):
+        for at in range(0, len(batch), 4096):
+            part = batch.iloc[at : at + 4096]
+            keys = np.concatenate(part["bands"].tolist())
+            yield keys, np.repeat(part["node"].to_numpy(), join.bands)
+
+    def keyed(some: DataFrame) -> DataFrame:
+        return bands.join(some, F.col("node") == F.col("id")).select("id", F.explode("bands").alias("key")).distinct()
+
+    blocks = scratch.save(connected(scratch, meeting(bands, keys_of), "near"), "blocks")
+    tiles = scratch.save(dealt_blocks(scratch, blocks, keyed, join.block).withColumnRenamed("id", "node"), "tiles")
     scratch.drop("bands")
-    # a block with more documents than one task should hold is cut; all pairs of cuts meet
-    sizes = blocks.groupBy("component").agg(F.ceil(F.count("*") / join.block).cast("int").alias("cuts"))
-    dealt = blocks.join(sizes, "component").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    tiles = tiles.select("id", "component", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        known = _Words()
-        group = group.drop_duplicates("doc_id")
+        # rows that repeat an id and text are one
+        group = group.drop_duplicates("node").reset_index(drop=True)
+        known, node = _Words(), group["node"].to_numpy()
+        cuts = None if group["i"][0] == group["j"][0] else group["cut"].to_numpy()
         got = [shingles(t, known, join.words) for t in group["text"]]
-        return pd.DataFrame(links_in(group["doc_id"].to_numpy(), got, join), columns=["a", "b"]).astype("int64")
+        return pd.DataFrame([(int(node[x]), int(node[y])) for x, y in links_in(got, join, cuts)], columns=["a", "b"]).astype("int64")
 
     # by merging at every size: the tiles grow with the input, as does what is moved
-    texts = docs.select("doc_id", "text").join(tiles.hint("merge"), F.col("doc_id") == F.col("id")).select("component", "i", "j", "doc_id", "text")
-    links = scratch.save(texts.groupBy("component", "i", "j").applyInPandas(compare, "a long, b long"), "links")
-    groups = connected(scratch, links, "groups").withColumnRenamed("component", "_low")
-    head = first.join(groups, F.col("first") == F.col("id"), "left").select(F.col("print").alias("_print"), F.coalesce("_low", "first").alias("_head"))
+    placed = named.select("node", "_id", "_sum").join(tiles.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node")
+    texts = docs.withColumn("sum", F.md5(F.col("text").cast("binary"))).join(placed.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("sum") == F.col("_sum")))
+    texts = texts.select("kind", "gid", "i", "j", "cut", "node", "text")
+    links = scratch.save(texts.groupBy("kind", "gid", "i", "j").applyInPandas(compare, "a long, b long"), "links")
+    groups = scratch.save(connected(scratch, links, "groups"), "groups")
+    scratch.drop("tiles", "blocks", "members", "keyed")
+    whole = first.join(groups, F.col("node") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    whole = scratch.save(whole, "whole")
+    lows = whole.groupBy("component").agg(F.min("doc_id").alias("low"))
+    known = named.select("node", "_print").join(whole.select(F.col("node").alias("_node"), "component").join(lows, "component"), F.col("node") == F.col("_node"))
     # a null id must not look up a group of its text's other copies
-    found = sets.join(head, (F.col("print") == F.col("_print")) & F.col("doc_id").isNotNull(), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("_head", "doc_id").alias("component_id"))
+    found = sets.join(known, (F.col("print") == F.col("_print")) & F.col("doc_id").isNotNull(), "left")
+    return found.select("doc_id", "n_shingles", "sum", F.col("node").alias("class"), "component", "low")
+
+
+def similar_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    found = grouped(docs, Scratch(docs.sparkSession, "ngrams"), join)
+    return found.select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``docs`` with the smallest id of each group alone; rows that repeat an id go too."""
-    found = similar_groups(docs, join)
-    keep = found.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id"))
-    keep = Scratch(docs.sparkSession, "ngrams").save(keep, "keep")
-    n, ids = keep.agg(F.count("_id"), F.countDistinct("_id")).first()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    if n != ids:
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    """One row of ``docs`` of each group: of those with the smallest id, that whose text
+    has the smallest md5; of rows that repeat both, any one. Documents without words and
+    rows without an id all stay."""
+    scratch = Scratch(docs.sparkSession, "ngrams")
+    found = scratch.save(grouped(docs, scratch, join), "grouped")
+    keep = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "sum")).alias("k"), F.count("*").alias("n"))
+    of, row, id_, sum_ = free_names(docs.columns, "_of", "_row", "_id", "_sum")
+    keep = scratch.save(keep.select(F.col("k.doc_id").alias(id_), F.col("k.sum").alias(sum_)), "keep")
+    alone = found.where("component IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_), F.col("sum").alias(sum_))
+    wide = docs.withColumn(of, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    same = (F.col("doc_id") == F.col(id_)) & (F.col(of) == F.col(sum_))
+    one = wide.join(keep, same, "left_semi")
+    if found.where("component IS NOT NULL").groupBy("doc_id", "sum").count().where("count > 1").isEmpty():
+        single = one
+    else:
+        # rows that repeat an id and text are few beside the rest, so they are put in order
+        single = one.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", of).orderBy(F.lit(0)))).where(F.col(row) == 1).drop(row)
+    rest = wide.where("doc_id IS NULL").unionByName(wide.join(alone.distinct(), same, "left_semi"))
+    return single.unionByName(rest).select(*docs.columns)
 
 
 def op2_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
