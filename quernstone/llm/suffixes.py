@@ -11,23 +11,30 @@ which windows are equal, exactly. Splitters are whole grams and equal grams are
 parted, so no group of equal windows crosses the boundary of two buckets.
 
 Frequent passages are combined before each shuffle: of equal grams or contexts in a task
-only the first travels on, the others are known to be repeated.
+only the first travels on, the others are known to be repeated. A gram that stands in so
+many different contexts that it would fill a bucket is not kept together: its windows are
+told apart by a 128-bit digest and dealt by it.
 
-Defined cases: a null text is empty; texts shorter than WIDTH lose nothing; an exact copy
-of an earlier document is removed whole (if it has WIDTH bytes); rows that repeat an id
-and text are one document and get the same result; rows with a null id lose nothing.
+Documents are put in order once: by id, then by the md5 of the text, null ids last. So two
+texts with one id are two documents, rows that repeat an id and text are one and get the
+same result, and a row without an id loses what any row with an id holds.
+
+Other defined cases: a null text is empty; texts shorter than WIDTH lose nothing; an exact
+copy of an earlier document is removed whole (if it has WIDTH bytes); an empty table gives
+an empty result; ``without_repeats`` carries further columns along.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Scratch, partitions
+from quernstone.llm.common import Scratch, free_names, numbered, partitions
 
 WIDTH = 100
 GRAM = 32
@@ -40,6 +47,13 @@ HELD = 1_000_000
 #: documents whose grams give the splitters, about
 SAMPLE_DOCS = 2_000
 SAMPLE_GRAMS = 64
+#: anchors that one task compares, and suffixes with contexts, about
+ANCHORS = 2_000_000
+SUFFIXES = 400_000
+#: a text has about one anchor for so many bytes
+ANCHOR_BYTES = 35
+#: bytes of a window's digest
+DIGEST = 16
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -109,8 +123,8 @@ def _first_of_each(gram: np.ndarray, text: np.ndarray, place: np.ndarray) -> pd.
     return pd.concat([first, more])
 
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(text, places): anchors whose gram occurs twice or more, by digest of the text."""
+def repeated_anchors(texts: DataFrame, buckets: int) -> DataFrame:
+    """(digest, places): anchors whose gram occurs twice or more, by digest of the text."""
 
     def find(batches):
         held, number = [], 0
@@ -146,10 +160,9 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
         many = np.bitwise_or.reduceat(other, starts)[group]
         yield pd.DataFrame({"text": text[many], "place": place[many]})
 
-    spark = docs.sparkSession
-    texts = docs.where(F.octet_length("text") >= WIDTH).select("text", F.xxhash64("text").alias("digest"))
-    found = texts.mapInPandas(find, FOUND).repartition(partitions(spark), "gram")
-    return found.mapInPandas(compare, "text long, place int").groupBy("text").agg(F.collect_set("place").alias("places"))
+    texts = texts.select("text", F.xxhash64("text").alias("digest"))
+    found = texts.mapInPandas(find, FOUND).repartition(buckets, "gram")
+    return found.mapInPandas(compare, "text long, place int").groupBy(F.col("text").alias("digest")).agg(F.collect_set("place").alias("places"))
 
 
 def multikey_order(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,9 +226,10 @@ def equal_windows(doc: np.ndarray, place: np.ndarray, first: np.ndarray, last: n
 SUFFIX = "bucket int, doc long, place int, first int, last int, context binary"
 
 
-def suffixes_of(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
+def suffixes_of(texts: DataFrame, splitters: list[bytes], hot: frozenset[bytes] = frozenset()) -> DataFrame:
     """Anchored suffixes of ``texts`` (doc, text, places) with their bucket. Of equal
-    contexts in a task only the earliest keeps its context."""
+    contexts in a task only the earliest keeps its context. Of a ``hot`` gram there is a
+    row a window, with the window's digest as context."""
     bounds = np.array(splitters, dtype=f"S{GRAM}")
 
     def send(rows: list) -> pd.DataFrame:
@@ -225,6 +239,8 @@ def suffixes_of(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
         seen, out = set(), []
         grams = np.array([c[p - f : p - f + GRAM] for _, p, f, _, c in rows], dtype=f"S{GRAM}")
         bucket = np.searchsorted(bounds, grams, side="right")
+        single = np.array([len(c) == DIGEST for *_, c in rows], bool)
+        bucket[single] = [int.from_bytes(rows[k][4][:4], "little") % (len(bounds) + 1) for k in np.flatnonzero(single)]
         for (doc, place, first, last, context), b in zip(rows, bucket.tolist(), strict=True):
             key = (place - first, context)
             # what needs no comparison is dealt by document, not by its gram
@@ -240,6 +256,10 @@ def suffixes_of(texts: DataFrame, splitters: list[bytes]) -> DataFrame:
                 place, first, last, _ = anchors(data)
                 wanted = np.isin(place, np.asarray(places))
                 for p, f, e in zip(place[wanted].tolist(), first[wanted].tolist(), last[wanted].tolist(), strict=True):
+                    if data[p : p + GRAM] in hot:
+                        held += [(doc, w, w, w, hashlib.blake2b(data[w : w + WIDTH], digest_size=DIGEST).digest()) for w in range(f, e + 1)]
+                        size += (DIGEST + WIDTH) * (e - f + 1)
+                        continue
                     held.append((doc, p, f, e, data[f : e + WIDTH]))
                     size += e - f + WIDTH
                     if size > 24 << 20:
@@ -277,6 +297,9 @@ def repeated_spans(suffixes: DataFrame, buckets: int) -> DataFrame:
         held = pd.concat(parts)
         known = held[held["context"].isna()]
         held = held[held["context"].notna()].drop_duplicates(["doc", "place"]).sort_values(["doc", "place"])
+        digests = held["context"].map(len) == DIGEST
+        again = held[digests][held[digests].duplicated("context")]
+        known, held = pd.concat([known, again]), held[~digests]
         doc, place, first, last = (held[c].to_numpy(np.int64) for c in ("doc", "place", "first", "last"))
         spans = [(known["doc"].to_numpy(np.int64), known["first"].to_numpy(np.int64), known["last"].to_numpy(np.int64) + WIDTH)]
         if len(doc):
@@ -287,42 +310,53 @@ def repeated_spans(suffixes: DataFrame, buckets: int) -> DataFrame:
     return suffixes.repartitionById(buckets, F.col("bucket")).mapInPandas(rows, "doc long, from int, to int")
 
 
-def _splitters(docs: DataFrame, n: int, buckets: int) -> list[bytes]:
-    """Grams that part the anchors of a bounded sample of documents evenly."""
+def _splitters(texts: DataFrame, n: int, buckets: int) -> tuple[list[bytes], frozenset[bytes]]:
+    """Grams that part the anchors of a bounded sample of documents evenly, and those that
+    stand in more different contexts than a bucket should hold."""
 
     def rows(batches):
         for batch in batches:
             for text in batch["text"]:
                 data = _bytes(text)
-                place = anchors(data)[0]
+                place, first, last, _ = anchors(data)
                 step = max(1, len(place) // SAMPLE_GRAMS)
-                yield pd.DataFrame({"gram": [data[p : p + GRAM] for p in place[::step][:SAMPLE_GRAMS].tolist()]})
+                chosen = list(zip(place[::step][:SAMPLE_GRAMS].tolist(), first[::step].tolist(), last[::step].tolist(), strict=False))
+                around = [hashlib.blake2b(data[f : e + WIDTH], digest_size=8).digest() for _, f, e in chosen]
+                yield pd.DataFrame({"gram": [data[p : p + GRAM] for p, _, _ in chosen], "around": around})
 
-    share = max(1, n // SAMPLE_DOCS)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").limit(2 * SAMPLE_DOCS)
-    grams = sorted({bytes(r["gram"]) for r in chosen.mapInPandas(rows, "gram binary").collect()})
-    return sorted({grams[k * len(grams) // buckets] for k in range(1, buckets)}) if grams else []
+    chosen = texts.select("text").sample(min(1.0, SAMPLE_DOCS / max(n, 1)), seed=7)
+    grams = sorted(bytes(r["gram"]) for r in chosen.mapInPandas(rows, "gram binary, around binary").distinct().collect())
+    most = max(8, len(grams) // buckets)
+    hot = frozenset(g for g, k in Counter(grams).items() if k > most)
+    even = sorted({g for g in grams if g not in hot})
+    return sorted({even[k * len(even) // buckets] for k in range(1, buckets)}) if even else [], hot
 
 
 def marks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, copy, spans): what to remove of each document that loses anything.
+    """(doc_id, sum, copy, spans): what to remove of each document that loses anything,
+    the document being given by its id and the md5 of its text.
 
     ``copy`` holds for later copies of a whole text; spans may overlap."""
     spark = docs.sparkSession
-    named = docs.select("doc_id", "text").where((F.octet_length("text") >= WIDTH) & F.col("doc_id").isNotNull())
-    light = scratch.save(named.select("doc_id", F.xxhash64("text").alias("digest"), F.md5(F.col("text").cast("binary")).alias("sum")).distinct(), "light")
-    first = light.groupBy("sum").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    copies = scratch.save(light.join(first.where("n > 1"), "sum").where("doc_id <> first").select("doc_id").distinct(), "copies")
-    places = repeated_anchors(docs).withColumnRenamed("text", "digest")
+    named = docs.select("doc_id", "text").where(F.octet_length("text") >= WIDTH)
+    light = named.select("doc_id", F.xxhash64("text").alias("digest"), F.md5(F.col("text").cast("binary")).alias("sum"), F.octet_length("text").alias("bytes")).distinct()
+    order = [F.col("doc_id").asc_nulls_last(), F.col("sum")]
+    light = scratch.save(numbered(scratch, light, order, "ordered").withColumnRenamed("index", "doc"), "light")
+    n, size = light.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    first = light.groupBy("sum").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = scratch.save(light.join(scratch.save(first.drop("n"), "first"), "sum").where("doc <> first").select("doc"), "copies")
+    places = repeated_anchors(named, partitions(spark, size // ANCHOR_BYTES, ANCHORS))
     # only first copies go on
-    wanted = light.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "digest").join(places, "digest").select("doc", "places")
-    wanted = scratch.save(wanted, "wanted")
-    splitters = _splitters(docs, light.count(), partitions(spark))
-    texts = named.join(wanted, F.col("doc_id") == F.col("doc")).select("doc", "text", "places")
-    spans = scratch.save(repeated_spans(suffixes_of(texts, splitters), len(splitters) + 1), "spans")
-    by_doc = spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    both = by_doc.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", F.lit(None).cast(by_doc.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copy")))
-    return both
+    wanted = light.join(copies, "doc", "left_anti").join(places, "digest").select("doc", "doc_id", F.col("sum").alias("_sum"), "places")
+    wanted = scratch.save(wanted.withColumnRenamed("doc_id", "_id"), "wanted")
+    number = wanted.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    splitters, hot = _splitters(named, n, partitions(spark, number, SUFFIXES))
+    whole = named.withColumn("sum", F.md5(F.col("text").cast("binary")))
+    texts = whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sum") == F.col("_sum"))).select("doc", "text", "places")
+    spans = scratch.save(repeated_spans(suffixes_of(texts, splitters, hot), len(splitters) + 1), "spans")
+    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    both = by_doc.withColumn("copy", F.lit(False)).unionByName(copies.select("doc", F.lit(None).cast(by_doc.schema["spans"].dataType).alias("spans"), F.lit(True).alias("copy")))
+    return light.select("doc", "doc_id", "sum").join(both, "doc").select("doc_id", "sum", "copy", "spans")
 
 
 def _kept(data: bytes, copy: bool, spans) -> tuple[bytes, int, int]:
@@ -341,12 +375,15 @@ def _kept(data: bytes, copy: bool, spans) -> tuple[bytes, int, int]:
     return left, len(data) - len(left), len(runs)
 
 
-def _marked(docs: DataFrame, scratch: Scratch, columns: list[str]) -> DataFrame:
-    found = marks(docs, scratch).withColumnRenamed("doc_id", "_doc")
-    return docs.select(*columns).join(found, docs["doc_id"] == F.col("_doc"), "left").drop("_doc")
+def _marked(docs: DataFrame, scratch: Scratch, copy: str, spans: str) -> DataFrame:
+    """``docs`` with what ``marks`` found in two more columns of the given names."""
+    of, name, sum_ = free_names([*docs.columns, copy, spans], "_of", "_id", "_sum")
+    found = marks(docs, scratch).select(F.col("doc_id").alias(name), F.col("sum").alias(sum_), F.col("copy").alias(copy), F.col("spans").alias(spans))
+    wide = docs.withColumn(of, F.md5(F.col("text").cast("binary")))
+    return wide.join(found, F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(of) == F.col(sum_)), "left").select(*docs.columns, copy, spans)
 
 
-REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+REPORT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
@@ -358,10 +395,13 @@ def removal_report(docs: DataFrame) -> DataFrame:
             for doc, text, copy, spans in zip(batch["doc_id"], batch["text"], batch["copy"], batch["spans"], strict=True):
                 data = _bytes(text)
                 left, removed, runs = _kept(data, copy, spans)
-                out.append((None if pd.isna(doc) else int(doc), len(data), removed, runs, hashlib.sha256(left).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+                out.append((doc, len(data), removed, runs, hashlib.sha256(left).hexdigest()))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _marked(docs, Scratch(docs.sparkSession, "suffixes"), ["doc_id", "text"]).mapInPandas(rows, REPORT)
+    docs = docs.select("doc_id", "text")
+    # ids as text: a column of whole numbers with nulls would reach pandas as floats
+    marked = _marked(docs, Scratch(docs.sparkSession, "suffixes"), "copy", "spans").withColumn("doc_id", F.col("doc_id").cast("string"))
+    return marked.mapInPandas(rows, REPORT).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -372,8 +412,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         return pd.Series([None if t is None else _kept(_bytes(t), c, s)[0].decode(errors="ignore") for t, c, s in zip(texts, copies, spans, strict=True)], dtype=object)
 
     cut = F.pandas_udf(rest, "string")
-    marked = _marked(docs, Scratch(docs.sparkSession, "suffixes"), docs.columns)
-    shorter = marked.withColumn("text", F.when(F.col("copy").isNull(), F.col("text")).otherwise(cut("text", "copy", "spans")))
+    copy, spans = free_names(docs.columns, "_copy", "_spans")
+    marked = _marked(docs, Scratch(docs.sparkSession, "suffixes"), copy, spans)
+    shorter = marked.withColumn("text", F.when(F.col(copy).isNull(), F.col("text")).otherwise(cut("text", copy, spans)))
     if "n_chars" in docs.columns:
         shorter = shorter.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return shorter.select(*docs.columns)
