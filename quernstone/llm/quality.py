@@ -4,20 +4,29 @@ Shallow boosted trees are grown on a bounded sample of labelled rows, every path
 root becomes a rule, a lasso-penalised logistic fit keeps few of them, and the kept
 rules are compiled into one Spark column expression.
 
+Statistics are computed for the sample and, in one pass with the score, for every
+document. The pass counts its rows before the score and before any filter
+(``DataFrame.observe``): the count has to see every row, so the plan can neither compute
+a statistic once a rule nor move the filter below.
+
 Defined cases: a null text counts as empty and gets a score like any other; labels that
 are null or for unknown documents are ignored; without usable labels every score is 0.5,
-with one class alone the smoothed share of that class; repeated rows are scored each.
+with one class alone the smoothed share of that class; repeated rows are scored each, and
+a document with several labels counts once for each in training; a null id has no label
+and isn't held out; an empty table gives an empty result; ``keep_good`` carries further
+columns along.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import WORD, Scratch, crc_of_id, smallest_hashes
+from quernstone.llm.common import WORD, crc_of_id, free_name, free_names, hash_share, share_below
 
 
 @dataclass(frozen=True)
@@ -45,13 +54,15 @@ class Ensemble:
     intercept: float = 0.0
     rules: tuple[Rule, ...] = field(default_factory=tuple)
 
-    def score(self) -> Column:
-        """The ensemble as a column over the columns of ``statistics``."""
+    def score(self, names: dict[str, str] | None = None) -> Column:
+        """The ensemble as a column over the columns of ``statistics``, or over those that
+        ``names`` gives for them."""
         total = F.lit(float(self.intercept))
         for rule in self.rules:
             fires = F.lit(True)
             for name, above, bound in rule.terms:
-                fires = fires & (F.col(name) > F.lit(bound) if above else F.col(name) <= F.lit(bound))
+                at = F.col(names[name] if names else name)
+                fires = fires & (at > F.lit(bound) if above else at <= F.lit(bound))
             total = total + F.when(fires, F.lit(float(rule.weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
@@ -170,34 +181,44 @@ def fit_rules(x: np.ndarray, y: np.ndarray, fit: Fit = Fit()) -> Ensemble:
     return Ensemble(intercept, tuple(Rule(t, float(w)) for t, w in zip(terms, weights, strict=True) if w))
 
 
-def train(stats: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Ensemble:
-    """Fits on at most ``fit.sample`` labelled rows of ``stats`` (doc_id and ``NAMES``)
-    that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Ensemble:
+    """Fits on at most ``fit.sample`` labelled rows of ``docs`` (doc_id, text) that aren't
+    held out. Statistics are computed for these alone."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y")).where("_y IS NOT NULL")
-    rows = stats.where(crc_of_id("doc_id") % 5 != 0).join(known, F.col("doc_id") == F.col("_id"))
-    rows = smallest_hashes(rows, fit.sample, "doc_id").select("_y", *NAMES).collect()
+    known = known.where(crc_of_id("_id") % 5 != 0)
+    pairs = docs.select("doc_id").join(known, F.col("doc_id") == F.col("_id"))
+    share = share_below(pairs.count(), fit.sample)
+    if share is not None:
+        known = known.where(hash_share("_id") < share)
+    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id"))
+    rows = rows.select("_y", *[c.alias(n) for n, c in statistics(F.col("text")).items()]).collect()
     data = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(len(rows), len(NAMES) + 1)
     return fit_rules(data[:, 1:], data[:, 0], fit)
 
 
+def scored(docs: DataFrame, ensemble: Ensemble, score: str) -> DataFrame:
+    """``docs`` with a column ``score``; each statistic that a rule uses is computed once
+    a row."""
+    used = {t[0] for r in ensemble.rules for t in r.terms}
+    names = dict(zip(NAMES, free_names(docs.columns, *NAMES), strict=True))
+    wide = docs.select("*", *[c.alias(names[n]) for n, c in statistics(F.col("text")).items() if n in used])
+    tag = uuid.uuid4().hex
+    wide = wide.observe(f"documents-{tag}", F.count(F.lit(1)).alias("rows"))
+    wide = wide.select(*docs.columns, ensemble.score(names).alias(score))
+    return wide.observe(f"scores-{tag}", F.count(F.lit(1)).alias("rows"))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
-    """(doc_id, held_out, score, predicted); statistics are computed once and kept."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.save(docs.select("doc_id", *[c.alias(n) for n, c in statistics(F.col("text")).items()]), "statistics")
-    scored = stats.withColumn("score", train(stats, labels, fit).score())
-    return scored.select("doc_id", F.coalesce(crc_of_id("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
+    out = scored(docs, train(docs, labels, fit), "score")
+    return out.select("doc_id", F.coalesce(crc_of_id("doc_id") % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, columns unchanged."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.save(docs.select("doc_id", *[c.alias(n) for n, c in statistics(F.col("text")).items()]), "statistics")
-    ensemble = train(stats, labels, fit)
-    used = {t[0] for r in ensemble.rules for t in r.terms}
-    # the running id keeps the filter above the projections, so each statistic is computed once
-    wide = docs.select("*", *[c.alias(n) for n, c in statistics(F.col("text")).items() if n in used], F.monotonically_increasing_id().alias("_row"))
-    scored = wide.withColumn("_score", ensemble.score()).withColumn("_row2", F.monotonically_increasing_id())
-    return scored.where("_score >= 0.3 AND _row >= 0 AND _row2 >= 0").select(*docs.columns)
+    score = free_name(docs.columns, "_score")
+    return scored(docs, train(docs.select("doc_id", "text"), labels, fit), score).where(F.col(score) >= 0.3).select(*docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
