@@ -4,9 +4,14 @@ Tokens are summed per source, a repetition rate is derived for each source, and
 document is emitted floor(rate) times plus one hash-seeded Bernoulli copy whose
 probability is the fraction of the rate.
 
+A document's copies follow from its id and its source's rate, so they are computed where
+the document is read: the table of rates goes to all executors up to a number of sources,
+and is joined by salted keys beyond it.
+
 Defined cases: a null text has size 0; a null source is a source of its own, last in
 order; an empty table gives an empty result; repeated rows each count and, having one
-id, make the same draw; columns besides id, text and source are carried along.
+id, make the same draw, as do all rows without an id; columns besides id, text and source
+are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import WORD, Scratch, numbered
+from quernstone.llm.common import WORD, Scratch, free_names, numbered
 
 #: Up to so many sources their table is sent to all executors (about 100 bytes a row).
 BROADCAST_SOURCES = 20_000
@@ -60,38 +65,44 @@ def targets(scratch: Scratch, sizes: DataFrame, mix: Mix) -> tuple[DataFrame, in
     return table.select("source", "source_size", F.least("stop", share).alias("target")), n
 
 
-def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): what the mix takes of each row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    sizes = scratch.save(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "sizes",
-    )
-    goal, n = targets(scratch, sizes, mix)
+def rated(docs: DataFrame, goal: DataFrame, n: int, mix: Mix, id_col: str, source_col: str, size: str, target: str, copies: str) -> DataFrame:
+    """``docs`` with source size, target and copies in columns of the given names."""
+    key, salt, row_salt = free_names([*docs.columns, size, target, copies], "_source", "_salt", "_rowsalt")
+    goal = goal.select(F.col("source").alias(key), F.col("source_size").alias(size), F.col("target").alias(target))
+    same = F.col(source_col).eqNullSafe(F.col(key))
     if n <= BROADCAST_SOURCES:
-        joined = sizes.join(F.broadcast(goal), sizes["source"].eqNullSafe(goal["source"])).drop(goal["source"])
+        joined = docs.join(F.broadcast(goal), same)
     else:
-        salted = sizes.withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-        spread = goal.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, salted["source"].eqNullSafe(spread["source"]) & (salted["_salt"] == spread["_salt"])).drop(spread["source"], spread["_salt"], salted["_salt"])
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    hexes = F.substring(F.md5(F.concat(F.lit(f"{mix.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 13)
+        salted = docs.withColumn(row_salt, F.pmod(F.hash(id_col), F.lit(SALTS)))
+        spread = goal.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(spread, same & (F.col(row_salt) == F.col(salt)))
+    rate = F.when(F.col(size) > 0, F.col(target) / F.col(size)).otherwise(0.0)
+    hexes = F.substring(F.md5(F.concat(F.lit(f"{mix.seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")), 1, 13)
     draw = F.conv(hexes, 16, 10).cast("double") / F.lit(float(16**13))
-    return joined.withColumn("copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
+    times = (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    return joined.withColumn(copies, times).select(*docs.columns, size, target, copies)
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+
+
+def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): what the mix takes of each row."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sizes = scratch.save(_sizes(docs, id_col, text_col, source_col), "sizes")
+    goal, n = targets(scratch, sizes, mix)
+    return rated(sizes, goal, n, mix, "doc_id", "source", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each repeated as often as the mix takes it."""
-    plan = plan_mix(docs, mix, id_col, text_col, source_col)
-    # equal ids draw alike and rates differ by source alone, so one row per pair suffices
-    take = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("copies").alias("_copies"))
-    take = take.where("_copies > 0")
-    joined = docs.join(take, docs[id_col].eqNullSafe(take["_id"]) & docs[source_col].eqNullSafe(take["_source"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    scratch = Scratch(docs.sparkSession, "mixing")
+    goal, n = targets(scratch, _sizes(docs, id_col, text_col, source_col), mix)
+    size, target, copies, copy = free_names(docs.columns, "_size", "_target", "_copies", "_copy")
+    taken = rated(docs, goal, n, mix, id_col, source_col, size, target, copies).where(F.col(copies) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
