@@ -14,7 +14,8 @@ vocabulary: each has a vector as context and one as target, and its probability
 the class is an exact softmax over the class's words of this level and the rest of it.
 
 Defined cases: a null text is empty and has the end token alone; an empty training set
-leaves all counts 0; repeated rows are scored each, and counted each.
+leaves all counts 0; repeated rows are scored each, and counted each; a null id isn't held
+out; an empty table gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -251,17 +253,19 @@ def _batches(model: Model, classes: Classes, end: int, texts, rng: np.random.Gen
         step()
 
 
-WEIGHTS = "part int, row int, weights binary, tokens long"
+WEIGHTS = "part int, row int, weights binary, tokens long, task int"
+#: partitions whose weights are averaged together first
+GROUP = 1024
 #: rows of weights that are averaged together
 BLOCK = 128
 
 
 def _weights(model: Model) -> pd.DataFrame:
-    out = []
+    out, task = [], TaskContext.get().partitionId()
     for k, (part, seen) in enumerate(zip(model.parts, model.seen, strict=True)):
         values = np.concatenate([part.reshape(len(seen), -1), seen[:, None]], axis=1).astype("<f4")
-        out += [(k, at, values[at : at + BLOCK].tobytes(), model.trained) for at in range(0, len(seen), BLOCK)]
-    return pd.DataFrame(out, columns=["part", "row", "weights", "tokens"])
+        out += [(k, at, values[at : at + BLOCK].tobytes(), model.trained, task) for at in range(0, len(seen), BLOCK)]
+    return pd.DataFrame(out, columns=["part", "row", "weights", "tokens", "task"])
 
 
 def _mean(rows: pd.DataFrame) -> pd.DataFrame:
@@ -360,12 +364,14 @@ def train(scratch: Scratch, docs: DataFrame, shape: Shape = Shape()) -> tuple[Da
 
     start = smallest_hashes(docs.select("doc_id", "text"), shape.start_docs, "doc_id").select("text").repartition(1)
     _load(model, start.mapInPandas(run(shape.start_epochs), WEIGHTS).collect())
+    # first the mean of each GROUP partitions, then that of the groups, so no task holds all
     every = docs.select("text").mapInPandas(run(1), WEIGHTS)
+    every = every.groupBy("part", "row", F.floor(F.col("task") / GROUP)).applyInPandas(_mean, WEIGHTS)
     _load(model, every.groupBy("part", "row").applyInPandas(_mean, WEIGHTS).collect())
     return counts, fitted
 
 
-SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, word binary, tf long"
+SCORED = "rid long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, model double, word binary, tf long"
 
 
 def score_documents(docs: DataFrame, held_out, shape: Shape = Shape()) -> DataFrame:
@@ -404,7 +410,6 @@ def score_documents(docs: DataFrame, held_out, shape: Shape = Shape()) -> DataFr
                 u, v, w = _contexts(inner.coarse[fine], 0)
                 shared = inner.rest[fine]
                 score = float((a[u, w].astype("f8") + c[v, w] - z[u, v]).sum()) - float(log_sums[w[shared]].sum()) + float(own[shared & ~new].sum())
-                doc = None if pd.isna(doc) else int(doc)
                 out.append([rid, doc, held, len(words), int((~new).sum()), float(own[~new].sum()) - len(words) * base, score, None, None])
                 held_back.append(_contexts(fine, 0)[1:])
                 number += len(words)
@@ -417,10 +422,11 @@ def score_documents(docs: DataFrame, held_out, shape: Shape = Shape()) -> DataFr
             if held_back:
                 step()
             frame = pd.DataFrame(out + rare, columns=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "word", "tf"])
-            yield frame.astype({"doc_id": "Int64", "held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64", "tf": "Int64"})
+            yield frame.astype({"held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64", "tf": "Int64"})
 
-    made = docs.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(rows, SCORED)
-    made = scratch.save(made, "scored")
+    # ids as text: a column of whole numbers with nulls would reach pandas as floats
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("rid", F.monotonically_increasing_id())
+    made = scratch.save(named.mapInPandas(rows, SCORED).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "scored")
     main = made.where("word IS NULL").drop("word", "tf")
     # for words not sent, the same term is missing in both scores; they belong to the rest of a shared class
     rare = made.where("word IS NOT NULL").select("rid", "word", "tf").join(counts, "word")
