@@ -13,7 +13,8 @@ Equal vectors are one entry with its k + 1 smallest ids: no other can be among k
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
 take no part, nor do those of another length than most have; a null id is no query and no
 candidate; rows that repeat an id and vector are one candidate; of rows that repeat a
-query's id none is a candidate for it.
+query's id none is a candidate for it; an empty table gives an empty result; further
+columns are left out.
 """
 
 from __future__ import annotations
@@ -41,10 +42,16 @@ class Search:
     most_cells: int = 4_096
     #: rows of a cell that one task holds; larger cells are cut
     cut_rows: int = 8_000
+    #: queries that one task holds
+    slice_rows: int = 50_000
     leaf: int = 128
     seed: int = 9
 
 
+#: pairs of a query and a cell that are looked at in one step
+ROUTED = 2_000_000
+
+
 def chi_square(x: np.ndarray, freedom: int) -> np.ndarray:
     """Distribution function for an even number of degrees of freedom."""
     half = np.minimum(np.asarray(x, dtype="f8") / 2, 600.0)
@@ -84,10 +91,13 @@ def cell_of(points: np.ndarray, nodes: list[tuple[int, float]]) -> np.ndarray:
 
 def _distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distance of each point to each box."""
-    out = np.zeros((len(points), len(low)))
+    out, gap = np.zeros((len(points), len(low))), np.empty((len(points), len(low)))
     for d in range(points.shape[1]):
-        gap = np.maximum(np.maximum(low[None, :, d] - points[:, d, None], points[:, d, None] - high[None, :, d]), 0)
-        out += gap * gap
+        np.subtract(low[None, :, d], points[:, d, None], out=gap)
+        np.maximum(gap, points[:, d, None] - high[None, :, d], out=gap)
+        np.maximum(gap, 0, out=gap)
+        gap *= gap
+        out += gap
     return out
 
 
@@ -176,29 +186,36 @@ def nearest(vectors: DataFrame, search: Search = Search(), every: int = 20) -> D
     cuts = {b["cell"]: -(-b["n"] // search.cut_rows) for b in boxes}
     cut = F.pmod(F.xxhash64("vector"), F.element_at(F.create_map(*[F.lit(x) for c in cuts.items() for x in c]), F.col("cell"))).cast("int") if cuts else F.lit(0)
     index = index.withColumn("cut", cut)
-    asked = good.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select("vec_id", "vector").distinct()
+    asked = scratch.save(good.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select("vec_id", "vector").distinct(), "asked")
+    # a task holds the queries of one slice at most; a cell goes to as many tasks as there are slices
+    slices = max(1, -(-asked.count() // search.slice_rows))
+    index = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))) if slices > 1 else index.withColumn("slice", F.lit(0))
+    asked = asked.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int"))
+    chunk = max(1, ROUTED // max(1, len(number)))
 
     def route(first: bool):
+        def some_rows(part: pd.DataFrame) -> pd.DataFrame:
+            x = np.array(part["vector"].tolist(), dtype="f8").reshape(-1, dim)
+            norms = np.linalg.norm(x, axis=1)
+            gaps = _distances(x @ turn[:-1], edges[:, :, 0], edges[:, :, 1])
+            home = gaps.argmin(axis=1)
+            if first:
+                at, to = np.arange(len(x)), home
+                bound = np.full(len(x), -np.inf)
+            else:
+                bound = part["bound"].fillna(-np.inf).to_numpy()
+                far = np.where(np.isfinite(bound), norms**2 + most**2 - 2 * bound, np.inf)
+                open_ = chi_square(gaps / np.maximum(far, 1e-12)[:, None], search.directions) < search.sure
+                open_[np.arange(len(x)), home] = False
+                at, to = np.nonzero(open_)
+            ids, slice_, vector = part["vec_id"].tolist(), part["slice"].tolist(), part["vector"].tolist()
+            out = [(ids[q], vector[q], float(bound[q]), int(number[c]), k, slice_[q]) for q, c in zip(at.tolist(), to.tolist(), strict=True) for k in range(cuts[int(number[c])])]
+            return pd.DataFrame(out, columns=["query_id", "query", "bound", "cell", "cut", "slice"])
+
         def rows(batches):
             for batch in batches:
-                x = np.array(batch["vector"].tolist(), dtype="f8").reshape(-1, dim)
-                if not len(x):
-                    continue
-                norms = np.linalg.norm(x, axis=1)
-                p = x @ turn[:-1]
-                gaps = _distances(p, edges[:, :, 0], edges[:, :, 1])
-                home = gaps.argmin(axis=1)
-                if first:
-                    at, to = np.arange(len(x)), home
-                    bound = np.full(len(x), -np.inf)
-                else:
-                    bound = batch["bound"].fillna(-np.inf).to_numpy()
-                    far = np.where(np.isfinite(bound), norms**2 + most**2 - 2 * bound, np.inf)
-                    open_ = chi_square(gaps / np.maximum(far, 1e-12)[:, None], search.directions) < search.sure
-                    open_[np.arange(len(x)), home] = False
-                    at, to = np.nonzero(open_)
-                out = [(int(batch["vec_id"].iloc[q]), batch["vector"].iloc[q], float(bound[q]), int(number[c]), k) for q, c in zip(at.tolist(), to.tolist(), strict=True) for k in range(cuts[int(number[c])])]
-                yield pd.DataFrame(out, columns=["query_id", "query", "bound", "cell", "cut"])
+                for at in range(0, len(batch), chunk):
+                    yield some_rows(batch.iloc[at : at + chunk])
 
         return rows
 
@@ -216,16 +233,16 @@ def nearest(vectors: DataFrame, search: Search = Search(), every: int = 20) -> D
         best = pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return best.groupby("query_id").head(search.k)
 
-    ask = "query_id long, query array<double>, bound double, cell int, cut int"
+    ask = "query_id long, query array<double>, bound double, cell int, cut int, slice int"
     answer = "query_id long, vec_id long, score double"
 
     def searched(routed: DataFrame) -> DataFrame:
-        return index.groupBy("cell", "cut").cogroup(routed.groupBy("cell", "cut")).applyInPandas(search_cell, answer)
+        return index.groupBy("cell", "cut", "slice").cogroup(routed.groupBy("cell", "cut", "slice")).applyInPandas(search_cell, answer)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     at_home = scratch.save(searched(asked.mapInPandas(route(True), ask)), "home")
     kth = at_home.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == search.k).select("query_id", F.col("score").alias("bound"))
-    again = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "vector", "bound")
+    again = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "vector", "slice", "bound")
     away = searched(again.mapInPandas(route(False), ask))
     ranked = at_home.unionByName(away).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= search.k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
