@@ -18,7 +18,8 @@ A record: place and document id (signed 64 bit), piece and length (unsigned 32 b
 (unsigned 16 bit, padded with the end id), trailer (4 bytes), all little-endian.
 
 Defined cases: a null or empty text is the end id alone; a null id is written as -2^63;
-repeated rows are sequences of their own; an empty table makes no shard.
+repeated rows are sequences of their own; an empty table makes no shard; further columns
+are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
+from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,24 +78,40 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _bounds(docs: DataFrame, layout: Layout) -> list:
-    """(partition, rows, bound of sequences) of each partition of the scan."""
+class Ranges:
+    """Of each partition of the scan: its first number, its rows and the bound of its
+    sequences. Three arrays, 24 bytes a partition."""
+
+    def __init__(self, rows: list):
+        size = max((r["partition"] for r in rows), default=-1) + 1
+        self.rows, self.most = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for r in rows:
+            self.rows[r["partition"]], self.most[r["partition"]] = r["rows"], r["most"]
+        self.start = np.cumsum(self.most) - self.most
+        self.total = int(self.most.sum())
+
+    def of(self, partition: int) -> tuple[int, int, int]:
+        if partition >= len(self.rows):
+            return 0, 0, 0
+        return int(self.start[partition]), int(self.rows[partition]), int(self.most[partition])
+
+
+def _ranges(docs: DataFrame, layout: Layout) -> Ranges:
     most = F.floor((F.coalesce(F.octet_length("text"), F.lit(0)) + layout.tokens) / layout.tokens)
-    return sorted(docs.select(F.spark_partition_id().alias("partition"), most.alias("most")).groupBy("partition").agg(F.count("*").alias("rows"), F.sum("most").alias("most")).collect())
+    per = docs.select(F.spark_partition_id().alias("partition"), most.alias("most")).groupBy("partition").agg(F.count("*").alias("rows"), F.sum("most").alias("most"))
+    return Ranges(per.collect())
 
 
-def _blocks(docs: DataFrame, bounds: list, layout: Layout, held_bytes: int = 32 << 20) -> DataFrame:
+CHANGED = "the scan gave other rows than when it was measured"
+
+
+def _blocks(docs: DataFrame, ranges: Ranges, layout: Layout, held_bytes: int = 32 << 20) -> DataFrame:
     """(shard, block): compressed records of a task for one shard."""
-    total = sum(r["most"] for r in bounds)
-    base, at = {}, 0
-    for r in bounds:
-        base[r["partition"]] = (at, r["rows"], r["most"])
-        at += r["most"]
-    kind = layout.dtype
+    sent, total, kind = docs.sparkSession.sparkContext.broadcast(ranges), ranges.total, layout.dtype
 
     def rows(batches):
         encode, packer = encoder().document, zstandard.ZstdCompressor(level=3)
-        start, *expected = base.get(TaskContext.get().partitionId(), (0, 0, 0))
+        start, *expected = sent.value.of(TaskContext.get().partitionId())
         number, seen, held, waiting = 0, [0, 0], [], 0
 
         def send(records: np.ndarray) -> pd.DataFrame:
@@ -112,7 +131,7 @@ def _blocks(docs: DataFrame, bounds: list, layout: Layout, held_bytes: int = 32
                 padded = np.zeros(n * layout.tokens, "<u2")
                 padded[: len(ids)] = ids
                 made["ids"] = padded.reshape(n, -1)
-                made["doc_id"] = NO_ID if pd.isna(doc) else int(doc)
+                made["doc_id"] = NO_ID if doc is None else int(doc)
                 made["piece"] = np.arange(n)
                 made["length"] = layout.tokens
                 made["length"][-1] = len(ids) - (n - 1) * layout.tokens
@@ -127,17 +146,32 @@ def _blocks(docs: DataFrame, bounds: list, layout: Layout, held_bytes: int = 32
         if held:
             yield send(np.concatenate(held))
         if seen != expected:
-            raise RuntimeError("the scan gave other rows than when it was measured")
+            raise RuntimeError(CHANGED)
+
+    # ids as text: a column of whole numbers with nulls would reach pandas as floats
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(rows, "shard int, block binary")
 
-    return docs.mapInPandas(rows, "shard int, block binary")
 
+def write_shards(docs: DataFrame, path: str, layout: Layout = Layout(), tries: int = 3) -> bool:
+    """Writes all sequences of ``docs`` (doc_id, text), a table whose scan gives the same
+    rows each time. False if there are none.
 
-def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> bool:
-    """Writes all sequences of ``docs`` (doc_id, text), a table that is scanned in the
-    same partitions each time. False if there are none."""
+    How a scan is parted can follow the number of executors. If one goes or comes between
+    the two passes, the second notices other rows in its partitions, and both are run again.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds = _bounds(docs, layout)
-    if not bounds:
+    for left in reversed(range(tries)):
+        try:
+            return _write(docs, path, layout)
+        except (PySparkException, Py4JJavaError) as error:
+            if not left or CHANGED not in str(error):
+                raise
+    return False
+
+
+def _write(docs: DataFrame, path: str, layout: Layout) -> bool:
+    ranges = _ranges(docs, layout)
+    if not ranges.total:
         return False
 
     def rows(batches):
@@ -153,9 +187,9 @@ def write_shards(docs: DataFrame, path: str, layout: Layout = Layout()) -> bool:
             some = records[at : at + 4096].tobytes()
             yield pd.DataFrame({"record": [some[k : k + width] for k in range(0, len(some), kind.itemsize)]})
 
-    shards = -(-sum(r["most"] for r in bounds) // layout.places)
-    placed = _blocks(docs, bounds, layout).repartitionById(shards, F.col("shard")).mapInPandas(rows, "record binary")
-    placed.select(F.col("record").cast("string").alias("value")).write.option("lineSep", TRAILER.decode()).text(path)
+    shards = -(-ranges.total // layout.places)
+    placed = _blocks(docs, ranges, layout).repartitionById(shards, F.col("shard")).mapInPandas(rows, "record binary")
+    placed.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", TRAILER.decode()).text(path)
     return True
 
 
