@@ -7,7 +7,8 @@ partitions and are packed again, as are the emptiest sequences of settled partit
 
 Defined cases: a null or empty text is the end id alone; a document over the capacity is
 cut into pieces of exactly the capacity, only the first being shorter; repeated rows are
-packed each; an empty table gives an empty result.
+packed each; a null id stays null; an empty table gives an empty result; further columns
+are left out.
 """
 
 from __future__ import annotations
@@ -50,12 +51,13 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id",
             out = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = encode(text)
-                doc = None if pd.isna(doc) else int(doc)
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     out.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(rows, PIECES)
+    # ids as text: a column of whole numbers with nulls would reach pandas as floats
+    named = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    return named.mapInPandas(rows, PIECES.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +107,7 @@ def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 30) -> int:
     return best
 
 
-PLACED = "_pid long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, _left long, _gap long, _loose boolean"
+PLACED = "_pid long, doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, _left long, _gap long, _loose boolean"
 
 
 def _round(waiting: DataFrame, capacity: int) -> DataFrame:
@@ -126,7 +128,8 @@ def _round(waiting: DataFrame, capacity: int) -> DataFrame:
 def pack(scratch: Scratch, pieces: DataFrame, capacity: int = CAPACITY, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id and offset to ``pieces``."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    pieces = scratch.save(pieces.withColumn("_pid", F.monotonically_increasing_id()), "pieces")
+    # ids as text: a column of whole numbers with nulls would reach pandas as floats
+    pieces = scratch.save(pieces.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("_pid", F.monotonically_increasing_id()), "pieces")
     done = [pieces.where(F.col("length") == capacity).select(*columns, F.col("_pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     waiting = pieces.where(F.col("length") < capacity)
     number = waiting.count()
@@ -144,7 +147,7 @@ def pack(scratch: Scratch, pieces: DataFrame, capacity: int = CAPACITY, part: in
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quernstone.llm import lm, mixing, ngrams, packing, quality, shards, suffixes
@@ -74,38 +75,94 @@ def test_connected(spark):
 
 
 def test_numbered(spark):
-    from pyspark.sql import functions as F
-
     values = random.Random(2).sample(range(10_000), 500) + [None, None]
     found = numbered(Scratch(spark, "t"), spark.createDataFrame([(v,) for v in values], "v long"), [F.col("v").asc_nulls_last()], "n")
     got = sorted((r["index"], r["v"]) for r in found.collect() if r["v"] is not None)
     assert [v for _, v in got] == sorted(v for v in values if v is not None) and [i for i, _ in got] == list(range(500))
 
 
+def shingles_of(text):
+    words = (text or "").translate({c: c + 32 for c in range(65, 91)}).replace("\n", " ").split(" ")
+    words = [w for w in words if w]
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def shingle_sets(rows):
-    out = {}
-    for i, text, *_ in rows:
-        words = (text or "").translate({c: c + 32 for c in range(65, 91)}).replace("\n", " ").split(" ")
-        words = [w for w in words if w]
-        out[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-    return out
+    return {i: shingles_of(text) for i, text, *_ in rows}
 
 
-def test_ngram_groups(docs, rows, none):
-    sets = shingle_sets(rows)
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    low = components(sets, links)
-    got = ngrams.similar_groups(docs).collect()
-    assert len(got) == len(rows)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), low[i]) for i, s in sets.items()}
+def similar(s, t):
+    return s and t and 100 * len(s & t) >= 80 * len(s | t)
+
+
+def row_components(rows):
+    """Component of every row, by its place; a null id is linked with nothing."""
+    sets = [shingles_of(r[1]) for r in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if None not in (rows[a][0], rows[b][0]) and similar(sets[a], sets[b])]
+    return sets, components(range(len(rows)), links)
+
+
+ODD = [(None, "q w e r t y u i o p", "en", "src1", 0, 3, "big", 1), (None, "q w e r t y u i o p", "en", None, 0, 3, "big", 1), (None, None, None, None, None, None, None, None), (None, "xyz" * 100, "en", "src1", 0, 3, "big", 1)]
+#: one id with two texts, each of which another row holds too
+PAIRED = [(905, "aa bb cc dd ee ff gg", "en", "src1", 0, 3, "big", 1), (905, "hh ii jj kk ll mm nn", "en", "src1", 0, 3, "big", 1), (907, "hh ii jj kk ll mm nn", "en", "src1", 0, 3, "big", 1), (908, "aa bb cc dd ee ff gg", "en", "src1", 0, 3, "big", 1)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, rows):
+    return spark.createDataFrame(rows + ODD + PAIRED, SCHEMA).repartition(3)
+
+
+def test_ngram_groups(docs, odd, rows, none):
+    for table, given in ((docs, rows), (odd, rows + ODD + PAIRED)):
+        sets, low = row_components(given)
+        lowest = {}
+        for k, c in low.items():
+            if given[k][0] is not None:
+                lowest[c] = min(lowest.get(c, given[k][0]), given[k][0])
+        expected = Counter((r[0], len(s), lowest.get(low[k])) for k, (r, s) in enumerate(zip(given, sets, strict=True)))
+        assert Counter(map(tuple, ngrams.similar_groups(table).collect())) == expected
     assert ngrams.similar_groups(none).count() == 0
-    kept = ngrams.one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({v for v in low.values()})
 
 
-def test_ngram_blocks_are_tiled(docs, rows):
-    whole = {tuple(r) for r in ngrams.similar_groups(docs).collect()}
-    assert {tuple(r) for r in ngrams.similar_groups(docs, ngrams.Join(block=2)).collect()} == whole
+def test_one_of_each(docs, odd, rows, none):
+    for table, given in ((docs, rows), (odd, rows + ODD + PAIRED)):
+        sets, low = row_components(given)
+        kept = ngrams.one_of_each(table)
+        got = [tuple(r) for r in kept.collect()]
+        assert kept.columns == table.columns
+        places = defaultdict(list)
+        for k, r in enumerate(given):
+            places[r[:2]].append(k)
+        groups = Counter(low[places[r[:2]][0]] for r in got if r[0] is not None and shingles_of(r[1]))
+        assert groups == Counter({low[k]: 1 for k, r in enumerate(given) if r[0] is not None and sets[k]})
+        alone = Counter(r[:2] for k, r in enumerate(given) if r[0] is None or not sets[k])
+        assert Counter(r[:2] for r in got if r[0] is None or not shingles_of(r[1])) == alone
+    texts = {r[1] for r in got if r[0] in (905, 907, 908)}
+    assert texts == {PAIRED[0][1], PAIRED[1][1]}
+    assert ngrams.one_of_each(none).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 6])
+def test_ngram_blocks_are_tiled(odd, block):
+    whole = Counter(map(tuple, ngrams.similar_groups(odd).collect()))
+    assert Counter(map(tuple, ngrams.similar_groups(odd, ngrams.Join(block=block)).collect())) == whole
+
+
+def test_template_families_are_dealt_by_key(spark):
+    """Documents with a third in common chain into one set that is larger than a block."""
+    rng = random.Random(4)
+    common = [f"t{k}" for k in range(60)]
+    rows = []
+    for k in range(300):
+        own = [f"w{rng.randrange(5000)}" for _ in range(70)]
+        rows.append((k, " ".join(common + own)))
+        if k % 10 == 0:
+            rows.append((1000 + k, " ".join(common + own[:-2])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    _, low = row_components(rows)
+    lowest = {k: rows[c][0] for k, c in low.items()}
+    for join in (ngrams.Join(), ngrams.Join(block=40)):
+        assert {r["doc_id"]: r["component_id"] for r in ngrams.similar_groups(table, join).collect()} == {rows[k][0]: c for k, c in lowest.items()}
 
 
 def test_tree_loses_no_pair():
@@ -114,14 +171,19 @@ def test_tree_loses_no_pair():
     for _ in range(60):
         base = rng.integers(0, 2**63, rng.integers(1, 80)).astype(np.uint64)
         sets += [np.unique(base), np.unique(np.concatenate([base[: int(len(base) * rng.uniform(0.7, 1))], rng.integers(0, 2**63, 3).astype(np.uint64)]))]
-    ids = np.arange(len(sets))
+    ids = range(len(sets))
     close = [(a, b) for a in ids for b in ids if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
-    assert components(ids.tolist(), close) == components(ids.tolist(), ngrams.links_in(ids, sets, ngrams.Join()))
+    assert components(ids, close) == components(ids, ngrams.links_in(sets, ngrams.Join()))
+    cuts = rng.integers(0, 2, len(sets))
+    across = [(a, b) for a, b in close if cuts[a] != cuts[b]]
+    assert components(ids, across) == components(ids, ngrams.links_in(sets, ngrams.Join(), cuts))
 
 
 def removed(rows):
+    """By id and text."""
     seen, out = set(), {}
-    for i, text, *_ in sorted({r[:2] for r in rows}, key=lambda r: r[0]):
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())
+    for i, text, *_ in sorted({r[:2] for r in rows}, key=order):
         data = (text or "").encode()
         gone = bytearray(len(data))
         for p in range(len(data) - 99):
@@ -130,16 +192,31 @@ def removed(rows):
             seen.add(data[p : p + 100])
         left = bytes(b for b, g in zip(data, gone, strict=True) if not g)
         spans = sum(1 for k in range(len(gone)) if gone[k] and (not k or not gone[k - 1]))
-        out[i] = (i, len(data), sum(gone), spans, hashlib.sha256(left).hexdigest())
+        out[i, text] = (i, len(data), sum(gone), spans, hashlib.sha256(left).hexdigest(), None if text is None else left.decode(errors="ignore"))
     return out
 
 
-def test_suffix_removal(docs, rows, none):
-    got = suffixes.removal_report(docs).collect()
-    expected = removed(rows)
-    assert len(got) == len(rows) and {r["doc_id"]: tuple(r) for r in got} == expected
+LONG = " ".join(f"word{k}" for k in range(60))
+REPEATING = [(None, LONG, "en", "s", 0, 1, "x", 1), (None, f"{LONG} and more", "en", "s", 0, 1, "x", 1), (910, LONG[50:], "en", "s", 0, 1, "x", 1), (911, f"a {LONG}", "en", "s", 0, 1, "x", 1), (911, f"b {LONG}", "en", "s", 0, 1, "x", 1)]
+
+
+def test_suffix_removal(spark, docs, rows, none, monkeypatch):
+    whole = rows + ODD + REPEATING
+    every = spark.createDataFrame(whole, SCHEMA).repartition(3)
+    names = "sum copy spans _copy _spans _of _id _doc index_ digest".split()
+    wide = every.withColumns({c: F.lit("x") for c in names})
+    # frequent grams dealt by window, without and with a sample that finds them
+    for table, given, hot in ((docs, rows, False), (every, whole, False), (every, whole, True)):
+        if hot:
+            monkeypatch.setattr(suffixes, "Counter", lambda grams: dict.fromkeys(grams, 10**9))
+        expected = removed(given)
+        got = suffixes.removal_report(table).collect()
+        assert Counter(map(tuple, got)) == Counter(expected[r[:2]][:5] for r in given)
     assert sum(r[2] for r in expected.values()) > 2000
-    assert suffixes.removal_report(none).count() == 0
+    kept = suffixes.without_repeats(wide)
+    assert kept.columns == wide.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter((r[0], expected[r[:2]][5]) for r in whole)
+    assert suffixes.removal_report(none).count() == 0 and suffixes.without_repeats(none).count() == 0
 
 
 def test_suffix_steps(monkeypatch):
@@ -169,6 +246,83 @@ def test_text_without_repeats(docs):
     assert all(r["n_chars"] == len(r["text"] or "") or r["text"] is None for r in rows.values())
 
 
+#: Names that operators use inside.
+INNER = "_id _ID _sum _of _copy _copies _copied spans copy copies_ size_ target source_size _source _salt _rowsalt _size _target _score q_chars q_words _row _row2 component low class node sum key id first n".split()
+
+
+def test_names_inside_operators_are_no_clash(spark, docs, rows):
+    """Whatever the further columns are called, the stages carry them along."""
+    wide = docs.select("*", *[F.lit(7).alias(n) for n in INNER if n.lower() not in {c.lower() for c in docs.columns} and n != "_ID"])
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    for plain, stage in (
+        (quality.keep_good(docs, labels), quality.keep_good(wide, labels)), (ngrams.one_of_each(docs), ngrams.one_of_each(wide)),
+        (suffixes.without_repeats(docs), suffixes.without_repeats(wide)), (mixing.mixed(docs), mixing.mixed(wide)),
+    ):
+        assert stage.columns == wide.columns
+        got = stage.collect()
+        assert all(r["_sum"] == 7 and r["key"] == 7 for r in got)
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in plain.collect())
+    assert Counter(map(tuple, ngrams.similar_groups(wide).collect())) == Counter(map(tuple, ngrams.similar_groups(docs).collect()))
+    assert packing.pack_documents(wide).count() == packing.pack_documents(docs).count()
+
+
+def test_rows_without_ids(spark, odd, rows, tokenizer, tmp_path):
+    """Null ids stay null, and none is lost, in every operator on documents."""
+    given = rows + ODD + PAIRED
+    labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1)], "doc_id long, quality int")
+    ids = Counter(r[0] for r in given)
+    assert Counter(r["doc_id"] for r in quality.score_documents(odd, labels).collect()) == ids
+    assert not any(r["held_out"] for r in quality.score_documents(odd, labels).where("doc_id IS NULL").collect())
+    big = 2**60 + 1  # would be rounded as a float
+    table = odd.withColumn("doc_id", F.col("doc_id") + big)
+    ids = Counter(None if r[0] is None else r[0] + big for r in given)
+    assert Counter(r["doc_id"] for r in lm.score_documents(table, crc_of_id("doc_id") % 7 == 2).collect()) == ids
+    assert Counter(r["doc_id"] for r in ngrams.similar_groups(table).collect()) == ids
+    assert Counter(r["doc_id"] for r in suffixes.removal_report(table).collect()) == ids
+    assert Counter(r["doc_id"] for r in mixing.plan_mix(table).collect()) == ids
+    assert Counter(r["doc_id"] for r in packing.pack_documents(table).where("start = 0").collect()) == ids
+    table.write.parquet(str(tmp_path / "docs"))
+    layout = shards.Layout(tokens=64, places=100)
+    assert shards.write_shards(spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "s"), layout)
+    assert Counter(r["doc_id"] for r in shards.read_shards(spark, str(tmp_path / "s"), layout).where("piece = 0").collect()) == ids
+
+
+def test_shards_retry_a_changed_scan(spark, docs, tmp_path, monkeypatch):
+    """A scan that is parted otherwise than when it was measured is measured again."""
+    docs.write.parquet(str(tmp_path / "docs"))
+    table, once, ranges = spark.read.parquet(str(tmp_path / "docs")), [], shards._ranges
+
+    def wrong(*args):
+        found = ranges(*args)
+        if not once:
+            once.append(1)
+            found.rows = found.rows + 1
+        return found
+
+    monkeypatch.setattr(shards, "_ranges", wrong)
+    assert shards.write_shards(table, str(tmp_path / "s"))
+    assert shards.read_shards(spark, str(tmp_path / "s")).where("piece = 0").count() == docs.count() and once
+
+
+LONG_RUNS = [(1, " " * 1_500_000), (2, "a" + "\r\n" * 800_000), (3, "w" * 2_000_000), (4, "\n" * 1_200_000 + "end"), (5, "x y " * 300_000)]
+
+
+def test_texts_of_megabytes(spark, tmp_path):
+    """Long runs of blanks and line breaks and one long word go through all operators."""
+    table = spark.createDataFrame([(i, t, "s") for i, t in LONG_RUNS], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 0), (5, 1)], "doc_id long, quality int")
+    n = len(LONG_RUNS)
+    assert packing.pack_documents(table).where("start = 0").count() == n
+    table.write.parquet(str(tmp_path / "docs"))
+    assert shards.write_shards(spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "s"))
+    assert shards.read_shards(spark, str(tmp_path / "s")).where("piece = 0").count() == n
+    report = {r["doc_id"]: r for r in suffixes.removal_report(table).collect()}
+    assert report[1]["n_removed"] == 1_500_000 - 1 and report[1]["n_bytes"] == 1_500_000
+    assert {r["doc_id"]: r["n_shingles"] for r in ngrams.similar_groups(table).collect()} == {1: 0, 2: 1, 3: 1, 4: 1, 5: 2}
+    assert quality.score_documents(table, labels).count() == n and mixing.plan_mix(table).count() == n
+    assert lm.score_documents(table, F.lit(False)).count() == n
+
+
 def test_mixing(docs, rows, none):
     size = {i: len((t or "").replace("\n", " ").split()) for i, t, *_ in rows}
     per = defaultdict(int)
@@ -291,6 +445,84 @@ def test_quality(spark, none):
     assert quality.score_documents(none, known).count() == 0
 
 
+def counted(text):
+    """The statistics, in plain Python."""
+    import regex
+
+    words = regex.findall(r"[^\x20\x09-\x0D]+", text)
+    chars = max(len(text), 1)
+    of = lambda pattern: len(regex.findall(pattern, text))
+    per = lambda n: n / max(len(words), 1)
+    runs = regex.split(r"[ \t\n\x0b\f\r]+", text)
+    repeats = sum(bool(a) and a == b for a, b in zip(runs, runs[1:], strict=False))
+    symbols = sum(not regex.match(r"[\p{L}\p{N} \t\n\x0b\f\r.,;:!?'\"()\-|]", c) for c in text)
+    return {
+        "q_chars": len(text), "q_words": len(words), "q_word_chars": per(len(text)), "q_upper": of(r"\p{Lu}") / chars, "q_digits": of("[0-9]") / chars, "q_symbols": per(symbols),
+        "q_bars": per(of(r"\|")), "q_marks": per(of("[!?]")), "q_stops": per(of("[.,;:]")), "q_lines": per(of("\n")), "q_repeats": per(repeats),
+    }
+
+
+def test_statistics_and_compiled_column(spark, docs, rows):
+    """Statistics against plain Python, and the column against a sum over the rules."""
+    columns = [c.alias(n) for n, c in quality.statistics(F.col("text")).items()]
+    texts = [r[1] for r in rows] + ["a a a b b", "ÀÉ 12 § §§ x|y|z !?", "one one\none", "end\n\n"]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    x = []
+    for r in table.select("doc_id", *columns).orderBy("doc_id").collect():
+        expected = counted(texts[r["doc_id"]] or "")
+        for name in quality.NAMES:
+            assert math.isclose(r[name], expected[name], rel_tol=1e-12), (name, texts[r["doc_id"]])
+        x.append([expected[n] for n in quality.NAMES])
+    rng = np.random.default_rng(0)
+    data = np.array(x)
+    ensemble = quality.fit_rules(data, (data[:, 1] > np.median(data[:, 1])) ^ (rng.random(len(data)) < 0.1))
+    assert len(ensemble.rules) > 1
+    for r in quality.scored(table, ensemble, "score").collect():
+        stats = counted(texts[r["doc_id"]] or "")
+        fires = [w.weight for w in ensemble.rules if all((stats[n] > b) == above for n, above, b in w.terms)]
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-(ensemble.intercept + sum(fires)))), rel_tol=1e-9)
+
+
+def test_scores_of_the_language_model(spark, docs, rows, monkeypatch):
+    """A text's score is the sum of its tokens' log probabilities, each computed anew from
+    the weights: class by softmax, then word within the class."""
+    kept = {}
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **k: kept.setdefault("x", train(*a, **k)))
+    shape = lm.Shape(own=20, endings=8, sent=60, per_root=1.0)
+    held = {r[0]: zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows}
+    counts = Counter(w for r in rows if not held[r[0]] for w in lm.words_of(r[1]))
+    got = {r["doc_id"]: r for r in lm.score_documents(docs, crc_of_id("doc_id") % 7 == 2, shape).collect()}
+    _, fitted = kept["x"]
+    model, inner, classes = fitted.model, fitted.model.inner, fitted.classes()
+    r1, r2, q, b, rin, qin, bin_ = (p.astype("f8") for p in model.parts)
+
+    def token(u, v, word, fine_v):
+        fine = classes[word]
+        w = int(inner.coarse[fine])
+        x = (r1[u] + r2[v]) @ q.T + b
+        log = x[w] - x.max() - np.log(np.exp(x - x.max()).sum())
+        slot = inner.slot[fine]
+        if slot >= 0:
+            k = w - inner.first
+            one, end = inner.bounds[k], inner.bounds[k + 1]
+            y = rin[fine_v] @ qin[one:end].T + bin_[one:end]
+            log += y[slot - one] - y.max() - np.log(np.exp(y - y.max()).sum())
+        if inner.rest[fine]:
+            log += math.log((counts[word] + 1) / fitted.sums[w])
+        return log / math.log(10)
+
+    for r in rows[::5]:
+        words, total = lm.words_of(r[1]), 0.0
+        fine = [classes[w] for w in words]
+        coarse = [int(inner.coarse[f]) for f in fine]
+        for k, word in enumerate(words):
+            v = coarse[k - 1] if k else 0
+            u = coarse[k - 2] if k > 1 and v else 0
+            total += token(u, v, word, fine[k - 1] if k else 0)
+        assert math.isclose(got[r[0]]["score"], total, rel_tol=1e-4, abs_tol=1e-3), r[0]
+
+
 def test_language_model(docs, rows, none):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
     words = {i: (t or "").encode().lower().split() + [b"\n"] for i, t, *_ in rows}
