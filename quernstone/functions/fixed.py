@@ -87,3 +87,24 @@ SOURCE_BONUS = {"official": 0.3, "stackoverflow": 0.25, "repository": 0.15, "cod
 # User-interface checks.
 FORBIDDEN_SHADOWS = ("shadow-md", "shadow-lg", "shadow-xl", "shadow-2xl")
 SKILL_HEADINGS = ("## Purpose", "## When to use")
+
+# Programs that may be run, and subcommands and flags that may not.
+SHELL_PROGRAMS = ("cargo", "git", "grep", "ls", "npm")
+BLOCKED_SUBCOMMANDS = {"git": ("push", "clean", "rebase"), "cargo": ("uninstall",), "npm": ("uninstall",)}
+BLOCKED_GIT_FLAGS = ("--hard", "--force", "--force-with-lease", "--amend", "-f")
+
+# Which argument of a tool is a path, whether an empty one passes, and the warning.
+PATH_ARGUMENTS = (
+    ("security_audit", "path", False, "Path not under ALLOWED_ROOTS: "),
+    ("get_file_history", "path", False, "Path not under ALLOWED_ROOTS: "),
+    ("module_graph", "workspace_path", True, "workspace_path not under ALLOWED_ROOTS: "),
+    ("compile_rules", "active_project_path", True, "active_project_path not under ALLOWED_ROOTS: "),
+)
+PATH_LISTS = (("refresh_file_index", "paths", "Path not under ALLOWED_ROOTS: "),)
+
+# Most words of a skill's content; signs that a YAML list item must be quoted for.
+MAX_SKILL_WORDS = 5000
+YAML_ITEM_SIGNS = ":@#{}[]|>&*!%"
+
+# Periods of the janitor.
+JANITOR_WEB_DAYS, JANITOR_KEEP_ROWS, JANITOR_REVIEW_DAYS = 30, 100_000, 7

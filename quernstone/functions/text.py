@@ -228,8 +228,25 @@ def token_estimate(c) -> Column:
     return F.floor(F.length(_col(c)) / 4).cast("long")
 
 
-def meta_line(key: str, number, estimate) -> Column:
-    return F.concat(F.lit(f'\n\n_meta: {{ "{key}": '), _col(number).cast("string"), F.lit(', "tokens_estimated": '), _col(estimate).cast("string"), F.lit("}"))
+def meta_line(key: str, number, estimate, cost_per_million: float | None = None) -> Column:
+    """The closing line of a response; with a price, what its tokens would have
+    cost (a half of the last digit goes up)."""
+    parts = [F.lit(f'\n\n_meta: {{ "{key}": '), _col(number).cast("string"), F.lit(', "tokens_estimated": '), _col(estimate).cast("string")]
+    if cost_per_million is not None and cost_per_million >= 0:
+        parts += [F.lit(', "cost_avoided_usd": '), F.format_string("%.6f", _col(estimate).cast("double") / 1_000_000 * cost_per_million)]
+    return F.concat(*parts, F.lit("}"))
+
+
+def skill_content(c) -> Column:
+    """A skill's text; of a long one the first words and a suffix."""
+    found = words(c)
+    short = F.concat(F.array_join(F.slice(found, 1, fixed.MAX_SKILL_WORDS), " "), F.lit(fixed.TRUNCATION_SUFFIX))
+    return F.when(F.size(found) > fixed.MAX_SKILL_WORDS, short).otherwise(_col(c))
+
+
+def config_hash(values: dict[str, str]) -> Column:
+    """Hash of the settings that an index depends on, in the order of their names."""
+    return F.sha2(F.concat_ws("\n", *[F.concat(F.lit(f"{k}="), F.lit(v)) for k, v in sorted(values.items())]), 256)
 
 
 def compact(c) -> Column:

@@ -11,11 +11,12 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quernstone.functions import fixed
+from quernstone.functions import text as T
 from quernstone.operators import chunking
 
 # given as types: a string would need a session when executors import this module
@@ -198,15 +199,18 @@ def ts_chunks(source: str) -> list[dict]:
         if kind in ("const", "let", "var") and not m[1]:
             continue
         label = {"const": "constant", "let": "constant", "var": "constant"}.get(kind, kind)
-        out.append(_chunk(source[begin:stop], label, name, [name], _brace_calls(clean[begin:stop])))
+        methods, bare = [], clean[begin:stop]
         if kind == "class":
             inner = clean.find("{", begin) + 1
             while n := _TS_METHOD.search(clean, inner, stop - 1):
                 b = n.start() + len(n[0]) - len(n[0].lstrip())
                 s = min(_close(clean, n.end() - 1), stop - 1)
+                # the name before a method's own brackets is no call
+                bare = bare[: n.start(1) - begin] + " " * len(n[1]) + bare[n.end(1) - begin :]
                 if n[1] not in _NO_CALL or n[1] == "constructor":
-                    out.append(_chunk(f"Class {name}:\n\n{source[b:s]}", "method", n[1], [n[1]], _brace_calls(clean[b:s])))
+                    methods.append(_chunk(f"Class {name}:\n\n{source[b:s]}", "method", n[1], [n[1]], _brace_calls(bare[b - begin : s - begin])))
                 inner = max(s, n.end())
+        out += [_chunk(source[begin:stop], label, name, [name], _brace_calls(bare)), *methods]
     return out or [_chunk(source, "script", "__main__")]
 
 
@@ -298,8 +302,6 @@ def reference_index(chunks: DataFrame) -> DataFrame:
 def related_code(symbols: DataFrame, references: DataFrame, names: DataFrame, most_references: int = 25, most: int = 100) -> DataFrame:
     """(symbol, place, chunk_id, is_definition): definitions first, then references that
     aren't among them."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("symbol").orderBy("chunk_id")
     defs = symbols.join(names, "symbol", "left_semi").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
     refs = references.join(names, "symbol", "left_semi").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most_references)
@@ -312,10 +314,74 @@ def related_code(symbols: DataFrame, references: DataFrame, names: DataFrame, mo
 def callees(chunks: DataFrame, symbols: DataFrame, most: int = 3) -> DataFrame:
     """(chunk_id, place, callee, callee_chunk): the first different names each chunk
     calls that are defined somewhere, with where."""
-    from pyspark.sql import Window
-
     calls = chunks.select("chunk_id", F.posexplode(F.array_distinct("calls")).alias("at", "callee"))
     found = calls.join(symbols.select(F.col("symbol").alias("callee"), F.col("chunk_id").alias("callee_chunk")), "callee")
     first = found.groupBy("chunk_id", "at", "callee").agg(F.min("callee_chunk").alias("callee_chunk"))
     w = Window.partitionBy("chunk_id").orderBy("at")
     return first.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).select("chunk_id", "place", "callee", "callee_chunk")
+
+
+def outline(files: DataFrame, most_files: int = 500, most: int = 2000, depth: int = 8) -> DataFrame:
+    """(place, line): ``path: symbol`` of the first files (source, defines) and symbols by
+    path and name; deeper folders are left out."""
+    shallow = files.where(F.size(F.split("source", "/")) <= depth)
+    first = shallow.orderBy("source").limit(most_files)
+    lines = first.select("source", F.explode(F.array_sort("defines")).alias("symbol")).orderBy("source", "symbol").limit(most)
+    # at most ``most`` rows are put in order
+    place = F.row_number().over(Window.orderBy("source", "symbol")).cast("long")
+    return lines.select(place.alias("place"), F.concat("source", F.lit(": "), "symbol").alias("line"))
+
+
+def _joined(parts: str, between: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(parts), lambda p: p["x"]), between)
+
+
+def related_text(related: DataFrame, chunks: DataFrame, symbols: DataFrame, names: DataFrame, most_callees: int = 3) -> DataFrame:
+    """(symbol, text) for each of ``names``: its chunks in order with what they call, then
+    where the first names that they call are defined."""
+    rows = related.join(chunks.select("chunk_id", "source", "text", "calls"), "chunk_id")
+    path, body = T.xml_attribute("source"), T.xml_text("text")
+    outgoing = F.when(F.size("calls") > 0, F.concat(F.lit("\nOutgoing calls: "), F.array_join("calls", ", "))).otherwise("")
+    element = F.concat(F.lit('<source_file path="'), path, F.lit('">\n'), body, outgoing, F.lit("\n</source_file>"))
+    main = rows.groupBy("symbol").agg(F.collect_list(F.struct("place", element.alias("x"))).alias("parts")).select("symbol", _joined("parts", "\n\n").alias("main"))
+    called = rows.select("symbol", "place", F.posexplode("calls").alias("at", "callee"))
+    called = called.groupBy("symbol", "callee").agg(F.min(F.struct("place", "at")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("symbol").orderBy("first"))
+    called = called.withColumn("nth", nth).where(F.col("nth") <= most_callees)
+    defined = symbols.groupBy(F.col("symbol").alias("callee")).agg(F.min("chunk_id").alias("chunk_id"))
+    found = called.join(defined, "callee").join(chunks.select("chunk_id", "source", "text"), "chunk_id")
+    element = F.concat(F.lit('<source_file path="'), path, F.lit('" symbol="'), F.col("callee"), F.lit('">\n'), body, F.lit("\n</source_file>"))
+    context = found.groupBy("symbol").agg(F.collect_list(F.struct("nth", element.alias("x"))).alias("parts"))
+    context = context.select("symbol", F.concat(F.lit("\n\n<callee_context>\n"), _joined("parts", "\n\n"), F.lit("\n</callee_context>")).alias("context"))
+    every = names.select("symbol").distinct().join(main, "symbol", "left").join(context, "symbol", "left")
+    text = F.when(F.col("main").isNull(), "No defining or importing chunks found.").otherwise(F.concat("main", F.coalesce("context", F.lit(""))))
+    return every.select("symbol", text.alias("text"))
+
+
+def symbol_xml(related: DataFrame, chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """(symbol, xml) for each of ``names``: its definitions, then each symbol that refers
+    to it once, as a dependency if its file imports the name and as a consumer if not."""
+    rows = related.join(chunks.select("chunk_id", "source", "text", "defines", "imports"), "chunk_id").withColumn("own", F.array_contains("defines", F.col("symbol")))
+    path = T.xml_attribute("source")
+    source = F.concat(F.lit('<source path="'), path, F.lit('" rel="implementation">'), T.xml_text(T.trimmed("text")), F.lit("</source>"))
+    definition = rows.where("own").groupBy("symbol").agg(F.collect_list(F.struct("place", source.alias("x"))).alias("parts")).select("symbol", _joined("parts", "").alias("definition"))
+    others = rows.where("NOT own").withColumn("rel", F.when(F.array_contains("imports", F.col("symbol")), "dependency").otherwise("consumer"))
+    base = F.element_at(F.split("source", "/"), -1)
+    named = others.select("symbol", "place", "rel", base.alias("base"), T.context_snippet("text").alias("context"), F.posexplode("defines").alias("at", "other")).where("other <> ''")
+    first = named.groupBy("symbol", "other").agg(F.min(F.struct("place", "at", "rel", "base", "context")).alias("f"))
+    ref = F.concat(
+        F.lit('<ref rel="'), F.col("f.rel"), F.lit('" path="graph://symbol/'), T.xml_attribute("other"), F.lit('" context="'), T.xml_attribute(F.col("f.context")), F.lit('">'),
+        T.xml_text("other"), F.lit(" (in "), T.xml_text(F.col("f.base")), F.lit(")</ref>"),
+    )
+    refs = first.groupBy("symbol").agg(F.collect_list(F.struct(F.col("f.place").alias("place"), F.col("f.at").alias("at"), ref.alias("x"))).alias("parts")).select("symbol", _joined("parts", "").alias("refs"))
+    seen = rows.select("symbol").distinct().withColumn("seen", F.lit(True))
+    every = names.select("symbol").distinct().join(seen, "symbol", "left").join(definition, "symbol", "left").join(refs, "symbol", "left")
+    name = T.xml_attribute("symbol")
+    whole = F.concat(
+        F.lit('<symbol name="'), name, F.lit('"><definition>'), F.coalesce("definition", F.lit("No defining chunk in index.")), F.lit("</definition><references>"),
+        F.coalesce("refs", F.lit("")), F.lit("</references></symbol>"),
+    )
+    missing = F.concat(F.lit('<symbol name="'), name, F.lit('"><definition>Not found in index.</definition><references/></symbol>'))
+    invalid = F.lit('<symbol name=""><definition>Invalid symbol name.</definition><references/></symbol>')
+    xml = F.when(T.trimmed("symbol") == "", invalid).when(F.col("seen").isNull(), missing).otherwise(whole)
+    return every.select("symbol", xml.alias("xml"))

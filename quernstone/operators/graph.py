@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.storage import Scratch
 
 
 def module_of(path):
@@ -25,18 +26,21 @@ def module_edges(files: DataFrame) -> DataFrame:
     return mods.unionByName(uses).distinct()
 
 
-def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node) that can be reached from ``roots`` over edges (parent, child). The frontier
-    is joined once a step; each step's lineage is cut by a checkpoint."""
-    seen = roots.select("node").distinct()
-    front = seen
-    for _ in range(most_rounds):
-        step = front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
-        front = step.join(seen, "node", "left_anti").checkpoint()
-        if front.isEmpty():
-            return seen.join(nodes, "node", "left_semi")
-        seen = seen.unionByName(front).checkpoint()
-    raise RuntimeError(f"reachability did not settle in {most_rounds} rounds")
+def reachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node) that can be reached from ``roots`` over edges (parent, child), at any depth.
+    The frontier is joined once a step; each step is written, which cuts its lineage. A
+    step reaches at least one more node, so cycles end it."""
+    scratch = Scratch(nodes.sparkSession, "reach")
+    edges = scratch.save(edges.select("parent", "child").distinct(), "edges")
+    seen = scratch.save(roots.select("node").distinct(), "seen-0")
+    front, step = seen, 0
+    while not front.isEmpty():
+        step += 1
+        ahead = front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
+        front = scratch.save(ahead.join(seen, "node", "left_anti"), f"front-{step}")
+        seen = scratch.save(seen.unionByName(front), f"seen-{step}")
+        scratch.drop(f"seen-{step - 1}", f"front-{step - 1}")
+    return seen.join(nodes, "node", "left_semi")
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

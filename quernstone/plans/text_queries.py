@@ -246,7 +246,9 @@ def js1(spark, sf_dir):
     return C.events(spark, sf_dir).select("event_id", items.alias("items"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@register("js2_canonical_hash")
+@register("js2_canonical_hash", """
+SELECT event_id, left(sha256('{"a":"' || event_type || '","b":"' || replace(replace(props, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)) || '"}'), 16) AS args_hash FROM events
+""")
 def js2(spark, sf_dir):
     """Hash of a call's arguments in key order, whatever order they came in."""
     rows = C.events(spark, sf_dir)
@@ -254,6 +256,11 @@ def js2(spark, sf_dir):
     return rows.select("event_id", T.canonical_hash(args).alias("args_hash"))
 
 
+@register("hs1_config_hash", "SELECT sha256('chunk=1024' || chr(10) || 'model=m1' || chr(10) || 'overlap=128') AS config_hash")
+def hs1_config(spark, sf_dir):
+    return spark.range(1).select(T.config_hash({"overlap": "128", "chunk": "1024", "model": "m1"}).alias("config_hash"))
+
+
 @register("hs1_content_hash", r"SELECT doc_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS content_hash FROM documents")
 def hs1(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("content_hash"))
@@ -276,3 +283,82 @@ def str24(spark, sf_dir):
 @register("str16_first_words", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:100], ' ') AS words FROM documents")
 def str16(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(T.words("text"), 1, 100), " ").alias("words"))
+
+
+@register("str16_skill_content", f"""
+WITH w AS (SELECT doc_id, text, {C.WORDS.format('text')} AS w FROM documents)
+SELECT doc_id, md5(CASE WHEN len(w) > {fixed.MAX_SKILL_WORDS} THEN array_to_string(w[1:{fixed.MAX_SKILL_WORDS}], ' ') || '{fixed.TRUNCATION_SUFFIX}' ELSE text END) AS sum FROM w
+""")
+def str16_content(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.skill_content("text")).alias("sum"))
+
+
+@register("str6_token_budget", f"""
+WITH c AS (SELECT doc_id, text, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM documents)
+SELECT doc_id, md5(CASE WHEN n <= 195 THEN text ELSE regexp_extract(text, '^[\\x20\\x09-\\x0D]*([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){{195}}') || '{fixed.TRUNCATION_SUFFIX}' END) AS sum FROM c
+""")
+def str6(spark, sf_dir):
+    """Texts within 199 tokens, words being the tokens; the suffix has four of the 199."""
+    from quernstone.functions.budget import truncated_tokens
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(truncated_tokens(199)("text")).alias("sum"))
+
+
+@register("str20_front_matter_repair", """
+SELECT doc_id, '---' || chr(10) || 'name: ' || source || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'description: "use: ' || lang || '"' || chr(10) || 'tags: ["a: b", ' || lang || ', "#c"]' ELSE 'description: plain' || chr(10) || 'tags: [a, b]' END || chr(10) || '---' || chr(10) || 'body' AS content FROM documents
+""")
+def str20(spark, sf_dir):
+    from quernstone.functions.budget import repaired_front_matter
+
+    even = F.col("doc_id") % 2 == 0
+    head = F.when(even, F.concat(F.lit("description: use: "), "lang", F.lit("\ntags: [a: b, "), "lang", F.lit(", #c]"))).otherwise("description: plain\ntags: [a, b]")
+    content = F.concat(F.lit("---\nname: "), "source", F.lit("\n"), head, F.lit("\n---\nbody"))
+    return table(spark, sf_dir, "documents").select("doc_id", repaired_front_matter(content).alias("content"))
+
+
+@register("str27_meta_cost", """
+SELECT doc_id, chr(10) || chr(10) || '_meta: { "chunks_returned": ' || doc_id || ', "tokens_estimated": ' || length(text) // 4 || ', "cost_avoided_usd": ' || printf('%.6f', (length(text) // 4)::DOUBLE / 1000000 * 3.0) || '}' AS line FROM documents
+""")
+def str27(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.meta_line("chunks_returned", "doc_id", T.token_estimate("text"), 3.0).alias("line"))
+
+
+_COMMANDS = ("git push origin", "git commit -m 'fix it' --amend", "git log", "Cargo.EXE build", "cargo uninstall x", "npm Uninstall y", "rm -rf /", "grep -f x", "git status -F", "ls")
+
+
+@register("flt14_commands", f"""
+WITH c AS (SELECT event_id, ([{_quoted(_COMMANDS)}])[(event_id % {len(_COMMANDS)} + 1)::INT] AS command FROM events),
+w AS (SELECT event_id, command, list_transform(string_split(command, ' '), lambda x: lower(x)) AS w FROM c),
+p AS (SELECT *, lower(regexp_replace(string_split(command, ' ')[1], '[.]exe$', '')) AS program FROM w)
+SELECT event_id, command, program IN ({_quoted(fixed.SHELL_PROGRAMS)}) AS allowed,
+       NOT (program = 'git' AND (w[2] IN ('push', 'clean', 'rebase') OR list_has_any(w[2:], [{_quoted(fixed.BLOCKED_GIT_FLAGS)}]))) AND NOT (program IN ('cargo', 'npm') AND w[2] = 'uninstall') AS safe
+FROM p
+""")
+def flt14(spark, sf_dir):
+    from quernstone.functions import arguments as A
+
+    command = F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.col("event_id") % len(_COMMANDS) + 1).cast("int"))
+    words = A.argv("command")
+    return C.events(spark, sf_dir).select("event_id", command.alias("command")).select("event_id", "command", A.program_allowed(words).alias("allowed"), A.arguments_safe(words).alias("safe"))
+
+
+_CALLS = (
+    ("security_audit", '{"path": "sub/x"}', ()), ("security_audit", '{"path": "../out"}', ("Path not under ALLOWED_ROOTS: ../out",)),
+    ("refresh_file_index", '{"paths": ["/srv/a/b", "/etc", "c/../../d"]}', ("Path not under ALLOWED_ROOTS: /etc", "Path not under ALLOWED_ROOTS: c/../../d")),
+    ("module_graph", '{"workspace_path": " "}', ()), ("module_graph", '{"workspace_path": "/srv/ab"}', ("workspace_path not under ALLOWED_ROOTS: /srv/ab",)),
+    ("get_file_history", '{"other": 1}', ()), ("scan", '{"path": "/etc"}', ()), ("compile_rules", "not json", ()),
+)
+
+
+@register("flt15_tool_arguments", f"""
+WITH c AS (SELECT * FROM (VALUES {', '.join(f"({k}, {_quoted([tool])}, [{_quoted(warnings)}]::VARCHAR[])" for k, (tool, _, warnings) in enumerate(_CALLS))}) t(k, tool, warnings))
+SELECT event_id, tool, len(warnings) = 0 AS valid, warnings FROM events JOIN c ON event_id % {len(_CALLS)} = k
+""")
+def flt15(spark, sf_dir):
+    from quernstone.functions import arguments as A
+
+    nth = (F.col("event_id") % len(_CALLS) + 1).cast("int")
+    pick = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in _CALLS]), nth)
+    rows = C.events(spark, sf_dir).select("event_id", pick(0).alias("tool"), pick(1).alias("arguments"))
+    warned = rows.withColumn("warnings", A.tool_warnings(F.col("tool"), F.col("arguments"), ["/srv/a"]))
+    return warned.select("event_id", "tool", (F.size("warnings") == 0).alias("valid"), "warnings")

@@ -58,9 +58,14 @@ def set1(spark, sf_dir):
     return K.alpaca_merge([one, two, three])
 
 
-@register("set3_last_url", "SELECT url, max_by(page_id, page_id) AS page_id FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS url FROM pages) GROUP BY url")
+@register("set3_last_url", """
+SELECT url, max(page_id) AS page_id FROM (SELECT page_id, trim(url) AS url FROM pages UNION ALL SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) FROM pages) GROUP BY url
+""")
 def set3(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("url", "^(https?://[^/]+)", 1)).alias("url"))
+    """The last page of each address, of pages and of the hosts they lie on."""
+    rows = table(spark, sf_dir, "pages")
+    hosts = rows.select("page_id", F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("url"))
+    rows = rows.select("page_id", "url").unionByName(hosts).select("page_id", F.trim("url").alias("url"))
     return K.keep_one(rows, ["url"], ["page_id"], last=True).select("url", "page_id")
 
 
@@ -80,9 +85,9 @@ def set5(spark, sf_dir):
     return firsts.select("user_id", F.row_number().over(w).cast("long").alias("place"), "event_type")
 
 
-@register("set6_sorted_distinct", f"SELECT doc_id, list_sort(list_distinct({C.TOKENS.format('text')}))[1:20] AS terms FROM documents")
+@register("set6_sorted_distinct", f"SELECT doc_id, list_sort(list_distinct({C.TOKENS.format('text')})) AS terms FROM documents")
 def set6(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.slice(F.array_sort(F.array_distinct(T.tokens("text"))), 1, 20).alias("terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(T.tokens("text"))).alias("terms"))
 
 
 @register("set8_collision_suffix", "SELECT doc_id, CASE WHEN n = 1 THEN source ELSE source || '_' || n END AS id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
@@ -107,6 +112,13 @@ def top1(spark, sf_dir):
     return C.events(spark, sf_dir).orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "event_type")
 
 
+@register("top2_cache_clear", "SELECT event_id, user_id FROM events WHERE false")
+def top2_clear(spark, sf_dir):
+    """No row is kept and none may be old: the cache is emptied."""
+    rows = C.events(spark, sf_dir).select("event_id", "user_id", "ts")
+    return K.pruned_cache(rows, 0, F.expr("TIMESTAMP '2024-03-01'"), "ts", "event_id").select("event_id", "user_id")
+
+
 @register("top2_cache_prune", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' ORDER BY ts DESC, event_id DESC LIMIT 500")
 def top2(spark, sf_dir):
     rows = C.events(spark, sf_dir).select("event_id", "user_id", "ts")
@@ -114,21 +126,23 @@ def top2(spark, sf_dir):
 
 
 @register("jn11_manifest_diff", """
-WITH o AS (SELECT doc_id::VARCHAR AS source, md5(text) AS h FROM documents WHERE doc_id % 10 <> 3), n AS (SELECT doc_id::VARCHAR AS source, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE md5(text) END AS h FROM documents WHERE doc_id % 11 <> 5)
-SELECT coalesce(o.source, n.source) AS source, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' WHEN o.h <> n.h THEN 'changed' ELSE 'unchanged' END AS change FROM o FULL JOIN n ON o.source = n.source
+WITH o AS (SELECT doc_id AS source, md5(quality::VARCHAR) AS h FROM labels), n AS (SELECT doc_id AS source, md5((n_chars % 2)::VARCHAR) AS h FROM documents UNION ALL SELECT vec_id, md5(label::VARCHAR) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents))
+SELECT coalesce(o.source, n.source)::VARCHAR AS source, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' WHEN o.h <> n.h THEN 'changed' ELSE 'unchanged' END AS change FROM o FULL JOIN n ON o.source = n.source
 """)
 def jn11(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("source"), F.md5("text").alias("content_hash"))
-    new = rows.where("doc_id % 11 <> 5").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("content_hash")))
-    return K.manifest_changes(rows.where("doc_id % 10 <> 3"), new)
+    """Labels as the old manifest, documents and the vectors beyond them as the new one."""
+    named = lambda t, key, value: table(spark, sf_dir, t).select(F.col(key).cast("string").alias("source"), F.md5(value.cast("string").cast("binary")).alias("content_hash"))
+    docs = named("documents", "doc_id", F.col("n_chars") % 2)
+    new = docs.unionByName(named("embeddings", "vec_id", F.col("label")).join(docs, "source", "left_anti"))
+    return K.manifest_changes(named("labels", "doc_id", F.col("quality")), new)
 
 
 @register("snk1_replace_by_source", """
-SELECT doc_id, lang, 'old' AS version FROM documents WHERE doc_id % 4 <> 1 UNION ALL SELECT doc_id, lang, 'new' FROM documents WHERE doc_id % 4 = 1
+SELECT doc_id, lang, 'old' AS version FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, quality::VARCHAR, 'new' FROM labels
 """)
 def snk1(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return K.upserted(rows.withColumn("version", F.lit("old")), rows.where("doc_id % 4 = 1").withColumn("version", F.lit("new")), ["doc_id"])
+    new = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("lang"), F.lit("new").alias("version"))
+    return K.upserted(table(spark, sf_dir, "documents").select("doc_id", "lang").withColumn("version", F.lit("old")), new, ["doc_id"])
 
 
 @register("jn4_symbol_lookup", "SELECT l.doc_id, d.lang, l.quality FROM labels l JOIN documents d USING (doc_id)")
@@ -157,10 +171,9 @@ def jn12(spark, sf_dir):
     return gone.unionByName(files.join(listed, "doc_id", "left_anti").withColumn("finding", F.lit("not listed")))
 
 
-@register("jn15_new_files", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 EXCEPT SELECT doc_id FROM documents WHERE doc_id % 2 = 0")
+@register("jn15_new_files", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def jn15(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id")
-    return rows.where("doc_id % 3 <> 0").exceptAll(rows.where("doc_id % 2 = 0"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 _NOW = 1_706_745_600
@@ -288,7 +301,7 @@ def win2(spark, sf_dir):
 
 
 @register("win3_convergence", """
-WITH s AS (SELECT event_id, user_id, ts, (event_id % 100) / 100.0::DOUBLE AS score FROM events),
+WITH s AS (SELECT event_id, user_id, ts, least(abs(value) / 200, 1.0)::DOUBLE AS score FROM events),
 b AS (SELECT *, max(score) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior, greatest(max(score) OVER w, 0.0) AS best, row_number() OVER w AS iteration FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 m AS (SELECT *, CASE WHEN score > coalesce(prior, 0.0) + 1e-6 THEN 1 ELSE 0 END AS better FROM b),
 i AS (SELECT *, sum(better) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM m),
@@ -297,7 +310,7 @@ SELECT event_id, best, stagnation::BIGINT AS stagnation, iteration, CASE WHEN be
 """)
 def win3(spark, sf_dir):
     """WIN3, WIN5."""
-    scores = C.events(spark, sf_dir).select("event_id", "user_id", "ts", ((F.col("event_id") % 100) / 100.0).alias("score"))
+    scores = C.events(spark, sf_dir).select("event_id", "user_id", "ts", F.least(F.abs("value") / 200, F.lit(1.0)).alias("score"))
     return A.convergence(scores, ["user_id"], ["ts", "event_id"], "score").select("event_id", "best", "stagnation", "iteration", "status")
 
 
@@ -359,110 +372,3 @@ def sym4(spark, sf_dir):
     from quernstone.operators.code import plain_calls
 
     return table(spark, sf_dir, "pages").select("page_id", plain_calls(F.col("html")).alias("calls"))
-
-
-#: A small source tree: (path, text).
-TREE = (
-    ("src/lib.rs", "pub mod store;\nmod util;\nuse crate::store::db;\npub fn start() { util::help(); }\n"),
-    ("src/main.rs", "mod cli;\nfn main() { cli::run(1); }\n"),
-    ("src/cli.rs", "use crate::util;\npub fn run(n: i32) { println!(\"{}\", n); }\n"),
-    ("src/util.rs", "pub fn help() {}\n"),
-    ("src/store/mod.rs", "mod db;\nmod inline { pub fn x() {} }\npub struct Store { n: i32 }\nimpl Store { pub fn open() -> Store { db::connect() } }\n"),
-    ("src/store/db.rs", "use crate::util::help;\npub fn connect() { help(); }\n"),
-    ("src/lost.rs", "pub fn never() {}\n"),
-    ("app/main.py", "import os.path\nfrom lib.a import helper\n\nclass A:\n    def go(self):\n        return helper(os.getcwd())\n\ndef run():\n    return A().go()\n"),
-    ("app/view.ts", "import { join } from 'path';\nexport class View {\n  draw(x: number) { return join(x); }\n}\nexport const make = () => new View();\nfunction f() { return make(); }\n"),
-    ("docs/a.md", "intro\n\n# One\ntext\n\n## Two\nmore\n"),
-)
-
-
-def tree(spark):
-    return spark.createDataFrame(list(TREE), "source string, text string")
-
-
-_EDGES = "edges AS (SELECT * FROM (VALUES ('lib','store','mod'),('lib','util','mod'),('lib','store::db','use'),('main','cli','mod'),('cli','util','use'),('store','store::db','mod'),('store::db','util::help','use')) t(parent, child, kind))"
-
-
-@register("gr1_module_graph", f"WITH {_EDGES} SELECT * FROM edges")
-def gr1(spark, sf_dir):
-    from quernstone.operators.graph import module_edges
-
-    return module_edges(tree(spark).where(F.col("source").endswith(".rs")))
-
-
-@register("gr2_unreachable", f"""
-WITH RECURSIVE {_EDGES}, r AS (SELECT unnest(['lib', 'main']) AS node UNION SELECT e.child FROM r JOIN edges e ON e.parent = r.node AND e.kind = 'mod')
-SELECT node FROM (SELECT unnest(['lib', 'main', 'cli', 'util', 'store', 'store::db', 'lost']) AS node) WHERE node NOT IN (SELECT node FROM r)
-""")
-def gr2(spark, sf_dir):
-    """Reached by SQL recursion over the mod edges; the depth is bounded by the nodes."""
-    from quernstone.operators.graph import module_edges, module_of
-
-    files = tree(spark).where(F.col("source").endswith(".rs"))
-    files.select(module_of(F.col("source")).alias("node")).createOrReplaceTempView("qs_nodes")
-    module_edges(files).where("kind = 'mod'").createOrReplaceTempView("qs_edges")
-    return spark.sql("""
-        WITH RECURSIVE r(node, depth) AS (
-          SELECT node, 0 FROM qs_nodes WHERE node IN ('lib', 'main') OR node LIKE 'bin::%'
-          UNION ALL SELECT e.child, r.depth + 1 FROM r JOIN qs_edges e ON e.parent = r.node WHERE r.depth < 50
-        ) SELECT n.node FROM qs_nodes n LEFT ANTI JOIN r ON n.node = r.node""")
-
-
-@register("snk6_mermaid", f"""
-WITH {_EDGES} SELECT 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS graph
-FROM (SELECT DISTINCT '  ' || regexp_replace(parent, '[^A-Za-z0-9_]', '_', 'g') || CASE kind WHEN 'mod' THEN ' --> ' ELSE ' -.-> ' END || regexp_replace(child, '[^A-Za-z0-9_]', '_', 'g') AS line FROM edges)
-""")
-def snk6(spark, sf_dir):
-    from quernstone.operators.graph import mermaid, module_edges
-
-    return mermaid(module_edges(tree(spark).where(F.col("source").endswith(".rs"))))
-
-
-def _tree_chunks(spark):
-    from quernstone.operators.code import chunk_files, code_symbols, extension
-
-    files = tree(spark).withColumn("symbols", code_symbols("text", extension(F.col("source"))))
-    return chunk_files(files.select("source", "text")).join(files.select("source", "symbols.imports"), "source")
-
-
-@register("chk7_chunk_files")
-def chk7(spark, sf_dir):
-    """CHK4 to CHK9: chunks of a small tree by language."""
-    return _tree_chunks(spark).select("chunk_id", "source", "type", "name", "defines", "calls", "text")
-
-
-@register("sym5_symbols")
-def sym5(spark, sf_dir):
-    """SYM1 to SYM3, SYM5, SYM6."""
-    from quernstone.operators.code import code_symbols, extension
-
-    return tree(spark).select("source", code_symbols("text", extension(F.col("source"))).alias("s")).select("source", "s.defines", "s.imports")
-
-
-@register("jn5_related_code")
-def jn5(spark, sf_dir):
-    """JN5, TOP5, GR4."""
-    from quernstone.operators import code
-
-    chunks = _tree_chunks(spark)
-    names = spark.createDataFrame([("help",), ("helper",), ("make",), ("connect",)], "symbol string")
-    return code.related_code(code.symbol_index(chunks), code.reference_index(chunks), names)
-
-
-@register("jn6_callees")
-def jn6(spark, sf_dir):
-    """JN6, GR3, SET7."""
-    from quernstone.operators import code
-
-    chunks = _tree_chunks(spark)
-    return code.callees(chunks, code.symbol_index(chunks))
-
-
-@register("src5_manifest_flatten", """
-SELECT 'rust' AS domain, unnest(['https://a/1', 'https://a/2']) AS url UNION ALL SELECT 'react', 'https://b'
-""")
-def src5(spark, sf_dir):
-    from quernstone.sources.readers import flat_manifest
-
-    doc = '{"rust": ["https://a/1", "https://a/2", "http://no"], "react": "https://b"}'
-    return flat_manifest(spark.createDataFrame([(doc,)], "doc string"), "doc")
