@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 
 import pandas as pd
@@ -70,13 +71,21 @@ def flat_manifest(rows: DataFrame, column: str) -> DataFrame:
     return entries.select("domain", F.explode(urls).alias("url")).where(F.col("url").startswith("https://"))
 
 
-def read_design_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+def read_design_csv(spark: SparkSession, path: str, names: list[str], least: int = 2) -> DataFrame:
+    """Token rows of a CSV file: its first line is a head, a line is cut at every comma,
+    quotes or not, and one with fewer than ``least`` fields is passed over."""
+    lines = spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", True).option("quote", "\u0000").option("escape", "\u0000").option("nullValue", "\u0001")
+    rows = lines.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    return rows.where(F.col(names[least - 1]).isNotNull())
 
 
 def read_skills(spark: SparkSession, root: str) -> DataFrame:
-    """(id, name, description, domain, category, tags, body) of skill texts."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md*").text(root, wholetext=True)
+    """(id, name, description, domain, category, tags, body) of skill texts in a folder
+    and those directly below it."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,mdc}").text(root, wholetext=True)
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z0-9]+:/+", "/")
+    below = F.substring(path, len(re.sub(r"^[a-z0-9]+:/+", "/", root).rstrip("/")) + 2, 2**31 - 1)
+    files = files.where(F.size(F.split(below, "/")) <= 2)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.mdc?$", 1)
     meta = T.front_matter(F.col("value"))
     return files.select(name.alias("id"), *[c.alias(n) for n, c in meta.items()], F.col("value").alias("body"))
