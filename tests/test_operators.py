@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.functions import arguments, budget
 from quernstone.functions import text as T
 from quernstone.operators import analytics, chunking, code, curation, graph, retrieval
 from quernstone.sources.html import html_to_markdown
@@ -158,10 +159,10 @@ def test_ts_chunks():
     assert code.ts_symbols(source)["imports"] == ["join", "path", "split"]
 
 
-def test_reachability(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("d", "e")], "parent string, child string")
-    nodes = spark.createDataFrame([(n,) for n in "abcdef"], "node string")
+def test_reachability(spark):
+    deep = [(f"n{k}", f"n{k + 1}") for k in range(60)]
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("d", "e"), ("c", "n0"), *deep], "parent string, child string")
+    nodes = spark.createDataFrame([(n,) for n in [*"abcdef", *(f"n{k}" for k in range(61))]], "node string")
     roots = spark.createDataFrame([("a",)], "node string")
     assert sorted(r["node"] for r in graph.unreachable(nodes, edges, roots).collect()) == ["d", "e", "f"]
 
@@ -170,3 +171,103 @@ def test_html_to_markdown():
     page = "<html><head><title>t</title></head><body><nav>menu</nav><article><h1>Head</h1><p>A <b>bold</b> <a href='/x'>link</a></p><ul><li>one</li><li>two</li></ul><script>no()</script></article></body></html>"
     assert html_to_markdown(page) == "# Head\n\nA **bold** [link](/x)\n\n- one\n- two"
     assert html_to_markdown(None) == ""
+
+
+CHUNKS = [("a#0", "a", "The fire-wall café stands, fire and wall apart"), ("b#0", "b", "fire wall"), ("b#1", "b", "wall fire of the CAFE\u0301"), ("c#0", "c", "nothing of it")]
+
+
+@pytest.fixture(scope="module")
+def chunks(spark):
+    rows = [(i, s, int(i[-1]), t) for i, s, t in CHUNKS]
+    return spark.createDataFrame(rows, "chunk_id string, source string, chunk_idx int, text string")
+
+
+def asked(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+
+
+def test_words_are_phrases_without_accents(spark, chunks):
+    found = retrieval.bm25(chunks, asked(spark, "fire-wall", "Cafe", "wall fire", "- -", "absent-word"))
+    hits = {}
+    for r in found.collect():
+        hits.setdefault(r["query_id"], set()).add(r["chunk_id"])
+    assert hits == {0: {"a#0", "b#0"}, 1: {"a#0", "b#1"}, 2: {"a#0", "b#0", "b#1"}}
+
+
+def test_searches_by_source_and_fallback(spark, chunks):
+    queries = asked(spark, "fire", "xyzzy")
+    vectors = spark.createDataFrame([("a#0", [1.0, 0.0]), ("b#0", [0.0, 1.0]), ("c#0", [0.6, 0.8])], "id string, embedding array<double>")
+    summaries = spark.createDataFrame([("a", [1.0, 0.0])], "id string, embedding array<double>")
+    vector = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, embedding array<double>")
+    scored = retrieval.bm25(chunks, queries)
+    named = chunks.withColumn("defines", F.when(F.col("chunk_id") == "a#0", F.array(F.lit("S"))).when(F.col("chunk_id") == "c#0", F.array(F.lit("S"))).otherwise(F.array().cast("array<string>")))
+    symbols = named.select(F.explode("defines").alias("symbol"), "chunk_id")
+    found = retrieval.hierarchical(scored, vectors, summaries, queries, vector, named, symbols, 3, 10)
+    # the only summary keeps the search in file a, whose symbol leads to c
+    assert [(r["query_id"], r["chunk_id"]) for r in found.orderBy("query_id", "rank").collect()] == [(0, "a#0"), (0, "c#0")]
+    without = vector.where("query_id = 9")
+    walked = retrieval.hierarchical(scored, vectors, summaries, queries, without, named, symbols, 3, 10)
+    assert {r["chunk_id"] for r in walked.collect()} == {"a#0", "b#0", "b#1", "c#0"}
+    numbered = chunks.withColumn("source", F.ascii("source").cast("long")).withColumn("chunk_id", F.concat(F.col("source").cast("string"), F.lit("#"), F.col("chunk_idx").cast("string")))
+    master = spark.createDataFrame([(98,)], "source long")
+    rows = retrieval.master_search(retrieval.bm25(numbered, queries), vectors, queries, vector, numbered, master, 2).collect()
+    assert {r["chunk_id"] for r in rows if r["query_id"] == 0} == {"98#0", "98#1"}
+    assert sorted((r["rank"], r["chunk_id"]) for r in rows if r["query_id"] == 1) == [(1, "98#0"), (2, "98#1")]
+
+
+@pytest.mark.parametrize("nearest, length, fine", [(0.5, 50, True), (1.0, 500, False), (0.1, 8001, False), (None, 99, False), (None, 100, True), (None, 4000, True), (None, 4001, False)])
+def test_auto_approval(spark, nearest, length, fine):
+    assert one(spark, retrieval.auto_approved(F.col("d").cast("double"), F.col("n")), d=nearest, n=length) is fine
+
+
+@pytest.mark.parametrize("command, allowed, safe", [
+    ("git commit -m 'a --force b'", True, True), ("git commit --Amend", True, False), ("GIT.exe push", True, False), ("npm uninstall x", True, False), ("", False, True), ("'ls' -f", True, True), ("curl x", False, True),
+])
+def test_commands(spark, command, allowed, safe):
+    words = arguments.argv("c")
+    assert one(spark, F.struct(arguments.program_allowed(words).alias("a"), arguments.arguments_safe(words).alias("s")), c=command) == (allowed, safe)
+
+
+@pytest.mark.parametrize("path, expected", [("x/../y", "/r/y"), ("/a//b/./c", "/a/b/c"), ("../..", "/"), (" ", "/r"), ("/", "/")])
+def test_resolved_paths(spark, path, expected):
+    assert one(spark, arguments.resolved(F.col("p"), "/r"), p=path) == expected
+
+
+def test_token_budget():
+    text = " ".join(f"w{k}" for k in range(40))
+    assert budget.within_tokens(text, 44) == text
+    cut = budget.within_tokens(text, 14)
+    assert budget.count_words(cut.removesuffix(T.fixed.TRUNCATION_SUFFIX)) == 10 and cut.endswith(T.fixed.TRUNCATION_SUFFIX)
+    assert budget.within_tokens("a b", 1) == T.fixed.TRUNCATION_SUFFIX and budget.within_tokens("", 5) == ""
+
+
+@pytest.mark.parametrize("head, expected", [
+    ("name: plain\n", None), ("name: a: b\n", 'name: "a: b"'), ("tags: [a: b: c, \"q\", d]\n", 'tags: ["a: b: c", "q", d]'), ("name: @x\n", 'name: "@x"'), ("name: {broken\n", None),
+])
+def test_front_matter_repair(head, expected):
+    content = f"---\n{head}---\nbody"
+    assert budget.repaired(content) == (content if expected is None else f"---\n{expected}\n---\nbody")
+    assert budget.repaired("no head") == "no head" and budget.repaired("---\nopen: a: b") == "---\nopen: a: b"
+
+
+def test_symbol_xml_and_related_text(spark):
+    rows = [("f#0", "d/f.py", "def a(): b()", ["a"], ["b"], ["m"]), ("g#0", "d/g.py", "a() & <x>", ["g", "h"], ["a"], ["a"])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, source string, text string, defines array<string>, calls array<string>, imports array<string>")
+    names = spark.createDataFrame([("a",), ("zz",), (" ",)], "symbol string")
+    related = code.related_code(code.symbol_index(chunks), code.reference_index(chunks), names)
+    xml = {r["symbol"]: r["xml"] for r in code.symbol_xml(related, chunks, names).collect()}
+    assert xml["a"] == (
+        '<symbol name="a"><definition><source path="d/f.py" rel="implementation">def a(): b()</source></definition><references>'
+        '<ref rel="dependency" path="graph://symbol/g" context="a() &amp; &lt;x&gt;">g (in g.py)</ref><ref rel="dependency" path="graph://symbol/h" context="a() &amp; &lt;x&gt;">h (in g.py)</ref></references></symbol>'
+    )
+    assert "Not found in index." in xml["zz"] and "Invalid symbol name." in xml[" "]
+    text = {r["symbol"]: r["text"] for r in code.related_text(related, chunks, code.symbol_index(chunks), names).collect()}
+    assert text["a"].startswith('<source_file path="d/f.py">\ndef a(): b()\nOutgoing calls: b\n</source_file>\n\n<source_file path="d/g.py">')
+    assert text["a"].endswith('<callee_context>\n<source_file path="d/f.py" symbol="a">\ndef a(): b()\n</source_file>\n</callee_context>')
+    assert text["zz"] == "No defining or importing chunks found."
+
+
+def test_outline_stops(spark):
+    rows = [(f"a/{k}.py", ["y", "x"]) for k in range(4)] + [("/".join("abcdefghi") + ".py", ["deep"])]
+    files = spark.createDataFrame(rows, "source string, defines array<string>")
+    assert [r["line"] for r in code.outline(files, 3, 5, 8).orderBy("place").collect()] == ["a/0.py: x", "a/0.py: y", "a/1.py: x", "a/1.py: y", "a/2.py: x"]

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quernstone.sources import readers, sinks
@@ -90,3 +91,47 @@ def test_windowed_counts(spark, tmp_path):
     query = incremental.windowed_counts(stream).writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(90)
     assert [r["n"] for r in spark.sql("SELECT * FROM counted").collect()] == [2]
+
+
+def test_index_tables_change_together(spark, tmp_path):
+    root = str(tmp_path / "index")
+    rows = lambda *x: spark.createDataFrame(list(x), "source string, n int")
+    assert sinks.read_index(spark, root, "chunks") is None
+    sinks.write_index(spark, root, {"chunks": rows(("a", 1), ("b", 2)), "refs": rows(("b", 3))})
+    # a table that can't be written leaves the whole version out of force
+    broken = rows(("a", 9)).withColumn("n", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_index(spark, root, {"chunks": rows(("a", 9)), "refs": broken})
+    assert sorted(map(tuple, sinks.read_index(spark, root, "chunks").collect())) == [("a", 1), ("b", 2)]
+    sinks.write_index(spark, root, {"chunks": rows(("a", 9)), "refs": rows(("a", 8))}, gone=spark.createDataFrame([("b",)], "source string"))
+    assert [tuple(sinks.read_index(spark, root, n).first()) for n in ("chunks", "refs")] == [("a", 9), ("a", 8)]
+    assert sinks.read_index(spark, root, "refs").count() == 1 and sinks.current_version(spark, root) == 2
+
+
+def test_log_files_are_bounded(spark, tmp_path):
+    rows = spark.range(2000).select("id", F.lit("x" * 100).alias("text"))
+    sinks.append_log(rows, str(tmp_path / "log"), most_bytes=64 * 1024)
+    sizes = [f.stat().st_size for f in (tmp_path / "log").glob("part-*")]
+    assert len(sizes) == 4 and max(sizes) < 70 * 1024 and spark.read.json(str(tmp_path / "log")).count() == 2000
+
+
+def test_design_csv_is_cut_at_every_comma(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('a,b,c\n"x,y",1\nalone\n1,2,3,4\n,e,\n')
+    rows = readers.read_design_csv(spark, str(tmp_path), ["a", "b", "c"]).collect()
+    assert sorted((r["a"] or "", r["b"], r["c"] or "") for r in rows) == sorted([('"x', 'y"', "1"), ("1", "2", "3"), ("", "e", "")])
+
+
+def test_skills_lie_at_most_one_folder_down(spark, tmp_path):
+    for place in ("a.md", "d/b.mdc", "d/e/c.md", "x.txt"):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / place).write_text("# T\nline\n")
+    assert sorted(r["id"] for r in readers.read_skills(spark, str(tmp_path)).collect()) == ["a", "b"]
+
+
+def test_changed_sources(spark):
+    from quernstone.functions import text as T
+
+    rows = spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "three")], "source string, text string")
+    manifest = rows.where("source <> 'c'").withColumn("text", F.when(F.col("source") == "b", "old").otherwise(F.col("text"))).select("source", T.content_hash("text").alias("content_hash"))
+    fresh, gone = incremental.changed_sources(rows, manifest.unionByName(spark.createDataFrame([("z", "h")], "source string, content_hash string")))
+    assert sorted(r["source"] for r in fresh.collect()) == ["b", "c"] and [r["source"] for r in gone.collect()] == ["z"]
