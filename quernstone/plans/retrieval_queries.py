@@ -95,14 +95,14 @@ def ret1(spark, sf_dir):
 WITH {C.CHUNKS_SQL}, pairs AS MATERIALIZED (
   SELECT item_id, generate_subscripts(w, 1) AS k, w FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
 ), queries AS MATERIALIZED (
-  SELECT item_id AS query_id, string_agg(upper(w[k]) || '-' || w[k + 1], ' ' ORDER BY k) AS text FROM pairs WHERE k < len(w) GROUP BY item_id
+  SELECT item_id AS query_id, string_agg(w[k] || '-' || w[k + 1], ' ' ORDER BY k) AS text FROM pairs WHERE k < len(w) GROUP BY item_id
 ), {C.BM25_SQL}
 SELECT query_id, rank, chunk_id, bm25, 1.0 / (rank + 20.0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 7
 """)
 def ret1_phrases(spark, sf_dir):
     """RET1 with hyphenated words: each two neighbouring words of an item are a phrase."""
     words = F.split("text", " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.concat(F.upper(F.element_at(words, k)), F.lit("-"), F.element_at(words, k + 1)))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.concat(F.element_at(words, k), F.lit("-"), F.element_at(words, k + 1)))
     asked = C.queries(spark, sf_dir).where(F.size(words) > 1).select("query_id", F.array_join(pairs, " ").alias("text"))
     return R.keyword_topk(C.chunks(spark, sf_dir), asked, 7)
 
