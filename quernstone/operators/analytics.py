@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import fixed
+from quernstone.storage import Scratch
 
 
 def bucket_of(value: Column, bounds=fixed.HISTOGRAM_BOUNDS) -> Column:
@@ -34,12 +35,33 @@ def bucket_percentile(hist: DataFrame, keys: list[str], percent: int) -> DataFra
     return first.select(*keys, F.col("_all").alias("n"), mean.alias("average"), F.coalesce("bound", mean).alias("percentile"))
 
 
+def placed_in_group(rows: DataFrame, keys: list[str], order: list[str], place: str = "place") -> DataFrame:
+    """Adds each row's place (from 1) in its group. A group may hold most of all rows:
+    ranges of groups and order are dealt by sampled bounds and numbered apart, and only
+    their counts are summed, one row for each range and each group in it."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "places")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.save(rows.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    same = F.col("_range") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return dealt.withColumn("_at", within).join(bases, same).withColumn(place, F.col("_base") + F.col("_at")).select(*rows.columns, place)
+
+
 def exact_percentile(rows: DataFrame, keys: list[str], value: str, share: float = 0.95) -> DataFrame:
     """The value at floor(n * share), counted from 0, in ascending order."""
-    w = Window.partitionBy(*keys)
-    placed = rows.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(value)))
-    at = F.least(F.floor(F.col("_n") * share), F.col("_n") - 1)
-    return placed.where(F.col("_r") - 1 == at).select(*keys, F.col("_n").alias("n"), F.col(value).alias("percentile"))
+    placed = placed_in_group(rows.select(*keys, value), keys, [value], "_place")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    at = F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    same = F.col("_place") - 1 == at
+    for k in keys:
+        same = same & placed[k].eqNullSafe(sizes[k])
+    return placed.join(sizes, same).select(*[placed[k] for k in keys], "n", F.col(value).alias("percentile"))
 
 
 def rate(part: Column, whole: Column) -> Column:

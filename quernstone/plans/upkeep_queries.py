@@ -92,8 +92,9 @@ def set6(spark, sf_dir):
 
 @register("set8_collision_suffix", "SELECT doc_id, CASE WHEN n = 1 THEN source ELSE source || '_' || n END AS id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
 def set8(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(n == 1, F.col("source")).otherwise(F.concat("source", F.lit("_"), n.cast("string"))).alias("id"))
+    n = F.col("n")
+    placed = A.placed_in_group(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], ["doc_id"], "n")
+    return placed.select("doc_id", F.when(n == 1, F.col("source")).otherwise(F.concat("source", F.lit("_"), n.cast("string"))).alias("id"))
 
 
 @register("top3_keep_last", "SELECT conv_id * 1000 + turn AS pos, role FROM conversations ORDER BY 1 DESC LIMIT 100")

@@ -271,3 +271,18 @@ def test_outline_stops(spark):
     rows = [(f"a/{k}.py", ["y", "x"]) for k in range(4)] + [("/".join("abcdefghi") + ".py", ["deep"])]
     files = spark.createDataFrame(rows, "source string, defines array<string>")
     assert [r["line"] for r in code.outline(files, 3, 5, 8).orderBy("place").collect()] == ["a/0.py: x", "a/0.py: y", "a/1.py: x", "a/1.py: y", "a/2.py: x"]
+
+
+def test_places_in_groups(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("aaab"), rng.randrange(50), k) for k in range(400)] + [(None, 1, 900), (None, 0, 901)]
+    table = spark.createDataFrame(rows, "g string, v int, id int").repartition(3)
+    expected = {}
+    for g in {r[0] for r in rows}:
+        for place, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1):
+            expected[r[2]] = place
+    assert {r["id"]: r["place"] for r in analytics.placed_in_group(table, ["g"], ["v", "id"]).collect()} == expected
+    found = {r["g"]: (r["n"], r["percentile"]) for r in analytics.exact_percentile(table, ["g"], "v", 0.5).collect()}
+    for g in ("a", "b", None):
+        values = sorted(r[1] for r in rows if r[0] == g)
+        assert found[g] == (len(values), values[min(len(values) // 2, len(values) - 1)])
