@@ -144,15 +144,16 @@ def hydrated(found: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame
     return found.join(rows, id_col)
 
 
-def expanded(found: DataFrame, chunks: DataFrame, symbols: DataFrame, first_rows: int, per_row: int, most: int) -> DataFrame:
+def expanded(found: DataFrame, chunks: DataFrame, symbols: DataFrame, first_rows: int, per_row: int, most: int, rows: int) -> DataFrame:
     """(query_id, chunk_id, place): definitions of the symbols that the found chunks
-    define, in order of first sight, without those found already."""
+    define, in order of first sight, without those found already. A query has at most
+    ``rows`` found chunks."""
     seen = found.select("query_id", "rank", "chunk_id")
     head = seen.where(F.col("rank") <= first_rows).join(chunks.select("chunk_id", "defines"), "chunk_id")
     names = head.select("query_id", "rank", F.posexplode(F.slice("defines", 1, per_row)).alias("at", "symbol"))
-    # of a symbol only as many chunks can count as are found, taken before, or wanted
-    longest = seen.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0)))
-    symbols = ranked(symbols.distinct(), F.col("chunk_id"), "chunk_id", 2**31 - 1, by="symbol").where(F.col("rank") <= longest.scalar() + 2 * most).drop("rank")
+    # of a symbol only as many chunks can count as are found, taken before, or wanted; the
+    # bound is a constant, so tasks keep no more of a frequent symbol before the shuffle
+    symbols = ranked(symbols.distinct(), F.col("chunk_id"), "chunk_id", rows + 2 * most, by="symbol").drop("rank")
     hits = names.join(symbols.withColumnRenamed("chunk_id", "other"), "symbol")
     new = hits.join(seen.select("query_id", F.col("chunk_id").alias("other")), ["query_id", "other"], "left_anti")
     first = new.groupBy("query_id", "other").agg(F.min(F.struct("rank", "at", "other")).alias("key"))
@@ -168,9 +169,9 @@ def hybrid(scored: DataFrame, vectors: DataFrame, asked: DataFrame, k: int, sour
     return fused([words, near], k).withColumnRenamed("id", "chunk_id")
 
 
-def with_expansion(found: DataFrame, chunks: DataFrame, symbols: DataFrame, first_rows: int, per_row: int, most: int) -> DataFrame:
+def with_expansion(found: DataFrame, chunks: DataFrame, symbols: DataFrame, first_rows: int, per_row: int, most: int, rows: int) -> DataFrame:
     """(query_id, rank, chunk_id): what was found, then the definitions it leads to."""
-    more = expanded(found, chunks, symbols, first_rows, per_row, most)
+    more = expanded(found, chunks, symbols, first_rows, per_row, most, rows)
     last = found.groupBy("query_id").agg(F.max("rank").alias("_last"))
     more = more.join(last, "query_id").select("query_id", (F.col("place") + F.col("_last")).alias("rank"), "chunk_id")
     return found.select("query_id", "rank", "chunk_id").unionByName(more)
@@ -179,7 +180,7 @@ def with_expansion(found: DataFrame, chunks: DataFrame, symbols: DataFrame, firs
 def graph_walk(scored: DataFrame, vectors: DataFrame, asked: DataFrame, chunks: DataFrame, symbols: DataFrame, k: int, most: int) -> DataFrame:
     """Hybrid search, then the definitions that all its rows lead to."""
     found = hybrid(scored, vectors, asked, k)
-    return with_expansion(found, chunks, symbols, k, 3, most)
+    return with_expansion(found, chunks, symbols, k, 3, most, k)
 
 
 def hierarchical(scored: DataFrame, vectors: DataFrame, summaries: DataFrame, queries: DataFrame, asked: DataFrame, chunks: DataFrame, symbols: DataFrame, k: int, most: int) -> DataFrame:
@@ -189,7 +190,7 @@ def hierarchical(scored: DataFrame, vectors: DataFrame, summaries: DataFrame, qu
     scratch = Scratch(queries.sparkSession, "hierarchical")
     top = vector_topk(summaries, asked, 5).select("query_id", F.col("id").alias("source"))
     found = scratch.save(hybrid(scored, vectors, asked, k, top), "found")
-    inside = with_expansion(found, chunks, symbols, 10, 3, most)
+    inside = with_expansion(found, chunks, symbols, 10, 3, most, k)
     others = scratch.save(queries.select("query_id").join(found, "query_id", "left_anti"), "others")
     if others.isEmpty():
         return inside

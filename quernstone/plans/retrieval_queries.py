@@ -295,7 +295,7 @@ def ret10(spark, sf_dir):
 @register("ret8_symbol_expansion", f"WITH {_FUSED}, {C.DEFINES_SQL}, {C.expanded_sql('more', 'fused', 10, 10)} SELECT * FROM more_extra")
 def ret8(spark, sf_dir):
     chunks = C.defining(C.chunks(spark, sf_dir))
-    return R.expanded(_hybrid(spark, sf_dir), chunks, C.symbols(chunks), 10, 3, 10)
+    return R.expanded(_hybrid(spark, sf_dir), chunks, C.symbols(chunks), 10, 3, 10, 7)
 
 
 @register("ret7_graph_walk", f"WITH {_FUSED}, {C.DEFINES_SQL}, {C.expanded_sql('more', 'fused', 7, 10)} SELECT query_id, rank, id AS chunk_id FROM more")
@@ -328,6 +328,20 @@ def jn14(spark, sf_dir):
     return R.with_details(found.join(web.select("chunk_id", "source"), "chunk_id").select("query_id", "rank", "chunk_id", "source"), web)
 
 
+@register("ret14_reasoning", f"""
+WITH {_FUSED}, f AS (SELECT query_id, rank, chunk_id, source FROM fused JOIN chunk_rows ON id = chunk_id WHERE rank <= 5),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS nth FROM f),
+t AS (SELECT source, chunk_id, row_number() OVER (PARTITION BY source ORDER BY chunk_idx) AS part FROM chunk_rows)
+SELECT query_id, rank, 0::BIGINT AS part, chunk_id FROM o UNION ALL SELECT o.query_id, o.rank, t.part, t.chunk_id FROM o JOIN t USING (source) WHERE o.nth = 1 AND t.part <= 3
+""")
+def ret14(spark, sf_dir):
+    """Hybrid search cut to five, then the first three details of each source found."""
+    chunks = C.chunks(spark, sf_dir)
+    web = chunks.withColumn("source", F.concat(F.lit("https://d/"), F.col("source").cast("string")))
+    found = _hybrid(spark, sf_dir).where(F.col("rank") <= 5).join(web.select("chunk_id", "source"), "chunk_id")
+    return R.with_details(found.select("query_id", "rank", "chunk_id", "source"), web)
+
+
 @register("str29_context_blocks", f"""
 WITH {_KEYWORD}, {C.VECTORS_SQL}, {C.words_sql('words')}, {C.fused_sql('fused', 'words', 'near', 5)}, e AS (
   SELECT query_id, rank, '<source_file path="' || source || '" last_verified_date="2024-01-01">' || chr(10) || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) || '</source_file>' AS x

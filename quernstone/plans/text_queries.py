@@ -362,3 +362,16 @@ def flt15(spark, sf_dir):
     rows = C.events(spark, sf_dir).select("event_id", pick(0).alias("tool"), pick(1).alias("arguments"))
     warned = rows.withColumn("warnings", A.tool_warnings(F.col("tool"), F.col("arguments"), ["/srv/a"]))
     return warned.select("event_id", "tool", (F.size("warnings") == 0).alias("valid"), "warnings")
+
+
+@register("ar1_arrays", f"""
+WITH t AS (SELECT doc_id, {C.TOKENS.format('text')} AS w FROM documents)
+SELECT doc_id, list_contains(w, 'the') AS has, list_has_any(w, ['und', 'de']) AS meets, w[1:3] AS first_, list_position(w, 'the')::BIGINT AS at_ FROM t
+""")
+def ar1(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("w"))
+    the = F.array_position("w", "the")
+    return words.select(
+        "doc_id", F.array_contains("w", "the").alias("has"), F.arrays_overlap("w", F.array(F.lit("und"), F.lit("de"))).alias("meets"),
+        F.slice("w", 1, 3).alias("first_"), F.when(the > 0, the).alias("at_"),
+    )
