@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from functools import lru_cache
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +20,19 @@ __all__ = ["Scratch", "intermediates", "shared_dir"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@lru_cache(maxsize=1)
+def single_threaded() -> bool:
+    """Has numpy's matrix products run on one thread in this process. A task has one core;
+    a second thread mostly waits for the first, and its waiting takes CPU time as well."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            with contextlib.suppress(AttributeError):
+                getattr(library, name)(1)
+                return True
+    return False
+
+
 def free_name(columns: list[str], base: str) -> str:
     """``base``, with underscores added until no column has the name in any case."""
     taken = {c.lower() for c in columns}

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Scratch, crc_of_id, smallest_hashes
+from quernstone.llm.common import Scratch, crc_of_id, single_threaded, smallest_hashes
 
 #: White space never occurs in a word, so this can't be one.
 END = b"\n"
@@ -62,7 +62,7 @@ def words_of(text: str | None) -> list[bytes]:
     return words
 
 
-def count_words(docs: DataFrame, most: int = 300_000) -> DataFrame:
+def count_words(docs: DataFrame, most: int = 600_000) -> DataFrame:
     """(word, n) over all texts; each task sums what it reads before anything moves."""
 
     def rows(batches):
@@ -80,14 +80,18 @@ def count_words(docs: DataFrame, most: int = 300_000) -> DataFrame:
 
 
 class Classes(dict):
-    """Fine class of each word; others than the given ones go by their ending."""
+    """Fine class of each word; others than the given ones go by their ending, and the
+    first ``most`` of them are kept for their next occurrence."""
 
-    def __init__(self, own: dict[bytes, int], first: int, endings: int):
+    def __init__(self, own: dict[bytes, int], first: int, endings: int, most: int = 400_000):
         super().__init__(own)
-        self.first, self.endings = first, endings
+        self.first, self.endings, self.most = first, endings, most
 
     def __missing__(self, word: bytes) -> int:
-        return self.first + zlib.crc32(word[-2:]) % self.endings
+        found = self.first + zlib.crc32(word[-2:]) % self.endings
+        if len(self) < self.most:
+            self[word] = found
+        return found
 
 
 def _contexts(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +107,8 @@ def _contexts(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _gather(into: np.ndarray, seen: np.ndarray, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
     """An Adagrad step on the rows ``at``, gradients of one row summed first."""
-    order = np.argsort(at, kind="stable")
+    # numbers of 16 bits are sorted much faster
+    order = np.argsort(at.astype(np.min_scalar_type(len(seen))), kind="stable")
     ordered = at[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     rows = ordered[starts]
@@ -351,6 +356,7 @@ def train(scratch: Scratch, docs: DataFrame, shape: Shape = Shape()) -> tuple[Da
         shared_model = spark.sparkContext.broadcast((model, own))
 
         def rows(batches):
+            single_threaded()
             model, own = shared_model.value
             model.parts, model.seen, model.trained = [p.copy() for p in model.parts], [s.copy() for s in model.seen], 0
             classes, rng = Classes(own, first, shape.endings), np.random.default_rng(shape.seed)
@@ -371,7 +377,24 @@ def train(scratch: Scratch, docs: DataFrame, shape: Shape = Shape()) -> tuple[Da
     return counts, fitted
 
 
-SCORED = "rid long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, model double, word binary, tf long"
+SCORED = "rid long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>"
+
+
+class Known(dict):
+    """Number of each word sent; of others -1 less their class."""
+
+    def __init__(self, fitted: Trained):
+        super().__init__((w, k) for k, w in enumerate(fitted.sent))
+        self.classes = fitted.classes()
+        #: by number, then by -1 less the class: fine class, and log10(count + 1) or -1
+        n = len(self)
+        tail = np.arange(self.classes.first + self.classes.endings - 1, -1, -1)
+        self.fine = np.concatenate([np.fromiter(map(self.classes.__getitem__, fitted.sent), np.int32, n), tail]).astype(np.int32)
+        self.logs = np.concatenate([np.log10(np.fromiter(fitted.sent.values(), "f8", n) + 1), np.full(len(tail), -1.0)])
+
+    def __missing__(self, word: bytes) -> int:
+        # a word with a class of its own is among those sent, the end token aside
+        return -1 - (self.classes.first + zlib.crc32(word[-2:]) % self.classes.endings if word != END else 0)
 
 
 def score_documents(docs: DataFrame, held_out, shape: Shape = Shape()) -> DataFrame:
@@ -384,54 +407,54 @@ def score_documents(docs: DataFrame, held_out, shape: Shape = Shape()) -> DataFr
     base = math.log10(fitted.n + fitted.v + 1)
 
     def rows(batches):
+        single_threaded()
         fitted = sent.value
-        classes, known = fitted.classes(), fitted.sent
+        known = Known(fitted)
         a, c, z = fitted.model.tables()
         log_sums = np.log10(fitted.sums)
-        whole = len(known) == fitted.v  # no word is left to join
-        # per word sent: log10(count + 1); words not sent are told apart by -1
+        whole = len(fitted.sent) == fitted.v  # no word is left to join
         inner = fitted.model.inner
-        logs = {w: math.log10(n + 1) for w, n in known.items()}
         for batch in batches:
-            out, rare, held_back, number = [], [], [], 0
+            out, held, number = [], [], 0
 
             def step() -> None:
-                """Adds the second level's part to the documents held back."""
-                v, w = (np.concatenate(x) for x in zip(*held_back, strict=True))
-                parts = np.add.reduceat(fitted.model.within(v, w), np.cumsum([0, *(len(x) for _, x in held_back[:-1])]))
-                for k, part in enumerate(parts, len(out) - len(held_back)):
-                    out[k][6] += float(part)
-
-            for rid, doc, held, text in zip(batch["rid"], batch["doc_id"], batch["held_out"], batch["text"], strict=True):
-                words = words_of(text)
-                fine = np.fromiter(map(classes.__getitem__, words), np.int32, len(words))
-                own = np.array([logs.get(w, -1.0) for w in words])
-                new = own < 0
+                """Sums over the tokens of the documents held; each closes with the end
+                token, so no context reaches into the next."""
+                at = np.concatenate(held)
+                fine, own, new = known.fine[at], known.logs[at], at < 0
                 u, v, w = _contexts(inner.coarse[fine], 0)
                 shared = inner.rest[fine]
-                score = float((a[u, w].astype("f8") + c[v, w] - z[u, v]).sum()) - float(log_sums[w[shared]].sum()) + float(own[shared & ~new].sum())
-                out.append([rid, doc, held, len(words), int((~new).sum()), float(own[~new].sum()) - len(words) * base, score, None, None])
-                held_back.append(_contexts(fine, 0)[1:])
+                score = a[u, w].astype("f8") + c[v, w] - z[u, v]
+                score[shared] -= log_sums[w[shared]]
+                score[shared & ~new] += own[shared & ~new]
+                score += fitted.model.within(*_contexts(fine, 0)[1:])
+                own[new] = 0
+                starts = np.cumsum([0, *map(len, held[:-1])])
+                sums = [np.add.reduceat(x, starts).tolist() for x in (~new, own, score)]
+                for row, n, plain, total in zip(out[-len(held) :], *sums, strict=True):
+                    row[4:7] = n, plain - row[3] * base, total
+
+            for rid, doc, held_out, text in zip(batch["rid"], batch["doc_id"], batch["held_out"], batch["text"], strict=True):
+                words = words_of(text)
+                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                rare = [] if whole else [words[k] for k in np.flatnonzero(at < 0).tolist()]
+                out.append([rid, doc, held_out, len(words), 0, 0.0, 0.0, rare])
+                held.append(at)
                 number += len(words)
                 if number >= 262_144:
                     step()
-                    held_back, number = [], 0
-                if not whole and new.any():
-                    for word, tf in Counter(words[k] for k in np.flatnonzero(new)).items():
-                        rare.append((rid, None, None, None, None, None, None, word, tf))
-            if held_back:
+                    held, number = [], 0
+            if held:
                 step()
-            frame = pd.DataFrame(out + rare, columns=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "word", "tf"])
-            yield frame.astype({"held_out": "boolean", "n_tokens": "Int64", "n_known": "Int64", "tf": "Int64"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
 
     # ids as text: a column of whole numbers with nulls would reach pandas as floats
     named = docs.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("rid", F.monotonically_increasing_id())
-    made = scratch.save(named.mapInPandas(rows, SCORED).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "scored")
-    main = made.where("word IS NULL").drop("word", "tf")
+    main = scratch.save(named.mapInPandas(rows, SCORED).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "scored")
     # for words not sent, the same term is missing in both scores; they belong to the rest of a shared class
-    rare = made.where("word IS NOT NULL").select("rid", "word", "tf").join(counts, "word")
-    rare = rare.groupBy("rid").agg(F.sum("tf").alias("_tf"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("_log"))
-    both = main.join(rare, "rid", "left")
+    rare = main.select("rid", F.explode("rare").alias("word")).join(counts, "word")
+    rare = rare.groupBy("rid").agg(F.count("*").alias("_tf"), F.sum(F.log10(F.col("n") + 1)).alias("_log"))
+    both = main.drop("rare").join(rare, "rid", "left")
     add = F.coalesce(F.col("_log"), F.lit(0.0))
     return both.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce(F.col("_tf"), F.lit(0))).alias("n_known"),
