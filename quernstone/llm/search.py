@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Scratch, smallest_hashes
+from quernstone.llm.common import Scratch, single_threaded, smallest_hashes
 from quernstone.llm.vectors import usable
 
 
@@ -142,8 +142,11 @@ def look(points: np.ndarray, vectors: np.ndarray, queries: np.ndarray, turned: n
             names = np.concatenate([rows[who], np.broadcast_to(leaves[one], found.shape)], axis=1)
             top = np.argsort(-both, axis=1, kind="stable")[:, :keep]
             scores[who], rows[who] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
-    q, at = np.nonzero((rows >= 0) & (scores >= bound[:, None]))
-    return q, rows[q, at], scores[q, at]
+    # a product's last bits depend on the rows it is taken with, so near the bound all stay
+    # and what stays is computed row by row
+    q, at = np.nonzero((rows >= 0) & (scores >= (bound - 1e-9 * np.maximum(1, np.abs(bound)))[:, None]))
+    at = rows[q, at]
+    return q, at, np.einsum("ij,ij->i", queries[q], vectors[at])
 
 
 def nearest(vectors: DataFrame, search: Search = Search(), every: int = 20) -> DataFrame:
@@ -172,6 +175,7 @@ def nearest(vectors: DataFrame, search: Search = Search(), every: int = 20) -> D
     nodes = split_sample(projected(np.array([r["vector"] for r in chosen], dtype="f8").reshape(-1, dim)), cells)
 
     def place_rows(batches):
+        single_threaded()
         for batch in batches:
             x = np.array(batch["vector"].tolist(), dtype="f8").reshape(-1, dim)
             p = projected(x)
@@ -213,6 +217,7 @@ def nearest(vectors: DataFrame, search: Search = Search(), every: int = 20) -> D
             return pd.DataFrame(out, columns=["query_id", "query", "bound", "cell", "cut", "slice"])
 
         def rows(batches):
+            single_threaded()
             for batch in batches:
                 for at in range(0, len(batch), chunk):
                     yield some_rows(batch.iloc[at : at + chunk])
@@ -220,6 +225,7 @@ def nearest(vectors: DataFrame, search: Search = Search(), every: int = 20) -> D
         return rows
 
     def search_cell(key, here: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        single_threaded()
         out: list[tuple] = []
         if len(here) and len(asking):
             x = np.array(here["vector"].tolist(), dtype="f8")

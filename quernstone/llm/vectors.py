@@ -25,13 +25,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Scratch, connected, dealt_blocks, meeting
+from quernstone.llm.common import Scratch, connected, dealt_blocks, meeting, single_threaded
 
 
 @dataclass(frozen=True)
@@ -157,6 +158,33 @@ def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
+BLOCK = ["kind", "gid", "i", "j"]
+
+
+def whole_blocks(batches, most: int):
+    """Frames of whole blocks, numbered in ``_block``, of ``most`` rows or fewer or of one
+    block; the rows of a block follow each other in ``batches``."""
+    held = None
+    for batch in chain(batches, [None]):
+        last = batch is None
+        if not last:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if held is None or not len(held) or not last and len(held) < most:
+            continue
+        key = held[BLOCK].to_numpy(np.int64)
+        head = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
+        held = held.assign(_block=head.cumsum())
+        starts, at = np.flatnonzero(head), 0
+        # the last block may go on in the next batch
+        ends = np.append(starts[1:], len(held)) if last else starts[1:]
+        while len(ends) and ends[-1] > at:
+            fits = ends[(ends > at) & (ends <= at + most)]
+            until = int(fits[-1] if len(fits) else ends[ends > at][0])
+            yield held.iloc[at:until]
+            at = until
+        held = held.iloc[at:].reset_index(drop=True)
+
+
 FOUND = "a long, b long, n long"
 
 
@@ -191,33 +219,11 @@ def compared(placed: DataFrame, near: Near, bits: int, bands: int) -> DataFrame:
         return pd.concat(out).astype({"b": "Int64"})
 
     def rows(batches):
-        held, width = None, ["kind", "gid", "i", "j"]
-        for batch in batches:
-            if not len(batch):
-                continue
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            block = (held[width] != held[width].shift()).any(axis=1).cumsum().to_numpy()
-            held["_block"] = block
-            starts = np.flatnonzero(np.diff(block, prepend=0))
-            at = 0
-            # the last block may go on in the next batch
-            while starts[-1] - at >= near.block:
-                fits = starts[(starts > at) & (starts - at <= near.block)]
-                until = int(fits[-1] if len(fits) else starts[starts > at][0])
-                yield some_blocks(held.iloc[at:until])
-                at = until
-            held = held.iloc[at:]
-        if held is not None:
-            block = (held[width] != held[width].shift()).any(axis=1).cumsum()
-            starts = np.append(np.flatnonzero(np.diff(block, prepend=0)), len(held))
-            at = 0
-            while at < len(held):
-                fits = starts[(starts > at) & (starts - at <= near.block)]
-                until = int(fits[-1] if len(fits) else starts[starts > at][0])
-                yield some_blocks(held.iloc[at:until].assign(_block=block.iloc[at:until]))
-                at = until
-
-    return placed.repartition("kind", "gid", "i", "j").sortWithinPartitions("kind", "gid", "i", "j").mapInPandas(rows, FOUND)
+        single_threaded()
+        for part in whole_blocks(batches, near.block):
+            yield some_blocks(part)
+
+    return placed.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInPandas(rows, FOUND)
 
 
 def near_groups(vectors: DataFrame, near: Near = Near()) -> DataFrame:
@@ -229,6 +235,7 @@ def near_groups(vectors: DataFrame, near: Near = Near()) -> DataFrame:
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("head"), F.count("*").alias("n"))
 
     def coded(batches):
+        single_threaded()
         for batch in batches:
             for _, some in batch.groupby(batch["embedding"].map(len)):
                 codes, factor = codes_of(_unit(_matrix(some["embedding"])), near)
@@ -242,6 +249,7 @@ def near_groups(vectors: DataFrame, near: Near = Near()) -> DataFrame:
     bits, bands = band_shape(most, near)
 
     def keys_of(batch):
+        single_threaded()
         for _, some in batch.groupby(batch["embedding"].map(len)):
             for at in range(0, len(some), 2048):
                 part = some.iloc[at : at + 2048]

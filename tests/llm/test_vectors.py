@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,18 @@ def test_near_groups(spark, table):
     assert vectors.near_groups(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cut", [1, 7, 40, 1000])
+def test_whole_blocks(cut):
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(1, 30, 25)
+    rows = pd.DataFrame([(0, 2**62 + k, 0, 0, r) for k, n in enumerate(sizes) for r in range(n)], columns=["kind", "gid", "i", "j", "r"])
+    found = list(vectors.whole_blocks((rows.iloc[k : k + cut] for k in range(0, len(rows), cut)), 20))
+    assert pd.concat(found)["r"].tolist() == rows["r"].tolist()
+    for part in found:
+        assert all(len(g) == sizes[gid - 2**62] for gid, g in part.groupby("gid"))
+        assert part["gid"].nunique() == part["_block"].nunique() and (len(part) <= 20 or part["gid"].nunique() == 1)
+
+
 @pytest.mark.parametrize("cosine", [0.0, 0.7])
 def test_large_sets_are_dealt_by_bucket_or_cut(spark, cosine):
     """Vectors that share a direction chain into one set; its blocks stay small and each
@@ -106,6 +119,27 @@ def test_search(spark, table):
     assert search.nearest(table.limit(0)).count() == 0
 
 
+def test_recall_on_a_larger_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], "f8")
+    got = {}
+    for r in search.nearest(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = np.flatnonzero(ids % 20 == 0)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = ids[np.argsort(-score, axis=1, kind="stable")[:, :20]]
+    hits = sum(len(set(b.tolist()) & got[int(ids[q])]) for q, b in zip(asked, best, strict=True))
+    assert hits / best.size >= 0.95
+
+
+def test_searches_in_slices(spark, table):
+    """Queries of a cell that are dealt over several tasks find the same."""
+    whole = sorted(map(tuple, search.nearest(table).collect()))
+    assert sorted(map(tuple, search.nearest(table, search.Search(slice_rows=3)).collect())) == whole
+
+
 def test_chi_square():
     rng = np.random.default_rng(0)
     draws = (rng.normal(size=(200_000, 8)) ** 2).sum(axis=1)
