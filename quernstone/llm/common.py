@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -160,6 +161,34 @@ def dealt_blocks(scratch: Scratch, blocks: DataFrame, keyed, most: int) -> DataF
     return tiles.select("id", "kind", "gid", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), "cut")
 
 
+#: What names a block of ``dealt_blocks``.
+BLOCK = ["kind", "gid", "i", "j"]
+
+
+def whole_blocks(batches, most: int):
+    """Frames of whole blocks, numbered in ``_block``, of ``most`` rows or fewer or of one
+    block; the rows of a block follow each other in ``batches``."""
+    held = None
+    for batch in chain(batches, [None]):
+        last = batch is None
+        if not last:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if held is None or not len(held) or not last and len(held) < most:
+            continue
+        key = held[BLOCK].to_numpy(np.int64)
+        head = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
+        held = held.assign(_block=head.cumsum())
+        starts, at = np.flatnonzero(head), 0
+        # the last block may go on in the next batch
+        ends = np.append(starts[1:], len(held)) if last else starts[1:]
+        while len(ends) and ends[-1] > at:
+            fits = ends[(ends > at) & (ends <= at + most)]
+            until = int(fits[-1] if len(fits) else ends[ends > at][0])
+            yield held.iloc[at:until]
+            at = until
+        held = held.iloc[at:].reset_index(drop=True)
+
+
 def connected(scratch: Scratch, edges: DataFrame, name: str = "links", most_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable over the undirected ``edges`` (a, b).
     Ids may be of any type that has an order. Ids without an edge to another id don't

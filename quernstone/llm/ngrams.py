@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Scratch, connected, dealt_blocks, free_names, meeting
+from quernstone.llm.common import BLOCK, Scratch, connected, dealt_blocks, free_names, meeting, whole_blocks
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -243,19 +243,26 @@ def grouped(docs: DataFrame, scratch: Scratch, join: Join) -> DataFrame:
     tiles = scratch.save(dealt_blocks(scratch, blocks, keyed, join.block).withColumnRenamed("id", "node"), "tiles")
     scratch.drop("bands")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        # rows that repeat an id and text are one
-        group = group.drop_duplicates("node").reset_index(drop=True)
-        known, node = _Words(), group["node"].to_numpy()
-        cuts = None if group["i"][0] == group["j"][0] else group["cut"].to_numpy()
-        got = [shingles(t, known, join.words) for t in group["text"]]
-        return pd.DataFrame([(int(node[x]), int(node[y])) for x, y in links_in(got, join, cuts)], columns=["a", "b"]).astype("int64")
+    def compare(batches):
+        known = _Words()
+        for part in whole_blocks(batches, join.block):
+            node, cut, texts = part["node"].to_numpy(), part["cut"].to_numpy(), part["text"].tolist()
+            across = (part["i"] != part["j"]).to_numpy()
+            starts = np.flatnonzero(np.diff(part["_block"].to_numpy(), prepend=0))
+            found = []
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+                # rows that repeat an id and text are one
+                rows = np.unique(node[at:end], return_index=True)[1] + at
+                got = [shingles(texts[k], known, join.words) for k in rows.tolist()]
+                links = links_in(got, join, cut[rows] if across[at] else None)
+                found += [(int(node[rows[x]]), int(node[rows[y]])) for x, y in links]
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     # by merging at every size: the tiles grow with the input, as does what is moved
     placed = named.select("node", "_id", "_sum").join(tiles.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node")
     texts = docs.withColumn("sum", F.md5(F.col("text").cast("binary"))).join(placed.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("sum") == F.col("_sum")))
-    texts = texts.select("kind", "gid", "i", "j", "cut", "node", "text")
-    links = scratch.save(texts.groupBy("kind", "gid", "i", "j").applyInPandas(compare, "a long, b long"), "links")
+    texts = texts.select(*BLOCK, "cut", "node", "text").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+    links = scratch.save(texts.mapInPandas(compare, "a long, b long"), "links")
     groups = scratch.save(connected(scratch, links, "groups"), "groups")
     scratch.drop("tiles", "blocks", "members", "keyed")
     whole = first.join(groups, F.col("node") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))

@@ -25,14 +25,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Scratch, connected, dealt_blocks, meeting, single_threaded
+from quernstone.llm.common import BLOCK, Scratch, connected, dealt_blocks, meeting, single_threaded, whole_blocks
 
 
 @dataclass(frozen=True)
@@ -158,33 +157,6 @@ def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
-BLOCK = ["kind", "gid", "i", "j"]
-
-
-def whole_blocks(batches, most: int):
-    """Frames of whole blocks, numbered in ``_block``, of ``most`` rows or fewer or of one
-    block; the rows of a block follow each other in ``batches``."""
-    held = None
-    for batch in chain(batches, [None]):
-        last = batch is None
-        if not last:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if held is None or not len(held) or not last and len(held) < most:
-            continue
-        key = held[BLOCK].to_numpy(np.int64)
-        head = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])
-        held = held.assign(_block=head.cumsum())
-        starts, at = np.flatnonzero(head), 0
-        # the last block may go on in the next batch
-        ends = np.append(starts[1:], len(held)) if last else starts[1:]
-        while len(ends) and ends[-1] > at:
-            fits = ends[(ends > at) & (ends <= at + most)]
-            until = int(fits[-1] if len(fits) else ends[ends > at][0])
-            yield held.iloc[at:until]
-            at = until
-        held = held.iloc[at:].reset_index(drop=True)
-
-
 FOUND = "a long, b long, n long"
 
 

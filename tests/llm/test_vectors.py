@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import search, vectors, warc
+from quernstone.llm import common, search, vectors, warc
 
 
 def vector_rows(n=300, dim=16, seed=0):
@@ -59,7 +59,7 @@ def test_whole_blocks(cut):
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 30, 25)
     rows = pd.DataFrame([(0, 2**62 + k, 0, 0, r) for k, n in enumerate(sizes) for r in range(n)], columns=["kind", "gid", "i", "j", "r"])
-    found = list(vectors.whole_blocks((rows.iloc[k : k + cut] for k in range(0, len(rows), cut)), 20))
+    found = list(common.whole_blocks((rows.iloc[k : k + cut] for k in range(0, len(rows), cut)), 20))
     assert pd.concat(found)["r"].tolist() == rows["r"].tolist()
     for part in found:
         assert all(len(g) == sizes[gid - 2**62] for gid, g in part.groupby("gid"))
