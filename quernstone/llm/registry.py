@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quernstone.llm import lm, mixing, ngrams, packing, quality, search, shards, suffixes, vectors, warc
+from quernstone.llm import lm, merkle, mixing, ngrams, packing, quality, search, shards, suffixes, vectors, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable]:
         "op8_search": search.op8_search,
         "op9_shards": shards.op9_shards,
         "op10_packing": packing.op10_packing,
+        "op11_merkle": merkle.op11_merkle,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngrams": ngrams.OP2_SQL,
         "op4_warc": warc.OP4_SQL,
         "op7_mixing": mixing.OP7_SQL,
+        "op11_merkle": merkle.OP11_SQL,
     }
