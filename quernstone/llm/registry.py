@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quernstone.llm import lm, merkle, mixing, ngrams, packing, phrases, quality, search, shards, suffixes, vectors, warc
+from quernstone.llm import lm, merkle, mixing, ngrams, packing, phrases, prints, quality, search, shards, suffixes, vectors, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable]:
         "op9_shards": shards.op9_shards,
         "op10_packing": packing.op10_packing,
         "op11_merkle": merkle.op11_merkle,
+        "op12_prints": prints.op12_prints,
         "op13_phrases": phrases.op13_phrases,
     }
 
