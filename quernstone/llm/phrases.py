@@ -50,7 +50,7 @@ class Mining:
     #: a phrase goes if a longer one has at least this share (of 100) of its occurrences
     absorbed: int = 50
     #: tokens of a shard, and bytes of a text that are read at once
-    shard: int = 3_000_000
+    shard: int = 1_500_000
     slice: int = 4 << 20
     #: bits of the set of passed phrases: for each, and in all at most
     bits_each: int = 16
