@@ -95,6 +95,30 @@ def numbered(scratch: Scratch, df: DataFrame, order: list[Column], name: str) ->
     )
 
 
+def placed_among_equals(scratch: Scratch, rows: DataFrame, keys: list[str], place: str, name: str) -> DataFrame:
+    """Adds ``place``, the number (from 0) of a row among those with equal ``keys``.
+
+    Rows are counted by key and partition; where a key has several, a row's place is its
+    place in its partition and what earlier partitions hold of the key, so a key of very
+    many rows is never in one task. Other rows aren't moved. ``rows`` is read again, so it
+    is best a table; were its partitions to change, places would repeat but no row go."""
+    part, n, base, *names = free_names([*rows.columns, place], "_part", "_n", "_base", *(f"_key{k}" for k in range(len(keys))))
+    rows = rows.withColumn(part, F.spark_partition_id())
+    counts = rows.groupBy(*(F.col(k).alias(x) for k, x in zip(keys, names, strict=True)), F.col(part)).agg(F.count("*").alias(n))
+    all_, earlier = Window.partitionBy(*names), Window.partitionBy(*names).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(base, F.coalesce(F.sum(n).over(earlier), F.lit(0))).withColumn(n, F.sum(n).over(all_)).where(F.col(n) > 1)
+    counts = scratch.save(counts.drop(n).withColumnRenamed(part, f"{part}s"), name)
+    if counts.isEmpty():
+        return rows.withColumn(place, F.lit(0).cast("long")).drop(part)
+    same = F.col(part) == F.col(f"{part}s")
+    for k, x in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(x))
+    single = rows.join(counts, same, "left_anti").withColumn(place, F.lit(0).cast("long"))
+    here = Window.partitionBy(part, *names).orderBy(F.lit(0))
+    several = rows.join(counts, same).withColumn(place, F.col(base) + F.row_number().over(here) - 1)
+    return single.unionByName(several.select(*single.columns)).drop(part)
+
+
 #: keys held by a task before those that it has several times are combined
 HELD_KEYS = 4_000_000
 
