@@ -13,9 +13,10 @@ same in all bundles and serve as the sink's line separator.
 
 Of pages with one payload of ``least_revisit`` bytes or more, those with the smallest id
 are responses and the others revisit it. A null id stands after all others and is written
-without a page id, under an identifier drawn from url and payload; pages without an id
-whose payload no page with an id holds are all responses. One row is one record, also
-where an id is repeated, with one payload or with several.
+without a page id; pages without an id whose payload no page with an id holds are all
+responses. One row is one record, also where an id is repeated, with one payload or with
+several. A record's identifier is drawn from page id, url, payload and its place among the
+rows that have these in common, so each record has one of its own.
 
 Other defined cases: null html is an empty payload; a null url leaves the target out; line
 breaks and control characters in a url are percent-encoded; an empty table makes an
@@ -26,6 +27,7 @@ further columns are left out.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import urllib.parse
@@ -38,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Scratch
+from quernstone.llm.common import Scratch, placed_among_equals
 
 SKIPPABLE = 0x184D2A5E
 #: Seek table descriptor (no checksums) and the format's closing number: the end of every bundle.
@@ -56,24 +58,26 @@ class Layout:
     least_revisit: int = 100
 
 
-def record_urn(page_id: int | None, url: str | None = None, digest: str = "") -> str:
-    name = f"page:{page_id}" if page_id is not None else f"page:{url}:{digest}"
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>"
+def record_urn(page_id: int | None, url: str | None, digest: str, place: int = 0) -> str:
+    """The identifier of a record. Rows that have page id, url and payload in common are
+    told apart by their places among each other."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, json.dumps([page_id, url, digest, place]))}>"
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def encode_record(urn: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """``refers_to`` and ``refers_url`` are those of the response that a revisit repeats."""
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     http += b"Content-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_urn(page_id, url, digest)}", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn}", f"WARC-Date: {DATE}"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: urllib.parse.quote(m[0]), url))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_urn(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_urn(refers_to, refers_url, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -166,13 +170,16 @@ class Bundler:
 
 
 def revisits(pages: DataFrame, layout: Layout) -> DataFrame:
-    """(page_id, digest, refers_to), once each, of the pages whose payload a page with a
-    smaller id holds."""
+    """(page_id, digest, refers_to, refers_url), once each, of the pages whose payload a
+    page with a smaller id holds; of that page's rows with the payload, the one meant has
+    the smallest url, nulls last."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    light = pages.where(F.octet_length(payload) >= layout.least_revisit).select("page_id", F.sha2(payload, 256).alias("digest"))
-    light = light.groupBy("digest", "page_id").agg(F.count("*").alias("n"))
-    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.sum("n").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
-    return light.drop("n").join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
+    light = pages.where(F.octet_length(payload) >= layout.least_revisit).select("page_id", "url", F.sha2(payload, 256).alias("digest"))
+    light = light.groupBy("digest", "page_id").agg(F.count("*").alias("n"), F.min("url").alias("url"))
+    order = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = light.groupBy("digest").agg(F.min(order).alias("first"), F.sum("n").alias("n")).where("n > 1 AND first IS NOT NULL")
+    first = first.select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
+    return light.select("digest", "page_id").join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to", "refers_url")
 
 
 def write_archive(pages: DataFrame, path: str, layout: Layout = Layout()) -> None:
@@ -181,17 +188,19 @@ def write_archive(pages: DataFrame, path: str, layout: Layout = Layout()) -> Non
     scratch = Scratch(spark, "revisits")
     later = scratch.save(revisits(pages, layout), "later").withColumnRenamed("page_id", "_page").withColumnRenamed("digest", "_digest")
     rows = pages.select("page_id", "url", "html", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("digest"))
+    rows = placed_among_equals(scratch, rows, ["page_id", "url", "digest"], "place", "repeats")
     # a page and payload stand in ``later`` once at most, so every row stays one row
-    rows = rows.join(later, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
+    rows = rows.join(later, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "place", "refers_to", "refers_url")
 
     def bundles(batches):
         made = Bundler(layout)
         for batch in batches:
-            for page, url, html, digest, refers in zip(*(batch[c] for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+            for page, url, html, digest, place, refers, refers_url in zip(*(batch[c] for c in ("page_id", "url", "html", "digest", "place", "refers_to", "refers_url")), strict=True):
                 payload = b"" if html is None else html.encode()
                 page = None if pd.isna(page) else int(page)
-                record = encode_record(page, url, payload, digest, None if pd.isna(refers) else int(refers))
-                if full := made.add(page, record_urn(page, url, digest), record):
+                urn = record_urn(page, url, digest, int(place))
+                record = encode_record(urn, page, url, payload, digest, None if pd.isna(refers) else int(refers), refers_url)
+                if full := made.add(page, urn, record):
                     yield pd.DataFrame({"bundle": [full[: -len(ENDING)]]})
         if rest := made.close():
             yield pd.DataFrame({"bundle": [rest[: -len(ENDING)]]})
@@ -199,7 +208,7 @@ def write_archive(pages: DataFrame, path: str, layout: Layout = Layout()) -> Non
     # page ids as text: a column of whole numbers with nulls would reach pandas as floats
     made = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")}).mapInPandas(bundles, "bundle binary")
     made.select(F.col("bundle").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", ENDING.decode("latin-1")).text(path)
-    scratch.drop("later")
+    scratch.drop("later", "repeats")
     _index_of(spark, path).write.parquet(f"{path}/_index")
 
 
