@@ -10,8 +10,11 @@ have had a smaller projected distance (a chi-square value) than the next leaf ha
 
 Equal vectors are one entry with its k + 1 smallest ids: no other can be among k nearest.
 
+Vectors of one length have an index of their own, and queries answer from it. Lengths with
+no more rows than a cell holds are one cell each and are searched together, a task a length.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
-take no part, nor do those of another length than most have; a null id is no query and no
+take no part; vectors of two lengths aren't compared; a null id is no query and no
 candidate; rows that repeat an id and vector are one candidate; of rows that repeat a
 query's id none is a candidate for it; an empty table gives an empty result; further
 columns are left out.
@@ -48,8 +51,8 @@ class Search:
     seed: int = 9
 
 
-#: pairs of a query and a cell that are looked at in one step
-ROUTED = 2_000_000
+#: bytes of distances and of routed vectors that one step makes
+ROUTED_BYTES = 128 << 20
 
 
 def chi_square(x: np.ndarray, freedom: int) -> np.ndarray:
@@ -149,26 +152,78 @@ def look(points: np.ndarray, vectors: np.ndarray, queries: np.ndarray, turned: n
     return q, at, np.einsum("ij,ij->i", queries[q], vectors[at])
 
 
+def _turn(dim: int, search: Search) -> np.ndarray:
+    return np.random.default_rng(search.seed).normal(size=(dim + 1, search.directions))
+
+
+def _projected(x: np.ndarray, turn: np.ndarray, most: float) -> np.ndarray:
+    rest = np.sqrt(np.maximum(most**2 - (x**2).sum(axis=1), 0))
+    return x @ turn[:-1] + rest[:, None] * turn[-1]
+
+
+def _searched(points: np.ndarray, x: np.ndarray, ids: list, names: np.ndarray, q: np.ndarray, bound: np.ndarray, turn: np.ndarray, most: float, search: Search) -> pd.DataFrame:
+    """The best candidates in one cell of each of the queries ``names``."""
+    out: list[tuple] = []
+    for at in range(0, len(names), 1024):
+        some, who = q[at : at + 1024], names[at : at + 1024]
+        found = look(points, x, some, some @ turn[:-1], np.linalg.norm(some, axis=1), bound[at : at + 1024], most, search)
+        out += [(int(who[i]), int(v), float(s)) for i, j, s in zip(*(f.tolist() for f in found), strict=True) for v in ids[j] if v != who[i]]
+    best = pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+    return best.groupby("query_id").head(search.k)
+
+
+ANSWER = "query_id long, vec_id long, score double"
+
+
 def nearest(vectors: DataFrame, search: Search = Search(), every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id ``every`` divides."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "search")
+    scratch = Scratch(vectors.sparkSession, "search")
     good = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    sizes = good.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = sizes[0]["dim"] if sizes else 1
-    good = good.where(F.size("vector") == dim)
+    good = good.withColumn("dim", F.size("vector"))
     place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     entries = good.distinct().withColumn("_place", place).where(F.col("_place") <= search.k + 1)
-    entries = entries.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    entries = entries.groupBy("dim", "vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     entries = scratch.save(entries.withColumn("norm", norm), "entries")
-    n, most = entries.agg(F.count("*"), F.coalesce(F.max("norm"), F.lit(0.0))).first()
-    rng = np.random.default_rng(search.seed)
-    turn = rng.normal(size=(dim + 1, search.directions))
+    asked = scratch.save(good.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select("vec_id", "vector", "dim").distinct(), "asked")
+    lengths = entries.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("most"))
+    # lengths that fill more than a cell: fewer than there are cells' worth of rows
+    large = lengths.where(F.col("n") > search.cell_rows).orderBy("dim").collect()
+    names = [r["dim"] for r in large]
+    found = _small(entries.where(~F.col("dim").isin(names)), asked.where(~F.col("dim").isin(names)), search)
+    for r in large:
+        one = F.col("dim") == r["dim"]
+        found = found.unionByName(_of_length(scratch, entries.where(one).drop("dim"), asked.where(one).drop("dim"), r["dim"], r["n"], r["most"], search))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= search.k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _small(entries: DataFrame, asked: DataFrame, search: Search) -> DataFrame:
+    """Answers of lengths that are one cell each: its entries, by slices of the queries."""
+    # a cell's queries are no more than its entries and the ids of equal vectors
+    count = asked.groupBy("dim").agg(F.ceil(F.count("*") / search.slice_rows).cast("int").alias("slices"))
+    here = entries.join(count, "dim").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices", "norm")
+    asked = asked.join(count, "dim").withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int")).drop("slices")
+
+    def answer(here: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        single_threaded()
+        if not len(here) or not len(asking):
+            return pd.DataFrame(columns=["query_id", "vec_id", "score"])
+        x, q = (np.array(t["vector"].tolist(), dtype="f8") for t in (here, asking))
+        turn, most = _turn(x.shape[1], search), float(np.sqrt((x**2).sum(axis=1).max()))
+        return _searched(_projected(x, turn, most), x, here["ids"].tolist(), asking["vec_id"].to_numpy(), q, np.full(len(q), -np.inf), turn, most, search)
+
+    return here.groupBy("dim", "slice").cogroup(asked.groupBy("dim", "slice")).applyInPandas(answer, ANSWER)
+
+
+def _of_length(scratch: Scratch, entries: DataFrame, asked: DataFrame, dim: int, n: int, most: float, search: Search) -> DataFrame:
+    """Answers (query_id, vec_id, score), the best of them at least, among vectors of one length."""
+    spark = scratch.spark
+    turn = _turn(dim, search)
 
     def projected(x: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(most**2 - (x**2).sum(axis=1), 0))
-        return x @ turn[:-1] + rest[:, None] * turn[-1]
+        return _projected(x, turn, most)
 
     chosen = smallest_hashes(entries.select("vector"), search.sample, "vector").collect()
     cells = 1 << max(0, min(search.most_cells, -(-n // search.cell_rows)) - 1).bit_length()
@@ -181,21 +236,21 @@ def nearest(vectors: DataFrame, search: Search = Search(), every: int = 20) -> D
             p = projected(x)
             yield pd.DataFrame({"cell": cell_of(p, nodes), "vector": batch["vector"], "point": list(p), "ids": batch["ids"]})
 
-    index = scratch.save(entries.mapInPandas(place_rows, "cell int, vector array<double>, point array<double>, ids array<long>"), "index")
+    index = scratch.save(entries.mapInPandas(place_rows, "cell int, vector array<double>, point array<double>, ids array<long>"), f"index-{dim}")
     # boxes and row counts: one row a cell, and there are most_cells at most
     corner = [f(F.col("point")[d]) for d in range(search.directions) for f in (F.min, F.max)]
     boxes = index.groupBy("cell").agg(F.count("*").alias("n"), F.array(*corner).alias("box")).orderBy("cell").collect()
     number = np.array([b["cell"] for b in boxes])
     edges = np.array([b["box"] for b in boxes], dtype="f8").reshape(-1, search.directions, 2)
     cuts = {b["cell"]: -(-b["n"] // search.cut_rows) for b in boxes}
-    cut = F.pmod(F.xxhash64("vector"), F.element_at(F.create_map(*[F.lit(x) for c in cuts.items() for x in c]), F.col("cell"))).cast("int") if cuts else F.lit(0)
-    index = index.withColumn("cut", cut)
-    asked = scratch.save(good.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select("vec_id", "vector").distinct(), "asked")
+    # one row a cell: most_cells at most
+    parts = spark.createDataFrame(list(cuts.items()), "cell int, cuts int")
+    index = index.join(F.broadcast(parts), "cell").withColumn("cut", F.pmod(F.xxhash64("vector"), F.col("cuts")).cast("int")).drop("cuts")
     # a task holds the queries of one slice at most; a cell goes to as many tasks as there are slices
     slices = max(1, -(-asked.count() // search.slice_rows))
     index = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))) if slices > 1 else index.withColumn("slice", F.lit(0))
     asked = asked.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int"))
-    chunk = max(1, ROUTED // max(1, len(number)))
+    chunk = max(1, ROUTED_BYTES // (8 * (dim + 4) * max(1, sum(cuts.values()))))
 
     def route(first: bool):
         def some_rows(part: pd.DataFrame) -> pd.DataFrame:
@@ -226,32 +281,21 @@ def nearest(vectors: DataFrame, search: Search = Search(), every: int = 20) -> D
 
     def search_cell(key, here: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         single_threaded()
-        out: list[tuple] = []
-        if len(here) and len(asking):
-            x = np.array(here["vector"].tolist(), dtype="f8")
-            points = np.array(here["point"].tolist(), dtype="f8")
-            for at in range(0, len(asking), 1024):
-                some = asking.iloc[at : at + 1024]
-                q = np.array(some["query"].tolist(), dtype="f8")
-                found = look(points, x, q, q @ turn[:-1], np.linalg.norm(q, axis=1), some["bound"].to_numpy(), most, search)
-                names, ids = some["query_id"].to_numpy(), here["ids"].tolist()
-                out += [(int(names[i]), int(v), float(s)) for i, j, s in zip(*(f.tolist() for f in found), strict=True) for v in ids[j] if v != names[i]]
-        best = pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return best.groupby("query_id").head(search.k)
+        if not len(here) or not len(asking):
+            return pd.DataFrame(columns=["query_id", "vec_id", "score"])
+        x, points, q = (np.array(c.tolist(), dtype="f8") for c in (here["vector"], here["point"], asking["query"]))
+        return _searched(points, x, here["ids"].tolist(), asking["query_id"].to_numpy(), q, asking["bound"].to_numpy(), turn, most, search)
 
     ask = "query_id long, query array<double>, bound double, cell int, cut int, slice int"
-    answer = "query_id long, vec_id long, score double"
 
     def searched(routed: DataFrame) -> DataFrame:
-        return index.groupBy("cell", "cut", "slice").cogroup(routed.groupBy("cell", "cut", "slice")).applyInPandas(search_cell, answer)
+        return index.groupBy("cell", "cut", "slice").cogroup(routed.groupBy("cell", "cut", "slice")).applyInPandas(search_cell, ANSWER)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    at_home = scratch.save(searched(asked.mapInPandas(route(True), ask)), "home")
+    at_home = scratch.save(searched(asked.mapInPandas(route(True), ask)), f"home-{dim}")
     kth = at_home.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == search.k).select("query_id", F.col("score").alias("bound"))
     again = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "vector", "slice", "bound")
-    away = searched(again.mapInPandas(route(False), ask))
-    ranked = at_home.unionByName(away).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= search.k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return at_home.unionByName(searched(again.mapInPandas(route(False), ask)))
 
 
 def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
