@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import Scratch, crc_of_id, single_threaded, smallest_hashes
+from quernstone.llm.common import Scratch, crc_of_id, hash_share, share_below, single_threaded
 
 #: White space never occurs in a word, so this can't be one.
 END = b"\n"
@@ -49,8 +49,9 @@ class Shape:
     rate: float = 0.1
     #: words whose counts are sent to every executor; the rest are joined
     sent: int = 150_000
-    #: documents of the starting run
+    #: documents of the starting run, and bytes of their texts together
     start_docs: int = 1500
+    start_bytes: int = 16 << 20
     start_epochs: int = 3
     seed: int = 11
 
@@ -368,7 +369,7 @@ def train(scratch: Scratch, docs: DataFrame, shape: Shape = Shape()) -> tuple[Da
 
         return rows
 
-    start = smallest_hashes(docs.select("doc_id", "text"), shape.start_docs, "doc_id").select("text").repartition(1)
+    start = start_texts(docs, shape).repartition(1)
     _load(model, start.mapInPandas(run(shape.start_epochs), WEIGHTS).collect())
     # first the mean of each GROUP partitions, then that of the groups, so no task holds all
     every = docs.select("text").mapInPandas(run(1), WEIGHTS)
@@ -377,6 +378,18 @@ def train(scratch: Scratch, docs: DataFrame, shape: Shape = Shape()) -> tuple[Da
     return counts, fitted
 
 
+def start_texts(docs: DataFrame, shape: Shape) -> DataFrame:
+    """The texts of the starting run: distinct ones whose hashes lie below a bound that
+    leaves at most about ``start_docs`` of them and ``start_bytes`` in all, however often a
+    text or an id is repeated. A text of more than a sixteenth of the bytes has no part in
+    this run; the following one trains on every text."""
+    long_ = shape.start_bytes // 16
+    texts = docs.select("text").where(F.octet_length("text") <= long_)
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = share_below(n, min(shape.start_docs, int(n * shape.start_bytes / max(size, 1))))
+    return (texts if share is None else texts.where(hash_share("text") < share)).distinct()
+
+
 SCORED = "rid long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<binary>"
 
 
