@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quernstone.llm import lm, mixing, ngrams, packing, quality, shards, suffixes
-from quernstone.llm.common import Scratch, connected, crc_of_id, numbered
+from quernstone.llm.common import Scratch, connected, crc_of_id, numbered, placed_among_equals
 from quernstone.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copies int, size string, `index` int"
@@ -355,6 +355,43 @@ def test_mixing_with_many_sources(docs, monkeypatch):
     assert sorted((r["doc_id"], r["copies"]) for r in mixing.plan_mix(docs).collect()) == few
 
 
+def test_mixing_reaches_targets_without_ids(spark):
+    """Rows without an id, with one id, and equal ones: each makes a draw of its own."""
+    for rows in (
+        [(None, f"word number {k} of this text", "s") for k in range(500)], [(7, f"word number {k} of this text", "s") for k in range(500)],
+        [(None, "one two three four five", "s")] * 500, [(k, "one two three four five", "s") for k in range(500)],
+    ):
+        # the second source is large and stops early, so the first one's rate is a fraction
+        rows = rows + [(10_000 + k, "a b c d e f g", "t") for k in range(300)]
+        table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        made = mixing.plan_mix(table).where("source = 's'").collect()
+        taken, target = sum(r["size"] * r["copies"] for r in made), made[0]["target"]
+        assert len(made) == 500 and abs(taken - target) < 0.05 * target
+        assert len({r["copies"] for r in made}) == 2 or target == 2 * made[0]["source_size"]
+        whole = mixing.mixed(table).where("source = 's'").count()
+        assert whole == sum(r["copies"] for r in made)
+
+
+def test_places_among_equals(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "x", k) for k in range(70)] + [(1, None, k) for k in range(30)] + [(k, "y", k) for k in range(50)], "a long, _part string, k long").repartition(6)
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    made = placed_among_equals(Scratch(spark, "places"), rows, ["a", "_part"], "at", "counts").collect()
+    by = defaultdict(list)
+    for r in made:
+        by[r["a"], r["_part"]].append(r["at"])
+    assert len(made) == 150 and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_start_run_is_bounded(spark):
+    shape = lm.Shape(start_docs=100, start_bytes=20_000)
+    tables = [[(None, f"text {k} of many") for k in range(3000)], [(1, f"text {k} of many") for k in range(3000)], [(k, "the same text") for k in range(3000)], [(k, "w " * (k % 700)) for k in range(1400)], [(0, None)]]
+    for rows, least in zip(tables, (30, 30, 0, 5, 0), strict=True):
+        texts = [r["text"] for r in lm.start_texts(spark.createDataFrame(rows, "doc_id long, text string"), shape).collect()]
+        assert least <= len(texts) <= 130 and len(set(texts)) == len(texts)
+        assert sum(len(t) for t in texts) <= 30_000
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

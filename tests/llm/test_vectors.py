@@ -230,3 +230,40 @@ def test_bundles_are_seekable(spark, pages, tmp_path):
 def test_empty_archive(spark, pages, tmp_path):
     warc.write_archive(pages.limit(0), str(tmp_path / "c"))
     assert warc.read_archive(spark, str(tmp_path / "c")).count() == 0
+
+
+def test_every_length_has_an_index(spark):
+    """Lengths of comparable share: each query answers from the vectors of its own length."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=3 if k % 9 < 5 else 2).tolist()) for k in range(180)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for settings in (search.Search(k=5), search.Search(k=5, cell_rows=40, cut_rows=30, leaf=8, sure=0.9999)):
+        got = {}
+        for r in search.nearest(table, settings).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert set(got) == set(range(0, 180, 20))
+        hits = 0
+        for i, found in got.items():
+            same = [(-float(np.dot(rows[i][1], x)), j) for j, x in rows if j != i and len(x) == len(rows[i][1])]
+            hits += len(found & {j for _, j in sorted(same)[:5]})
+        assert hits >= 0.95 * 45
+
+
+def test_every_record_has_an_identifier(spark, pages, tmp_path):
+    import re
+
+    path = tmp_path / "d"
+    warc.write_archive(pages.unionByName(pages), str(path))
+    index = warc.read_index(spark, str(path)).collect()
+    names = {r["record_id"] for r in index}
+    assert len(index) == 2 * len(PAGES) == len(names)
+    # each identifier leads to the record that states it, and revisits refer to a response
+    kinds, refers = {}, set()
+    for r in index:
+        data = warc.zstandard.ZstdDecompressor().decompress((path / r["bundle"].rpartition("/")[2]).read_bytes()[r["start"] : r["start"] + r["packed"]], max_output_size=r["plain"])
+        headers, *_ = warc.decode_record(data, r["offset"])
+        assert headers["WARC-Record-ID"] == r["record_id"]
+        kinds[r["record_id"]] = headers["WARC-Type"]
+        refers |= {headers["WARC-Refers-To"]} if "WARC-Refers-To" in headers else set()
+        assert ("WARC-Refers-To" in headers) == bool(re.match("revisit", headers["WARC-Type"]))
+    assert refers and {kinds[x] for x in refers} == {"response"}
