@@ -66,7 +66,7 @@ def hash_share(*keys: str) -> Column:
 def share_below(n: int, most: int) -> int | None:
     """The bound of ``hash_share`` below which a little fewer than ``most`` of ``n`` rows
     lie; None if there are no more than ``most``."""
-    return None if n <= most else int((most - 6 * most**0.5) / n * 2**31)
+    return None if n <= most else int(max(most - 6 * most**0.5, most / 8) / n * 2**31)
 
 
 def smallest_hashes(df: DataFrame, most: int, *keys: str) -> DataFrame:

@@ -386,7 +386,7 @@ def test_places_among_equals(spark, tmp_path):
 def test_start_run_is_bounded(spark):
     shape = lm.Shape(start_docs=100, start_bytes=20_000)
     tables = [[(None, f"text {k} of many") for k in range(3000)], [(1, f"text {k} of many") for k in range(3000)], [(k, "the same text") for k in range(3000)], [(k, "w " * (k % 700)) for k in range(1400)], [(0, None)]]
-    for rows, least in zip(tables, (30, 30, 0, 5, 0), strict=True):
+    for rows, least in zip(tables, (20, 20, 0, 1, 0), strict=True):
         texts = [r["text"] for r in lm.start_texts(spark.createDataFrame(rows, "doc_id long, text string"), shape).collect()]
         assert least <= len(texts) <= 130 and len(set(texts)) == len(texts)
         assert sum(len(t) for t in texts) <= 30_000
