@@ -6,12 +6,15 @@ explicit order, ties going to the smaller id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import fixed
 from quernstone.functions import text as T
 from quernstone.functions import vector as V
+from quernstone.operators import knn
 from quernstone.storage import Scratch
 
 #: Kinds of source; without one of its own, a source's number stands for its kind.
@@ -19,6 +22,8 @@ SOURCE_KINDS = ("official", "stackoverflow", "repository", "codebase", "blog", "
 
 #: Query tables up to so many rows are sent to all executors; larger ones are shuffled.
 BROADCAST_QUERIES = 50_000
+#: Vector queries up to so many are compared with all rows; more are searched by pivots.
+FEW_QUERIES = 1_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
@@ -115,16 +120,19 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "
     """(query_id, rank, id, measure, score): exact, by distance or by inner product. With
     ``sources`` the nearest 3k are taken and those of the query's sources stay.
 
-    A stated set of queries against all rows: the queries are sent to the rows, and each
-    task keeps its own best k before the shuffle."""
-    q = small(queries.select("query_id", F.col("embedding").alias("_q")))
-    value = V.l2("embedding", "_q") if measure == "l2" else V.dot("embedding", "_q")
-    on = F.size("embedding") == F.size("_q")
-    if skip_self:
-        on = on & (F.col("id") != F.col("query_id"))
-    scored = vectors.join(q, on).select("query_id", "id", F.round(value, 9).alias(measure))
-    order = F.col(measure).asc() if measure == "l2" else F.col(measure).desc()
-    best = ranked(scored, order, "id", k if sources is None else 3 * k)
+    A few queries are sent to all rows, and each task keeps its own best k before the
+    shuffle; more of them meet the rows of near cells alone. Both are exact."""
+    order, most = F.col(measure).asc() if measure == "l2" else F.col(measure).desc(), k if sources is None else 3 * k
+    if queries.limit(FEW_QUERIES + 1).count() > FEW_QUERIES:
+        scored = knn.nearest(vectors, queries, most, measure, skip_self=skip_self)
+    else:
+        q = F.broadcast(queries.select("query_id", F.col("embedding").alias("_q")))
+        value = V.l2("embedding", "_q") if measure == "l2" else V.dot("embedding", "_q")
+        on = F.size("embedding") == F.size("_q")
+        if skip_self:
+            on = on & (F.col("id") != F.col("query_id"))
+        scored = vectors.join(q, on).select("query_id", "id", F.round(value, 9).alias(measure))
+    best = ranked(scored, order, "id", most)
     if sources is not None:
         best = ranked(of_sources(best.drop("rank"), "id", sources), order, "id", k)
     return best.select("query_id", "rank", "id", measure, reciprocal().alias("score"))
@@ -290,7 +298,8 @@ def with_details(found: DataFrame, details: DataFrame, most: int = 3) -> DataFra
 def cached_answer(cache: DataFrame, queries: DataFrame, now: Column, ttl_s: int, least: float = fixed.CACHE_SIMILARITY) -> DataFrame:
     """(query_id, id, similarity): the nearest live entry, if it is near enough."""
     live = cache.where(F.col("created_at") >= now - F.expr(f"INTERVAL {ttl_s} SECONDS"))
-    best = vector_topk(live, queries, 1)
+    # entries that are near enough are no further than this; a little more, as both are rounded
+    best = knn.nearest(live.select("id", "embedding"), queries, 1, within=math.sqrt(2 * (1 - least)) + 1e-6)
     return best.withColumn("similarity", F.round(V.unit_similarity("l2"), 9)).where(F.col("similarity") >= least).select("query_id", "id", "similarity")
 
 
