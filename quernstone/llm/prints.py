@@ -48,8 +48,9 @@ class Print:
     seed: int = 12
     #: rows that a range's bounds are taken from, for each range
     sample: int = 64
-    #: characters of texts that are looked at in one step
+    #: bytes of texts, and texts, that are looked at in one step
     step: int = 4 << 20
+    step_rows: int = 1_000
 
 
 @lru_cache(maxsize=2)
@@ -122,7 +123,7 @@ class Printer:
             return []
         least = self.minima(texts)
         bare = (least == np.iinfo(np.uint64).max).all(axis=1)
-        low = (self.dense(least)[:, :, None] >> np.arange(self.shape.bits, dtype=np.uint64)).astype(np.uint8) & 1
+        low = (self.dense(least) & np.uint64((1 << self.shape.bits) - 1)).astype(np.uint8)[:, :, None] >> np.arange(self.shape.bits, dtype=np.uint8) & 1
         packed = np.packbits(low.reshape(len(texts), -1), axis=1)
         return [b"" if none else row.tobytes() for row, none in zip(packed, bare.tolist(), strict=True)]
 
@@ -161,13 +162,13 @@ def _key(row) -> tuple:
     return (row[0] is None, 0 if row[0] is None else row[0], row[1], row[2])
 
 
-def _steps(rows, size: int, bytes_of=len):
-    """Lists of rows whose texts (the last field) have about ``size`` bytes together."""
+def _steps(rows, shape: Print, bytes_of=len):
+    """Lists of rows whose texts (the last field) are as many as a step takes."""
     held, total = [], 0
     for row in rows:
         held.append(row)
         total += bytes_of(row[-1])
-        if total >= size:
+        if total >= shape.step or len(held) >= shape.step_rows:
             yield held
             held, total = [], 0
     if held:
@@ -191,7 +192,7 @@ def with_next(docs: DataFrame, shape: Print = Print()) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id")
             rows = zip(range(len(ids)), ids.to_pylist(), batch.column("mark").to_pylist(), batch.column("turn").to_pylist(), (t.as_py() for t in batch.column("text")), strict=True)
-            for some in _steps(rows, shape.step):
+            for some in _steps(rows, shape):
                 at, docs_, marks, turns, texts = (list(c) for c in zip(*some, strict=True))
                 ranges = [bisect.bisect_right(bounds, _key(k)) for k in zip(docs_, marks, turns, strict=True)]
                 columns = [pa.array(ranges, pa.int32()), ids.take(pa.array(at)), pa.array(marks), pa.array(turns), pa.array(printer.prints(texts), pa.binary()), pa.array([packer.compress(t) for t in texts], pa.binary())]
@@ -226,7 +227,7 @@ def with_next(docs: DataFrame, shape: Print = Print()) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id")
             rows = zip(batch.column("range").to_pylist(), range(len(ids)), batch.column("print").to_pylist(), (b.as_py() for b in batch.column("body")), strict=True)
-            for some in _steps(rows, shape.step, zstandard.frame_content_size):
+            for some in _steps(rows, shape, zstandard.frame_content_size):
                 some = [(r, ids.slice(k, 1), p, b) for r, k, p, b in some]
                 if last is None or last[0] != some[0][0]:
                     if last is not None:
