@@ -246,7 +246,8 @@ def counted(shards: DataFrame, words: int, held: np.ndarray | None, mining: Mini
                     phrase = pc.binary_join_element_wise(*texts, " ") if words > 1 else texts[0]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), phrase, pa.array(n[low : low + 100_000])], ["lang", "phrase", "n"])
 
-    found = shards.select("lang", "words", "ids").mapInArrow(rows, "lang string, phrase string, n long")
+    # a shard has each phrase once, so summing before the exchange would find next to nothing
+    found = shards.select("lang", "words", "ids").mapInArrow(rows, "lang string, phrase string, n long").repartition("lang", "phrase")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= mining.least)
 
 
