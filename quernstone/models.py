@@ -97,7 +97,7 @@ _LOADED: dict = {}
 def loaded(load: Callable):
     """The model of ``load``, loaded once by each Python process that asks; None if that
     fails, which is not tried again."""
-    key = getattr(load, "key", None) or (load.__module__, load.__qualname__)
+    key = (load.__module__, load.__qualname__)
     if key not in _LOADED:
         try:
             _LOADED[key] = load()

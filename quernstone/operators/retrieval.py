@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from quernstone.functions import fixed
 from quernstone.functions import text as T
 from quernstone.functions import vector as V
+from quernstone.models import scored_pairs
 from quernstone.operators import knn
+from quernstone.operators.keywords import Keywords, query_phrases
 from quernstone.storage import Scratch
 
 #: Kinds of source; without one of its own, a source's number stands for its kind.
@@ -45,14 +47,6 @@ def reciprocal(rank: str = "rank") -> Column:
 EVERY = ""
 
 
-def query_phrases(queries: DataFrame) -> DataFrame:
-    """(query_id, term, n_terms, times): each word of a query is a phrase of the terms in
-    it; one that a query repeats counts as often."""
-    word = queries.select("query_id", F.explode(T.words("text")).alias("word")).select("query_id", T.terms("word").alias("_terms"))
-    named = word.where(F.size("_terms") > 0).select("query_id", F.array_join("_terms", " ").alias("term"), F.size("_terms").alias("n_terms"))
-    return named.groupBy("query_id", "term", "n_terms").agg(F.count("*").alias("times"))
-
-
 def _phrase_at(n: int):
     return lambda i: F.array_join(F.slice("_terms", i, F.lit(n)), " ")
 
@@ -75,9 +69,19 @@ def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return exploded.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def term_statistics(chunks: DataFrame) -> DataFrame:
+    """(term, df, cf): chunks that hold a term, and its occurrences. Both are counted where
+    a chunk is read, so the one exchange is that of sums by term."""
+    listed = T.terms("text")
+    seen = lambda array, first: F.transform(array, lambda t: F.struct(t.alias("term"), F.lit(first).alias("df"), F.lit(1 - first).alias("cf")))
+    rows = chunks.select(F.inline(F.concat(seen(listed, 0), seen(F.array_distinct(listed), 1))))
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, bm25) for chunks that hold a phrase of the query. The postings
-    of the asked phrases are written once; statistics and scores are read from them."""
+    """(query_id, chunk_id, bm25) for all chunks that hold a phrase of the query: the whole
+    table, for uses that rank otherwise. ``Keywords`` has the first ones without it. The
+    postings of the asked phrases are written once; statistics and scores are read from them."""
     asked = query_phrases(queries)
     scratch = Scratch(chunks.sparkSession, "postings")
     posted = scratch.save(postings(chunks, asked), "posted")
@@ -108,10 +112,13 @@ def of_sources(found: DataFrame, id_col: str, sources: DataFrame | None) -> Data
 def keyword_topk(chunks: DataFrame, queries: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, bm25, score), score being that of the rank alone; with
     ``sources`` only chunks of the query's sources, weighed as among all chunks."""
-    return keyword_best(bm25(chunks, queries), k, sources)
+    return Keywords(chunks, queries).best(k, sources)
 
 
-def keyword_best(scored: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
+def keyword_best(scored: DataFrame | Keywords, k: int, sources: DataFrame | None = None) -> DataFrame:
+    """The first ``k`` of a scored table or of prepared keywords."""
+    if isinstance(scored, Keywords):
+        return scored.best(k, sources)
     best = ranked(of_sources(scored, "chunk_id", sources), F.col("bm25").desc(), "chunk_id", k)
     return best.select("query_id", "rank", "chunk_id", "bm25", reciprocal().alias("score"))
 
@@ -169,7 +176,7 @@ def expanded(found: DataFrame, chunks: DataFrame, symbols: DataFrame, first_rows
     return first.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).select("query_id", F.col("other").alias("chunk_id"), "place")
 
 
-def hybrid(scored: DataFrame, vectors: DataFrame, asked: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
+def hybrid(scored: DataFrame | Keywords, vectors: DataFrame, asked: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, score): keyword scores and vectors fused, each leg of 2k.
     A query without a vector has the keyword leg alone."""
     words = keyword_best(scored, 2 * k, sources).withColumnRenamed("chunk_id", "id")
@@ -185,13 +192,13 @@ def with_expansion(found: DataFrame, chunks: DataFrame, symbols: DataFrame, firs
     return found.select("query_id", "rank", "chunk_id").unionByName(more)
 
 
-def graph_walk(scored: DataFrame, vectors: DataFrame, asked: DataFrame, chunks: DataFrame, symbols: DataFrame, k: int, most: int) -> DataFrame:
+def graph_walk(scored: DataFrame | Keywords, vectors: DataFrame, asked: DataFrame, chunks: DataFrame, symbols: DataFrame, k: int, most: int) -> DataFrame:
     """Hybrid search, then the definitions that all its rows lead to."""
     found = hybrid(scored, vectors, asked, k)
     return with_expansion(found, chunks, symbols, k, 3, most, k)
 
 
-def hierarchical(scored: DataFrame, vectors: DataFrame, summaries: DataFrame, queries: DataFrame, asked: DataFrame, chunks: DataFrame, symbols: DataFrame, k: int, most: int) -> DataFrame:
+def hierarchical(scored: DataFrame | Keywords, vectors: DataFrame, summaries: DataFrame, queries: DataFrame, asked: DataFrame, chunks: DataFrame, symbols: DataFrame, k: int, most: int) -> DataFrame:
     """(query_id, rank, chunk_id): hybrid search in the five sources whose summaries are
     nearest, then the definitions that its first ten rows lead to. Queries without a
     vector or a hit walk the graph from a search over all sources instead."""
@@ -202,11 +209,12 @@ def hierarchical(scored: DataFrame, vectors: DataFrame, summaries: DataFrame, qu
     others = scratch.save(queries.select("query_id").join(found, "query_id", "left_anti"), "others")
     if others.isEmpty():
         return inside
-    walked = graph_walk(scored.join(others, "query_id", "left_semi"), vectors, asked.join(others, "query_id", "left_semi"), chunks, symbols, k, most)
+    some = scored.of(others) if isinstance(scored, Keywords) else scored.join(others, "query_id", "left_semi")
+    walked = graph_walk(some, vectors, asked.join(others, "query_id", "left_semi"), chunks, symbols, k, most)
     return inside.unionByName(walked)
 
 
-def master_search(scored: DataFrame, vectors: DataFrame, queries: DataFrame, asked: DataFrame, chunks: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+def master_search(scored: DataFrame | Keywords, vectors: DataFrame, queries: DataFrame, asked: DataFrame, chunks: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, chunk_id) within the given sources: hybrid search for min(3k, 30),
     reranked to 15, diversified to k. A query without a hit gets the first k chunks."""
     scratch = Scratch(queries.sparkSession, "master")
@@ -219,12 +227,24 @@ def master_search(scored: DataFrame, vectors: DataFrame, queries: DataFrame, ask
     return picked.unionByName(first.select("query_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("row.chunk_id").alias("chunk_id")))
 
 
-def rescored(found: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Found chunks reranked by their terms in common with the query."""
+def _candidates(found: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Found chunks with their texts, kinds of source and queries."""
     rows = found.select("query_id", "rank", "chunk_id").join(chunks.select("chunk_id", "source", "text"), "chunk_id")
-    rows = rows.join(queries.withColumnRenamed("text", "_query"), "query_id").withColumn("_model", lexical_score(F.col("_query"), F.col("text")))
     kinds = F.array(*map(F.lit, SOURCE_KINDS))
     rows = rows.withColumn("source_type", F.element_at(kinds, F.pmod(F.col("source"), F.lit(len(SOURCE_KINDS))).cast("int") + 1))
+    return rows.join(queries.withColumnRenamed("text", "_query"), "query_id")
+
+
+def rescored(found: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Found chunks reranked by their terms in common with the query."""
+    rows = _candidates(found, chunks, queries).withColumn("_model", lexical_score(F.col("_query"), F.col("text")))
+    return reranked(rows, F.col("_model"), k).select("query_id", "rank", "chunk_id", "rerank_score")
+
+
+def rescored_by_model(found: DataFrame, chunks: DataFrame, queries: DataFrame, load, k: int) -> DataFrame:
+    """Found chunks reranked by the model that ``load`` gives; a query that it can't score
+    keeps its order."""
+    rows = scored_pairs(_candidates(found, chunks, queries), load, "_query", "text", "query_id", "chunk_id", "_model")
     return reranked(rows, F.col("_model"), k).select("query_id", "rank", "chunk_id", "rerank_score")
 
 

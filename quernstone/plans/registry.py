@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from quernstone.plans import code_queries, io_queries, retrieval_queries, text_queries, upkeep_queries  # noqa: F401
+    from quernstone.plans import code_queries, io_queries, model_queries, retrieval_queries, text_queries, upkeep_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

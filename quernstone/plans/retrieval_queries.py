@@ -75,8 +75,7 @@ WITH {C.CHUNKS_SQL}, t AS (SELECT chunk_id, {C.TERMS.format('text')} AS toks FRO
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS term FROM t) GROUP BY ALL) GROUP BY term
 """)
 def agg14(spark, sf_dir):
-    posted = R.postings(C.chunks(spark, sf_dir))
-    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return R.term_statistics(C.chunks(spark, sf_dir))
 
 
 _KEYWORD = f"{C.CHUNKS_SQL}, {C.QUERIES_SQL}, {C.BM25_SQL}"
@@ -113,7 +112,7 @@ def ret2(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return R.bm25(C.chunks(spark, sf_dir), C.queries(spark, sf_dir))
+    return R.Keywords(C.chunks(spark, sf_dir), C.queries(spark, sf_dir))
 
 
 def _hybrid(spark, sf_dir, k=7):
