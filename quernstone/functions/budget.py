@@ -1,4 +1,4 @@
-"""Texts within a budget, and repaired front matter: pandas UDFs, as both need a parser."""
+"""Texts within a number of tokens."""
 
 from __future__ import annotations
 
@@ -11,11 +11,6 @@ from pyspark.sql.types import StringType
 
 from quernstone.functions import fixed
 
-try:
-    import yaml
-except ImportError:  # without a YAML parser a text counts as broken if a line would be changed
-    yaml = None
-
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -48,48 +43,53 @@ def truncated_tokens(most: int, count: Callable[[str], int] = count_words):
     return F.pandas_udf(cut, StringType())
 
 
-def _loads(text: str) -> bool:
-    try:
-        yaml.safe_load(text)
-    except yaml.YAMLError:
-        return False
-    return True
-
-
-def _quoted(value: str) -> bool:
-    return len(value) > 1 and value.startswith('"') and value.endswith('"')
-
-
-def _repaired_line(line: str) -> str:
-    found = re.match(r"^(\s*\w+):\s*(.+)$", line)
-    if not found:
-        return line
-    key, value = found[1], found[2].strip()
-    if value.startswith("[") and value.endswith("]"):
-        items = [i.strip() for i in re.split(r",\s*", value[1:-1])]
-        escape = lambda i: '"' + i.replace('"', '\\"') + '"'
-        value = "[" + ", ".join(escape(i) if i and not _quoted(i) and set(i) & set(fixed.YAML_ITEM_SIGNS) else i for i in items) + "]"
-    elif value.startswith("#") or (set(value) & set(":@#") and not _quoted(value) and value[0] not in "[{"):
-        value = f'"{value}"'
-    return f"{key}: {value}" if value != found[2].strip() else line
-
-
-def repaired(content: str) -> str:
-    """A text whose front matter can't be read as YAML with the values quoted that break
-    it; as it is where that doesn't help or isn't needed."""
-    if not content.startswith("---") or (end := content.find("---", 3)) < 0:
-        return content
-    head = content[3:end]
-    if yaml and _loads(head):
-        return content
-    lines = head.splitlines()
-    better = [_repaired_line(line) for line in lines]
-    fixed_head = "\n".join(better)
-    if better == lines or (yaml and not _loads(fixed_head)):
-        return content
-    return "---" + fixed_head + "\n" + content[end:]
-
-
-@F.pandas_udf(StringType())
-def repaired_front_matter(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else repaired(t))
+class Tokens:
+    """Cuts texts to a number of tokens of a tokenizer file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def count(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def within(self, text: str, most: int, suffix: str = fixed.TRUNCATION_SUFFIX) -> str:
+        """``text`` if it has at most ``most`` tokens, else a beginning and the suffix that
+        have so many together, one character more having too many.
+
+        The text is encoded once; the offset of the last token that fits gives the place,
+        which then moves by characters, as a cut or the suffix can change the last tokens.
+        So nothing but beginnings within the budget is encoded again."""
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        if len(found.ids) <= most:
+            return text
+        if (own := self.count(suffix)) >= most:
+            return suffix
+        fits = lambda n: self.count(text[:n] + suffix) <= most
+        at = found.offsets[most - own - 1][1]
+        while at and not fits(at):
+            at -= 1
+        while at < len(text) and fits(at + 1):
+            at += 1
+        return text[:at] + suffix
+
+
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """The tokenizer of a file, read once by each Python process."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
+
+
+def within_budget(most: int, path: str):
+    """A column function: texts within a number of tokens of a tokenizer file."""
+
+    def cut(texts: pd.Series) -> pd.Series:
+        tokens = tokens_of(path)
+        return texts.map(lambda t: None if t is None else tokens.within(t, most))
+
+    return F.pandas_udf(cut, StringType())

@@ -102,9 +102,8 @@ PATH_ARGUMENTS = (
 )
 PATH_LISTS = (("refresh_file_index", "paths", "Path not under ALLOWED_ROOTS: "),)
 
-# Most words of a skill's content; signs that a YAML list item must be quoted for.
+# Fixed value: most words of a skill's content.
 MAX_SKILL_WORDS = 5000
-YAML_ITEM_SIGNS = ":@#{}[]|>&*!%"
 
 # Periods of the janitor.
 JANITOR_WEB_DAYS, JANITOR_KEEP_ROWS, JANITOR_REVIEW_DAYS = 30, 100_000, 7

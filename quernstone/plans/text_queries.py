@@ -304,11 +304,22 @@ def str6(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(truncated_tokens(199)("text")).alias("sum"))
 
 
+@register("str6_tokenizer_budget")
+def str6_tokenizer(spark, sf_dir):
+    """Texts within 256 tokens of a public byte-level vocabulary, suffix included."""
+    import public_tokenizers
+
+    from quernstone.functions.budget import within_budget
+
+    cut = within_budget(256, public_tokenizers.path("byte_bpe_50k.json"))
+    return table(spark, sf_dir, "documents").select("doc_id", cut("text").alias("text")).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("sum"))
+
+
 @register("str20_front_matter_repair", """
 SELECT doc_id, '---' || chr(10) || 'name: ' || source || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'description: "use: ' || lang || '"' || chr(10) || 'tags: ["a: b", ' || lang || ', "#c"]' ELSE 'description: plain' || chr(10) || 'tags: [a, b]' END || chr(10) || '---' || chr(10) || 'body' AS content FROM documents
 """)
 def str20(spark, sf_dir):
-    from quernstone.functions.budget import repaired_front_matter
+    from quernstone.functions.front_matter import repaired_front_matter
 
     even = F.col("doc_id") % 2 == 0
     head = F.when(even, F.concat(F.lit("description: use: "), "lang", F.lit("\ntags: [a: b, "), "lang", F.lit(", #c]"))).otherwise("description: plain\ntags: [a, b]")

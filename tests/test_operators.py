@@ -2,10 +2,11 @@
 
 import random
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions import arguments, budget
+from quernstone.functions import arguments, budget, front_matter
 from quernstone.functions import text as T
 from quernstone.operators import analytics, chunking, code, curation, graph, retrieval
 from quernstone.sources.html import html_to_markdown
@@ -246,8 +247,43 @@ def test_token_budget():
 ])
 def test_front_matter_repair(head, expected):
     content = f"---\n{head}---\nbody"
-    assert budget.repaired(content) == (content if expected is None else f"---\n{expected}\n---\nbody")
-    assert budget.repaired("no head") == "no head" and budget.repaired("---\nopen: a: b") == "---\nopen: a: b"
+    assert front_matter.repaired(content) == (content if expected is None else f"---\n{expected}\n---\nbody")
+    assert front_matter.repaired("no head") == "no head" and front_matter.repaired("---\nopen: a: b") == "---\nopen: a: b"
+
+
+@pytest.mark.parametrize("head, expected", [
+    ("a: 'it''s'\nb: \"q \\\" q\" # note\nc: &x y\nd: *x\ne: http://h:80/p\nf: x #y\n", None),  # all of it reads
+    ("a: |\n  b: c: d\n  @e\nf: ok\n", None),  # a block scalar holds anything
+    ("a: |\n  b: c: d\n\nf: @ok\n", 'a: |\n  b: c: d\n\nf: "@ok"'),
+    ("- a: b\n- @c\n- x: y: z\n", '- a: b\n- "@c"\n- x: "y: z"'),
+    ("a: [x, [y, z], {k: v}, 'q, r', s: t]\n", 'a: [x, [y, z], {k: v}, \'q, r\', "s: t"]'),
+    ("a: # gone\nb: %x\nc: #hash\n", 'a: # gone\nb: "%x"\nc: "#hash"'),
+    ("a: #hash\n", None),  # reads, though as nothing
+    ('a: "open: x\nb: say "hi": c\n', 'a: "\\"open: x"\nb: "say \\"hi\\": c"'),
+    ("a: - x\nb: -1\nc: ends:\n", 'a: "- x"\nb: -1\nc: "ends:"'),
+    ("a: @x\nb: [open, c\n", None), ("a: *not alias\n", 'a: "*not alias"'), ("a: C:\\x: y\n", 'a: "C:\\\\x: y"'),
+])
+def test_front_matter_by_yaml_rules(head, expected):
+    content = f"---\n{head}---\nbody: @y: z"
+    assert front_matter.repaired(content) == (content if expected is None else f"---\n{expected}\n---\nbody: @y: z")
+
+
+def test_tokenizer_budget():
+    """One character more has too many tokens; what fits stays."""
+    tokens = budget.tokens_of(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["word", " ", "ü", "\n", "🙂", "  ", "supercalifragilistic", ".", "1234"]) for _ in range(n)) for n in (0, 5, 60, 200, 900)] + ["a" * 5000, " " * 4000, "é" * 3000]
+    for text in texts:
+        for most in (3, 20, 33, 64):
+            cut = tokens.within(text, most)
+            if tokens.count(text) <= most:
+                assert cut == text
+                continue
+            assert cut.endswith(T.fixed.TRUNCATION_SUFFIX)
+            at = len(cut) - len(T.fixed.TRUNCATION_SUFFIX)
+            assert text.startswith(cut[:at])
+            if at:
+                assert tokens.count(cut) <= most < tokens.count(text[: at + 1] + T.fixed.TRUNCATION_SUFFIX)
 
 
 def test_symbol_xml_and_related_text(spark):
