@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
+from quernstone.storage import Scratch
 
 
 def keep_one(df: DataFrame, keys: list, order: list, last: bool = False) -> DataFrame:
@@ -38,13 +39,58 @@ def alpaca_merge(parts: list[DataFrame]) -> DataFrame:
     return merged
 
 
+def first_rows(rows: DataFrame, order: list[tuple[Column, bool]], n: int) -> DataFrame:
+    """The first ``n`` rows by (column, whether descending), nulls first or, descending,
+    last; of rows that are equal at the bound any.
+
+    The keys alone are dealt by ranges and counted, which gives the key of the n-th row;
+    rows are then read with that bound, so none of them is moved or sorted."""
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "first")
+    names = [f"_o{k}" for k in range(len(order))]
+    by = [F.col(c).desc() if down else F.col(c).asc() for c, (_, down) in zip(names, order, strict=True)]
+    keys = rows.select(*(c.alias(name) for name, (c, _) in zip(names, order, strict=True)))
+    dealt = scratch.save(keys.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("_range", F.spark_partition_id()), "keys")
+    before, at = 0, None
+    for r in dealt.groupBy("_range").count().orderBy("_range").collect():  # a row a range
+        if before + r["count"] >= n:
+            at = r["_range"]
+            break
+        before += r["count"]
+    if at is None:
+        return rows
+    if n <= 0:
+        return rows.limit(0)
+    here = dealt.where(F.col("_range") == at).withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*by)))
+    bound = here.where(F.col("_n") == n - before).select(*names).first()
+
+    def compared(columns: list[Column]) -> tuple[Column, Column]:
+        """Whether a row stands before the bound, and whether it has the same keys."""
+        ahead, same = F.lit(False), F.lit(True)
+        for c, (_, down), value in zip(columns, order, bound, strict=True):
+            limit = F.lit(value)
+            if value is None:
+                less = c.isNotNull() if down else F.lit(False)
+            else:
+                less = F.coalesce(c > limit, F.lit(False)) if down else F.coalesce(c < limit, F.lit(True))
+            ahead, same = ahead | (same & less), same & c.eqNullSafe(limit)
+        return ahead, same
+
+    ahead, same = compared([F.col(c) for c in names])
+    sums = here.agg(F.sum(ahead.cast("int")).alias("a"), F.sum(same.cast("int")).alias("s")).first()
+    ahead, same = compared([c for c, _ in order])
+    missing = n - before - sums["a"]
+    if missing == sums["s"]:
+        return rows.where(ahead | same)
+    return rows.where(ahead).unionByName(rows.where(same).limit(missing))
+
+
 def keep_last_rows(rows: DataFrame, position: str, n: int) -> DataFrame:
-    return rows.orderBy(F.col(position).desc()).limit(n)
+    return first_rows(rows, [(F.col(position), True)], n)
 
 
 def sample_rows(rows: DataFrame, key: str, n: int, seed: str = "s") -> DataFrame:
     """n rows without replacement, the same at every run: those of the smallest hash."""
-    return rows.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary")), key).limit(n)
+    return first_rows(rows, [(F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary")), False), (F.col(key), False)], n)
 
 
 def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -75,7 +121,7 @@ def outdated_web(rows: DataFrame, now: Column, days: int, source: str = "source"
 
 def pruned_cache(cache: DataFrame, most: int, oldest: Column, created: str = "created_at", key: str = "id") -> DataFrame:
     """The newest ``most`` rows among those not older than ``oldest``."""
-    return cache.where(F.col(created) >= oldest).orderBy(F.col(created).desc(), F.col(key).desc()).limit(most)
+    return first_rows(cache.where(F.col(created) >= oldest), [(F.col(created), True), (F.col(key), True)], most)
 
 
 def secret_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

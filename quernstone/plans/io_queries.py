@@ -10,7 +10,7 @@ from quernstone.functions import text as T
 from quernstone.plans import common as C
 from quernstone.plans.registry import register
 from quernstone.session import table
-from quernstone.sources import readers, sinks
+from quernstone.sources import index, readers, sinks
 from quernstone.storage import Scratch
 from quernstone.streaming import incremental
 
@@ -149,17 +149,43 @@ def snk1_index(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "source")
     one = lambda value: docs.select(F.col("doc_id").alias("source"), value.alias("value"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source"), F.floor(F.col("embedding")[0].cast("double") * 1_000_000).alias("value"))
-    sinks.write_index(spark, root, {"chunks": one(F.col("lang")), "vectors": vectors, "symbols": one(F.col("source")), "refs": one(F.concat("lang", "source")), "summaries": one(F.concat(F.lit("of "), "source"))})
+    index.write_index(spark, root, {"chunks": one(F.col("lang")), "vectors": vectors, "symbols": one(F.col("source")), "refs": one(F.concat("lang", "source")), "summaries": one(F.concat(F.lit("of "), "source"))})
     new = labels.where("quality = 1").select("source", F.lit("new").alias("value"))
     changes = dict.fromkeys(("chunks", "symbols", "refs", "summaries"), new) | {"vectors": new.withColumn("value", F.lit(9).cast("long"))}
-    sinks.write_index(spark, root, changes, gone=labels.where("quality = 0").select("source"))
+    index.write_index(spark, root, changes, gone=labels.where("quality = 0").select("source"))
     out = None
     for name in ("chunks", "vectors", "symbols", "refs", "summaries"):
-        rows = sinks.read_index(spark, root, name).select(F.lit(name).alias("tbl"), "source", F.col("value").cast("string").alias("value"))
+        rows = index.read_index(spark, root, name).select(F.lit(name).alias("tbl"), "source", F.col("value").cast("string").alias("value"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+@register("snk1_versions", """
+WITH n AS (SELECT doc_id, quality FROM labels)
+SELECT v.version, 'chunks' AS tbl, doc_id AS source, CASE WHEN v.version > 1 AND doc_id IN (SELECT doc_id FROM n) THEN 'new' ELSE lang END AS value
+FROM documents, (VALUES (1), (2), (3), (4)) v(version) WHERE v.version < 3 OR doc_id NOT IN (SELECT doc_id FROM n WHERE quality = 0)
+UNION ALL SELECT v.version, 'refs', doc_id, source FROM documents, (VALUES (1), (2), (3), (4)) v(version)
+WHERE v.version = 1 OR doc_id NOT IN (SELECT doc_id FROM n)
+""")
+def snk1_versions(spark, sf_dir):
+    """Four versions of an index: all documents; labelled ones anew in one table, whose
+    references go; those of quality 0 gone; and the same compacted. Each reads as it was."""
+    root = Scratch(spark, "versions").path("index")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "source")
+    one = lambda value: docs.select(F.col("doc_id").alias("source"), F.col(value).alias("value"))
+    index.write_index(spark, root, {"chunks": one("lang"), "refs": one("source")})
+    new = labels.join(one("lang").select("source"), "source", "left_semi").select("source", F.lit("new").alias("value"))
+    index.write_index(spark, root, {"chunks": new})
+    index.write_index(spark, root, {}, gone=labels.where("quality = 0").select("source"))
+    index.compact(spark, root)
+    out = None
+    for version in index.versions(spark, root):
+        for name in ("chunks", "refs"):
+            rows = index.read_index(spark, root, name, version).select(F.lit(version).alias("version"), F.lit(name).alias("tbl"), "source", "value")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("snk2_single_rows", """
 SELECT 'chunk' AS tbl, doc_id AS id, lang AS value FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'chunk', doc_id, 'new' FROM labels
 UNION ALL SELECT 'vector', vec_id, 'old' FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'vector', doc_id, 'new' FROM labels WHERE quality = 1

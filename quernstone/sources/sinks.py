@@ -1,4 +1,4 @@
-"""Sinks: tables by source, index tables that change together, logs, manifests and reports."""
+"""Sinks: tables by source, logs, manifests and reports."""
 
 from __future__ import annotations
 
@@ -18,45 +18,6 @@ def replace_sources(table: DataFrame, rows: DataFrame, path: str, source: str =
     upserted(table, rows, [source]).write.mode("overwrite").parquet(path)
 
 
-def _paths(spark: SparkSession, root: str):
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), jvm.org.apache.hadoop.fs.Path
-
-
-def current_version(spark: SparkSession, root: str) -> int:
-    """The last version that was finished, or 0."""
-    files, path = _paths(spark, root)
-    if not files.exists(path(root)):
-        return 0
-    names = [s.getPath().getName() for s in files.listStatus(path(root))]
-    return max((int(n.removeprefix("done-")) for n in names if n.startswith("done-")), default=0)
-
-
-def read_index(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    version = current_version(spark, root)
-    return spark.read.parquet(f"{root}/v{version}/{name}") if version else None
-
-
-def write_index(spark: SparkSession, root: str, changes: dict[str, DataFrame], gone: DataFrame | None = None, source: str = "source") -> int:
-    """Replaces the rows of sources in all tables of an index as one: the tables of the
-    new version are written beside the old ones, and it counts once its mark stands.
-    ``gone`` (source) are sources that leave every table. A failed write leaves the old
-    version in force."""
-    version = current_version(spark, root)
-    touched = None
-    for rows in changes.values():
-        touched = rows.select(source) if touched is None else touched.unionByName(rows.select(source))
-    touched = touched if gone is None else touched.unionByName(gone.select(source))
-    for name, rows in changes.items():
-        old = read_index(spark, root, name)
-        whole = rows if old is None else old.join(touched.distinct(), source, "left_anti").unionByName(rows)
-        whole.write.mode("overwrite").parquet(f"{root}/v{version + 1}/{name}")
-    files, path = _paths(spark, root)
-    files.create(path(f"{root}/done-{version + 1}"), False).close()
-    return version + 1
-
-
 def upserted_chunks(chunks: DataFrame, vectors: DataFrame, rows: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Chunks and vectors (key, embedding) after single rows were inserted or replaced; a
     row without an embedding takes its vector out."""

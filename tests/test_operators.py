@@ -322,3 +322,20 @@ def test_places_in_groups(spark):
     for g in ("a", "b", None):
         values = sorted(r[1] for r in rows if r[0] == g)
         assert found[g] == (len(values), values[min(len(values) // 2, len(values) - 1)])
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 60, 299, 300, 301, 5000])
+def test_first_rows(spark, n):
+    """Rows with nulls and ties, by two keys of both directions."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, "a", "b", "c"]), k) for k in range(300)]
+    table = spark.createDataFrame(rows, "v int, s string, id int").repartition(5)
+    made = curation.first_rows(table, [(F.col("v"), True), (F.col("s"), False)], n)
+    key = lambda v, s: (v is None, -(v or 0), s is not None, s or "")
+    want = sorted(key(v, s) for v, s, _ in rows)[:n]
+    got = made.collect()
+    assert sorted(key(r["v"], r["s"]) for r in got) == want and len({r["id"] for r in got}) == len(want)
+    if n == 60:  # unique keys: no row is sorted or moved
+        unique = curation.first_rows(table, [(F.col("id"), True)], n)
+        assert sorted(r["id"] for r in unique.collect()) == list(range(240, 300))
+        assert "TakeOrdered" not in unique._jdf.queryExecution().toString() and "Limit" not in unique._jdf.queryExecution().toString()

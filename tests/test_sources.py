@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.sources import readers, sinks
+from quernstone.sources import index, readers, sinks
 from quernstone.streaming import incremental
 
 
@@ -96,16 +96,58 @@ def test_windowed_counts(spark, tmp_path):
 def test_index_tables_change_together(spark, tmp_path):
     root = str(tmp_path / "index")
     rows = lambda *x: spark.createDataFrame(list(x), "source string, n int")
-    assert sinks.read_index(spark, root, "chunks") is None
-    sinks.write_index(spark, root, {"chunks": rows(("a", 1), ("b", 2)), "refs": rows(("b", 3))})
+    assert index.read_index(spark, root, "chunks") is None
+    index.write_index(spark, root, {"chunks": rows(("a", 1), ("b", 2)), "refs": rows(("b", 3))})
     # a table that can't be written leaves the whole version out of force
     broken = rows(("a", 9)).withColumn("n", F.raise_error(F.lit("no")).cast("int"))
     with pytest.raises(Exception, match="no"):
-        sinks.write_index(spark, root, {"chunks": rows(("a", 9)), "refs": broken})
-    assert sorted(map(tuple, sinks.read_index(spark, root, "chunks").collect())) == [("a", 1), ("b", 2)]
-    sinks.write_index(spark, root, {"chunks": rows(("a", 9)), "refs": rows(("a", 8))}, gone=spark.createDataFrame([("b",)], "source string"))
-    assert [tuple(sinks.read_index(spark, root, n).first()) for n in ("chunks", "refs")] == [("a", 9), ("a", 8)]
-    assert sinks.read_index(spark, root, "refs").count() == 1 and sinks.current_version(spark, root) == 2
+        index.write_index(spark, root, {"chunks": rows(("a", 9)), "refs": broken})
+    assert sorted(map(tuple, index.read_index(spark, root, "chunks").collect())) == [("a", 1), ("b", 2)]
+    index.write_index(spark, root, {"chunks": rows(("a", 9)), "refs": rows(("a", 8))}, gone=spark.createDataFrame([("b",)], "source string"))
+    assert [tuple(index.read_index(spark, root, n).first()) for n in ("chunks", "refs")] == [("a", 9), ("a", 8)]
+    assert index.read_index(spark, root, "refs").count() == 1 and index.current_version(spark, root) == 2
+
+
+def test_tables_not_named_stay(spark, tmp_path):
+    root = str(tmp_path / "index")
+    rows = lambda *x: spark.createDataFrame(list(x), "source string, n int")
+    read = lambda name, version=None: sorted(map(tuple, index.read_index(spark, root, name, version).collect()), key=str)
+    index.write_index(spark, root, {"chunks": rows(("a", 1), ("b", 2), ("c", 3)), "refs": rows(("a", 4), ("b", 5), ("b", 6)), "bare": rows(("z", 0))})
+    index.write_index(spark, root, {"chunks": rows(("a", 7), ("a", 8), (None, 9))})
+    assert read("refs") == [("b", 5), ("b", 6)] and read("bare") == [("z", 0)]
+    assert read("chunks") == sorted([("a", 7), ("a", 8), ("b", 2), ("c", 3), (None, 9)], key=str)
+    index.write_index(spark, root, {}, gone=rows(("b", 0), ("none", 0)).select("source"))
+    assert read("refs") == [] and read("refs", 1) == [("a", 4), ("b", 5), ("b", 6)]
+    # a source that went comes back, and a table that is new has a column more
+    index.write_index(spark, root, {"refs": rows(("b", 1)).withColumn("more", F.lit("x")), "late": rows(("a", 1))})
+    assert read("refs") == [("b", 1, "x")] and read("late") == [("a", 1)]
+    whole = {name: read(name) for name in ("chunks", "refs", "bare", "late")}
+    assert index.compact(spark, root) == 5
+    assert whole == {name: read(name) for name in whole}
+    assert index.sweep(spark, root) > 0 and index.versions(spark, root) == [5] and index.sweep(spark, root) == 0
+    assert read("refs") == [("b", 1, "x")]
+
+
+def test_one_of_two_writers_is_refused(spark, tmp_path):
+    root = str(tmp_path / "index")
+    rows = lambda n: spark.createDataFrame([("a", n)], "source string, n int")
+    index.write_index(spark, root, {"t": rows(1)})
+    index.write_index(spark, root, {"t": rows(2)}, base=1)
+    with pytest.raises(index.Conflict):
+        index.write_index(spark, root, {"t": rows(3)}, base=1)
+    assert [r["n"] for r in index.read_index(spark, root, "t").collect()] == [2]
+    assert [r["n"] for r in index.read_index(spark, root, "t", 1).collect()] == [1]
+
+
+def test_a_small_change_writes_little(spark, tmp_path):
+    root = tmp_path / "index"
+    size = lambda: sum(f.stat().st_size for f in root.rglob("*.parquet"))
+    text = F.sha2(F.col("id").cast("string").cast("binary"), 512)
+    index.write_index(spark, str(root), {"t": spark.range(20_000).select(F.col("id").cast("string").alias("source"), text.alias("text"))})
+    before = size()
+    index.write_index(spark, str(root), {"t": spark.range(200).select(F.col("id").cast("string").alias("source"), text.alias("text"))})
+    assert size() - before < 0.04 * before
+    assert index.read_index(spark, str(root), "t").count() == 20_000
 
 
 def test_log_files_are_bounded(spark, tmp_path):
