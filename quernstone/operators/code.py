@@ -1,14 +1,19 @@
 """Symbols and chunks of source code.
 
-Python is read with the standard ``ast`` module, which rejects sources that a tolerant
-parser would take: those become one raw chunk. Rust and TypeScript/JavaScript are read by
-a scanner that knows strings, comments and braces. These run as pandas UDFs.
+Python is read with the standard ``ast`` module; a source that it rejects is read block by
+block, so that one broken function leaves the others whole. Rust and TypeScript/JavaScript
+are read by their items and braces after masking; an item whose brace is never closed ends
+where the next one of its level starts. These run as pandas UDFs.
 """
 
 from __future__ import annotations
 
 import ast
+import keyword
 import re
+import textwrap
+from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +23,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from quernstone.functions import fixed
 from quernstone.functions import text as T
 from quernstone.operators import chunking
+from quernstone.operators.masking import masked, without_comments
 
 # given as types: a string would need a session when executors import this module
 _STRINGS = ArrayType(StringType())
@@ -42,67 +48,177 @@ def _python_calls(node: ast.AST) -> list[str]:
 _DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
-def python_chunks(source: str) -> list[dict]:
-    """Functions, classes, and methods led by their class and the module's imports."""
+_HEADER = re.compile(r"(?:async[ \t]+)?(def|class)[ \t]+(\w+)[^\n]*:[ \t]*(?:\#[^\n]*)?$", re.M)
+#: Lines that go on with the statement before them.
+_GOES_ON = re.compile(r"[\s)\]}#]|(?:else|elif|except|finally|case)\b|$")
+#: Blocks that are tried together, for strings over several lines that hold lines without indentation.
+_TOGETHER = 40
+
+
+def _parsed(source: str) -> ast.Module | None:
     try:
-        tree = ast.parse(source)
+        return ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
-        return [_chunk(source, "raw", "file_content")]
-    part = lambda n: ast.get_source_segment(source, n) or ""
-    imports = "\n".join(part(n) for n in tree.body if isinstance(n, (ast.Import, ast.ImportFrom)))
+        return None
+
+
+def _python_blocks(source: str) -> list[tuple[ast.Module | None, str]]:
+    """A source in statements without indentation, each with its tree or, where it can't
+    be read, None. Decorators belong to what follows them."""
+    starts, lines = [], source.splitlines(keepends=True)
+    for k, line in enumerate(lines):
+        if not _GOES_ON.match(line) and not (k and lines[k - 1].startswith("@")):
+            starts.append(k)
+    blocks = ["".join(lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)][: len(starts)], strict=True)]
+    out, k = [], 0
+    while k < len(blocks):
+        for n in range(1, min(_TOGETHER, len(blocks) - k) + 1):
+            text = "".join(blocks[k : k + n])
+            if (tree := _parsed(text)) is not None or not re.search(r"\"{3}|'{3}|\\\n", text):
+                break
+        if tree is None:
+            n, text = 1, blocks[k]
+        out.append((tree, text))
+        k += n
+    return out
+
+
+@dataclass
+class _Item:
+    """A statement: its node in ``base``, or of a broken one, whose header can be read, its
+    kind and name alone."""
+
+    text: str
+    base: str
+    node: ast.AST | None = None
+    kind: str = ""
+    name: str = ""
+
+    def __post_init__(self):
+        if isinstance(self.node, (*_DEF, ast.ClassDef)):
+            self.kind, self.name = "class" if isinstance(self.node, ast.ClassDef) else "def", self.node.name
+
+    def calls(self) -> list[str]:
+        return _python_calls(self.node) if self.node else _plain_calls(self.text)
+
+    def members(self) -> list[_Item]:
+        if self.node:
+            return [_Item(ast.get_source_segment(self.base, m) or "", self.base, m) for m in self.node.body]
+        return _python_items(textwrap.dedent("".join(self.text.splitlines(keepends=True)[1:])))
+
+
+def _python_items(source: str) -> list[_Item]:
+    tree, out = _parsed(source), []
+    for part, text in [(tree, source)] if tree is not None else _python_blocks(source):
+        if part is not None:
+            out += [_Item(ast.get_source_segment(text, n) or "", text, n) for n in part.body]
+        elif (m := _HEADER.search(text)) and _parsed(m[0].split("#")[0].rstrip() + " pass") is not None:
+            out.append(_Item(text[m.start() :].rstrip(), text, None, m[1], m[2]))
+    return out
+
+
+def _plain_calls(text: str) -> list[str]:
+    """Names before an opening bracket in a source that can't be read."""
+    bare = re.sub(r"\#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", " ", text)
+    found = {m[1] for m in re.finditer(r"([A-Za-z_]\w*)\s*\(", bare) if not re.search(r"\b(?:def|class)\s+$", bare[: m.start()])}
+    return sorted(n for n in found if not keyword.iskeyword(n))
+
+
+def python_chunks(source: str) -> list[dict]:
+    """Functions, classes, and methods led by their class and the module's imports. A
+    source that can't be read and has no such item is one raw chunk."""
+    items, out = _python_items(source), []
+    imports = "\n".join(i.text for i in items if isinstance(i.node, (ast.Import, ast.ImportFrom)))
     led = lambda lead, text: f"{lead}\n\n{text}" if lead else text
-    out = []
-    for node in tree.body:
-        if isinstance(node, _DEF):
-            out.append(_chunk(led(imports, part(node)), "function", node.name, [node.name], _python_calls(node)))
-        elif isinstance(node, ast.ClassDef):
-            out.append(_chunk(part(node), "class", node.name, [node.name], _python_calls(node)))
-            lead = f"Class {node.name}:" + (f"\n{imports}" if imports else "")
-            out += [_chunk(led(lead, part(m)), "function", m.name, [m.name], _python_calls(m)) for m in node.body if isinstance(m, _DEF)]
-    return out or [_chunk(source, "script", "__main__")]
+    for item in items:
+        if item.kind == "def":
+            out.append(_chunk(led(imports, item.text), "function", item.name, [item.name], item.calls()))
+        elif item.kind == "class":
+            out.append(_chunk(item.text, "class", item.name, [item.name], item.calls()))
+            lead = f"Class {item.name}:" + (f"\n{imports}" if imports else "")
+            out += [_chunk(led(lead, m.text), "function", m.name, [m.name], m.calls()) for m in item.members() if m.kind == "def"]
+    return out or [_chunk(source, "script", "__main__") if _parsed(source) is not None else _chunk(source, "raw", "file_content")]
 
 
 def python_symbols(source: str) -> dict:
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return {"defines": [], "imports": []}
-    defines = {n.name for n in ast.walk(tree) if isinstance(n, (*_DEF, ast.ClassDef))}
-    imports = set()
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Import):
-            imports |= {a.name.split(".")[0] for a in n.names}
-        elif isinstance(n, ast.ImportFrom) and n.module:
-            imports.add(n.module.split(".")[0])
+    defines: set[str] = set()
+    imports: set[str] = set()
+    waiting = _python_items(source)
+    while waiting:
+        item = waiting.pop()
+        if item.node is None:
+            defines.add(item.name)
+            waiting += item.members() if item.kind == "class" else []
+            continue
+        for n in ast.walk(item.node):
+            if isinstance(n, (*_DEF, ast.ClassDef)):
+                defines.add(n.name)
+            elif isinstance(n, ast.Import):
+                imports |= {a.name.split(".")[0] for a in n.names}
+            elif isinstance(n, ast.ImportFrom) and n.module:
+                imports.add(n.module.split(".")[0])
     return {"defines": sorted(defines), "imports": sorted(imports)}
 
 
-#: strings and comments of brace languages; what matches is blanked before scanning
-_HIDDEN = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|`(?:\\.|[^`\\])*`|\'(?:\\.|[^\'\\\n])\'', re.S)
-_TS_HIDDEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])*'", re.S)
+def python_calls(source: str) -> list[str]:
+    return sorted({name for item in _python_items(source) for name in item.calls()})
 
 
-def _blanked(source: str, hidden: re.Pattern) -> str:
-    return hidden.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-
-
-def _close(text: str, start: int) -> int:
+def _close(text: str, start: int, end: int | None = None) -> int | None:
     """Just past the brace that closes the first one at or after ``start``, or past the
-    semicolon that ends the item before any brace opens."""
-    depth = 0
-    for m in re.compile(r"[{};]").finditer(text, start):
-        if m[0] == "{":
+    semicolon that ends the item before any brace opens; None if nothing closes it."""
+    depth = inner = 0
+    for m in re.compile(r"[{}()\[\];]").finditer(text, start, len(text) if end is None else end):
+        if m[0] in "([":
+            inner += 1
+        elif m[0] in ")]":
+            inner = max(0, inner - 1)
+        elif m[0] == "{":
             depth += 1
         elif m[0] == "}":
-            depth -= 1
+            depth, inner = depth - 1, 0
             if depth <= 0:
                 return m.end()
-        elif not depth:
+        elif not depth and not inner:
             return m.end()
+    return None
+
+
+def _column(text: str, at: int) -> int:
+    return at - (text.rfind("\n", 0, at) + 1)
+
+
+def _stop(text: str, begin: int, start: int, end: int, item: re.Pattern) -> int:
+    """The end of the item at ``begin``. One that nothing closes ends where the next item
+    begins that stands no deeper than itself, or where its surroundings do."""
+    if (found := _close(text, start, end)) is not None:
+        return found
+    for m in item.finditer(text, start, end):
+        at = m.start() + len(m[0]) - len(m[0].lstrip())
+        if text.rfind("\n", begin, at) >= 0 and _column(text, at) <= _column(text, begin):
+            return begin + len(text[begin:at].rstrip())
+    return begin + len(text[begin:end].rstrip())
+
+
+def _inside(text: str, stop: int) -> int:
+    """The end of the body of an item that ends at ``stop``: before its brace, if it has one."""
+    return stop - 1 if text[stop - 1 : stop] == "}" else stop
+
+
+def _past_angles(text: str, at: int) -> int:
+    """Behind the angle bracket that closes the one at ``at``; arrows don't close any."""
+    depth = 0
+    for k in range(at, len(text)):
+        if text[k] == "<":
+            depth += 1
+        elif text[k] == ">" and text[k - 1] not in "-=":
+            depth -= 1
+            if not depth:
+                return k + 1
     return len(text)
 
 
-_CALL = re.compile(r"(?:\b|\.)([A-Za-z_$][\w$]*)\s*(?:::<[^>]*>)?\(")
+_CALL = re.compile(r"(?:\b|\.)([A-Za-z_$][\w$]*)(?:\s*(?:::<[^>]*>+)?|<[^<>()&|;]*(?:<[^<>()&|;]*>[^<>()&|;]*)*>)\s*\(")
 _NO_CALL = {"if", "for", "while", "match", "switch", "return", "fn", "function", "catch", "loop", "async", "await", "in", "let", "const", "new", "super", "constructor"}
 
 
@@ -119,14 +235,14 @@ def _rust_items(clean: str, start: int = 0, end: int | None = None):
     at, end = start, len(clean) if end is None else end
     while m := _RUST_ITEM.search(clean, at, end):
         begin = m.start() + len(m[0]) - len(m[0].lstrip())
-        stop = min(_close(clean, m.end()), end)
+        stop = _stop(clean, begin, m.start(2), end, _RUST_ITEM)
         yield m[1], m[2].strip(), begin, stop
-        at = max(stop, m.end())
+        at = max(stop, m.start(2) + 1)
 
 
 def _impl_type(head: str) -> str:
-    head = re.sub(r"^<[^>]*>\s*", "", head)
-    head = head.split(" where ")[0]
+    head = head[_past_angles(head, 0) :].strip() if head.startswith("<") else head
+    head = re.split(r"\swhere\s", head)[0]
     return (head.split(" for ")[-1] if " for " in head else head).strip()
 
 
@@ -137,7 +253,7 @@ def _word(head: str) -> str:
 
 def rust_chunks(source: str) -> list[dict]:
     """Functions, types, and methods wrapped in their impl."""
-    clean, out = _blanked(source, _HIDDEN), []
+    clean, out = masked(source, "rs"), []
     for kind, head, begin, stop in _rust_items(clean):
         text, calls = source[begin:stop], _brace_calls(clean[begin:stop])
         if kind == "fn":
@@ -148,7 +264,7 @@ def rust_chunks(source: str) -> list[dict]:
             out.append(_chunk(text, "type", _word(head), [_word(head)], calls))
         else:
             of, body = _impl_type(head), clean.find("{", begin) + 1
-            for inner, name, b, s in _rust_items(clean, body, stop - 1):
+            for inner, name, b, s in _rust_items(clean, body, _inside(clean, stop)):
                 if inner == "fn":
                     out.append(_chunk(f"impl {of} {{\n{source[b:s]}\n}}", "method", _word(name), [f"{of}::{_word(name)}", _word(name)], _brace_calls(clean[b:s])))
     return out
@@ -156,7 +272,7 @@ def rust_chunks(source: str) -> list[dict]:
 
 def rust_symbols(source: str) -> dict:
     """Qualified definitions, and the paths and last names of ``use``."""
-    clean = _blanked(source, _HIDDEN)
+    clean = masked(source, "rs")
     defines: set[str] = set()
 
     def walk(start: int, end: int, path: str) -> None:
@@ -164,10 +280,10 @@ def rust_symbols(source: str) -> dict:
             body = clean.find("{", begin, stop) + 1
             if kind == "mod":
                 if body:
-                    walk(body, stop - 1, f"{path}{_word(head)}::")
+                    walk(body, _inside(clean, stop), f"{path}{_word(head)}::")
             elif kind == "impl":
                 of = _impl_type(head)
-                defines.update(f"{path}{of}::{_word(n)}" for k, n, _, _ in _rust_items(clean, body, stop - 1) if k == "fn")
+                defines.update(f"{path}{of}::{_word(n)}" for k, n, _, _ in _rust_items(clean, body, _inside(clean, stop)) if k == "fn")
             else:
                 defines.add(path + _word(head))
 
@@ -185,47 +301,112 @@ def rust_symbols(source: str) -> dict:
 
 
 _TS_ITEM = re.compile(r"^[ \t]*(export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|const|let|var)\s+([A-Za-z_$][\w$]*)", re.M)
-_TS_METHOD = re.compile(r"^[ \t]*(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*\*?([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\([^;{}]*\)[^;{}]*\{", re.M)
+_TS_MEMBER = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?\s*([A-Za-z_$#][\w$]*)\s*(?=[<(])", re.M)
 
 
-def ts_chunks(source: str) -> list[dict]:
-    """Functions, classes with their methods, interfaces, types and exported constants."""
-    clean, out, at = _blanked(source, _TS_HIDDEN), [], 0
+def _past_group(text: str, at: int, end: int) -> int:
+    """Behind the bracket of any kind that closes the one at ``at``."""
+    depth = 0
+    for m in re.compile(r"[()\[\]{}]").finditer(text, at, end):
+        depth += 1 if m[0] in "([{" else -1
+        if depth <= 0:
+            return m.end()
+    return end
+
+
+def _ts_body(text: str, at: int, end: int) -> int:
+    """Behind the type parameters, the parameters and the type of what they return, where
+    there are any: where a body would start."""
+    skip = lambda k: re.compile(r"\s*").match(text, k, end).end()
+    at = skip(at)
+    if text[at : at + 1] == "<":
+        at = skip(_past_angles(text, at))
+    if text[at : at + 1] == "(":
+        at = skip(_past_group(text, at, end))
+        if text[at : at + 1] == ":":
+            at = skip(at + 1)
+            at = skip(_past_group(text, at, end)) if text[at : at + 1] == "{" else at
+    return at
+
+
+def _ts_items(clean: str):
+    """(match, begin, stop) of the declarations, those inside others left out."""
+    at = 0
     while m := _TS_ITEM.search(clean, at):
-        kind, name = m[2].rstrip("*"), m[3]
         begin = m.start() + len(m[0]) - len(m[0].lstrip())
-        stop = _close(clean, m.end())
+        body = _ts_body(clean, m.end(), len(clean)) if m[2][:5] in ("funct", "class") else m.end()
+        stop = _stop(clean, begin, body if _close(clean, body) is not None else m.end(), len(clean), _TS_ITEM)
+        yield m, begin, stop
         at = max(stop, m.end())
+
+
+def _class_body(clean: str, m: re.Match) -> int:
+    return clean.find("{", _ts_body(clean, m.end(), len(clean))) + 1
+
+
+def _ts_methods(clean: str, start: int, end: int):
+    """(match, begin, stop) of the methods of a class body: a name, type parameters,
+    parameters, and a body behind them."""
+    at = start
+    while m := _TS_MEMBER.search(clean, at, end):
+        at = m.end() + 1
+        body = re.compile(r"[^;{}()]*\{").match(clean, _ts_body(clean, m.end(), end), end)
+        if not body:
+            continue
+        begin = m.start() + len(m[0]) - len(m[0].lstrip())
+        stop = _stop(clean, begin, body.end() - 1, end, _TS_MEMBER)
+        if m[1] not in _NO_CALL or m[1] == "constructor":
+            yield m, begin, stop
+        at = max(stop, body.end())
+
+
+def _without_method_names(clean: str) -> str:
+    """The names before methods' own brackets are no calls."""
+    for m, begin, stop in _ts_items(clean):
+        if m[2] == "class":
+            for n, b, _ in _ts_methods(clean, _class_body(clean, m), _inside(clean, stop)):
+                clean = clean[:b] + re.sub(r"[^\n]", " ", clean[b : n.end(1)]) + clean[n.end(1) :]
+    return clean
+
+
+def ts_chunks(source: str, ext: str = "ts") -> list[dict]:
+    """Functions, classes with their methods, interfaces, types and exported constants."""
+    clean, out = masked(source, ext), []
+    bare = _without_method_names(clean)
+    for m, begin, stop in _ts_items(clean):
+        kind, name = m[2].rstrip("*"), m[3]
         if kind in ("const", "let", "var") and not m[1]:
             continue
         label = {"const": "constant", "let": "constant", "var": "constant"}.get(kind, kind)
-        methods, bare = [], clean[begin:stop]
+        out.append(_chunk(source[begin:stop], label, name, [name], _brace_calls(bare[begin:stop])))
         if kind == "class":
-            inner = clean.find("{", begin) + 1
-            while n := _TS_METHOD.search(clean, inner, stop - 1):
-                b = n.start() + len(n[0]) - len(n[0].lstrip())
-                s = min(_close(clean, n.end() - 1), stop - 1)
-                # the name before a method's own brackets is no call
-                bare = bare[: n.start(1) - begin] + " " * len(n[1]) + bare[n.end(1) - begin :]
-                if n[1] not in _NO_CALL or n[1] == "constructor":
-                    methods.append(_chunk(f"Class {name}:\n\n{source[b:s]}", "method", n[1], [n[1]], _brace_calls(bare[b - begin : s - begin])))
-                inner = max(s, n.end())
-        out += [_chunk(source[begin:stop], label, name, [name], _brace_calls(bare)), *methods]
+            for n, b, e in _ts_methods(clean, _class_body(clean, m), _inside(clean, stop)):
+                out.append(_chunk(f"Class {name}:\n\n{source[b:e]}", "method", n[1], [n[1]], _brace_calls(bare[b:e])))
     return out or [_chunk(source, "script", "__main__")]
 
 
-def ts_symbols(source: str) -> dict:
-    clean = _blanked(source, re.compile(r"//[^\n]*|/\*.*?\*/", re.S))
-    defines = {m[3] for m in _TS_ITEM.finditer(_blanked(source, _TS_HIDDEN))}
+def ts_symbols(source: str, ext: str = "ts") -> dict:
+    defines = {m[3] for m in _TS_ITEM.finditer(masked(source, ext))}
     imports: set[str] = set()
-    for m in re.finditer(r"""import\s+(?:type\s+)?([^'";]*?)\s*(?:from\s*)?['"]([^'"]+)['"]""", clean):
+    for m in re.finditer(r"""import\s+(?:type\s+)?([^'";]*?)\s*(?:from\s*)?['"]([^'"]+)['"]""", without_comments(source)):
         imports.add(m[2].lstrip("./@").split("/")[0] or m[2])
         if group := re.search(r"\{([^}]*)\}", m[1]):
             imports |= {n.split(" as ")[0].strip() for n in group[1].split(",") if n.strip()}
     return {"defines": sorted(defines), "imports": sorted(imports - {""})}
 
 
-_PARSERS = {"py": (python_chunks, python_symbols), "rs": (rust_chunks, rust_symbols), **dict.fromkeys(("ts", "tsx", "js", "jsx"), (ts_chunks, ts_symbols))}
+def rust_calls(source: str) -> list[str]:
+    return _brace_calls(masked(source, "rs"))
+
+
+def ts_calls(source: str, ext: str = "ts") -> list[str]:
+    return _brace_calls(_without_method_names(masked(source, ext)))
+
+
+_PARSERS = {
+    "py": (python_chunks, python_symbols, python_calls), "rs": (rust_chunks, rust_symbols, rust_calls),
+    **{e: tuple(partial(f, ext=e) for f in (ts_chunks, ts_symbols, ts_calls)) for e in ("ts", "tsx", "js", "jsx")},
+}
 
 
 @F.pandas_udf(CHUNK)
@@ -243,18 +424,7 @@ def code_symbols(text: pd.Series, ext: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(_STRINGS)
 def code_calls(text: pd.Series, ext: pd.Series) -> pd.Series:
     """Names called anywhere in a source, sorted and without repeats."""
-
-    def one(t: str, e: str) -> list[str]:
-        if not t:
-            return []
-        if e == "py":
-            try:
-                return _python_calls(ast.parse(t))
-            except (SyntaxError, ValueError, RecursionError):
-                return []
-        return _brace_calls(_blanked(t, _HIDDEN if e == "rs" else _TS_HIDDEN)) if e in _PARSERS else []
-
-    return pd.Series([one(t, e) for t, e in zip(text, ext, strict=True)])
+    return pd.Series([_PARSERS[e][2](t) if e in _PARSERS and t else [] for t, e in zip(text, ext, strict=True)])
 
 
 def plain_calls(text: Column) -> Column:

@@ -89,10 +89,10 @@ def sym5(spark, sf_dir):
 
 @register("sym4_calls", """
 SELECT 'src/f' || doc_id || '.' || (['py', 'rs', 'ts'])[(doc_id % 3 + 1)::INT] AS source,
-       list_transform(([['C@', 'getcwd', 'go@', 'helper@'], ['help@', 'open@'], ['V@', 'draw@', 'join@', 'make@']])[(doc_id % 3 + 1)::INT], lambda x: replace(x, '@', doc_id::VARCHAR)) AS calls FROM documents
+       list_transform(([['C@', 'getcwd', 'go@', 'helper@'], ['help@', 'open@'], ['V@', 'join@', 'make@']])[(doc_id % 3 + 1)::INT], lambda x: replace(x, '@', doc_id::VARCHAR)) AS calls FROM documents
 """)
 def sym4_calls(spark, sf_dir):
-    """Calls of whole files; the brace scanner takes a method's own name for one."""
+    """Calls of whole files."""
     files = source_files(spark, sf_dir)
     return files.select("source", K.code_calls("text", K.extension(F.col("source"))).alias("calls"))
 
@@ -217,3 +217,81 @@ FROM (SELECT DISTINCT '  ' || regexp_replace(parent, '[^A-Za-z0-9_]', '_', 'g')
 """)
 def snk6(spark, sf_dir):
     return G.mermaid(G.module_edges(module_files(spark, sf_dir)))
+
+
+#: Files whose items come from a document: one for each of its first distinct words of four
+#: letters or more, at most 1 + doc_id % 5 of them, in a form that goes by the word's place.
+#: (extension, head, for each form: text, chunk text, type, name, defines, calls); @ is the
+#: word and its place, ~ a line break. The third form of each language is broken.
+_FORMS = (
+    ("py", "import os~~", (
+        ("def @(x):~    return '} {' + call_@(x)~", "import os~~def @(x):~    return '} {' + call_@(x)", "function", "@", ("@",), ("call_@",)),
+        ("async def @():~    # no()~    await os.wait_@()~", "import os~~async def @():~    # no()~    await os.wait_@()", "function", "@", ("@",), ("wait_@",)),
+        ("def @(x):~    return (lost_@(x) +~", "import os~~def @(x):~    return (lost_@(x) +", "function", "@", ("@",), ("lost_@",)),
+    )),
+    ("rs", "use std::io;~", (
+        ("fn @(x: i32) { let s = r#\"}{\"#; call_@(x) }~", "fn @(x: i32) { let s = r#\"}{\"#; call_@(x) }", "function", "@", ("@",), ("call_@",)),
+        ("pub struct @<'a, T: Into<Vec<u8>>> { /* } /* { */ */ x: &'a T }~", "pub struct @<'a, T: Into<Vec<u8>>> { /* } /* { */ */ x: &'a T }", "type", "@", ("@",), ()),
+        ("fn @() {~    if x { lost_@(1);~", "fn @() {~    if x { lost_@(1);", "function", "@", ("@",), ("lost_@",)),
+    )),
+    ("tsx", "import { a } from 'b';~", (
+        ("function @<T extends { a: string }>({ x }: P<T>) { return `}${call_@(`{`)}`; }~", "function @<T extends { a: string }>({ x }: P<T>) { return `}${call_@(`{`)}`; }", "function", "@", ("@",), ("call_@",)),
+        ("export const @ = () => <p>it's {show_@(1)} }</p>;~", "export const @ = () => <p>it's {show_@(1)} }</p>;", "constant", "@", ("@",), ("show_@",)),
+        ("function @() {~  if (/[{]/.test(x)) { lost_@();~", "function @() {~  if (/[{]/.test(x)) { lost_@();", "function", "@", ("@",), ("lost_@", "test")),
+    )),
+)
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _sql_list(values) -> str:
+    return f"[{', '.join(map(_sql_text, values))}]::VARCHAR[]"
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))"
+_WORDS_FILES = f"""
+forms(k, form, text, type, calls) AS (VALUES
+  {", ".join(f"({k}, {j}, {_sql_text(f[1])}, '{f[2]}', {_sql_list(f[5])})" for k, (_, _, forms) in enumerate(_FORMS) for j, f in enumerate(forms))}
+), words AS (
+  SELECT doc_id, doc_id % 3 AS k, 'gen/f' || doc_id || '.' || (['py', 'rs', 'tsx'])[(doc_id % 3 + 1)::INT] AS source, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place
+  FROM (SELECT doc_id, (list_sort({_WORDS}))[1:1 + doc_id % 5] AS ws FROM documents)
+), items AS MATERIALIZED (
+  SELECT doc_id, source, place, word || '_' || place AS name, type, list_transform(calls, lambda x: replace(x, '@', word || '_' || place)) AS calls, replace(replace(text, '@', word || '_' || place), '~', chr(10)) AS text
+  FROM words w JOIN forms f ON f.k = w.k AND f.form = (w.place + w.doc_id) % 3
+)"""
+
+
+def generated_files(spark, sf_dir):
+    """(source, text): a file of each document's words; those without one have no file."""
+    kind = (F.col("doc_id") % 3).cast("int")
+    docs = table(spark, sf_dir, "documents")
+    words = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))), 1, (1 + F.col("doc_id") % 5).cast("int"))
+    forms = F.array(*[F.array(*[F.lit(f[0]) for f in forms]) for _, _, forms in _FORMS])
+    form = lambda place: F.element_at(F.element_at(forms, kind + 1), ((place + F.col("doc_id")) % 3 + 1).cast("int"))
+    items = F.transform(words, lambda w, place: F.replace(form(place), F.lit("@"), F.concat(w, F.lit("_"), place.cast("string"))))
+    head, ext = (F.element_at(F.array(*[F.lit(f[n]) for f in _FORMS]), kind + 1) for n in (1, 0))
+    text = F.replace(F.concat(head, F.array_join(items, "~")), F.lit("~"), F.lit("\n"))
+    return docs.where(F.size(words) > 0).select(F.concat(F.lit("gen/f"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("source"), text.alias("text"))
+
+
+@register("chk9_broken_files", f"WITH {_WORDS_FILES} SELECT source || '#' || place AS chunk_id, source, type, name, [name] AS defines, list_sort(calls) AS calls, md5(text) AS text FROM items")
+def chk9(spark, sf_dir):
+    """CHK4 to CHK6 and CHK9 on files of the documents' own words, with raw strings, nested
+    comments, templates, JSX, and items that are never closed among whole ones."""
+    return K.chunk_files(generated_files(spark, sf_dir)).select("chunk_id", "source", "type", "name", "defines", "calls", F.md5("text").alias("text"))
+
+
+@register("sym2_generated_symbols", f"WITH {_WORDS_FILES} SELECT source, list(name ORDER BY name) AS defines FROM items GROUP BY source")
+def sym2(spark, sf_dir):
+    """SYM1 to SYM3 on the same files."""
+    files = generated_files(spark, sf_dir)
+    return files.select("source", K.code_symbols("text", K.extension(F.col("source"))).alias("s")).select("source", "s.defines")
+
+
+@register("sym4_generated_calls", f"WITH {_WORDS_FILES} SELECT source, list(DISTINCT c ORDER BY c) AS calls FROM (SELECT source, unnest(calls) AS c FROM items) GROUP BY source")
+def sym4_generated(spark, sf_dir):
+    """SYM4 on the same files; those without a call are left out."""
+    files = generated_files(spark, sf_dir)
+    return files.select("source", K.code_calls("text", K.extension(F.col("source"))).alias("calls")).where(F.size("calls") > 0)
