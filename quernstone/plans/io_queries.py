@@ -12,7 +12,7 @@ from quernstone.plans.registry import register
 from quernstone.session import table
 from quernstone.sources import index, readers, sinks
 from quernstone.storage import Scratch
-from quernstone.streaming import incremental
+from quernstone.streaming import incremental, loop_state
 
 
 def _lines(df, path: str, mode: str = "error") -> str:
@@ -314,6 +314,47 @@ def st4(spark, sf_dir):
     return found.select("user_id", F.unix_micros("ts").alias("micros"), "event_type", "at", "blocked")
 
 
+@register("st4_loop_state", """
+WITH c AS (SELECT event_id, user_id, ts, event_id % 3 AS tool, event_id % 2 AS args, event_type IN ('error', 'view', 'click') AS failed, least(abs(value) / 200, 1.0)::DOUBLE AS score FROM events),
+b AS (SELECT *, max(score) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior, greatest(max(score) OVER w, 0.0) AS best, row_number() OVER w AS iteration FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(CASE WHEN score > coalesce(prior, 0.0) + 1e-6 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, tool ORDER BY ts, event_id) AS cleared FROM b),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - (island > 0)::INT AS stagnation, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, tool, cleared, args ORDER BY ts, event_id) AS failures FROM i),
+s AS (SELECT *, CASE WHEN best >= 0.95 THEN 'converged' WHEN stagnation >= 3 THEN 'stagnated' WHEN iteration >= 20 THEN 'halted' ELSE 'running' END AS status FROM t)
+SELECT event_id, iteration, best, stagnation::BIGINT AS stagnation, failures::BIGINT AS failures, failed AND failures >= 2 AS dead_end, status,
+       min(CASE WHEN status <> 'running' THEN iteration END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS halted_at FROM s
+""")
+def st4_state(spark, sf_dir):
+    """ST4 with WIN3 to WIN5: the whole state of a loop, over two runs of the stream."""
+    scratch = Scratch(spark, "loops")
+    at = F.unix_micros("ts")
+    calls = C.events(spark, sf_dir).select(
+        "user_id", "event_id", "ts", (F.col("event_id") % 3).cast("string").alias("tool"), (F.col("event_id") % 2).cast("string").alias("args"),
+        F.col("event_type").isin("error", "view", "click").alias("failed"), F.least(F.abs("value") / 200, F.lit(1.0)).alias("score"),
+    )
+    half = calls.agg(F.percentile_approx(at, 0.5)).scalar()
+    with loop_state.keyed_state(spark):
+        for first in (True, False):
+            calls.where(at <= half if first else at > half).write.mode("append").parquet(scratch.path("in"))
+            stream = loop_state.loop_stream(spark.readStream.schema(loop_state.CALL).parquet(scratch.path("in")))
+            found = _streamed(spark, scratch, stream, "out", loop_state.LOOP)
+    return found.select("event_id", "iteration", "best", "stagnation", "failures", "dead_end", "status", "halted_at")
+
+
+@register("st5_cache_stream", """
+WITH n AS (SELECT max(ts) AS newest FROM events)
+SELECT event_id AS id, user_id FROM events, n WHERE ts >= newest - INTERVAL 200 HOUR ORDER BY ts DESC, event_id DESC LIMIT 400
+""")
+def st5(spark, sf_dir):
+    """ST5 as a stream: entries of three batches, the oldest leaving beyond a size and an age."""
+    scratch = Scratch(spark, "cache")
+    entries = C.events(spark, sf_dir).select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"))
+    for k in range(3):
+        entries.where(F.pmod(F.col("id"), F.lit(3)) == k).write.mode("append").parquet(scratch.path("in"))
+        stream = spark.readStream.schema("id long, user_id long, created_at timestamp").parquet(scratch.path("in"))
+        loop_state.cache_stream(spark, stream, scratch.path("cache"), scratch.path("state"), 400, 200 * 3600).awaitTermination()
+    return loop_state.cached(spark, scratch.path("cache")).select("id", "user_id")
+
+
 @register("st6_inbox", "SELECT 't' || event_id AS id, event_type AS type, props AS payload, epoch_us(ts) AS micros, (event_id % 5)::INT AS priority FROM events")
 def st6(spark, sf_dir):
     scratch = Scratch(spark, "inbox")
