@@ -244,9 +244,9 @@ def skill_content(c) -> Column:
     return F.when(F.size(found) > fixed.MAX_SKILL_WORDS, short).otherwise(_col(c))
 
 
-def config_hash(values: dict[str, str]) -> Column:
+def config_hash(values: dict[str, str | Column]) -> Column:
     """Hash of the settings that an index depends on, in the order of their names."""
-    return F.sha2(F.concat_ws("\n", *[F.concat(F.lit(f"{k}="), F.lit(v)) for k, v in sorted(values.items())]), 256)
+    return F.sha2(F.concat_ws("\n", *[F.concat(F.lit(f"{k}="), F.lit(values[k])) for k in sorted(values)]), 256)
 
 
 def compact(c) -> Column:

@@ -115,6 +115,15 @@ def _related(chunks, names):
     return K.related_code(K.symbol_index(chunks), K.reference_index(chunks), names)
 
 
+@register("jn4_symbol_lookup", f"""
+WITH {_EXPECTED}, d AS (SELECT unnest(defines) AS symbol, chunk_id FROM code_chunks)
+SELECT symbol, chunk_id FROM (SELECT DISTINCT symbol FROM asked) JOIN d USING (symbol)
+""")
+def jn4(spark, sf_dir):
+    """Where the index has a name defined."""
+    return K.symbol_index(_chunks(spark, sf_dir)).join(_names(spark, sf_dir).distinct(), "symbol").select("symbol", "chunk_id")
+
+
 @register("jn5_related_code", f"WITH {_EXPECTED} SELECT symbol, place, chunk_id, place = 1 AS is_definition FROM related")
 def jn5(spark, sf_dir):
     """JN5, TOP5, GR4."""

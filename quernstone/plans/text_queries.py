@@ -231,9 +231,10 @@ def dt1(spark, sf_dir):
     return C.events(spark, sf_dir).select("event_id", T.unix_day(at).alias("day"), F.floor((F.unix_seconds(F.expr("TIMESTAMP '2024-08-01'")) - at) / 86_400).alias("age_days"))
 
 
-@register("mt4_backoff", "SELECT range AS attempt, least(50 * pow(2, range - 1), 400)::BIGINT AS wait_ms FROM range(1, 9)")
+@register("mt4_backoff", "SELECT event_id, least(50 * pow(2, event_id % 12), 400)::BIGINT AS wait_ms FROM events")
 def mt4(spark, sf_dir):
-    return spark.range(1, 9).select(F.col("id").alias("attempt"), V.backoff_ms("id").alias("wait_ms"))
+    """The wait before a repeat of each event, which stands for the attempt of its number."""
+    return table(spark, sf_dir, "events").select("event_id", V.backoff_ms(F.col("event_id") % 12 + 1).alias("wait_ms"))
 
 
 @register("js1_json_list", """
@@ -256,9 +257,11 @@ def js2(spark, sf_dir):
     return rows.select("event_id", T.canonical_hash(args).alias("args_hash"))
 
 
-@register("hs1_config_hash", "SELECT sha256('chunk=1024' || chr(10) || 'model=m1' || chr(10) || 'overlap=128') AS config_hash")
+@register("hs1_config_hash", "SELECT doc_id, sha256('chunk=' || n_chars || chr(10) || 'model=' || lang || chr(10) || 'overlap=' || source) AS config_hash FROM documents")
 def hs1_config(spark, sf_dir):
-    return spark.range(1).select(T.config_hash({"overlap": "128", "chunk": "1024", "model": "m1"}).alias("config_hash"))
+    """A configuration for each document, its columns standing for the settings."""
+    settings = {"overlap": F.col("source"), "chunk": F.col("n_chars").cast("string"), "model": F.col("lang")}
+    return table(spark, sf_dir, "documents").select("doc_id", T.config_hash(settings).alias("config_hash"))
 
 
 @register("hs1_content_hash", r"SELECT doc_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS content_hash FROM documents")

@@ -146,11 +146,6 @@ def snk1(spark, sf_dir):
     return K.upserted(table(spark, sf_dir, "documents").select("doc_id", "lang").withColumn("version", F.lit("old")), new, ["doc_id"])
 
 
-@register("jn4_symbol_lookup", "SELECT l.doc_id, d.lang, l.quality FROM labels l JOIN documents d USING (doc_id)")
-def jn4(spark, sf_dir):
-    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", "lang", "quality")
-
-
 @register("jn8_orphans", "SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def jn8(spark, sf_dir):
     """JN8, JN9."""
