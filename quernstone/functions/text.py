@@ -153,6 +153,11 @@ def holds_secret(line) -> Column:
     return ~contains_any(line, fixed.SECRET_PASS) & reduce(lambda a, b: a | b, [line.rlike(p) for p in fixed.SECRETS])
 
 
+def may_hold_secret(c) -> Column:
+    """Whether a whole text matches a pattern of secrets: true wherever a line of it does."""
+    return _col(c).contains('"') & _col(c).rlike("|".join(f"(?:{p})" for p in fixed.SECRETS))
+
+
 def masked(line, most: int = 80) -> Column:
     """Quoted values of eight characters or more hidden, then cut for display."""
     return F.left(F.regexp_replace(trimmed(line), r'"[^"]{8,}"', '"\\[REDACTED\\]"'), F.lit(most))

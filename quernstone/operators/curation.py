@@ -125,6 +125,7 @@ def pruned_cache(cache: DataFrame, most: int, oldest: Column, created: str = "cr
 
 
 def secret_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, snippet): lines that hold a secret, with its value hidden."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
+    """(id, line_no, snippet): lines that hold a secret, with its value hidden. Most texts
+    hold none, which one pattern over the whole text tells before it is split."""
+    lines = docs.where(T.may_hold_secret(text_col)).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
     return lines.where(T.holds_secret("line")).select("id", (F.col("at") + 1).cast("long").alias("line_no"), T.masked("line").alias("snippet"))
