@@ -10,7 +10,7 @@ from quernstone.functions import text as T
 from quernstone.plans import common as C
 from quernstone.plans.registry import register
 from quernstone.session import table
-from quernstone.sources import index, readers, sinks
+from quernstone.sources import index, readers, sinks, tree_source
 from quernstone.storage import Scratch
 from quernstone.streaming import incremental, loop_state
 
@@ -36,6 +36,21 @@ def src1(spark, sf_dir):
     return lines.where("line <> ''").select(F.col("line").cast("long").alias("doc_id"))
 
 
+@register("src1_tree_source", "SELECT doc_id FROM documents")
+def src1_source(spark, sf_dir):
+    """The same tree through the data source, in two runs of a stream: it grows between."""
+    scratch = Scratch(spark, "source")
+    tree_source.register(spark)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("value"))
+    for k, kept in enumerate((F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1)):
+        docs.where(kept).select("value").write.option("maxRecordsPerFile", 50_000).text(scratch.path(f"root/a/b{k}"))
+        docs.where(kept).select("value").write.text(scratch.path(f"root/node_modules/b{k}"))
+        stream = spark.readStream.format("source_tree").option("path", scratch.path("root")).load()
+        found = _streamed(spark, scratch, stream, "out", tree_source.SCHEMA)
+    lines = found.select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where("line <> ''").select(F.col("line").cast("long").alias("doc_id"))
+
+
 @register("src3_jsonl", f"SELECT doc_id::VARCHAR AS source, 0 AS chunk_idx, md5(text) AS sum FROM documents WHERE regexp_replace(text, '\\s+', '', 'g') <> '' AND strlen(text) <= {fixed.MAX_FILE_BYTES} UNION ALL SELECT 'page' || page_id, k, md5(([url, 'x'])[k + 1]) FROM pages, range(2) t(k)")
 def src3(spark, sf_dir):
     scratch = Scratch(spark, "jsonl")
