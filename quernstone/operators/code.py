@@ -218,12 +218,15 @@ def _past_angles(text: str, at: int) -> int:
     return len(text)
 
 
-_CALL = re.compile(r"(?:\b|\.)([A-Za-z_$][\w$]*)(?:\s*(?:::<[^>]*>+)?|<[^<>()&|;]*(?:<[^<>()&|;]*>[^<>()&|;]*)*>)\s*\(")
+# masked comments are white space, and much of it: no pattern may try the same run twice
+_CALL = re.compile(r"(?:\b|\.)([A-Za-z_$][\w$]*)(?:\s*::<[^>]*>+|<[^<>()&|;]*(?:<[^<>()&|;]*>[^<>()&|;]*)*>)?\s*\(")
+_NAMED = re.compile(r"\b(?:fn|function)\s+(?=\S)")
 _NO_CALL = {"if", "for", "while", "match", "switch", "return", "fn", "function", "catch", "loop", "async", "await", "in", "let", "const", "new", "super", "constructor"}
 
 
 def _brace_calls(text: str) -> list[str]:
-    found = {m[1] for m in _CALL.finditer(text) if not re.search(r"\b(?:fn|function)\s+$", text[: m.start(1)])}
+    named = {m.end() for m in _NAMED.finditer(text)}
+    found = {m[1] for m in _CALL.finditer(text) if m.start(1) not in named}
     return sorted(found - _NO_CALL)
 
 
@@ -270,6 +273,9 @@ def rust_chunks(source: str) -> list[dict]:
     return out
 
 
+_USE = re.compile(r"^[^\S\n]*(?:pub\s+)?use\s+([^;]+);", re.M)
+
+
 def rust_symbols(source: str) -> dict:
     """Qualified definitions, and the paths and last names of ``use``."""
     clean = masked(source, "rs")
@@ -289,7 +295,7 @@ def rust_symbols(source: str) -> dict:
 
     walk(0, len(clean), "")
     imports: set[str] = set()
-    for m in re.finditer(r"^\s*(?:pub\s+)?use\s+([^;]+);", clean, re.M):
+    for m in _USE.finditer(clean, 0, clean.rfind(";") + 1):
         head, _, group = m[1].partition("{")
         names = [n.split(" as ")[0].strip() for n in group.rstrip("} \n").split(",")] if group else [""]
         for n in names:
@@ -301,7 +307,7 @@ def rust_symbols(source: str) -> dict:
 
 
 _TS_ITEM = re.compile(r"^[ \t]*(export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|const|let|var)\s+([A-Za-z_$][\w$]*)", re.M)
-_TS_MEMBER = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?\s*([A-Za-z_$#][\w$]*)\s*(?=[<(])", re.M)
+_TS_MEMBER = re.compile(r"(?:^|(?<=[{};]))[^\S\n]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?:\*\s*)?([A-Za-z_$#][\w$]*)\s*(?=[<(])", re.M)
 
 
 def _past_group(text: str, at: int, end: int) -> int:
@@ -320,7 +326,7 @@ def _ts_body(text: str, at: int, end: int) -> int:
     skip = lambda k: re.compile(r"\s*").match(text, k, end).end()
     at = skip(at)
     if text[at : at + 1] == "<":
-        at = skip(_past_angles(text, at))
+        at = skip(min(_past_angles(text, at), end))
     if text[at : at + 1] == "(":
         at = skip(_past_group(text, at, end))
         if text[at : at + 1] == ":":
@@ -388,7 +394,7 @@ def ts_chunks(source: str, ext: str = "ts") -> list[dict]:
 def ts_symbols(source: str, ext: str = "ts") -> dict:
     defines = {m[3] for m in _TS_ITEM.finditer(masked(source, ext))}
     imports: set[str] = set()
-    for m in re.finditer(r"""import\s+(?:type\s+)?([^'";]*?)\s*(?:from\s*)?['"]([^'"]+)['"]""", without_comments(source)):
+    for m in re.finditer(r"""import\s+([^'";]*)['"]([^'"]+)['"]""", without_comments(source)):
         imports.add(m[2].lstrip("./@").split("/")[0] or m[2])
         if group := re.search(r"\{([^}]*)\}", m[1]):
             imports |= {n.split(" as ")[0].strip() for n in group[1].split(",") if n.strip()}

@@ -1,5 +1,7 @@
 """Parsers of source code on hard and on broken files; answers written out."""
 
+import time
+
 import pytest
 
 from quernstone.operators import code
@@ -166,3 +168,18 @@ def test_broken_python():
 ])
 def test_nothing_crashes(parse, source):
     parse(source)
+
+
+@pytest.mark.parametrize("parse, lead, sign", [
+    (code.rust_symbols, "use a::b;\nfn f() { g(1) }\n", "// "), (code.rust_chunks, "fn f() { g(1) }\n", "// "), (code.rust_calls, "const A: B = c\n", "// "),
+    (code.ts_symbols, "import q\nconst f = 1\n", "// "), (code.ts_chunks, "class V {\n", "// "), (code.ts_calls, "class V {\n a = b\n", "// "),
+])
+def test_long_comments_take_linear_time(parse, lead, sign):
+    source = lead + (sign + "wordword\n") * 8_000
+    start = time.perf_counter()
+    parse(source)
+    assert time.perf_counter() - start < 3
+
+
+def test_method_with_open_angle():
+    assert kinds(code.ts_chunks("class V {\n x<T(a\n}\nconst y = 1\n")) == [("class", "V")]
