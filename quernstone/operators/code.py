@@ -230,7 +230,7 @@ def _brace_calls(text: str) -> list[str]:
     return sorted(found - _NO_CALL)
 
 
-_RUST_ITEM = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|extern)\s+)*(fn|struct|enum|trait|impl|mod)\b([^{;]*)", re.M)
+_RUST_ITEM = re.compile(r"(?:^|(?<=[{};]))[ \t]*+(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|extern)\s+)*(fn|struct|enum|trait|impl|mod)\b([^{;]*)", re.M)
 
 
 def _rust_items(clean: str, start: int = 0, end: int | None = None):
@@ -273,7 +273,7 @@ def rust_chunks(source: str) -> list[dict]:
     return out
 
 
-_USE = re.compile(r"^[^\S\n]*(?:pub\s+)?use\s+([^;]+);", re.M)
+_USE = re.compile(r"^[^\S\n]*+(?:pub\s+)?use\s+([^;]+);", re.M)
 
 
 def rust_symbols(source: str) -> dict:
@@ -306,8 +306,8 @@ def rust_symbols(source: str) -> dict:
     return {"defines": sorted(defines), "imports": sorted(imports - {"*", "self", ""})}
 
 
-_TS_ITEM = re.compile(r"^[ \t]*(export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|const|let|var)\s+([A-Za-z_$][\w$]*)", re.M)
-_TS_MEMBER = re.compile(r"(?:^|(?<=[{};]))[^\S\n]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?:\*\s*)?([A-Za-z_$#][\w$]*)\s*(?=[<(])", re.M)
+_TS_ITEM = re.compile(r"^[ \t]*+(export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|type|const|let|var)\s+([A-Za-z_$][\w$]*)", re.M)
+_TS_MEMBER = re.compile(r"(?:^|(?<=[{};]))[^\S\n]*+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?:\*\s*)?([A-Za-z_$#][\w$]*)\s*(?=[<(])", re.M)
 
 
 def _past_group(text: str, at: int, end: int) -> int:

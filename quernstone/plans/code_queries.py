@@ -9,6 +9,7 @@ from quernstone.operators import code as K
 from quernstone.operators import graph as G
 from quernstone.plans.registry import register
 from quernstone.session import table
+from quernstone.storage import Scratch
 
 #: (extension, source, comment sign); @ is the document's number.
 FILES = (
@@ -36,6 +37,11 @@ def _chunks(spark, sf_dir):
     return K.chunk_files(files).join(symbols.select("source", "s.imports"), "source")
 
 
+def _stored(spark, sf_dir):
+    """The same, parsed once for all that a query looks up in it."""
+    return Scratch(spark, "code").save(_chunks(spark, sf_dir), "chunks")
+
+
 #: What the three kinds of file hold: (kind, chunk, type, name, defines, calls, text).
 _EXPECTED = """
 expected(kind, idx, type, name, defines, calls, text) AS (VALUES
@@ -127,7 +133,7 @@ def jn4(spark, sf_dir):
 @register("jn5_related_code", f"WITH {_EXPECTED} SELECT symbol, place, chunk_id, place = 1 AS is_definition FROM related")
 def jn5(spark, sf_dir):
     """JN5, TOP5, GR4."""
-    return _related(_chunks(spark, sf_dir), _names(spark, sf_dir))
+    return _related(_stored(spark, sf_dir), _names(spark, sf_dir))
 
 
 @register("jn6_callees", f"""
@@ -137,7 +143,7 @@ SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY k) AS place,
 """)
 def jn6(spark, sf_dir):
     """JN6, GR3, SET7."""
-    chunks = _chunks(spark, sf_dir)
+    chunks = _stored(spark, sf_dir)
     return K.callees(chunks, K.symbol_index(chunks))
 
 
@@ -161,7 +167,7 @@ SELECT symbol, main || coalesce(chr(10) || chr(10) || '<callee_context>' || chr(
 UNION ALL SELECT 'absent', 'No defining or importing chunks found.'
 """)
 def str30(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
+    chunks = _stored(spark, sf_dir)
     names = _names(spark, sf_dir)
     asked = names.unionByName(spark.range(1).select(F.lit("absent").alias("symbol")))
     return K.related_text(_related(chunks, names), chunks, K.symbol_index(chunks), asked)
@@ -176,7 +182,7 @@ SELECT symbol, '<symbol name="' || symbol || '"><definition>' || definition || '
 UNION ALL SELECT 'absent', '<symbol name="absent"><definition>Not found in index.</definition><references/></symbol>'
 """)
 def str31(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
+    chunks = _stored(spark, sf_dir)
     names = _names(spark, sf_dir)
     return K.symbol_xml(_related(chunks, names), chunks, names.unionByName(spark.range(1).select(F.lit("absent").alias("symbol"))))
 

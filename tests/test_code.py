@@ -6,6 +6,7 @@ import pytest
 
 from quernstone.operators import code
 from quernstone.operators.masking import masked
+from quernstone.plans import registry
 
 
 def kinds(found):
@@ -183,3 +184,9 @@ def test_long_comments_take_linear_time(parse, lead, sign):
 
 def test_method_with_open_angle():
     assert kinds(code.ts_chunks("class V {\n x<T(a\n}\nconst y = 1\n")) == [("class", "V")]
+
+
+@pytest.mark.parametrize("name", ["jn5_related_code", "jn6_callees", "str30_related_text", "str31_symbol_xml"])
+def test_files_are_parsed_once(spark, sf_dir, name):
+    found = registry.queries()[name](spark, sf_dir)
+    assert "EvalPython" not in found._jdf.queryExecution().toString()
