@@ -478,11 +478,13 @@ def reference_index(chunks: DataFrame) -> DataFrame:
 def related_code(symbols: DataFrame, references: DataFrame, names: DataFrame, most_references: int = 25, most: int = 100) -> DataFrame:
     """(symbol, place, chunk_id, is_definition): definitions first, then references that
     aren't among them."""
-    w = Window.partitionBy("symbol").orderBy("chunk_id")
-    defs = symbols.join(names, "symbol", "left_semi").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
-    refs = references.join(names, "symbol", "left_semi").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most_references)
-    refs = refs.join(defs.select("symbol", "chunk_id"), ["symbol", "chunk_id"], "left_anti")
-    both = defs.withColumn("is_definition", F.lit(True)).unionByName(refs.withColumn("is_definition", F.lit(False)))
+    # joined behind the union (a semi join would move into it): a union of halves dealt alike counts as dealt
+    # too, and fails where Spark then coalesces or splits one of them alone
+    both = symbols.withColumn("is_definition", F.lit(True)).unionByName(references.withColumn("is_definition", F.lit(False)))
+    w = Window.partitionBy("symbol", "is_definition").orderBy("chunk_id")
+    both = both.join(names.select("symbol").distinct(), "symbol").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(most, most_references))
+    both = both.where(F.col("_r") <= F.when(F.col("is_definition"), most).otherwise(most_references))
+    both = both.groupBy("symbol", "chunk_id").agg(F.max("is_definition").alias("is_definition"))
     order = Window.partitionBy("symbol").orderBy(F.col("is_definition").desc(), "chunk_id")
     return both.withColumn("place", F.row_number().over(order).cast("long")).select("symbol", "place", "chunk_id", "is_definition")
 
