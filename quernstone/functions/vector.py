@@ -28,6 +28,13 @@ def normalised(a) -> Column:
     return F.when(norm(a) > 0, F.transform(_c(a), lambda x: x.cast("double") / norm(a))).otherwise(F.transform(_c(a), lambda x: x.cast("double")))
 
 
+def rounded(x, digits: int) -> Column:
+    """Rounded, with what is left of a small negative number keeping its sign, as in SQL."""
+    x = _c(x)
+    out = F.round(x, digits)
+    return F.when((out == 0) & x.cast("string").startswith("-"), F.lit(-0.0)).otherwise(out)
+
+
 def unit_similarity(distance) -> Column:
     """Cosine of unit vectors from their distance."""
     return 1 - _c(distance) * _c(distance) / 2

@@ -359,7 +359,7 @@ def str29(spark, sf_dir):
 SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings
 """)
 def mt1(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm("embedding"), 6).alias("norm"), F.transform(V.normalised("embedding"), lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm("embedding"), 6).alias("norm"), F.transform(V.normalised("embedding"), lambda x: V.rounded(x, 6)).alias("unit"))
 
 
 @register("mt3_mean_pooling", """
@@ -372,5 +372,5 @@ def mt3(spark, sf_dir):
     leaves; aggregated by component, so no label has to fit into a task."""
     rows = table(spark, sf_dir, "embeddings").select("label", (F.col("embedding")[0] > 0).alias("mask"), F.posexplode("embedding").alias("k", "x"))
     mean = rows.groupBy("label", "k").agg(F.coalesce(F.avg(F.when(F.col("mask"), F.col("x").cast("double"))), F.lit(0.0)).alias("x"))
-    whole = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", F.round("x", 6).alias("x")))).alias("v"))
+    whole = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", V.rounded("x", 6).alias("x")))).alias("v"))
     return whole.select("label", F.transform("v", lambda p: p["x"]).alias("mean"))

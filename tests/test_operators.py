@@ -339,3 +339,11 @@ def test_first_rows(spark, n):
         unique = curation.first_rows(table, [(F.col("id"), True)], n)
         assert sorted(r["id"] for r in unique.collect()) == list(range(240, 300))
         assert "TakeOrdered" not in unique._jdf.queryExecution().toString() and "Limit" not in unique._jdf.queryExecution().toString()
+
+
+def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
+    from quernstone.plans import registry
+
+    spark.createDataFrame([(1, [1.0, -1e-8, 0.0, 1e-8, -0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = registry.queries()["mt1_vector_math"](spark, str(tmp_path)).first()
+    assert list(map(str, found["unit"])) == ["1.0", "-0.0", "0.0", "0.0", "-0.0"]
