@@ -346,7 +346,8 @@ def st4_state(spark, sf_dir):
         "user_id", "event_id", "ts", (F.col("event_id") % 3).cast("string").alias("tool"), (F.col("event_id") % 2).cast("string").alias("args"),
         F.col("event_type").isin("error", "view", "click").alias("failed"), F.least(F.abs("value") / 200, F.lit(1.0)).alias("score"),
     )
-    half = calls.agg(F.percentile_approx(at, 0.5)).scalar()
+    # taken once: it is approximate, and both halves have to be cut at the same place
+    half = F.lit(calls.agg(F.percentile_approx(at, 0.5)).first()[0])
     with loop_state.keyed_state(spark):
         for first in (True, False):
             calls.where(at <= half if first else at > half).write.mode("append").parquet(scratch.path("in"))
@@ -384,7 +385,7 @@ def st7(spark, sf_dir):
     """The first event of each user and type, over an earlier and a later part of the log."""
     scratch = Scratch(spark, "dedup")
     rows = C.events(spark, sf_dir).select("event_id", "user_id", "event_type")
-    half = rows.agg(F.percentile_approx("event_id", 0.5)).scalar()
+    half = F.lit(rows.agg(F.percentile_approx("event_id", 0.5)).first()[0])
     for first in (True, False):
         rows.where(F.col("event_id") <= half if first else F.col("event_id") > half).write.mode("append").parquet(scratch.path("in"))
         stream = spark.readStream.schema("event_id long, user_id long, event_type string").parquet(scratch.path("in"))
