@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from quernstone.operators import retrieval as R
 from quernstone.operators import knn
 
 
@@ -71,3 +72,14 @@ def test_empty_sides(spark, table):
     strings = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0])], "id string, embedding array<float>")
     got = knn.nearest(strings, strings.withColumnRenamed("id", "query_id"), 1).collect()
     assert sorted(tuple(r) for r in got) == [("a", "a", 0.0), ("b", "a", 0.0)]
+
+
+@pytest.mark.parametrize("measure", ["l2", "dot"])
+def test_few_queries_take_close_rows_alone(spark, measure):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, None]), ("c", None), ("d", []), ("e", [1.0, 0.0]), ("f", [3.0, 0.0, 0.0]), ("g", [0.5, 0.0]), ("h", [-1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0, 1.0]), (3, None)], "query_id long, embedding array<double>")
+    found = R.vector_topk(vectors, queries, 3, measure)
+    assert "MapInPandas" in found._jdf.queryExecution().toString()
+    got = sorted((r["query_id"], r["rank"], r["id"]) for r in found.collect())
+    assert got == [(1, 1, "a"), (1, 2, "e"), (1, 3, "g"), (2, 1, "f")]
