@@ -347,3 +347,23 @@ def test_rounding_keeps_the_sign_of_zero(spark, tmp_path):
     spark.createDataFrame([(1, [1.0, -1e-8, 0.0, 1e-8, -0.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = registry.queries()["mt1_vector_math"](spark, str(tmp_path)).first()
     assert list(map(str, found["unit"])) == ["1.0", "-0.0", "0.0", "0.0", "-0.0"]
+
+
+def test_long_texts_are_encoded_as_far_as_the_budget(spark):
+    import public_tokenizers
+
+    from quernstone.functions.budget import Tokens
+
+    tokens, lengths = Tokens(public_tokenizers.path("byte_bpe_50k.json")), []
+    inner = tokens.tokenizer
+
+    class Watched:
+        def encode(self, text, add_special_tokens=False):
+            lengths.append(len(text))
+            return inner.encode(text, add_special_tokens=add_special_tokens)
+
+    tokens.tokenizer = Watched()
+    words = " ".join(f"word number {k}" for k in range(20_000))
+    cut = tokens.within(words, 256)
+    assert max(lengths) <= 8 * 256
+    assert len(inner.encode(cut, add_special_tokens=False).ids) <= 256 and words.startswith(cut[:500])
