@@ -427,6 +427,10 @@ def code_symbols(text: pd.Series, ext: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_PARSERS[e][1](t) if e in _PARSERS and t else {"defines": [], "imports": []} for t, e in zip(text, ext, strict=True)], columns=["defines", "imports"])
 
 
+#: The same for Spark to leave where it stands: a deterministic function goes below a limit.
+code_symbols_here = F.pandas_udf(code_symbols.func, SYMBOLS).asNondeterministic()
+
+
 @F.pandas_udf(_STRINGS)
 def code_calls(text: pd.Series, ext: pd.Series) -> pd.Series:
     """Names called anywhere in a source, sorted and without repeats."""
@@ -499,11 +503,12 @@ def callees(chunks: DataFrame, symbols: DataFrame, most: int = 3) -> DataFrame:
     return first.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).select("chunk_id", "place", "callee", "callee_chunk")
 
 
-def outline(files: DataFrame, most_files: int = 500, most: int = 2000, depth: int = 8) -> DataFrame:
+def outline(files: DataFrame, most_files: int = 500, most: int = 2000, depth: int = 8, defines: Column | None = None) -> DataFrame:
     """(place, line): ``path: symbol`` of the first files (source, defines) and symbols by
-    path and name; deeper folders are left out."""
-    shallow = files.where(F.size(F.split("source", "/")) <= depth)
-    first = shallow.orderBy("source").limit(most_files)
+    path and name; deeper folders are left out. With ``defines``, files are (source, text)
+    and parsed by it once the first are chosen."""
+    first = files.where(F.size(F.split("source", "/")) <= depth).orderBy("source").limit(most_files)
+    first = first if defines is None else first.withColumn("defines", defines)
     lines = first.select("source", F.explode(F.array_sort("defines")).alias("symbol")).orderBy("source", "symbol").limit(most)
     # at most ``most`` rows are put in order
     place = F.row_number().over(Window.orderBy("source", "symbol")).cast("long")

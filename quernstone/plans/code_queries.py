@@ -108,7 +108,8 @@ WITH {_SYMBOLS}, f AS (SELECT * FROM symbols ORDER BY source LIMIT 500), l AS (S
 SELECT row_number() OVER (ORDER BY source, symbol) AS place, source || ': ' || symbol AS line FROM (SELECT * FROM l ORDER BY source, symbol LIMIT 2000)
 """)
 def sym6(spark, sf_dir):
-    return K.outline(_symbols(spark, sf_dir))
+    files = source_files(spark, sf_dir).select("source", "text")
+    return K.outline(files, defines=K.code_symbols_here("text", K.extension(F.col("source")))["defines"])
 
 
 def _names(spark, sf_dir):

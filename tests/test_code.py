@@ -190,3 +190,11 @@ def test_method_with_open_angle():
 def test_files_are_parsed_once(spark, sf_dir, name):
     found = registry.queries()[name](spark, sf_dir)
     assert "EvalPython" not in found._jdf.queryExecution().toString()
+
+
+def test_outline_parses_its_files_alone(spark, sf_dir):
+    """The limit stands below the parser in the plan."""
+    from quernstone.plans import code_queries
+
+    plan = code_queries.sym6(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("GlobalLimit 500")
