@@ -457,10 +457,10 @@ def chunk_files(files: DataFrame) -> DataFrame:
         chunking.char_windows(F.col("text")),
         lambda t: F.struct(t.alias("text"), F.lit("text").alias("type"), F.lit("").alias("name"), F.array().cast("array<string>").alias("defines"), F.array().cast("array<string>").alias("calls")),
     )
-    parsed = typed.where(coded).withColumn("parts", code_chunks("text", "ext"))
-    parsed = parsed.withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(windows))
-    plain = typed.where(~coded & ~headed).withColumn("parts", windows)
-    out = parsed.unionByName(plain).select("source", F.posexplode(F.slice("parts", 1, fixed.MAX_CHUNKS_PER_FILE)).alias("chunk_idx", "c"))
+    # one pass: as filters, these conditions would make each text anew for every branch
+    parts = typed.withColumn("parts", code_chunks(F.when(coded, F.col("text")), "ext")).where(F.col("ext").isNotNull() & ~F.coalesce(headed & ~coded, F.lit(False)))
+    parts = parts.withColumn("parts", F.when(F.size("parts") > 0, F.col("parts")).otherwise(windows))
+    out = parts.select("source", F.posexplode(F.slice("parts", 1, fixed.MAX_CHUNKS_PER_FILE)).alias("chunk_idx", "c"))
     out = out.select("source", F.col("chunk_idx").cast("long").alias("chunk_idx"), "c.*")
     sections = chunking.markdown_sections(typed.where(headed & ~coded), "source", "text", leading=True)
     none = F.array().cast("array<string>")

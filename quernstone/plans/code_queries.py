@@ -144,7 +144,9 @@ SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY k) AS place,
 """)
 def jn6(spark, sf_dir):
     """JN6, GR3, SET7."""
-    chunks = _stored(spark, sf_dir)
+    # names alone: no text is moved, and no file is parsed for imports
+    named = K.chunk_files(source_files(spark, sf_dir).select("source", "text")).select("chunk_id", "defines", "calls")
+    chunks = Scratch(spark, "code").save(named, "chunks")
     return K.callees(chunks, K.symbol_index(chunks))
 
 

@@ -198,3 +198,26 @@ def test_outline_parses_its_files_alone(spark, sf_dir):
 
     plan = code_queries.sym6(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("GlobalLimit 500")
+
+
+def test_callees_parse_a_file_once(spark, sf_dir, monkeypatch):
+    """One parser, and no text among what is stored."""
+    from quernstone.plans import code_queries
+    from quernstone.storage import Scratch
+
+    stored, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: stored.append(df) or save(self, df, name))
+    code_queries.jn6(spark, sf_dir)
+    (made,) = stored
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.columns == ["chunk_id", "defines", "calls"] and plan.count("ArrowEvalPython") == 1 and plan.count("Relation [") <= 2
+
+
+def test_files_of_each_kind(spark):
+    """Parsed, without an item, minified, unknown, with and without headings, null and empty."""
+    rows = [("a.py", "def f():\n    g()\n"), ("b.rs", "// none"), ("c.ts", "x" * 12_000), ("d.xyz", "words"), ("e.md", "# h\nbody"), ("f.md", "plain"), ("g.py", None), ("h.py", ""), (None, "lost")]
+    files = spark.createDataFrame(rows, "source string, text string")
+    made = {(r["source"], r["chunk_idx"]): (r["type"], r["name"], len(r["text"])) for r in code.chunk_files(files).collect()}
+    assert made.pop(("a.py", 0)) == ("function", "f", 16) and made.pop(("b.rs", 0)) == ("text", "", 7) and made.pop(("d.xyz", 0)) == ("text", "", 5)
+    assert made.pop(("e.md", 1)) == ("section", "h", 8) and made.pop(("f.md", 0)) == ("text", "", 5)
+    assert {s for s, _ in made} == {"c.ts"} and sum(n for _, _, n in made.values()) >= 12_000
