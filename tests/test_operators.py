@@ -367,3 +367,13 @@ def test_long_texts_are_encoded_as_far_as_the_budget(spark):
     cut = tokens.within(words, 256)
     assert max(lengths) <= 8 * 256
     assert len(inner.encode(cut, add_special_tokens=False).ids) <= 256 and words.startswith(cut[:500])
+
+
+def test_only_asked_symbols_are_moved(spark):
+    """The symbols of all chunks are cut to those asked for before they are ranked."""
+    chunks = spark.createDataFrame([(f"c#{k}", ["a", "b"] if k % 2 else [f"s{k}"]) for k in range(12)], "chunk_id string, defines array<string>")
+    found = spark.createDataFrame([("q", 1, "c#1"), ("q", 2, "c#2")], "query_id string, rank long, chunk_id string")
+    symbols = chunks.select(F.explode("defines").alias("symbol"), "chunk_id")
+    more = retrieval.expanded(found, chunks, symbols, 2, 3, 4, 2)
+    assert [(r["place"], r["chunk_id"]) for r in more.orderBy("place").collect()] == [(1, "c#11"), (2, "c#3"), (3, "c#5"), (4, "c#7")]
+    assert "LeftSemi" in more._jdf.queryExecution().optimizedPlan().toString()
