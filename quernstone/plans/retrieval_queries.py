@@ -294,7 +294,8 @@ def ret10(spark, sf_dir):
 @register("ret8_symbol_expansion", f"WITH {_FUSED}, {C.DEFINES_SQL}, {C.expanded_sql('more', 'fused', 10, 10)} SELECT * FROM more_extra")
 def ret8(spark, sf_dir):
     chunks = C.defining(C.chunks(spark, sf_dir))
-    return R.expanded(_hybrid(spark, sf_dir), chunks, C.symbols(chunks), 10, 3, 10, 7)
+    found = Scratch(spark, "expansion").save(_hybrid(spark, sf_dir), "found")
+    return R.expanded(found, chunks, C.symbols(chunks), 10, 3, 10, 7)
 
 
 @register("ret7_graph_walk", f"WITH {_FUSED}, {C.DEFINES_SQL}, {C.expanded_sql('more', 'fused', 7, 10)} SELECT query_id, rank, id AS chunk_id FROM more")
