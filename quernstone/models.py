@@ -138,7 +138,8 @@ def embedded(rows: DataFrame, text: str, load: Callable[[], Embedder], dim: int,
         for part in parts:
             yield pd.Series(_encoded(model, [None if pd.isna(t) else t for t in part], dim, batch), index=part.index, dtype=object)
 
-    return rows.withColumn(out, vectors(F.col(text)))
+    # a filter on the vectors stays above them; below, it would compute them a second time
+    return rows.withColumn(out, vectors.asNondeterministic()(F.col(text)))
 
 
 def scored_pairs(found: DataFrame, load: Callable[[], Reranker], query: str, text: str, by: str, id_col: str, out: str) -> DataFrame:

@@ -107,3 +107,10 @@ def test_rerankers(spark):
     assert set(scored(Short).values()) == set(scored(absent).values()) == {None}
     with pytest.raises(KeyError):
         models.chunks_by(F.lit("x"), F.lit("y"), "no such chunker")
+
+
+def test_vectors_are_computed_once(spark):
+    """A filter on the vectors doesn't compute them a second time below them."""
+    rows = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
+    plan = models.embedded(rows, "text", models.HashingEmbedder, 64).where("embedding IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
