@@ -114,3 +114,24 @@ def test_vectors_are_computed_once(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
     plan = models.embedded(rows, "text", models.HashingEmbedder, 64).where("embedding IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_shard_is_small(spark):
+    """Bytes that building one takes for each posting, and long texts in shards of their own."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    lengths = np.full(5_000, 60)
+    terms, tfs = rng.integers(0, 900, lengths.sum()).astype(np.int32), np.ones(lengths.sum(), np.int32)
+    tracemalloc.start()
+    keywords.Shard(np.full(5_000, 150), lengths, terms, tfs, 150.0, 900, keywords.Blocks())
+    assert tracemalloc.get_traced_memory()[1] < 64 * len(terms)
+    tracemalloc.stop()
+    rows = [(f"a#{k}", " ".join(f"w{(k * j) % 30}" for j in range(k))) for k in range(60)] + [("b", "w1 w2")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string")
+    queries = spark.createDataFrame([("x", " ".join(f"w{j}" for j in range(30))), ("y", "w1-w2 w7")], "query_id string, text string")
+    made, whole = keywords.Keywords(chunks, queries, keywords.Blocks(block=2, postings=40, together=4, step=7)), retrieval.bm25(chunks, queries)
+    found = made.candidates(3)
+    assert first(made.best(3), 3) == first(whole, 3)
+    # one source, several shards: of each come the first three
+    assert found.where("query_id = 'x'").count() > 10
