@@ -125,7 +125,7 @@ def test_a_shard_is_small(spark):
     terms, tfs = rng.integers(0, 900, lengths.sum()).astype(np.int32), np.ones(lengths.sum(), np.int32)
     tracemalloc.start()
     keywords.Shard(np.full(5_000, 150), lengths, terms, tfs, 150.0, 900, keywords.Blocks())
-    assert tracemalloc.get_traced_memory()[1] < 64 * len(terms)
+    assert tracemalloc.get_traced_memory()[1] < 52 * len(terms)
     tracemalloc.stop()
     rows = [(f"a#{k}", " ".join(f"w{(k * j) % 30}" for j in range(k))) for k in range(60)] + [("b", "w1 w2")]
     chunks = spark.createDataFrame(rows, "chunk_id string, text string")
