@@ -24,9 +24,13 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from itertools import product, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,14 +67,68 @@ def words_of(text: str | None) -> list[bytes]:
     return words
 
 
+#: a byte that no UTF-8 text has; it stands for the end token while words are told apart
+_CLOSE = b"\xff"
+
+
+class Tokens(NamedTuple):
+    """Tokens of several texts, those of ``words_of``: distinct words, what each ends with
+    (an index into ``_ending_classes``), the word of each token, where each text stops."""
+
+    words: list[bytes]
+    tails: np.ndarray
+    ids: np.ndarray
+    stops: np.ndarray
+
+
+def encoded(texts, most: int = 4 << 20):
+    """``Tokens`` of whole texts of about ``most`` bytes together. Arrow tells words apart,
+    so only the distinct ones become Python objects and are looked up."""
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode())
+        size += len(held[-1])
+        if size >= most:
+            yield _encoded(held)
+            held, size = [], 0
+    if held:
+        yield _encoded(held)
+
+
+def _encoded(texts: list[bytes]) -> Tokens:
+    data = np.frombuffer((b" " + _CLOSE + b" ").join([b"", *texts, b""]).lower(), np.uint8)
+    # the first and the last byte are blanks
+    inside = (data - np.uint8(9) > 4) & (data != 32)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    offsets = np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])]).astype(np.int32)
+    found = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    _, offsets, data = found.dictionary.buffers()
+    cuts, data = np.frombuffer(offsets, np.int32)[: len(found.dictionary) + 1], data.to_pybytes()
+    at = cuts.tolist()
+    words = [data[i:j] for i, j in zip(at, at[1:])]
+    last = np.frombuffer(data, np.uint8)[cuts[1:] - 1].astype(np.int64)
+    before = np.frombuffer(data, np.uint8)[np.maximum(cuts[1:] - 2, 0)].astype(np.int64)
+    ids, end = found.indices.to_numpy(), 0
+    # what stands for the first end token is the first word, as nothing precedes the first text
+    words[end] = END
+    return Tokens(words, np.where(np.diff(cuts) > 1, before * 256 + last, 65536 + last), ids[1:], np.flatnonzero(ids[1:] == end) + 1)
+
+
+@lru_cache(maxsize=4)
+def _ending_classes(n: int) -> np.ndarray:
+    """Class among ``n`` by the last two bytes, and behind these by a single one."""
+    tails = [*(bytes(x) for x in product(range(256), repeat=2)), *(bytes([x]) for x in range(256))]
+    return np.array([zlib.crc32(x) % n for x in tails], np.int64)
+
+
 def count_words(docs: DataFrame, most: int = 600_000) -> DataFrame:
     """(word, n) over all texts; each task sums what it reads before anything moves."""
 
     def rows(batches):
         held: Counter = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                held.update(words_of(text))
+            for t in encoded(batch["text"]):
+                held.update(dict(zip(t.words, np.bincount(t.ids, minlength=len(t.words)).tolist(), strict=True)))
                 if len(held) > most:
                     yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                     held.clear()
@@ -81,18 +139,19 @@ def count_words(docs: DataFrame, most: int = 600_000) -> DataFrame:
 
 
 class Classes(dict):
-    """Fine class of each word; others than the given ones go by their ending, and the
-    first ``most`` of them are kept for their next occurrence."""
+    """Fine class of each word; others than the given ones go by their ending."""
 
-    def __init__(self, own: dict[bytes, int], first: int, endings: int, most: int = 400_000):
+    def __init__(self, own: dict[bytes, int], first: int, endings: int):
         super().__init__(own)
-        self.first, self.endings, self.most = first, endings, most
+        self.first, self.endings = first, endings
 
     def __missing__(self, word: bytes) -> int:
-        found = self.first + zlib.crc32(word[-2:]) % self.endings
-        if len(self) < self.most:
-            self[word] = found
-        return found
+        return self.first + zlib.crc32(word[-2:]) % self.endings
+
+    def of(self, tokens: Tokens) -> np.ndarray:
+        """The same of each distinct word of ``tokens``."""
+        found = np.fromiter(map(self.get, tokens.words, repeat(-1)), np.int32, len(tokens.words))
+        return np.where(found < 0, self.first + _ending_classes(self.endings)[tokens.tails], found).astype(np.int32)
 
 
 def _contexts(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,10 +172,32 @@ def _gather(into: np.ndarray, seen: np.ndarray, at: np.ndarray, grad: np.ndarray
     ordered = at[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     rows = ordered[starts]
-    total = np.add.reduceat(grad[order], starts, axis=0)
-    seen[rows] += (total * total).mean(axis=1) if total.ndim > 1 else total * total
-    scale = rate / np.sqrt(seen[rows] + 1e-8)
-    into[rows] += total * (scale[:, None] if total.ndim > 1 else scale)
+    total = _summed(grad.take(order, axis=0), starts)
+    now = seen[rows] + _squares(total)
+    seen[rows] = now
+    scale = rate / np.sqrt(now + 1e-8)
+    total *= scale[:, None] if total.ndim > 1 else scale
+    into[rows] = into.take(rows, axis=0) + total
+
+
+def _summed(grad: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``starts``. Two numbers of 32 bits are added
+    as one complex number, which halves the steps and gives the same bits."""
+    if grad.ndim > 1 and grad.shape[1] % 2 == 0 and grad.dtype == np.float32:
+        return np.add.reduceat(grad.view(np.complex64), starts, axis=0).view(np.float32)
+    return np.add.reduceat(grad, starts, axis=0)
+
+
+def _squares(total: np.ndarray) -> np.ndarray:
+    """What Adagrad sees of each row: the mean square, or the square of a number."""
+    return np.einsum("ij,ij->i", total, total) / total.dtype.type(total.shape[1]) if total.ndim > 1 else total * total
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place."""
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Inner:
@@ -160,6 +241,7 @@ class Model:
         self.parts.append(np.log(shares).astype("f4"))
         self.seen = [np.full(m, 1e-2, "f4") for _ in range(4)]
         self.cumulated = np.cumsum(shares)
+        self.prior = np.log(shape.noise * shares).astype("f4")
         self.trained = 0
         self.inner = inner
         if inner:
@@ -169,18 +251,21 @@ class Model:
             self.seen += [np.full(n, 1e-2, "f4") for n in (len(inner.slot), len(weights), len(weights))]
 
     def _within(self, v: np.ndarray, w: np.ndarray):
-        """(first slot, end, places, contexts, target's place in the run and its log share, all shares)"""
+        """(first slot, end, places, contexts, target's place in the run and its log share,
+        all shares by place in the run). Runs are short and contexts many, so contexts lie
+        along the rows, where sums and maxima are fast."""
         r, q, b = self.parts[4:]
         for one, end, at in self.inner.runs(w):
-            h = r[v[at]]
-            x = h @ q[one:end].T + b[one:end]
-            x -= x.max(axis=1, keepdims=True)
+            h = r.take(v[at], axis=0)
+            x = q[one:end] @ h.T
+            x += b[one:end, None]
+            x -= x.max(axis=0)
             true = self.inner.slot[w[at]] - one
-            log = x[np.arange(len(at)), true]
+            log = x[true, np.arange(len(at))]
             np.exp(x, out=x)
-            total = x.sum(axis=1, keepdims=True)
+            total = x.sum(axis=0)
             x /= total
-            yield one, end, at, h, true, log - np.log(total[:, 0]), x
+            yield one, end, at, h, true, log - np.log(total), x
 
     def learn_within(self, v: np.ndarray, w: np.ndarray) -> None:
         """One exact step on the second level; ``v`` and ``w`` are fine classes."""
@@ -188,11 +273,11 @@ class Model:
         rate, places, backs = self.shape.rate, [], []
         for one, end, at, h, true, _, shares in self._within(v, w):
             grad = np.negative(shares, out=shares)
-            grad[np.arange(len(at)), true] += 1
+            grad[true, np.arange(len(at))] += 1
             places.append(at)
-            backs.append(grad @ q[one:end])
-            total, bias = grad.T @ h, grad.sum(axis=0)
-            self.seen[5][one:end] += (total * total).mean(axis=1)
+            backs.append(grad.T @ q[one:end])
+            total, bias = grad @ h, grad.sum(axis=1)
+            self.seen[5][one:end] += _squares(total)
             self.seen[6][one:end] += bias * bias
             q[one:end] += total * (rate / np.sqrt(self.seen[5][one:end] + 1e-8))[:, None]
             b[one:end] += bias * (rate / np.sqrt(self.seen[6][one:end] + 1e-8))
@@ -211,12 +296,16 @@ class Model:
         r1, r2, q, b = self.parts[:4]
         k = self.shape.noise
         noise = np.minimum(np.searchsorted(self.cumulated, rng.random(k) * self.cumulated[-1]), len(b) - 1)
-        prior = np.log(k * self.shares).astype("f4")
-        h = r1[u] + r2[v]
-        qw, qn = q[w], q[noise]
-        true = 1 - 1 / (1 + np.exp(-(np.einsum("ij,ij->i", h, qw) + b[w] - prior[w])))
-        false = 1 / (1 + np.exp(-(h @ qn.T + (b[noise] - prior[noise]))))
-        back = true[:, None] * qw - false @ qn
+        odds = b - self.prior
+        h = r1.take(u, axis=0)
+        h += r2.take(v, axis=0)
+        qw, qn = q.take(w, axis=0), q[noise]
+        true = 1 - _sigmoid(np.einsum("ij,ij->i", h, qw) + odds[w])
+        false = h @ qn.T
+        false += odds[noise]
+        false = _sigmoid(false)
+        qw *= true[:, None]
+        back = np.subtract(qw, false @ qn, out=qw)
         forth = true[:, None] * h
         rate = self.shape.rate
         _gather(r1, self.seen[0], u, back, rate)
@@ -248,13 +337,13 @@ def _batches(model: Model, classes: Classes, end: int, texts, rng: np.random.Gen
         _, v, w = _contexts(fine, end)
         model.learn_within(v, w)
 
-    for text in texts:
-        words = words_of(text)
-        held.append(np.fromiter(map(classes.__getitem__, words), np.int32, len(words)))
-        number += len(words)
-        if number >= 32 * model.shape.batch:
-            step()
-            held, number = [], 0
+    for t in encoded(texts):
+        for text in np.split(classes.of(t)[t.ids], t.stops[:-1]):
+            held.append(text)
+            number += len(text)
+            if number >= 32 * model.shape.batch:
+                step()
+                held, number = [], 0
     if held:
         step()
 
@@ -300,6 +389,15 @@ class Trained:
     def classes(self) -> Classes:
         return Classes(self.own, self.model.inner.first, self.model.shape.endings)
 
+    # made once in a worker process, not once a task
+    @cached_property
+    def known(self) -> Known:
+        return Known(self)
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.model.tables()
+
 
 def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     """Words with their counts, most frequent first, as many as ``most`` allows: the bound
@@ -405,9 +503,20 @@ class Known(dict):
         self.fine = np.concatenate([np.fromiter(map(self.classes.__getitem__, fitted.sent), np.int32, n), tail]).astype(np.int32)
         self.logs = np.concatenate([np.log10(np.fromiter(fitted.sent.values(), "f8", n) + 1), np.full(len(tail), -1.0)])
 
-    def __missing__(self, word: bytes) -> int:
+    def of(self, tokens: Tokens) -> np.ndarray:
+        """The number of each distinct word of ``tokens``."""
+        found = np.fromiter(map(self.get, tokens.words, repeat(-1)), np.int64, len(tokens.words))
         # a word with a class of its own is among those sent, the end token aside
-        return -1 - (self.classes.first + zlib.crc32(word[-2:]) % self.classes.endings if word != END else 0)
+        return np.where(found < 0, -1 - self.classes.of(tokens), found)
+
+    def texts(self, texts, whole: bool):
+        """(numbers of the tokens, words not sent) of each text; the words are left out if
+        the sent ones are the ``whole`` vocabulary."""
+        for t in encoded(texts):
+            number = self.of(t)
+            for ids in np.split(t.ids, t.stops[:-1]):
+                at = number[ids]
+                yield at, [] if whole else [t.words[k] for k in ids[at < 0].tolist()]
 
 
 def score_documents(docs: DataFrame, held_out, shape: Shape = Shape()) -> DataFrame:
@@ -422,8 +531,7 @@ def score_documents(docs: DataFrame, held_out, shape: Shape = Shape()) -> DataFr
     def rows(batches):
         single_threaded()
         fitted = sent.value
-        known = Known(fitted)
-        a, c, z = fitted.model.tables()
+        known, (a, c, z) = fitted.known, fitted.tables
         log_sums = np.log10(fitted.sums)
         whole = len(fitted.sent) == fitted.v  # no word is left to join
         inner = fitted.model.inner
@@ -447,13 +555,10 @@ def score_documents(docs: DataFrame, held_out, shape: Shape = Shape()) -> DataFr
                 for row, n, plain, total in zip(out[-len(held) :], *sums, strict=True):
                     row[4:7] = n, plain - row[3] * base, total
 
-            for rid, doc, held_out, text in zip(batch["rid"], batch["doc_id"], batch["held_out"], batch["text"], strict=True):
-                words = words_of(text)
-                at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                rare = [] if whole else [words[k] for k in np.flatnonzero(at < 0).tolist()]
-                out.append([rid, doc, held_out, len(words), 0, 0.0, 0.0, rare])
+            for rid, doc, held_out, (at, rare) in zip(batch["rid"], batch["doc_id"], batch["held_out"], known.texts(batch["text"], whole), strict=True):
+                out.append([rid, doc, held_out, len(at), 0, 0.0, 0.0, rare])
                 held.append(at)
-                number += len(words)
+                number += len(at)
                 if number >= 262_144:
                     step()
                     held, number = [], 0
