@@ -24,7 +24,7 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import lru_cache
 from itertools import product, repeat
 from typing import NamedTuple
 
@@ -81,7 +81,7 @@ class Tokens(NamedTuple):
     stops: np.ndarray
 
 
-def encoded(texts, most: int = 4 << 20):
+def encoded(texts, most: int = 2 << 20):
     """``Tokens`` of whole texts of about ``most`` bytes together. Arrow tells words apart,
     so only the distinct ones become Python objects and are looked up."""
     held, size = [], 0
@@ -389,15 +389,6 @@ class Trained:
     def classes(self) -> Classes:
         return Classes(self.own, self.model.inner.first, self.model.shape.endings)
 
-    # made once in a worker process, not once a task
-    @cached_property
-    def known(self) -> Known:
-        return Known(self)
-
-    @cached_property
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.model.tables()
-
 
 def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     """Words with their counts, most frequent first, as many as ``most`` allows: the bound
@@ -531,7 +522,8 @@ def score_documents(docs: DataFrame, held_out, shape: Shape = Shape()) -> DataFr
     def rows(batches):
         single_threaded()
         fitted = sent.value
-        known, (a, c, z) = fitted.known, fitted.tables
+        known = Known(fitted)
+        a, c, z = fitted.model.tables()
         log_sums = np.log10(fitted.sums)
         whole = len(fitted.sent) == fitted.v  # no word is left to join
         inner = fitted.model.inner
